@@ -103,12 +103,24 @@ silver_members AS (
 """
 
 
-def with_base(body: str, extra_ctes: str = "") -> str:
-    """Wrap a final SELECT with the shared CTEs (and optional extra CTEs)."""
+def with_base(body: str, extra_ctes: str = "", doubles=()) -> str:
+    """Wrap a final SELECT with the shared CTEs (and optional extra CTEs).
+
+    ``doubles`` names the DOUBLE output columns; they are rounded to 6
+    decimals, as the Spark side does for every double column.
+    """
     ctes = BASE.strip()
     if extra_ctes.strip():
         ctes = ctes + ",\n" + extra_ctes.strip()
-    return f"WITH {ctes}\n{body.strip()}"
+    sql = f"WITH {ctes}\n{body.strip()}"
+    return rounded(sql, doubles)
+
+
+def rounded(sql: str, doubles=()) -> str:
+    if not doubles:
+        return sql
+    rep = ", ".join(f"round({c}, 6) AS {c}" for c in doubles)
+    return f"SELECT * REPLACE ({rep}) FROM (\n{sql}\n) _q"
 
 
 def usage_block(lookback: int | None = 1, dedupe: bool = False, edge: int = 7) -> str:
@@ -143,10 +155,12 @@ usage_agg AS (
          CAST(sum(num_985) AS BIGINT) AS sum_completion_985,
          CAST(sum(num_100) AS BIGINT) AS sum_completion_100,
          CAST(sum(sum_songs) AS BIGINT) AS sum_songs,
-         sum(total_secs) AS sum_total_secs,
+         round(sum(total_secs), 6) AS sum_total_secs,
          avg(usr) AS avg_unique_song_played_ratio,
-         coalesce(sum(CASE WHEN days_from_start < {edge} THEN total_secs END), 0.0) AS total_secs_first_7_days,
-         coalesce(sum(CASE WHEN days_to_end < {edge} THEN total_secs END), 0.0) AS total_secs_last_7_days
+         round(coalesce(sum(CASE WHEN days_from_start < {edge} THEN total_secs END), 0.0), 6)
+           AS total_secs_first_7_days,
+         round(coalesce(sum(CASE WHEN days_to_end < {edge} THEN total_secs END), 0.0), 6)
+           AS total_secs_last_7_days
   FROM usage_joined p
   GROUP BY {group}),
 usage AS (

@@ -45,15 +45,22 @@ def daily_usage(logs: DataFrame, user: str = "msno", date: str = "date") -> Data
 
 
 def period_usage(joined: DataFrame, group: Sequence[str], edge_days: int = 7,
-                 weight: str | None = None) -> DataFrame:
+                 weight: str | None = None, secs_digits: int = 6) -> DataFrame:
     """Per period: the 10 aggregates (sums, mean row ratio, first/last ``edge_days`` seconds).
 
     ``joined`` holds day rows from ``daily_usage`` matched to periods.  ``weight``
     (copies of an identical transaction row) multiplies the sums exactly as the
     reference's duplicate rows do (Q3) without emitting the duplicate pairs.
+    Second totals are rounded to ``secs_digits`` decimals, so they (and the
+    ratios built on them) do not depend on summation order, i.e. on how the
+    rows were partitioned or re-run after a lost executor.
     """
     from_start = F.datediff("date", "membership_start_date")
     to_end = F.datediff("membership_expire_date", "date")
+
+    def secs(c):
+        return F.round(c, secs_digits)
+
     agg = joined.groupBy(*group).agg(
         F.sum("d_num_25").alias("sum_completion_25"),
         F.sum("d_num_50").alias("sum_completion_50"),
@@ -61,11 +68,11 @@ def period_usage(joined: DataFrame, group: Sequence[str], edge_days: int = 7,
         F.sum("d_num_985").alias("sum_completion_985"),
         F.sum("d_num_100").alias("sum_completion_100"),
         F.sum("d_songs").alias("sum_songs"),
-        F.sum("d_secs").alias("sum_total_secs"),
+        secs(F.sum("d_secs")).alias("sum_total_secs"),
         F.try_divide(F.sum("d_ratio_sum"), F.sum("d_ratio_n")).alias("avg_unique_song_played_ratio"),
-        F.coalesce(F.sum(F.when(from_start < edge_days, F.col("d_secs"))), F.lit(0.0))
+        secs(F.coalesce(F.sum(F.when(from_start < edge_days, F.col("d_secs"))), F.lit(0.0)))
         .alias("total_secs_first_7_days"),
-        F.coalesce(F.sum(F.when(to_end < edge_days, F.col("d_secs"))), F.lit(0.0))
+        secs(F.coalesce(F.sum(F.when(to_end < edge_days, F.col("d_secs"))), F.lit(0.0)))
         .alias("total_secs_last_7_days"),
     )
     if weight:
