@@ -20,13 +20,13 @@ def _c(c: ColumnOrName) -> Column:
 
 def parse_yyyymmdd(c: ColumnOrName) -> Column:
     """int or text ``yyyyMMdd`` -> DATE; malformed text gives null."""
-    return F.try_to_date(_c(c).cast("string"), F.lit("yyyyMMdd"))
+    return F.try_to_date(_c(c).cast("string"), "yyyyMMdd")
 
 
 def parse_iso_date(c: ColumnOrName) -> Column:
     """ISO text (``yyyy-MM-dd``, optionally with a time part) -> DATE; bad text gives null."""
     s = _c(c).cast("string")
-    return F.try_to_date(F.substring(s, 1, 10), F.lit("yyyy-MM-dd"))
+    return F.try_to_date(F.substring(s, 1, 10), "yyyy-MM-dd")
 
 
 def membership_start(expire: ColumnOrName, plan_days: ColumnOrName) -> Column:
