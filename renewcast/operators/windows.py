@@ -92,7 +92,16 @@ def running_sum(df: DataFrame, order: Sequence[str | Column], values: Sequence[s
         offsets = F.broadcast(offsets)
     w = (Window.partitionBy(*group, "_blk").orderBy(*sort)
          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    out = d.join(offsets, on=[*group, "_blk"], how="inner")
+    if group:
+        # null-safe on the group columns: a null group is a group of its own
+        offsets = offsets.select(*[F.col(g).alias(f"_g_{g}") for g in group],
+                                 *[c for c in offsets.columns if c not in group])
+        cond = d["_blk"] == offsets["_blk"]
+        for g in group:
+            cond = cond & d[g].eqNullSafe(offsets[f"_g_{g}"])
+        out = d.join(offsets, cond, "inner").drop(offsets["_blk"]).drop(*[f"_g_{g}" for g in group])
+    else:
+        out = d.join(offsets, on="_blk", how="inner")
     for v in values:
         out = out.withColumn(f"{v}{suffix}", F.sum(v).over(w) + F.col(f"_o_{v}"))
     return out.drop("_blk", *[f"_o_{v}" for v in values])
