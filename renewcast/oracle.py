@@ -76,7 +76,7 @@ next_tx AS (
       tx_id NULLS LAST) AS next_transaction_date
   FROM silver_tx_label WHERE is_cancel = 0),
 label_silver AS (
-  SELECT msno, membership_start_date, membership_expire_date, next_transaction_date,
+  SELECT msno, membership_start_date, membership_expire_date, tx_id, next_transaction_date,
          CASE WHEN d < 0 THEN 0 ELSE d END AS days_diff
   FROM (SELECT *, CAST(datediff('day', membership_expire_date, next_transaction_date) AS INTEGER) AS d
         FROM next_tx WHERE payment_plan_days BETWEEN 30 AND 31) x
