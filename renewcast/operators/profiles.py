@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from renewcast.operators.windows import hash_blocks, running_sum
+from renewcast.operators.windows import DEFAULT_BLOCKS, blocks_from_cuts, hash_blocks, running_sum
 
 
 def _stack(pairs: Sequence[tuple[str, Column]], key: str, value: str) -> Column:
@@ -37,10 +37,10 @@ def value_shares(df: DataFrame, col: str) -> DataFrame:
 def attach_scalar(df: DataFrame, one_row: DataFrame) -> DataFrame:
     """Append the columns of a one-row aggregate to every row.
 
-    The one-row side is broadcast: its size is fixed at one row, whatever the data.
+    Each column becomes a scalar subquery (evaluated once, then a literal in the
+    plan): no join and no cross product, whatever the size of ``df``.
     """
-    return df.withColumn("_k1", F.lit(1)).join(F.broadcast(one_row.withColumn("_k1", F.lit(1))), "_k1") \
-        .drop("_k1")
+    return df.select("*", *[one_row.select(c).scalar().alias(c) for c in one_row.columns])
 
 
 def daily_transaction_counts(tx: DataFrame, user: str = "msno",
@@ -85,7 +85,8 @@ def schema_profile(df: DataFrame) -> DataFrame:
                        F.col("__rows").alias("n_rows"))
 
 
-def exact_quantiles(df: DataFrame, col: str, qs: Sequence[float] = (0.25, 0.5, 0.75)) -> DataFrame:
+def exact_quantiles(df: DataFrame, col: str, qs: Sequence[float] = (0.25, 0.5, 0.75),
+                    cuts: Sequence[float] | None = None) -> DataFrame:
     """Linear-interpolation quantiles (pandas / ``quantile_cont``), exact and distributed.
 
     Returns one row: ``q<pct>`` columns.  Distinct values are counted (partial
@@ -94,7 +95,8 @@ def exact_quantiles(df: DataFrame, col: str, qs: Sequence[float] = (0.25, 0.5, 0
     max -- no task ever holds the whole column.
     """
     counts = df.where(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias("_n"))
-    rs = running_sum(counts, [col], ["_n"], with_total=True)
+    block = blocks_from_cuts(col, cuts) if cuts is not None else None
+    rs = running_sum(counts, [col], ["_n"], with_total=True, block=block)
     first = F.col("_n_cum") - F.col("_n")          # rank of the first copy (0-based)
     last = F.col("_n_cum") - 1
     aggs = []
@@ -118,24 +120,36 @@ def describe_profile(df: DataFrame, cols: Sequence[str], approx: bool = False,
                      accuracy: int = 10000) -> DataFrame:
     """count, mean, std (sample), min, 25/50/75% (linear interpolation), max per column.
 
-    ``approx=True`` uses ``percentile_approx`` (one pass, bounded memory) for the
-    quartiles instead of the exact distributed selection.
+    One aggregate pass for the moments of every column; exact quartiles by the
+    distributed selection (block cut points for all columns from one
+    ``approxQuantile`` pass).  ``approx=True`` uses ``percentile_approx``
+    (one pass, bounded memory) instead.
     """
-    out = None
+    cols = list(cols)
+    aggs = []
     for c in cols:
         x = F.col(c).cast("double")
-        base = df.agg(F.count(x).alias("count"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"),
-                      F.min(x).alias("min"), F.max(x).alias("max"))
+        aggs += [F.count(x).alias(f"n_{c}"), F.avg(x).alias(f"m_{c}"), F.stddev_samp(x).alias(f"s_{c}"),
+                 F.min(x).alias(f"lo_{c}"), F.max(x).alias(f"hi_{c}")]
         if approx:
-            qs = df.agg(F.percentile_approx(x, [0.25, 0.5, 0.75], accuracy).alias("_p")).select(
-                F.col("_p")[0].alias("q25"), F.col("_p")[1].alias("q50"), F.col("_p")[2].alias("q75"))
-        else:
-            qs = exact_quantiles(df, c)
-        row = attach_scalar(base, qs).select(
-            F.lit(c).alias("column"), "count", "mean", "std", "min",
-            F.col("q25").alias("p25"), F.col("q50").alias("p50"), F.col("q75").alias("p75"), "max")
-        out = row if out is None else out.unionByName(row)
-    return out
+            aggs.append(F.percentile_approx(x, [0.25, 0.5, 0.75], accuracy).alias(f"p_{c}"))
+    wide = df.agg(*aggs)
+    pairs = ", ".join(f"'{c}', `n_{c}`, `m_{c}`, `s_{c}`, `lo_{c}`, `hi_{c}`" for c in cols)
+    base = wide.select(F.expr(f"stack({len(cols)}, {pairs}) AS (column, count, mean, std, min, max)"))
+    if approx:
+        qp = ", ".join(f"'{c}', `p_{c}`" for c in cols)
+        q = wide.select(F.expr(f"stack({len(cols)}, {qp}) AS (column, _p)")).select(
+            "column", F.col("_p")[0].alias("q25"), F.col("_p")[1].alias("q50"), F.col("_p")[2].alias("q75"))
+    else:
+        probs = [i / DEFAULT_BLOCKS for i in range(1, DEFAULT_BLOCKS)]
+        all_cuts = df.approxQuantile(cols, probs, 1.0 / (4 * DEFAULT_BLOCKS))
+        q = None
+        for c, cuts in zip(cols, all_cuts):
+            one = exact_quantiles(df, c, cuts=cuts).select(F.lit(c).alias("column"), "*")
+            q = one if q is None else q.unionByName(one)
+    return base.join(q, "column", "left").select(
+        "column", "count", "mean", "std", "min", F.col("q25").alias("p25"), F.col("q50").alias("p50"),
+        F.col("q75").alias("p75"), "max")
 
 
 def distinct_values(df: DataFrame, col: str) -> DataFrame:

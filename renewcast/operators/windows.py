@@ -37,7 +37,12 @@ def quantile_blocks(df: DataFrame, col: str, blocks: int = DEFAULT_BLOCKS,
     a value is the number of cut points at or below it, computed JVM-side.
     """
     probs = [i / blocks for i in range(1, blocks)]
-    cuts = sorted(set(x for x in df.approxQuantile(col, probs, 1.0 / (4 * blocks)) if x is not None))
+    return blocks_from_cuts(col, df.approxQuantile(col, probs, 1.0 / (4 * blocks)), descending)
+
+
+def blocks_from_cuts(col: str, cuts, descending: bool = False) -> Column:
+    """Block id = number of cut points at or below the value (reversed when descending)."""
+    cuts = sorted(set(float(x) for x in cuts if x is not None))
     x = F.col(col).cast("double")
     if not cuts:
         return F.lit(0)
