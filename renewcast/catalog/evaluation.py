@@ -202,3 +202,25 @@ def daily_monitor(spark, sf):
     """Per day: rows, FN rate, F1.5, AUC of 0/1 predictions and AUC of the scores -- one job for all days."""
     s = fx.scored_predictions(spark, sf).withColumn("y_pred", (F.col("score") >= 0.5).cast("int"))
     return M.daily_monitor(s, "day", score="score")
+
+
+@query("daily_monitor__stream", O.with_base(f"""
+SELECT c.day, tn + fp + fn + tp AS rows, tn, fp, fn, tp, {_div0('fn', 'tn + fn')} AS fn_rate,
+       {_div0('CAST(3.25 AS DOUBLE) * tp', 'CAST(3.25 AS DOUBLE) * tp + CAST(2.25 AS DOUBLE) * fn + fp')} AS f1_5,
+       CASE WHEN tp + fn = 0 OR tn + fp = 0 THEN NULL
+            ELSE (CAST(tp AS DOUBLE) / (tp + fn) + CAST(tn AS DOUBLE) / (tn + fp)) / 2 END AS auc,
+       a.auc AS score_auc
+FROM (SELECT day, {COUNTS} FROM ds GROUP BY day) c LEFT JOIN day_auc a ON a.day = c.day""",
+                                            _DS + f",\nday_auc AS ({midrank_auc('ds', 'day')})",
+                                            doubles=["fn_rate", "f1_5", "auc", "score_auc"]))
+def daily_monitor_stream(spark, sf):
+    """Stored predictions (partitioned by month) monitored by an available-now stream:
+    new files -> days of the touched months recomputed -> those partitions overwritten."""
+    from renewcast.session import scratch_path
+    from renewcast.streaming.daily import monitor_days, read_monitor, write_predictions
+    preds = scratch_path(spark, "predictions_by_month")
+    s = fx.scored_predictions(spark, sf).withColumn("y_pred", (F.col("score") >= 0.5).cast("int"))
+    write_predictions(s, preds)
+    out = scratch_path(spark, "monitor_by_day")
+    monitor_days(spark, preds, out, scratch_path(spark, "monitor_checkpoint"))
+    return read_monitor(spark, out)

@@ -44,7 +44,10 @@ def prepare(spark: SparkSession, model_set: DataFrame, test_fraction: float = 0.
     ms = materialize(spark, model_set, "model_set")
     train = PR.stratified_split(ms.where(F.col("split") == "train"), "churn", KEY, test_fraction, split_seed)
     fit = PR.stratified_folds(train.where(F.col("is_test") == 0), "churn", KEY, folds, fold_seed)
-    test = train.where(F.col("is_test") == 1)
+    test = train.where(F.col("is_test") == 1).withColumn("fold", F.lit(None).cast("int"))
+    # one written table holds both parts: the ranking runs once, not once per fitted statistic
+    pool = materialize(spark, fit.unionByName(test), "train_pool")
+    fit, test = pool.where(F.col("is_test") == 0), pool.where(F.col("is_test") == 1)
     params = PR.scaler_params(PR.fit_scaler(fit, list(NUMERIC)))
     vocab = PR.vocabulary(PR.fit_vocabulary(PR.apply_rare_maps(fit), list(CATEGORICAL)))
     vocab.update({"is_auto_renew": ["0", "1"], "is_cancel": ["0", "1"]})
@@ -57,8 +60,9 @@ def fit_bundle(spark: SparkSession, prep: Prepared, kind: str = "logistic", para
     the training predictions, and bundle scaler, vocabulary and threshold with it."""
     params = params or {}
     X = materialize(spark, prep.matrix(prep.fit), "fit_matrix")
+    n = X.count()
     if kind == "logistic":
-        est = ML.logistic(X.count(), params.get("C", 1.0), params.get("penalty", "l2"))
+        est = ML.logistic(n, params.get("C", 1.0), params.get("penalty", "l2"))
     else:
         est = ML.forest(params.get("num_trees", 50), params.get("max_depth", 5),
                         params.get("feature_subset", "sqrt"), params.get("min_leaf", 1),
@@ -68,7 +72,7 @@ def fit_bundle(spark: SparkSession, prep: Prepared, kind: str = "logistic", para
         F.col("churn").cast("int").alias("y_true"), F.col("p_churn").alias("score"))
     best = M.best_threshold(M.threshold_sweep(spark, tr), metric).first()
     thr = float(best["threshold"]) if best else 0.5
-    info = {"model_type": kind, "params": params, "threshold": thr, "sample_size": X.count(),
+    info = {"model_type": kind, "params": params, "threshold": thr, "sample_size": n,
             "feature_count": len(prep.names), "feature_names": prep.names}
     return ML.Bundle(model, thr, prep.scaler, prep.vocabulary, list(NUMERIC), info)
 
