@@ -122,3 +122,14 @@ def user_churn_label(spark, sf):
     """Member-level label: 0 for all, 1 for cancel-and-resume users, overwritten by the binned gap."""
     return L.user_churn_label(fx.transactions(spark, sf), fx.members(spark, sf),
                               burst_n=fx.BURST_THRESHOLD_ORDERS, expire_from=fx.WINDOW_LO)
+
+
+@query("overlay_update", O.with_base("""
+SELECT m.msno, CAST(coalesce(u.label, 0) AS INTEGER) AS label
+FROM members m LEFT JOIN (SELECT msno, 1 AS label FROM nb_users) u ON u.msno = m.msno""", _NB_TX))
+def overlay_update(spark, sf):
+    """Members' label 0 overwritten where the patch (cancel-and-resume users, 1) has the key."""
+    from renewcast.operators.joins import overlay_update as ou
+    base = fx.members(spark, sf).select("msno").withColumn("label", F.lit(0))
+    patch = L.cancel_behaviour(_nb_tx(spark, sf)).withColumn("label", F.lit(1))
+    return ou(base, patch, "msno", "label").withColumn("label", F.col("label").cast("int"))

@@ -97,3 +97,15 @@ def daily_monitor_model(spark, sf):
     s = stored.select(F.col("membership_expire_date").alias("day"), F.col("churn").cast("int").alias("y_true"),
                       F.col("prediction").alias("y_pred"), F.col("probability").alias("score"))
     return M.daily_monitor(s, "day", score="score")
+
+
+@query("tune_model__forest")
+def tune_model_forest(spark, sf):
+    """Random-forest tuning: 5 seeded draws over trees / depth / features / leaf / impurity, 3 folds."""
+    p = _prep(spark, sf)
+    X = T.materialize(spark, p.matrix(p.fit, extra=["fold"]), "cv_matrix")
+    model, draws, metrics = ML.tune_model(X, p.names, "forest", trials=5, seed=42)
+    rows = [(i, int(d["num_trees"]), int(d["max_depth"]), d["feature_subset"], int(d["min_leaf"]),
+             d["impurity"], float(m)) for i, (d, m) in enumerate(zip(draws, metrics))]
+    return spark.createDataFrame(rows, "trial int, num_trees int, max_depth int, feature_subset string, "
+                                       "min_leaf int, impurity string, cv_auc double")
