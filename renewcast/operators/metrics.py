@@ -14,6 +14,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -136,17 +137,20 @@ def threshold_sweep(spark: SparkSession, df: DataFrame, y_true: str = "y_true",
                     cutoffs: Sequence[float] | None = None, beta: float = BETA) -> DataFrame:
     """Confusion counts and rates at every cut-off in one pass over the data.
 
-    A score s is predicted positive at cut-off t when s >= t.  Each distinct
-    score gets bucket k = number of cut-offs <= s (JVM-side, literal array), so
-    TP at cut-off i is the suffix sum of positives over buckets k >= i + 1.
-    The bucket table has at most len(cutoffs) + 1 rows: a window over it is bounded.
+    A score s is predicted positive at cut-off t when s >= t.  Each row gets
+    bucket k = number of cut-offs <= s, so TP at cut-off i is the suffix sum of
+    positives over buckets k >= i + 1.  The bucket table has at most
+    len(cutoffs) + 1 rows: the window over it is bounded by the cut-off count.
     """
-    cuts = list(cutoffs) if cutoffs is not None else default_cutoffs()
-    arr = F.array(*[F.lit(float(c)) for c in cuts])
-    sc = score_counts(df, y_true, score)
-    s = F.col(score)
-    buckets = (sc.withColumn("k", F.size(F.filter(arr, lambda c: c <= s)))
-               .groupBy("k").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")))
+    cuts = sorted(float(c) for c in (cutoffs if cutoffs is not None else default_cutoffs()))
+    arr = F.array(*[F.lit(c) for c in cuts])
+    # Bucketizer: splits [-inf, c1, ..., cm, +inf] give bucket k = #cut-offs <= score (binary
+    # search in the JVM); every row is bucketed and partially aggregated to <= m + 1 groups
+    rows = df.where(F.col(score).isNotNull() & F.col(y_true).isNotNull()) \
+        .select(F.col(score).cast("double").alias("_s"), F.col(y_true).alias("_y"))
+    bk = Bucketizer(splits=[float("-inf"), *cuts, float("inf")], inputCol="_s", outputCol="_k")
+    buckets = (bk.transform(rows).groupBy(F.col("_k").cast("int").alias("k"))
+               .agg(F.sum(F.col("_y").cast("long")).alias("pos"), F.count_if(F.col("_y") == 0).alias("neg")))
     spine = spark.range(0, len(cuts) + 1).select(F.col("id").cast("int").alias("k"))
     full = spine.join(buckets, "k", "left").select(
         "k", F.coalesce("pos", F.lit(0)).alias("pos"), F.coalesce("neg", F.lit(0)).alias("neg"))

@@ -224,9 +224,25 @@ def rank_in_class(df: DataFrame, label: str, key: Sequence[str], seed: int | str
 
 def sample_per_class(df: DataFrame, label: str, key: Sequence[str], n: int = 5, seed: int = 42,
                      tie: Sequence[str] = ()) -> DataFrame:
-    """``n`` rows per class, the first in md5(key, seed) order: seeded and repeatable."""
-    r = rank_in_class(df, label, key, seed, tie)
-    return r.where(F.col("_rank") <= n).drop("_rank", "_class_n", "_h")
+    """``n`` rows per class, the first in md5(key, seed) order: seeded and repeatable.
+
+    Only the rows in front of each class's cut-off block are ranked: rows are
+    counted per (class, hash block) with partial aggregation, the first block
+    where the running count reaches ``n`` is found on that small table, and
+    the ranking window sees at most ``n`` + one block of rows per class.
+    """
+    h = with_hash_key(df, key, seed).withColumn("_blk", hash_blocks("_h"))
+    counts = h.groupBy(label, "_blk").agg(F.count(F.lit(1)).alias("_c"))
+    upto = Window.partitionBy(label).orderBy("_blk").rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy(label).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
+    cut = (counts.select(label, "_blk", F.sum("_c").over(upto).alias("_cum"),
+                         F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_prev"))
+           .where(F.col("_prev") < n)          # blocks that can still hold one of the first n rows
+           .select(label, "_blk"))
+    front = h.join(cut.withColumnRenamed(label, "_lab").withColumnRenamed("_blk", "_b2"),
+                   (h["_blk"] == F.col("_b2")) & h[label].eqNullSafe(F.col("_lab")), "left_semi")
+    w = Window.partitionBy(label).orderBy(F.col("_h").asc(), *[F.col(c).asc_nulls_first() for c in tie])
+    return front.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n).drop("_r", "_h", "_blk")
 
 
 def canonical_order(df: DataFrame, user: str = "msno",

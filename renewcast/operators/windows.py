@@ -20,7 +20,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-DEFAULT_BLOCKS = 64
+DEFAULT_BLOCKS = 1024
+HASH_DIGITS = 4      # 16^4 = 65,536 hash blocks
 
 
 def _sort_col(c: str | Column, descending: bool = False) -> Column:
@@ -53,7 +54,7 @@ def blocks_from_cuts(col: str, cuts, descending: bool = False) -> Column:
     return F.coalesce(blk, F.lit(0))
 
 
-def hash_blocks(hex_col: str | Column, digits: int = 2) -> Column:
+def hash_blocks(hex_col: str | Column, digits: int = HASH_DIGITS) -> Column:
     """Block id from the leading hex digits of an md5 string (uniform, monotone)."""
     x = F.col(hex_col) if isinstance(hex_col, str) else hex_col
     return F.conv(F.substring(x, 1, digits), 16, 10).cast("int")

@@ -82,6 +82,10 @@ def drop_columns(df: DataFrame, cols: Iterable[str]) -> DataFrame:
 def write_layer(df: DataFrame, path: str, partition_cols: Sequence[str] = ()) -> None:
     """Overwrite one layer as parquet; with partition columns only the partitions
     present in ``df`` are replaced (dynamic partition overwrite)."""
+    if partition_cols:
+        # AQE rebalance: rows of one partition value go to few writers, and a hot
+        # value is split over several tasks instead of one
+        df = df.hint("rebalance", *partition_cols)
     w = df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
     if partition_cols:
         w = w.partitionBy(*partition_cols)
@@ -91,9 +95,10 @@ def write_layer(df: DataFrame, path: str, partition_cols: Sequence[str] = ()) ->
 def write_by_day(df: DataFrame, path: str, date_col: str = "membership_expire_date") -> None:
     """Fan-out of the inference set: one partition directory per expiry date.
 
-    Rows are clustered by the day first so each task writes few files.
+    Rows are clustered by the day first (AQE rebalance: a hot day is split over
+    several tasks, small days are packed together) so each task writes few files.
     """
-    df.repartition(date_col).write.mode("overwrite") \
+    df.hint("rebalance", date_col).write.mode("overwrite") \
         .option("partitionOverwriteMode", "dynamic").partitionBy(date_col).parquet(path)
 
 

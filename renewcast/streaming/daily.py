@@ -43,7 +43,7 @@ def monitor_days(spark: SparkSession, predictions_path: str, out_path: str, chec
 
 def write_predictions(preds: DataFrame, path: str, day: str = "day", partition: str = "month") -> None:
     """Append-style store of predictions, one partition per month of ``day``."""
-    (preds.withColumn(partition, F.trunc(day, "MM")).repartition(partition)
+    (preds.withColumn(partition, F.trunc(day, "MM")).hint("rebalance", partition)
      .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path))
 
 
