@@ -188,19 +188,25 @@ def evaluate_split(df: DataFrame, by: Sequence[str], threshold: float | Column,
                    y_true: str = "y_true", score: str = "score", beta: float = BETA) -> DataFrame:
     """AUC, F-beta, precision, recall, counts, threshold, totals per (model, data set)."""
     thr = threshold if isinstance(threshold, Column) else F.lit(float(threshold))
-    pred = df.withColumn("_pred", (F.col(score) >= thr).cast("int"))
-    counts = with_rates(confusion_counts(pred, y_true, "_pred", by), beta)
+    pred = df.withColumn("_pred", (F.col(score) >= thr).cast("int")).withColumn("_thr", thr)
+    counts = confusion_counts(pred, y_true, "_pred", by)
+    # the cut-off may be a per-row column (e.g. each model's own threshold): report it per group
+    cut = pred.groupBy(*by).agg(F.max("_thr").alias("threshold"))
+    counts = with_rates(join_groups(counts, cut, by, "inner") if by else _attach(counts, cut), beta)
     auc = roc_auc(df, y_true, score, by)
-    if by:
-        a = auc.select(*[F.col(c).alias(f"_b_{c}") for c in by], "auc")
-        cond = None
-        for c in by:  # null-safe: rows in no data set form a group of their own
-            e = F.col(c).eqNullSafe(F.col(f"_b_{c}"))
-            cond = e if cond is None else cond & e
-        j = counts.join(a, cond, "left").drop(*[f"_b_{c}" for c in by])
-    else:
-        j = _attach(counts, auc)
-    return campaign_metrics(j).withColumn("threshold", thr)
+    j = join_groups(counts, auc, by, "left") if by else _attach(counts, auc)
+    return campaign_metrics(j)
+
+
+def join_groups(a: DataFrame, b: DataFrame, by: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join two per-group results on the group columns, null-safe: rows in no
+    group (e.g. the split gap) form a group of their own."""
+    bb = b.select(*[F.col(c).alias(f"_b_{c}") for c in by], *[c for c in b.columns if c not in by])
+    cond = None
+    for c in by:
+        e = F.col(c).eqNullSafe(F.col(f"_b_{c}"))
+        cond = e if cond is None else cond & e
+    return a.join(bb, cond, how).drop(*[f"_b_{c}" for c in by])
 
 
 def _attach(a: DataFrame, one_row: DataFrame) -> DataFrame:
