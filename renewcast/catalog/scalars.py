@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from renewcast import oracle as O
+from renewcast.catalog.labels import _NB_TX
 from renewcast.functions import scalar as S
 from renewcast.operators import filters as flt
 from renewcast.registry import query
@@ -86,13 +87,6 @@ def discount_ratio(spark, sf):
     return t.select("tx_id", S.discount_ratio("plan_list_price", "actual_amount_paid").alias("discount_ratio"))
 
 
-_LOG_ID = """
-logs_id AS (
-  SELECT l.l_orderkey, l.l_linenumber, u.* FROM (
-    SELECT *, row_number() OVER () AS rn FROM lineitem) l
-  JOIN (SELECT *, row_number() OVER () AS rn FROM user_logs) u USING (rn))"""
-
-
 @query("sum_songs", O.with_base("""
 SELECT msno, date, num_25 + num_50 + num_75 + num_985 + num_100 AS sum_songs FROM user_logs"""))
 def sum_songs(spark, sf):
@@ -325,8 +319,7 @@ def month_spine(spark, sf):
 
 
 @query("semi_filter", O.with_base("""
-SELECT t.msno, t.tx_id FROM nb_tx t WHERE t.msno IN (SELECT msno FROM nb_users)""",
-                                  __import__("renewcast.catalog.labels", fromlist=["_NB_TX"])._NB_TX))
+SELECT t.msno, t.tx_id FROM nb_tx t WHERE t.msno IN (SELECT msno FROM nb_users)""", _NB_TX))
 def semi_filter(spark, sf):
     """Transactions of the cancel-and-resume users (left semi join)."""
     from renewcast.catalog.labels import _nb_tx

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from renewcast import oracle as O
 from renewcast.catalog.features import GOLD_DOUBLES, _GOLD_SQL, gold
+from renewcast.catalog.prep import _MS, model_set
 from renewcast.registry import query
 from renewcast.session import scratch_path
 from renewcast.sources import fixtures as fx
@@ -59,11 +60,9 @@ def read_layer(spark, sf):
 
 @query("write_by_day", O.with_base("""
 SELECT membership_expire_date, count(*) AS row_count FROM ms WHERE split = 'inference'
-GROUP BY membership_expire_date""", O.usage_block(1, False) + "," + __import__(
-    "renewcast.catalog.prep", fromlist=["_MS"])._MS))
+GROUP BY membership_expire_date""", O.usage_block(1, False) + "," + _MS))
 def write_by_day(spark, sf):
     """Inference set fanned out to one partition per expiry day; rows per partition read back."""
-    from renewcast.catalog.prep import model_set
     path = scratch_path(spark, "inference_by_day")
     io.write_by_day(model_set(spark, sf).where(F.col("split") == "inference"), path, "membership_expire_date")
     back = spark.read.parquet(path)
