@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from renewcast.functions.scalar import map_rare
-from renewcast.operators.profiles import rank_in_class
+from renewcast.operators.profiles import rank_in_class, with_hash_key
 
 # Rare-category lists of the reference (fixed values): categories kept as
 # themselves, everything else becomes '99'.
@@ -29,12 +29,20 @@ ONE_HOT_DROP_FIRST = ("is_auto_renew", "is_cancel")
 
 
 def stratified_split(df: DataFrame, label: str, key: Sequence[str], test_fraction: float = 0.2,
-                     seed: int = 611, tie: Sequence[str] = (), name: str = "is_test") -> DataFrame:
+                     seed: int = 611, tie: Sequence[str] = (), name: str = "is_test",
+                     exact: bool = True) -> DataFrame:
     """Hold out round(f * n_class) rows of every class, first in md5(key, seed) order.
 
     Repeatable and independent of partitioning; the ranking runs in hash
     blocks, so a class with most of the rows is still ranked in pieces.
+    ``exact=False`` skips the ranking: a row is held out when its md5 falls in
+    the first ``f`` of the hash range -- a pure projection, class shares kept
+    in expectation only.
     """
+    if not exact:
+        h = with_hash_key(df, key, seed)
+        frac = F.conv(F.substring("_h", 1, 12), 16, 10).cast("double") / float(16 ** 12)
+        return h.withColumn(name, (frac < F.lit(float(test_fraction))).cast("int")).drop("_h")
     r = rank_in_class(df, label, key, seed, tie)
     n_test = F.round(F.lit(float(test_fraction)) * F.col("_class_n"))
     return r.withColumn(name, (F.col("_rank") <= n_test).cast("int")).drop("_rank", "_class_n", "_h")

@@ -149,6 +149,27 @@ def source_readiness(sources: Mapping[str, DataFrame], required: Iterable[str] =
     return out
 
 
+def path_readiness(spark: SparkSession, paths: Mapping[str, str], required: Iterable[str] = (),
+                   fmt: str = "parquet") -> DataFrame:
+    """Per source path: whether it exists and its row count (one job for all that exist).
+
+    Raises when a required path is missing -- the dependency check before a run.
+    """
+    exists = {name: path_exists(spark, p) for name, p in paths.items()}
+    missing = [n for n in required if not exists.get(n, False)]
+    if missing:
+        raise FileNotFoundError(f"required sources missing: {missing}")
+    present = {n: spark.read.format(fmt).load(p) for n, p in paths.items() if exists[n]}
+    counts = source_readiness(present) if present else None
+    absent = [(n, False) for n, ok in exists.items() if not ok]
+    out = counts.withColumn("exists", F.lit(True)) if counts is not None else None
+    if absent:
+        miss = spark.createDataFrame(absent, "source string, exists boolean") \
+            .withColumn("row_count", F.lit(None).cast("long")).select("source", "row_count", "exists")
+        out = miss if out is None else out.unionByName(miss)
+    return out
+
+
 def month_readiness(df: DataFrame, date_col: str, spine: DataFrame,
                     name: str = "snapshot_month") -> DataFrame:
     """Rows per month on the month spine; months without rows show 0."""

@@ -175,3 +175,19 @@ def test_threshold_sweep_edges(spark):
     assert (sw[0.1]["tp"], sw[0.1]["fp"]) == (2, 2)
     best = M.best_threshold(M.threshold_sweep(spark, df), "recall").first()
     assert round(best["threshold"], 2) == 0.1          # first of the tied maxima
+
+
+def test_hash_fraction_split_and_path_readiness(spark, tmp_path):
+    from renewcast.sources import io
+    df = spark.range(0, 20000).select(F.col("id").cast("string").alias("k"), (F.col("id") % 2).alias("y"))
+    s = PR.stratified_split(df, "y", ["k"], 0.2, 611, exact=False)
+    share = s.agg(F.avg("is_test")).first()[0]
+    assert 0.18 < share < 0.22
+    p = str(tmp_path / "t")
+    df.write.parquet(p)
+    r = {x["source"]: (x["row_count"], x["exists"]) for x in
+         io.path_readiness(spark, {"t": p, "gone": str(tmp_path / "nope")}).collect()}
+    assert r == {"t": (20000, True), "gone": (None, False)}
+    import pytest
+    with pytest.raises(FileNotFoundError):
+        io.path_readiness(spark, {"gone": str(tmp_path / "nope")}, required=["gone"])
