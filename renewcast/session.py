@@ -16,15 +16,40 @@ from pyspark.sql import SparkSession
 _CHECKPOINT_KEY = "spark.checkpoint.dir"
 
 
+# Settings for a large cluster (100 TB class inputs): many initial shuffle
+# partitions that AQE coalesces to ~256 MB each, splits of skewed partitions,
+# scan splits of 256 MB.  Applied by ``get_session(profile="cluster")``.
+CLUSTER_CONF = {
+    "spark.sql.shuffle.partitions": "8000",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256m",
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64m",
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "512m",
+    "spark.sql.files.maxPartitionBytes": "256m",
+    "spark.sql.autoBroadcastJoinThreshold": "64m",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "64m",
+    "spark.shuffle.service.enabled": "true",
+    "spark.decommission.enabled": "true",
+    "spark.storage.decommission.shuffleBlocks.enabled": "true",
+}
+
+
 def get_session(master: str | None = None, shuffle_partitions: int | None = None,
-                app_name: str = "renewcast") -> SparkSession:
+                app_name: str = "renewcast", profile: str = "local") -> SparkSession:
     """Build (or reuse) a session with the settings every operator assumes.
 
     AQE is on: it coalesces small shuffle partitions, splits skewed join
     partitions and turns a sort-merge join into a broadcast join only after the
     build side has been measured at run time (the size check for every join we
-    do not broadcast explicitly).
+    do not broadcast explicitly).  ``profile="cluster"`` applies ``CLUSTER_CONF``
+    (the master then comes from spark-submit).
     """
+    if profile == "cluster":
+        b = SparkSession.builder.appName(app_name)
+        for k, v in CLUSTER_CONF.items():
+            b = b.config(k, v)
+        b = b.config("spark.sql.session.timeZone", "UTC").config("spark.sql.adaptive.enabled", "true")
+        return b.getOrCreate()
     master = master or os.environ.get("SPARK_MASTER", "local[8]")
     b = (
         SparkSession.builder.master(master)
