@@ -44,6 +44,16 @@ def daily_usage(logs: DataFrame, user: str = "msno", date: str = "date") -> Data
     )
 
 
+def log_rows(logs: DataFrame, user: str = "msno", date: str = "date") -> DataFrame:
+    """Per-log-row values in the same shape as ``daily_usage`` (no shuffle)."""
+    songs = sum_songs(*PLAY_COLS)
+    ratio = guarded_ratio("num_unq", songs)
+    return logs.select(
+        user, date, *[F.col(c).alias(f"d_{c}") for c in PLAY_COLS],
+        songs.alias("d_songs"), F.col("total_secs").alias("d_secs"),
+        ratio.alias("d_ratio_sum"), F.when(ratio.isNotNull(), F.lit(1)).otherwise(F.lit(0)).alias("d_ratio_n"))
+
+
 def period_usage(joined: DataFrame, group: Sequence[str], edge_days: int = 7,
                  weight: str | None = None, secs_digits: int = 6) -> DataFrame:
     """Per period: the 10 aggregates (sums, mean row ratio, first/last ``edge_days`` seconds).
@@ -101,7 +111,7 @@ def usage_ratios(agg: DataFrame, eps: float = 0.01) -> DataFrame:
 
 def usage_features(logs: DataFrame, periods: DataFrame, lookback_months: int | None = 1,
                    edge_days: int = 7, eps: float = 0.01, dedupe_periods: bool = False,
-                   attrs: Sequence[str] = PERIOD_ATTRS) -> DataFrame:
+                   attrs: Sequence[str] = PERIOD_ATTRS, pre_aggregate_days: bool = False) -> DataFrame:
     """The 18-feature log block per period (silver userlog).
 
     Parity form (default): periods keep the 7 transaction attributes in the
@@ -110,6 +120,11 @@ def usage_features(logs: DataFrame, periods: DataFrame, lookback_months: int | N
     the expiry month and ``lookback_months`` before it (Q11).
     ``dedupe_periods=True`` groups by the period key alone; ``lookback_months=None``
     uses every log in the period.
+
+    Log rows go into the join as they are: daily logs (one row per user and day)
+    would gain nothing from a per-day pre-aggregation but pay a full shuffle of
+    the largest table for it.  ``pre_aggregate_days=True`` adds it for
+    finer-grained event logs, where it shrinks the join input.
     """
     if dedupe_periods:
         p = periods.select(*PERIOD_KEY).distinct().withColumn("_copies", F.lit(1))
@@ -117,8 +132,8 @@ def usage_features(logs: DataFrame, periods: DataFrame, lookback_months: int | N
     else:
         p = periods.groupBy(*PERIOD_KEY, *attrs).agg(F.count(F.lit(1)).alias("_copies"))
         group = [*PERIOD_KEY, *attrs]
-    days = daily_usage(logs)
-    j = interval_join(days, p, lookback_months=lookback_months)
+    rows = daily_usage(logs) if pre_aggregate_days else log_rows(logs)
+    j = interval_join(rows, p, lookback_months=lookback_months)
     agg = period_usage(j, [*group, "_copies"], edge_days, weight="_copies")
     return usage_ratios(agg, eps).select(*PERIOD_KEY, *USAGE_FEATURES)
 
