@@ -45,7 +45,7 @@ def forest(num_trees: int = 100, max_depth: int = 5, feature_subset: str = "sqrt
                                   minInstancesPerNode=min_leaf, impurity=impurity, seed=seed)
 
 
-def pipeline(feature_cols: Sequence[str], estimator) -> Pipeline:
+def vector_model(feature_cols: Sequence[str], estimator) -> Pipeline:
     return Pipeline(stages=[VectorAssembler(inputCols=list(feature_cols), outputCol="features",
                                             handleInvalid="keep"), estimator])
 
@@ -117,7 +117,7 @@ def cv_report(train: DataFrame, feature_cols: Sequence[str], make_estimator, dra
     for t, d in enumerate(draws):
         for f in range(k):
             fit_rows = train.where(F.col(fold_col) != f)
-            model = pipeline(feature_cols, make_estimator(d)).fit(fit_rows)
+            model = vector_model(feature_cols, make_estimator(d)).fit(fit_rows)
             s = positive_probability(model.transform(train)).select(
                 F.lit(t).alias("trial"), F.lit(f).alias("fold"),
                 F.when(F.col(fold_col) == f, F.lit("validation")).otherwise(F.lit("train")).alias("part"),

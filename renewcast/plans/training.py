@@ -67,7 +67,7 @@ def fit_bundle(spark: SparkSession, prep: Prepared, kind: str = "logistic", para
         est = ML.forest(params.get("num_trees", 50), params.get("max_depth", 5),
                         params.get("feature_subset", "sqrt"), params.get("min_leaf", 1),
                         params.get("impurity", "gini"))
-    model = ML.pipeline(prep.names, est).fit(X)
+    model = ML.vector_model(prep.names, est).fit(X)
     tr = ML.positive_probability(model.transform(X)).select(
         F.col("churn").cast("int").alias("y_true"), F.col("p_churn").alias("score"))
     best = M.best_threshold(M.threshold_sweep(spark, tr), metric).first()
