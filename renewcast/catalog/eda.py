@@ -56,7 +56,7 @@ def count_of_counts(spark, sf):
 
 @query("pareto", O.with_base("""
 SELECT transaction_count, counts,
-       sum(counts) OVER (ORDER BY transaction_count ROWS UNBOUNDED PRECEDING) AS cumsum,
+       CAST(sum(counts) OVER (ORDER BY transaction_count ROWS UNBOUNDED PRECEDING) AS BIGINT) AS cumsum,
        sum(counts) OVER (ORDER BY transaction_count ROWS UNBOUNDED PRECEDING) / sum(counts) OVER () AS proportion
 FROM coc""", DAILY, doubles=["proportion"]))
 def pareto(spark, sf):
@@ -76,11 +76,11 @@ def category_coverage(spark, sf):
 
 
 @query("null_profile", O.with_base("""
-SELECT 'msno' AS "column", count_if(msno IS NULL) AS null_count FROM members UNION ALL
-SELECT 'city', count_if(city IS NULL) FROM members UNION ALL
-SELECT 'gender', count_if(gender IS NULL) FROM members UNION ALL
-SELECT 'registered_via', count_if(registered_via IS NULL) FROM members UNION ALL
-SELECT 'registration_init_time', count_if(registration_init_time IS NULL) FROM members"""))
+SELECT 'msno' AS "column", CAST(count_if(msno IS NULL) AS BIGINT) AS null_count FROM members UNION ALL
+SELECT 'city', CAST(count_if(city IS NULL) AS BIGINT) FROM members UNION ALL
+SELECT 'gender', CAST(count_if(gender IS NULL) AS BIGINT) FROM members UNION ALL
+SELECT 'registered_via', CAST(count_if(registered_via IS NULL) AS BIGINT) FROM members UNION ALL
+SELECT 'registration_init_time', CAST(count_if(registration_init_time IS NULL) AS BIGINT) FROM members"""))
 def null_profile(spark, sf):
     return P.null_profile(fx.members(spark, sf))
 
@@ -152,7 +152,7 @@ def gap_histogram(spark, sf):
 
 
 @query("share_within", O.with_base("""
-SELECT CAST(x.d AS INTEGER) AS days, count_if(g.days_diff <= x.d) AS n_within,
+SELECT CAST(x.d AS INTEGER) AS days, CAST(count_if(g.days_diff <= x.d) AS BIGINT) AS n_within,
        count_if(g.days_diff <= x.d) / count(*) AS share
 FROM nb_gap g CROSS JOIN (SELECT unnest([5, 10, 15, 20, 25, 30, 35, 40, 45]) AS d) x
 GROUP BY x.d""", _NB_TX, doubles=["share"]))
@@ -217,8 +217,8 @@ def dedupe_first(spark, sf):
 
 
 @query("canonical_order", O.with_base("""
-SELECT msno, tx_id, row_number() OVER (PARTITION BY msno ORDER BY transaction_date NULLS LAST,
-                                       membership_expire_date NULLS LAST, tx_id NULLS LAST) AS seq
+SELECT msno, tx_id, CAST(row_number() OVER (PARTITION BY msno ORDER BY transaction_date NULLS LAST,
+                                       membership_expire_date NULLS LAST, tx_id NULLS LAST) AS INTEGER) AS seq
 FROM silver_tx_label"""))
 def canonical_order(spark, sf):
     """Per-user position in (transaction date, expiry, tie-break) order, after the burst filter."""

@@ -21,8 +21,10 @@ RATES = (f"{_div0('tp', 'tp + fp')} AS precision, {_div0('tp', 'tp + fn')} AS re
          "CASE WHEN tp + fn = 0 OR tn + fp = 0 THEN NULL "
          "ELSE (CAST(tp AS DOUBLE) / (tp + fn) + CAST(tn AS DOUBLE) / (tn + fp)) / 2 END AS hard_auc")
 RATE_COLS = ["precision", "recall", "f1_5", "fn_rate", "hard_auc"]
-COUNTS = ("count_if(y_true = 0 AND y_pred = 0) AS tn, count_if(y_true = 0 AND y_pred = 1) AS fp, "
-          "count_if(y_true = 1 AND y_pred = 0) AS fn, count_if(y_true = 1 AND y_pred = 1) AS tp")
+COUNTS = ("CAST(count_if(y_true = 0 AND y_pred = 0) AS BIGINT) AS tn, "
+          "CAST(count_if(y_true = 0 AND y_pred = 1) AS BIGINT) AS fp, "
+          "CAST(count_if(y_true = 1 AND y_pred = 0) AS BIGINT) AS fn, "
+          "CAST(count_if(y_true = 1 AND y_pred = 1) AS BIGINT) AS tp")
 CAMPAIGN = (f"tn + fp + fn + tp AS total_users, tp + fn AS total_churn, tp + fp AS targeted, "
             f"{_div0('tp + fp', 'tn + fp + fn + tp')} AS targeted_share, tp AS caught, "
             f"{_div0('tp', 'tp + fn')} AS caught_share, fn AS missed, {_div0('fn', 'tp + fn')} AS missed_share, "
@@ -114,10 +116,10 @@ _SWEEP = f"""
 cuts AS (SELECT CAST(i AS DOUBLE) / 100 AS threshold FROM range(10, 90) t(i)),
 sweep_counts AS (
   SELECT c.threshold,
-         count_if(s.score >= c.threshold AND s.y_true = 1) AS tp,
-         count_if(s.score >= c.threshold AND s.y_true = 0) AS fp,
-         count_if(s.score < c.threshold AND s.y_true = 1) AS fn,
-         count_if(s.score < c.threshold AND s.y_true = 0) AS tn
+         CAST(count_if(s.score >= c.threshold AND s.y_true = 1) AS BIGINT) AS tp,
+         CAST(count_if(s.score >= c.threshold AND s.y_true = 0) AS BIGINT) AS fp,
+         CAST(count_if(s.score < c.threshold AND s.y_true = 1) AS BIGINT) AS fn,
+         CAST(count_if(s.score < c.threshold AND s.y_true = 0) AS BIGINT) AS tn
   FROM cuts c, scored_preds s GROUP BY c.threshold),
 sweep AS (
   SELECT threshold, tp, fp, fn, tn,
@@ -180,7 +182,7 @@ ds_auc AS ({midrank_auc('ds', 'dataset')})"""
 
 
 @query("evaluate_split", O.with_base(f"""
-SELECT c.dataset, tn, fp, fn, tp, {RATES}, a.auc, {CAMPAIGN}, 0.5 AS threshold
+SELECT c.dataset, tn, fp, fn, tp, {RATES}, a.auc, {CAMPAIGN}, CAST(0.5 AS DOUBLE) AS threshold
 FROM (SELECT dataset, {COUNTS} FROM ds GROUP BY dataset) c
 LEFT JOIN ds_auc a ON a.dataset IS NOT DISTINCT FROM c.dataset""", _DS,
                                      doubles=[*RATE_COLS, "auc", *CAMPAIGN_DOUBLES, "threshold"]))
