@@ -34,14 +34,28 @@ def train_forest(spark, sf):
     return T.score_batch(b, p.test, threshold=b.threshold)
 
 
+def _test_auc(spark, p, cv_model):
+    """AUC of the refit best model on the hold-out rows."""
+    from pyspark.ml.feature import VectorAssembler
+    Xt = VectorAssembler(inputCols=p.names, outputCol="features", handleInvalid="keep").transform(p.matrix(p.test))
+    s = ML.positive_probability(cv_model.bestModel.transform(Xt)).select(
+        F.col("churn").cast("int").alias("y_true"), F.col("p_churn").alias("score"))
+    return M.roc_auc(s).first()["auc"]
+
+
 @query("tune_model")
 def tune_model(spark, sf):
-    """5 seeded draws x 3 stratified folds, scored by mean validation AUC (CrossValidator)."""
+    """5 seeded draws x 3 stratified folds, scored by mean validation AUC (CrossValidator);
+    the best draw is refit on all fitting rows and its hold-out AUC reported."""
     p = _prep(spark, sf)
     X = T.materialize(spark, p.matrix(p.fit, extra=["fold"]), "cv_matrix")
     model, draws, metrics = ML.tune_model(X, p.names, "logistic", trials=5, seed=42)
-    rows = [(i, float(d["C"]), d["penalty"], float(m)) for i, (d, m) in enumerate(zip(draws, metrics))]
-    return spark.createDataFrame(rows, "trial int, C double, penalty string, cv_auc double")
+    best = max(range(len(metrics)), key=lambda i: (metrics[i], -i))
+    test_auc = _test_auc(spark, p, model)
+    rows = [(i, float(d["C"]), d["penalty"], float(m), i == best, float(test_auc) if i == best else None)
+            for i, (d, m) in enumerate(zip(draws, metrics))]
+    return spark.createDataFrame(rows, "trial int, C double, penalty string, cv_auc double, is_best boolean, "
+                                       "test_auc double")
 
 
 @query("cv_report")
@@ -116,7 +130,11 @@ def tune_model_forest(spark, sf):
     p = _prep(spark, sf)
     X = T.materialize(spark, p.matrix(p.fit, extra=["fold"]), "cv_matrix")
     model, draws, metrics = ML.tune_model(X, p.names, "forest", trials=5, seed=42)
+    best = max(range(len(metrics)), key=lambda i: (metrics[i], -i))
+    test_auc = _test_auc(spark, p, model)
     rows = [(i, int(d["num_trees"]), int(d["max_depth"]), d["feature_subset"], int(d["min_leaf"]),
-             d["impurity"], float(m)) for i, (d, m) in enumerate(zip(draws, metrics))]
+             d["impurity"], float(m), i == best, float(test_auc) if i == best else None)
+            for i, (d, m) in enumerate(zip(draws, metrics))]
     return spark.createDataFrame(rows, "trial int, num_trees int, max_depth int, feature_subset string, "
-                                       "min_leaf int, impurity string, cv_auc double")
+                                       "min_leaf int, impurity string, cv_auc double, is_best boolean, "
+                                       "test_auc double")
