@@ -20,7 +20,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-DEFAULT_BLOCKS = 1024
+DEFAULT_BLOCKS = 256
 HASH_DIGITS = 4      # 16^4 = 65,536 hash blocks
 
 
@@ -42,16 +42,27 @@ def quantile_blocks(df: DataFrame, col: str, blocks: int = DEFAULT_BLOCKS,
 
 
 def blocks_from_cuts(col: str, cuts, descending: bool = False) -> Column:
-    """Block id = number of cut points at or below the value (reversed when descending)."""
+    """Block id = number of cut points at or below the value (descending: the
+    number of cut points above it).  Written as a balanced ``CASE`` tree, i.e. a
+    binary search of depth log2(len(cuts)) per row, with no lambda: the block
+    column survives the self-join of the running sum (attribute de-duplication
+    does not rewrite references inside higher-order-function lambdas)."""
     cuts = sorted(set(float(x) for x in cuts if x is not None))
     x = F.col(col).cast("double")
     if not cuts:
         return F.lit(0)
-    arr = F.array(*[F.lit(float(c)) for c in cuts])
-    blk = F.size(F.filter(arr, lambda c: c <= x))
+
+    def count(lo: int, hi: int, strict: bool) -> Column:
+        # number of cuts[lo:hi] that are <= x (strict: < x), plus lo
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        cond = (x > F.lit(cuts[mid])) if strict else (x >= F.lit(cuts[mid]))
+        return F.when(cond, count(mid + 1, hi, strict)).otherwise(count(lo, mid, strict))
+
     if descending:
-        blk = F.lit(len(cuts)) - F.size(F.filter(arr, lambda c: c < x))
-    return F.coalesce(blk, F.lit(0))
+        return F.lit(len(cuts)) - count(0, len(cuts), True)
+    return count(0, len(cuts), False)
 
 
 def hash_blocks(hex_col: str | Column, digits: int = HASH_DIGITS) -> Column:

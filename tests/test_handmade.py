@@ -191,3 +191,11 @@ def test_hash_fraction_split_and_path_readiness(spark, tmp_path):
     import pytest
     with pytest.raises(FileNotFoundError):
         io.path_readiness(spark, {"gone": str(tmp_path / "nope")}, required=["gone"])
+
+
+def test_empty_partitions_and_blocks(spark):
+    df = spark.createDataFrame([(1, 0.9), (0, 0.1), (1, 0.4), (0, 0.4)], "y_true int, score double").repartition(50)
+    assert M.roc_auc(df).first()["auc"] == (1 + 0.5 + 1 + 1) / 4
+    rs = W.running_sum(df.groupBy("score").agg(F.count(F.lit(1)).alias("n")), ["score"], ["n"], with_total=True)
+    got = sorted((r["score"], r["n_cum"], r["n_total"]) for r in rs.collect())
+    assert got == [(0.1, 1, 4), (0.4, 3, 4), (0.9, 4, 4)]
