@@ -116,13 +116,54 @@ def exact_quantiles(df: DataFrame, col: str, qs: Sequence[float] = (0.25, 0.5, 0
     return picked.select(*outs)
 
 
+def exact_quantiles_long(df: DataFrame, cols: Sequence[str], qs: Sequence[float] = (0.25, 0.5, 0.75),
+                         cuts: Sequence[Sequence[float]] | None = None) -> DataFrame:
+    """Exact linear-interpolation quantiles of several columns in one pass.
+
+    The columns are stacked to (column, value), distinct values counted per
+    column, and one running sum grouped by column ranks them; the block of a
+    value comes from its own column's cut points.  One scan and one shuffle of
+    distinct (column, value) pairs, whatever the number of columns.
+    """
+    cols = list(cols)
+    pairs = ", ".join(f"'{c}', CAST(`{c}` AS DOUBLE)" for c in cols)
+    long = df.select(F.expr(f"stack({len(cols)}, {pairs}) AS (column, value)")).where(F.col("value").isNotNull())
+    counts = long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("_n"))
+    if cuts is None:
+        probs = [i / DEFAULT_BLOCKS for i in range(1, DEFAULT_BLOCKS)]
+        cuts = df.approxQuantile(cols, probs, 1.0 / (4 * DEFAULT_BLOCKS))
+    block = None
+    for c, cc in zip(cols, cuts):
+        b = blocks_from_cuts("value", cc)
+        block = F.when(F.col("column") == c, b) if block is None else block.when(F.col("column") == c, b)
+    rs = running_sum(counts, ["value"], ["_n"], group=["column"], block=block.otherwise(F.lit(0)),
+                     with_total=True)
+    first = F.col("_n_cum") - F.col("_n")
+    last = F.col("_n_cum") - 1
+    aggs = []
+    for q in qs:
+        pos = F.lit(float(q)) * (F.col("_n_total") - 1)
+        lo, hi = F.floor(pos), F.ceil(pos)
+        tag = f"{int(round(q * 100))}"
+        aggs += [F.max(F.when((first <= lo) & (lo <= last), F.col("value"))).alias(f"_lo{tag}"),
+                 F.max(F.when((first <= hi) & (hi <= last), F.col("value"))).alias(f"_hi{tag}"),
+                 F.max(pos - lo).alias(f"_f{tag}")]
+    picked = rs.groupBy("column").agg(*aggs)
+    outs = []
+    for q in qs:
+        tag = f"{int(round(q * 100))}"
+        lo_v, hi_v, fr = F.col(f"_lo{tag}"), F.col(f"_hi{tag}"), F.col(f"_f{tag}")
+        outs.append((lo_v + fr * (hi_v - lo_v)).alias(f"q{tag}"))
+    return picked.select("column", *outs)
+
+
 def describe_profile(df: DataFrame, cols: Sequence[str], approx: bool = False,
                      accuracy: int = 10000) -> DataFrame:
     """count, mean, std (sample), min, 25/50/75% (linear interpolation), max per column.
 
-    One aggregate pass for the moments of every column; exact quartiles by the
-    distributed selection (block cut points for all columns from one
-    ``approxQuantile`` pass).  ``approx=True`` uses ``percentile_approx``
+    One aggregate pass for the moments of every column; exact quartiles of all
+    columns by one distributed selection over the stacked (column, value) pairs
+    (block cut points for all columns from one ``approxQuantile`` pass).  ``approx=True`` uses ``percentile_approx``
     (one pass, bounded memory) instead.
     """
     cols = list(cols)
@@ -141,12 +182,7 @@ def describe_profile(df: DataFrame, cols: Sequence[str], approx: bool = False,
         q = wide.select(F.expr(f"stack({len(cols)}, {qp}) AS (column, _p)")).select(
             "column", F.col("_p")[0].alias("q25"), F.col("_p")[1].alias("q50"), F.col("_p")[2].alias("q75"))
     else:
-        probs = [i / DEFAULT_BLOCKS for i in range(1, DEFAULT_BLOCKS)]
-        all_cuts = df.approxQuantile(cols, probs, 1.0 / (4 * DEFAULT_BLOCKS))
-        q = None
-        for c, cuts in zip(cols, all_cuts):
-            one = exact_quantiles(df, c, cuts=cuts).select(F.lit(c).alias("column"), "*")
-            q = one if q is None else q.unionByName(one)
+        q = exact_quantiles_long(df, cols)
     return base.join(q, "column", "left").select(
         "column", "count", "mean", "std", "min", F.col("q25").alias("p25"), F.col("q50").alias("p50"),
         F.col("q75").alias("p75"), "max")
