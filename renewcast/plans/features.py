@@ -87,8 +87,8 @@ def period_usage(joined: DataFrame, group: Sequence[str], edge_days: int = 7,
     )
     if weight:
         w = F.col(weight)
-        for c in (*USAGE_SUMS, "total_secs_first_7_days", "total_secs_last_7_days"):
-            agg = agg.withColumn(c, F.col(c) * w)
+        scaled = {*USAGE_SUMS, "total_secs_first_7_days", "total_secs_last_7_days"}
+        agg = agg.select(*[(F.col(c) * w).alias(c) if c in scaled else F.col(c) for c in agg.columns])
     return agg
 
 

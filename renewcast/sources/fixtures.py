@@ -38,8 +38,17 @@ SECS_LO = 1000.0
 SECS_HI = 90000.0
 
 
+_SCHEMAS: dict[str, object] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    """Scan one test table; its schema is read once per path and then declared,
+    so repeated scans in one plan skip the schema-inference job."""
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    schema = _SCHEMAS.get(path)
+    if schema is None:
+        schema = _SCHEMAS[path] = spark.read.parquet(path).schema
+    return spark.read.schema(schema).parquet(path)
 
 
 def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
