@@ -59,7 +59,9 @@ def fit_bundle(spark: SparkSession, prep: Prepared, kind: str = "logistic", para
     """Fit one model on all fitting rows, pick the cut-off with the best ``metric`` on
     the training predictions, and bundle scaler, vocabulary and threshold with it."""
     params = params or {}
-    X = materialize(spark, prep.matrix(prep.fit), "fit_matrix")
+    # a projection of the written training pool: cheap to recompute, and the
+    # estimators cache their own training instances
+    X = prep.matrix(prep.fit)
     n = X.count()
     if kind == "logistic":
         est = ML.logistic(n, params.get("C", 1.0), params.get("penalty", "l2"))
