@@ -69,3 +69,38 @@ def test_labels_unchanged_under_repartition(spark):
     b = L.renewal_labels(t.repartition(13, "tx_id"), window=(fx.WINDOW_LO, fx.WINDOW_HI), burst_n=1,
                          tail_end=fx.TAIL_END, tail_days=fx.TAIL_DAYS)
     assert _rows(a) == _rows(b)
+
+
+def test_blocks_monotone_in_both_directions(spark):
+    from renewcast.operators.windows import blocks_from_cuts
+    df = spark.createDataFrame([(x,) for x in [None, -5.0, 0.0, 0.5, 1.0, 1.5, 2.0, 9.0]], "v double")
+    cuts = [0.0, 1.0, 2.0]
+    rows = df.select("v", blocks_from_cuts("v", cuts).alias("a"), blocks_from_cuts("v", cuts, True).alias("d")).collect()
+    got = {r["v"]: (r["a"], r["d"]) for r in rows}
+    assert got[None] == (0, 3)                     # nulls: first ascending, last descending
+    assert [got[v][0] for v in [-5.0, 0.0, 0.5, 1.0, 1.5, 2.0, 9.0]] == [0, 1, 1, 2, 2, 3, 3]
+    assert [got[v][1] for v in [-5.0, 0.0, 0.5, 1.0, 1.5, 2.0, 9.0]] == [3, 3, 2, 2, 1, 1, 0]
+
+
+def _brute_auc(pairs):
+    pos = [s for y, s in pairs if y == 1]
+    neg = [s for y, s in pairs if y == 0]
+    if not pos or not neg:
+        return None
+    wins = sum(1.0 if p > n else 0.5 if p == n else 0.0 for p in pos for n in neg)
+    return wins / (len(pos) * len(neg))
+
+
+def test_roc_auc_equals_brute_force_on_random_data(spark):
+    from hypothesis import given, settings, strategies as st
+
+    @settings(max_examples=8, deadline=None)
+    @given(st.lists(st.tuples(st.integers(0, 1), st.sampled_from([0.0, 0.1, 0.25, 0.5, 0.7, 0.9, 1.0])),
+                    min_size=1, max_size=40))
+    def check(pairs):
+        df = spark.createDataFrame(pairs, "y_true int, score double")
+        got = M.roc_auc(df).first()["auc"]
+        want = _brute_auc(pairs)
+        assert (got is None and want is None) or abs(got - want) < 1e-12
+
+    check()
