@@ -12,10 +12,10 @@ from renewcast.sources import fixtures as fx
 W = (fx.WINDOW_LO, fx.WINDOW_HI)
 
 
-def _labels(spark, sf, never):
+def _labels(spark, sf, never, method="lead"):
     tx = fx.transactions(spark, sf)
     return L.renewal_labels(tx, window=W, burst_n=fx.BURST_THRESHOLD_ORDERS, tail_end=fx.TAIL_END,
-                            tail_days=fx.TAIL_DAYS, grace=5, never_returned=never)
+                            tail_days=fx.TAIL_DAYS, grace=5, never_returned=never, method=method)
 
 
 _LABEL_SQL = """
@@ -41,6 +41,12 @@ def renewal_labels_never1(spark, sf):
     return _labels(spark, sf, 1)
 
 
+@query("renewal_labels__day_blocks", O.with_base(_LABEL_SQL.format(never=0)))
+def renewal_labels_day_blocks(spark, sf):
+    """Same labels; the next transaction found without a per-user window (hot-user safe)."""
+    return _labels(spark, sf, 0, method="day_blocks")
+
+
 @query("churn_by_month", O.with_base("""
 SELECT CAST(date_trunc('month', membership_expire_date) AS DATE) AS snapshot_month,
        count(*) AS n_periods, CAST(sum(churn) AS BIGINT) AS n_churn

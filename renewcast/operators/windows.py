@@ -129,7 +129,7 @@ def next_active_transaction(tx: DataFrame, user: str = "msno",
                             tie_break: Sequence[str] = ("tx_id",), cancel_col: str = "is_cancel",
                             date_col: str = "transaction_date", plan_col: str = "payment_plan_days",
                             plan_lo: int = 30, plan_hi: int = 31,
-                            expire: str = "membership_expire_date") -> DataFrame:
+                            expire: str = "membership_expire_date", method: str = "lead") -> DataFrame:
     """For each non-cancelled ``plan_lo..plan_hi``-day row: the user's next non-cancelled
     transaction date in (order, tie_break) order and ``days_diff = next - expire``.
 
@@ -140,6 +140,9 @@ def next_active_transaction(tx: DataFrame, user: str = "msno",
     """
     if not tie_break:
         raise ValueError("a tie_break column is required for a repeatable order")
+    if method == "day_blocks":
+        return _next_active_by_days(tx, user, order, tie_break, cancel_col, date_col, plan_col,
+                                    plan_lo, plan_hi, expire)
     w = Window.partitionBy(user).orderBy(
         *[F.col(c).asc_nulls_last() for c in order], *[F.col(c).asc_nulls_last() for c in tie_break])
     nc = tx.where(F.col(cancel_col) == 0)
@@ -148,6 +151,33 @@ def next_active_transaction(tx: DataFrame, user: str = "msno",
     return elig.withColumn("days_diff", F.datediff("next_transaction_date", expire))
 
 
+def _next_active_by_days(tx, user, order, tie_break, cancel_col, date_col, plan_col, plan_lo, plan_hi, expire):
+    """Same result as the ``lead`` form without a window over a user's rows.
+
+    The order is (date, rest..., tie).  A row that is not the last of its
+    (user, date) group is followed by a row of the same date; the last row of a
+    group is followed by the first row of the user's next date that has rows.
+    So: one partial aggregate gives each (user, date) group its last row, and
+    ``lead`` runs over the distinct (user, date) pairs only -- at most one row
+    per calendar day per user, however many transactions a user has.
+    """
+    rest = [c for c in order if c != date_col]
+    # in-day order key with nulls last, as in the row order of the lead form
+    key = F.struct(*[x for c in (*rest, *tie_break) for x in (F.col(c).isNull(), F.col(c))])
+    nc = tx.where(F.col(cancel_col) == 0).withColumn("_k", key)
+    days = nc.where(F.col(date_col).isNotNull()).groupBy(user, date_col).agg(F.max("_k").alias("_last"))
+    w = Window.partitionBy(user).orderBy(F.col(date_col).asc())
+    days = days.withColumn("_next_day", F.lead(date_col).over(w))
+    elig = nc.where((F.col(plan_col) >= plan_lo) & (F.col(plan_col) <= plan_hi))
+    j = elig.join(days, on=[user, date_col], how="left")
+    nxt = F.when(F.col(date_col).isNull(), F.lit(None).cast("date")) \
+        .when(F.col("_k") < F.col("_last"), F.col(date_col)) \
+        .otherwise(F.col("_next_day"))
+    return j.withColumn("next_transaction_date", nxt) \
+        .withColumn("days_diff", F.datediff("next_transaction_date", expire)) \
+        .drop("_k", "_last", "_next_day")
+
+
 def dedupe_first(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """Keep the first row per ``keys`` in ``order`` (which must make rows unique).
 

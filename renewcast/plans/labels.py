@@ -34,17 +34,21 @@ def silver_transactions(tx: DataFrame, window: tuple[str, str] = ("2015-01-01",
 def renewal_labels(tx: DataFrame, window: tuple[str, str] = ("2015-01-01", "2017-03-31"),
                    burst_n: int = 2, tail_end: str = "2017-03-31", tail_days: int = 5,
                    grace: int = 5, never_returned: int = 0,
-                   tie_break: Sequence[str] = ("tx_id",), keep: Sequence[str] = ()) -> DataFrame:
+                   tie_break: Sequence[str] = ("tx_id",), keep: Sequence[str] = (),
+                   method: str = "lead") -> DataFrame:
     """Silver + gold label in one plan.
 
     For each non-cancelled 30/31-day period: the next non-cancelled transaction,
     ``days_diff`` clamped at 0, unresolved tail dropped, ``churn`` = gap > grace.
     ``never_returned=0`` reproduces the reference (Q1); 1 is the intended label.
     ``keep`` carries extra transaction columns (e.g. the tie-break) to the output.
+    ``method="day_blocks"`` finds the next transaction without a window over a
+    user's rows (see ``next_active_transaction``); the default ``lead`` window
+    is bounded here because the burst filter caps a user's rows per day.
     Shuffles: one for the burst count, one by user for the window.
     """
     t = silver_transactions(tx, window, burst_n, scope_cols=(), with_discount=False)
-    nxt = next_active_transaction(t, user="msno", tie_break=tie_break)
+    nxt = next_active_transaction(t, user="msno", tie_break=tie_break, method=method)
     out = nxt.select(*PERIOD_KEY, *keep, "next_transaction_date",
                      clamp_non_negative("days_diff").alias("days_diff"))
     out = drop_unresolved_tail(out, end=tail_end, days=tail_days)

@@ -7,7 +7,7 @@ from conftest import SF_SMALL
 
 QUERIES = E.queries()
 SQL = E.oracle_sql()
-ROW_LEVEL = ["renewal_labels", "next_active_transaction", "interval_join", "usage_features", "feature_store",
+ROW_LEVEL = ["renewal_labels", "renewal_labels__day_blocks", "next_active_transaction", "interval_join", "usage_features", "feature_store",
              "assemble_model_set", "drop_burst_users", "cancel_resume_gap", "user_churn_label",
              "stratified_split", "dedupe_first", "daily_monitor", "roc_auc__by_day", "with_prior_month"]
 

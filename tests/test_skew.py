@@ -77,3 +77,25 @@ def test_rank_and_sample_on_hot_class_equal_row_number(spark):
     assert _rows(r, ["k", "y", "_rank"]) == _rows(naive, ["k", "y", "_rank"])
     s = P.sample_per_class(df, "y", ["k"], n=7, seed=7)
     assert _rows(s, ["k", "y"]) == _rows(naive.where("_rank <= 7"), ["k", "y"])
+
+
+def test_next_active_day_blocks_equals_lead(spark):
+    from conftest import SF_MID
+    from renewcast.sources import fixtures as fx
+    from renewcast.functions.scalar import membership_start
+    t = fx.transactions(spark, SF_MID)
+    t = t.withColumn("membership_start_date", membership_start("membership_expire_date", "payment_plan_days"))
+    cols = ["tx_id", "next_transaction_date", "days_diff"]
+    a = W.next_active_transaction(t)
+    b = W.next_active_transaction(t, method="day_blocks")
+    assert _rows(a, cols) == _rows(b, cols)
+    # a hot user with many rows per day, ties on date and expiry, null expiries
+    rows = []
+    for i in range(400):
+        d = D0 + dt.timedelta(days=i % 9)
+        e = None if i % 37 == 0 else d + dt.timedelta(days=30 + i % 2)
+        rows.append(("hot", i, "41", 30 + i % 2, 1.0, 1.0, 1, d, e, 1 if i % 5 == 0 else 0))
+    h = spark.createDataFrame(rows, "msno string, tx_id long, payment_method_id string, payment_plan_days int, "
+                                    "plan_list_price double, actual_amount_paid double, is_auto_renew int, "
+                                    "transaction_date date, membership_expire_date date, is_cancel int")
+    assert _rows(W.next_active_transaction(h), cols) == _rows(W.next_active_transaction(h, method="day_blocks"), cols)
