@@ -79,9 +79,10 @@ def score_batch(spark, sf):
 
 @query("save_load_bundle")
 def save_load_bundle(spark, sf):
-    """Bundle round trip (pipeline + threshold + scaler + vocabulary + info), then OOT scoring."""
+    """Bundle round trip (pipeline + threshold + scaler + vocabulary + info with hold-out
+    metrics), then OOT scoring with the loaded bundle."""
     p = _prep(spark, sf)
-    b = T.fit_bundle(spark, p, "logistic", {"C": 1.0, "penalty": "l2"})
+    b = T.fit_bundle(spark, p, "logistic", {"C": 1.0, "penalty": "l2"}, evaluate=True)
     path = scratch_path(spark, "bundle")
     ML.save_bundle(spark, b, path)
     loaded = ML.load_bundle(spark, path)

@@ -55,9 +55,11 @@ def prepare(spark: SparkSession, model_set: DataFrame, test_fraction: float = 0.
 
 
 def fit_bundle(spark: SparkSession, prep: Prepared, kind: str = "logistic", params: dict | None = None,
-               metric: str = "f1_5") -> ML.Bundle:
+               metric: str = "f1_5", evaluate: bool = False) -> ML.Bundle:
     """Fit one model on all fitting rows, pick the cut-off with the best ``metric`` on
-    the training predictions, and bundle scaler, vocabulary and threshold with it."""
+    the training predictions, and bundle scaler, vocabulary and threshold with it.
+    ``evaluate=True`` adds the hold-out AUC, F1.5 and FN rate at that cut-off to the
+    bundle's info (keyed by this model, Q9)."""
     params = params or {}
     # a projection of the written training pool: cheap to recompute, and the
     # estimators cache their own training instances
@@ -76,6 +78,13 @@ def fit_bundle(spark: SparkSession, prep: Prepared, kind: str = "logistic", para
     thr = float(best["threshold"]) if best else 0.5
     info = {"model_type": kind, "params": params, "threshold": thr, "sample_size": n,
             "feature_count": len(prep.names), "feature_names": prep.names}
+    if evaluate:
+        te = ML.positive_probability(model.transform(prep.matrix(prep.test))).select(
+            F.col("churn").cast("int").alias("y_true"), F.col("p_churn").alias("score"))
+        counts = M.with_rates(M.confusion_counts(te.withColumn("y_pred", (F.col("score") >= thr).cast("int"))))
+        c = counts.first()
+        info.update({"test_auc": M.roc_auc(te).first()["auc"], "test_f1_5": c["f1_5"],
+                     "test_fn_rate": c["fn_rate"]})
     return ML.Bundle(model, thr, prep.scaler, prep.vocabulary, list(NUMERIC), info)
 
 

@@ -33,3 +33,18 @@ def test_layers_match_queries(spark, tmp_path):
     assert _rows(train, cols) == _rows(ms.where(F.col("split") == "train"), cols)
     assert _rows(oot, cols) == _rows(ms.where(F.col("split") == "oot"), cols)
     assert _rows(inf, cols) == _rows(ms.where(F.col("split") == "inference"), cols)
+
+
+def test_bundle_round_trip_keeps_info(spark, tmp_path):
+    from renewcast.operators import models as ML
+    from renewcast.plans import training as T
+    p = T.prepare(spark, model_set(spark, SF_SMALL))
+    b = T.fit_bundle(spark, p, "logistic", {"C": 1.0, "penalty": "l2"}, evaluate=True)
+    ML.save_bundle(spark, b, str(tmp_path / "b"))
+    back = ML.load_bundle(spark, str(tmp_path / "b"))
+    assert back.threshold == b.threshold and back.vocabulary == b.vocabulary
+    assert back.info["feature_count"] == len(back.info["feature_names"]) == len(p.names)
+    assert {"test_auc", "test_f1_5", "test_fn_rate", "sample_size"} <= set(back.info)
+    a = T.score_batch(b, p.test).orderBy("msno", "membership_start_date").collect()
+    c = T.score_batch(back, p.test).orderBy("msno", "membership_start_date").collect()
+    assert [r["probability"] for r in a] == [r["probability"] for r in c]
