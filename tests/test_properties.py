@@ -104,3 +104,25 @@ def test_roc_auc_equals_brute_force_on_random_data(spark):
         assert (got is None and want is None) or abs(got - want) < 1e-12
 
     check()
+
+
+def test_threshold_sweep_equals_brute_force(spark):
+    from hypothesis import given, settings, strategies as st
+
+    cuts = M.default_cutoffs()
+
+    @settings(max_examples=6, deadline=None)
+    @given(st.lists(st.tuples(st.integers(0, 1), st.sampled_from([0.0, 0.1, 0.29, 0.3, 0.5, 0.505, 0.89, 0.9])),
+                    min_size=1, max_size=30))
+    def check(pairs):
+        df = spark.createDataFrame(pairs, "y_true int, score double")
+        got = {r["threshold"]: (r["tp"], r["fp"], r["fn"], r["tn"]) for r in M.threshold_sweep(spark, df).collect()}
+        assert len(got) == len(cuts)
+        for t in cuts:
+            tp = sum(1 for y, s in pairs if y == 1 and s >= t)
+            fp = sum(1 for y, s in pairs if y == 0 and s >= t)
+            fn = sum(1 for y, s in pairs if y == 1 and s < t)
+            tn = sum(1 for y, s in pairs if y == 0 and s < t)
+            assert got[t] == (tp, fp, fn, tn)
+
+    check()
