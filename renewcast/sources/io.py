@@ -155,7 +155,7 @@ def path_readiness(spark: SparkSession, paths: Mapping[str, str], required: Iter
 
     Raises when a required path is missing -- the dependency check before a run.
     """
-    exists = {name: path_exists(spark, p) for name, p in paths.items()}
+    exists = {name: path_exists(spark, p, fmt) for name, p in paths.items()}
     missing = [n for n in required if not exists.get(n, False)]
     if missing:
         raise FileNotFoundError(f"required sources missing: {missing}")
@@ -178,9 +178,11 @@ def month_readiness(df: DataFrame, date_col: str, spine: DataFrame,
         name, F.coalesce(F.col("row_count"), F.lit(0)).alias("row_count"))
 
 
-def path_exists(spark: SparkSession, path: str) -> bool:
-    """Whether a layer path exists (any Hadoop file system), via the JVM file system API."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(conf).exists(p)
+def path_exists(spark: SparkSession, path: str, fmt: str = "parquet") -> bool:
+    """Whether a layer can be read at ``path`` (any file system Spark can read)."""
+    from pyspark.errors import AnalysisException
+    try:
+        spark.read.format(fmt).load(path).schema
+        return True
+    except AnalysisException:
+        return False
