@@ -227,11 +227,12 @@ def canonical_order(spark, sf):
 
 
 @query("union_by_name", O.with_base("""
-SELECT tx_id, msno, membership_expire_date FROM transactions
-WHERE membership_expire_date >= DATE '1998-02-01' AND membership_expire_date <= DATE '1998-03-31'"""))
+SELECT tx_id, msno, membership_expire_date FROM transactions WHERE membership_expire_date IS NOT NULL"""))
 def union_by_name(spark, sf):
-    """UNION ALL by column name of two monthly slices whose column orders differ."""
+    """UNION ALL by column name of the expiries before and from 1998-06-01, written with
+    different column orders (together: the whole table)."""
     t = fx.transactions(spark, sf)
-    a = flt.snapshot_slice(t, "membership_expire_date", "1998-02-01").select("tx_id", "msno", "membership_expire_date")
-    b = flt.snapshot_slice(t, "membership_expire_date", "1998-03-01").select("membership_expire_date", "tx_id", "msno")
+    cut = F.lit("1998-06-01").cast("date")
+    a = t.where(F.col("membership_expire_date") < cut).select("tx_id", "msno", "membership_expire_date")
+    b = t.where(F.col("membership_expire_date") >= cut).select("membership_expire_date", "tx_id", "msno")
     return a.unionByName(b)
