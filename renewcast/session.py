@@ -76,6 +76,9 @@ def shared_dir(spark: SparkSession) -> str:
     only when it is unset (tests / single-machine runs).
     """
     d = spark.conf.get(_CHECKPOINT_KEY, None)
+    if not d:
+        # a checkpoint directory set on the context (setCheckpointDir) counts as well
+        d = spark.sparkContext.getCheckpointDir()
     if not d:
         d = tempfile.mkdtemp(prefix="run-", dir="/tmp")
         spark.conf.set(_CHECKPOINT_KEY, d)
