@@ -92,13 +92,14 @@ def apply_rare_maps(df: DataFrame, keep: Mapping[str, Sequence[str]] = RARE_KEEP
 
 
 def fit_vocabulary(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Distinct levels per categorical column on the training rows (long form)."""
-    parts = [df.select(F.lit(c).alias("column"), F.col(c).cast("string").alias("level")).distinct()
-             for c in cols]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.where(F.col("level").isNotNull())
+    """Distinct levels per categorical column on the training rows (long form).
+
+    One scan: the columns are stacked to (column, level) pairs and de-duplicated
+    with partial aggregation, whatever the number of columns.
+    """
+    pairs = ", ".join(f"'{c}', CAST(`{c}` AS STRING)" for c in cols)
+    long = df.select(F.expr(f"stack({len(cols)}, {pairs}) AS (column, level)"))
+    return long.where(F.col("level").isNotNull()).distinct()
 
 
 def vocabulary(vocab: DataFrame) -> dict[str, list[str]]:
