@@ -139,8 +139,8 @@ _SCALED = ", ".join(
                                NUMERIC))
 def apply_scaler(spark, sf):
     """Every model-set row scaled with the training statistics (no re-fit per day, Q6)."""
-    params = PR.scaler_params(PR.fit_scaler(fit_rows(spark, sf), NUMERIC))
-    return PR.apply_scaler(model_set(spark, sf).select(*KEY, *NUMERIC), params)
+    p = prepared(spark, sf)
+    return PR.apply_scaler(p.model_set.select(*KEY, *NUMERIC), p.scaler)
 
 
 def _rare_sql(c, alias=None):
@@ -180,25 +180,23 @@ def _dummies_sql():
     return ", ".join(parts)
 
 
-def fitted(spark, sf):
-    """Scaler statistics and vocabulary fitted on the training rows (flags keep both levels)."""
-    fit = fit_rows(spark, sf)
-    params = PR.scaler_params(PR.fit_scaler(fit, NUMERIC))
-    vocab = PR.vocabulary(PR.fit_vocabulary(PR.apply_rare_maps(fit), list(A.CATEGORICAL)))
-    vocab.update({"is_auto_renew": ["0", "1"], "is_cancel": ["0", "1"]})
-    return params, vocab
+def prepared(spark, sf):
+    """Model set and training pool written once; scaler and vocabulary fitted on the
+    training rows (flags keep both levels) -- see ``plans.training.prepare``."""
+    from renewcast.plans.training import prepare
+    return prepare(spark, model_set(spark, sf))
 
 
 @query("one_hot", _ms_sql(f"SELECT msno, membership_start_date, membership_expire_date, {_dummies_sql()} FROM ms"))
 def one_hot(spark, sf):
     """0/1 column per training level (flags: first level dropped) for every model-set row."""
-    _, vocab = fitted(spark, sf)
-    return PR.one_hot(PR.apply_rare_maps(model_set(spark, sf)), vocab, keep=KEY)
+    p = prepared(spark, sf)
+    return PR.one_hot(PR.apply_rare_maps(p.model_set), p.vocabulary, keep=KEY)
 
 
 @query("feature_matrix", _ms_sql(f"SELECT m.msno, m.membership_start_date, m.membership_expire_date, {_SCALED}, "
                                  f"{_dummies_sql()} FROM ms m", NUMERIC))
 def feature_matrix(spark, sf):
     """map_rare -> scale -> one-hot -> fixed column order (20 numeric + dummies + 2 flags)."""
-    params, vocab = fitted(spark, sf)
-    return PR.feature_matrix(model_set(spark, sf), params, vocab, NUMERIC, keep=KEY)
+    p = prepared(spark, sf)
+    return PR.feature_matrix(p.model_set, p.scaler, p.vocabulary, NUMERIC, keep=KEY)
