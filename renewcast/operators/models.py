@@ -26,10 +26,11 @@ from renewcast.operators import metrics as M
 
 
 def logistic(n_rows: int, C: float = 1.0, penalty: str = "l2", label: str = "churn",
-             features: str = "features", max_iter: int = 1000) -> LogisticRegression:
+             features: str = "features", max_iter: int = 1000, tol: float = 1e-4) -> LogisticRegression:
     """L1/L2 logistic regression with the inverse-strength ``C`` mapped to Spark's
-    ``regParam = 1 / (C * n)`` (Spark averages the loss, liblinear sums it)."""
-    return LogisticRegression(featuresCol=features, labelCol=label, maxIter=max_iter,
+    ``regParam = 1 / (C * n)`` (Spark averages the loss, liblinear sums it); at most
+    1000 iterations and a 1e-4 convergence tolerance, the reference's settings."""
+    return LogisticRegression(featuresCol=features, labelCol=label, maxIter=max_iter, tol=tol,
                               regParam=1.0 / (C * max(n_rows, 1)),
                               elasticNetParam=1.0 if penalty == "l1" else 0.0,
                               standardization=False, family="binomial")
