@@ -18,7 +18,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from renewcast.operators.windows import first_argmax, running_sum
+from renewcast.operators.windows import DEFAULT_BLOCKS, blocks_from_cuts, first_argmax, running_sum
 
 BETA = 1.5
 
@@ -92,14 +92,27 @@ def score_counts(df: DataFrame, y_true: str = "y_true", score: str = "score",
         F.count_if(F.col(y_true) == 0).alias("neg"))
 
 
+def _score_blocks(score: str, score_range: tuple[float, float] | None):
+    """Block ids for a known score range (e.g. probabilities in [0, 1]): evenly spaced
+    cut points, no sampling pass.  Scores outside the range fall into the first or
+    last block, so the blocks stay monotone and the result exact."""
+    if score_range is None:
+        return None
+    lo, hi = score_range
+    n = DEFAULT_BLOCKS
+    return blocks_from_cuts(score, [lo + (hi - lo) * i / n for i in range(1, n)])
+
+
 def roc_auc(df: DataFrame, y_true: str = "y_true", score: str = "score",
-            by: Sequence[str] = ()) -> DataFrame:
+            by: Sequence[str] = (), score_range: tuple[float, float] | None = None) -> DataFrame:
     """Area under the ROC curve per group; tied scores count half.
 
-    null when a group has only one class (sklearn raises there).
+    null when a group has only one class (sklearn raises there).  With a known
+    ``score_range`` the running sum's blocks need no approximate-quantile pass.
     """
     sc = score_counts(df, y_true, score, by)
-    rs = running_sum(sc, [score], ["neg", "pos"], group=list(by), with_total=True)
+    rs = running_sum(sc, [score], ["neg", "pos"], group=list(by), with_total=True,
+                     block=_score_blocks(score, score_range))
     below = F.col("neg_cum") - F.col("neg")
     term = F.col("pos").cast("double") * (below.cast("double") + F.col("neg").cast("double") / 2)
     agg = rs.groupBy(*by).agg(F.sum(term).alias("_u"), F.max("pos_total").alias("_p"),
@@ -215,13 +228,16 @@ def _attach(a: DataFrame, one_row: DataFrame) -> DataFrame:
 
 
 def daily_monitor(preds: DataFrame, day: str = "day", y_true: str = "y_true", y_pred: str = "y_pred",
-                  score: str | None = None, beta: float = BETA) -> DataFrame:
+                  score: str | None = None, beta: float = BETA,
+                  score_range: tuple[float, float] | None = (0.0, 1.0)) -> DataFrame:
     """Per day: rows, false omission rate, F-beta, hard AUC of 0/1 predictions (Q8) and,
-    when a score column is given, the score AUC -- all days in one job."""
+    when a score column is given, the score AUC -- all days in one job.  Scores are
+    probabilities by default (``score_range=(0, 1)``); pass ``None`` for any scale."""
     counts = confusion_counts(preds, y_true, y_pred, [day])
     out = counts.select(day, (F.col("tn") + F.col("fp") + F.col("fn") + F.col("tp")).alias("rows"),
                         "tn", "fp", "fn", "tp", false_omission_rate().alias("fn_rate"),
                         fbeta(beta=beta).alias("f1_5"), hard_auc().alias("auc"))
     if score:
-        out = out.join(roc_auc(preds, y_true, score, [day]).withColumnRenamed("auc", "score_auc"), day, "left")
+        auc = roc_auc(preds, y_true, score, [day], score_range).withColumnRenamed("auc", "score_auc")
+        out = out.join(auc, day, "left")
     return out

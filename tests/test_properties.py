@@ -126,3 +126,11 @@ def test_threshold_sweep_equals_brute_force(spark):
             assert got[t] == (tp, fp, fn, tn)
 
     check()
+
+
+def test_roc_auc_with_score_range_is_exact_even_out_of_range(spark):
+    rows = [(i % 2, (i % 13) / 10.0 - 0.1) for i in range(300)]   # scores from -0.1 to 1.1
+    df = spark.createDataFrame(rows, "y_true int, score double")
+    a = M.roc_auc(df).first()["auc"]
+    b = M.roc_auc(df, score_range=(0.0, 1.0)).first()["auc"]
+    assert abs(a - b) < 1e-12 and abs(a - _brute_auc(rows)) < 1e-12
