@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from renewcast.llm import chat, decontam, licenses, quality, url_filter
+from renewcast.llm import chat, decontam, licenses, quality, url_filter, warc
 from renewcast.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -169,3 +169,27 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents"))
+
+
+# ---------------------------------------------------------------- 9: WARC
+
+@query
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = warc.arc_to_warc(warc.pages_to_arc(table(spark, sf_dir, "pages")))
+    path = warc.write_warc(warc.mark_revisits(records))
+    back = warc.read_warc(spark.read.format("binaryFile").load(path))
+    return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+ORACLES["op9_warc"] = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+h AS (SELECT page_id, octet_length(encode(html))::BIGINT AS payload_bytes, sha1(html) AS x FROM p),
+s AS (SELECT *, max(page_id) OVER (PARTITION BY x) AS best FROM h),
+bits AS (SELECT *, list_transform(range(0, 32), lambda k: (
+           ('0x' || substr(x, (k * 5 // 20) * 5 + 1, 5))::BIGINT // (32 ** (3 - k % 4))::BIGINT) % 32) AS digits FROM s)
+SELECT page_id, payload_bytes,
+       array_to_string(list_transform(digits, lambda v: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', v::INTEGER + 1, 1)), '') AS payload_digest,
+       CASE WHEN page_id IS NOT DISTINCT FROM best THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id IS DISTINCT FROM best THEN best END AS refers_to
+FROM bits
+"""
