@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from renewcast.llm import chat, decontam, licenses, quality, url_filter, warc
+from renewcast.llm import chat, decontam, licenses, quality, toxicity, url_filter, warc
 from renewcast.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -193,3 +193,11 @@ SELECT page_id, payload_bytes,
        CASE WHEN page_id IS DISTINCT FROM best THEN best END AS refers_to
 FROM bits
 """
+
+
+# ---------------------------------------------------------------- 2: toxicity
+
+@query
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score_toxicity(docs, toxicity.learn(docs, table(spark, sf_dir, "labels")))
