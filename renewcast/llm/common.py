@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import string
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,29 +47,30 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def per_text(df: DataFrame, id_col: str, text_col: str, make: Callable[[], Callable[[str], tuple]], fields: str) -> DataFrame:
+def per_text(df: DataFrame, id_col: str, text_col: str, make: Callable[[], Callable[[str], tuple]], fields: str,
+             carry: Sequence[str] = ()) -> DataFrame:
     """One row per input row: the id and what a Python function says of its whole text (null: empty).
 
     ``make`` builds the function once per task (automata, tokenizers); texts are taken from the Arrow
     batch one at a time, so a task holds one batch and one text's intermediates.  ``fields``: the
-    schema of the tuple.  The id keeps its name and type.
+    schema of the tuple.  ``carry``: further columns to hand through.  All keep their names and types.
     """
     import pyarrow as pa
     from pyspark.sql.pandas.types import to_arrow_type
     from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 
     kinds = _parse_datatype_string(fields)
-    id_type = df.schema[id_col].dataType
-    out = pa.schema([pa.field(id_col, to_arrow_type(id_type)), *[pa.field(f.name, to_arrow_type(f.dataType)) for f in kinds.fields]])
+    own = [id_col, *carry]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fn = make()
+        types = [to_arrow_type(f.dataType) for f in kinds.fields]
         for b in batches:
-            texts = b.column(1)
+            texts = b.column(0)
             rows = [fn(texts[i].as_py() or "") for i in range(b.num_rows)]
-            columns = zip(*rows) if rows else [[] for _ in kinds.fields]
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0).cast(out.field(0).type), *[pa.array(c, type=out.field(k + 1).type) for k, c in enumerate(columns)]], schema=out)
+            columns = zip(*rows) if rows else [[] for _ in types]
+            yield pa.RecordBatch.from_arrays([*b.columns[1:], *[pa.array(c, type=t) for c, t in zip(columns, types, strict=True)]],
+                                             names=[*own, *[f.name for f in kinds.fields]])
 
-    schema = StructType([StructField(id_col, id_type), *kinds.fields])
-    return df.select(F.col(id_col), F.col(text_col)).mapInArrow(run, schema)
+    schema = StructType([*[StructField(c, df.schema[c].dataType) for c in own], *kinds.fields])
+    return df.select(F.col(text_col).alias("_text"), *[F.col(f"`{c}`") for c in own]).mapInArrow(run, schema)

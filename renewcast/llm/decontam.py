@@ -130,3 +130,11 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     return out.select(F.col("_out_id").alias(id_col), "n_words", F.coalesce(covered(F.col("spans")), F.lit(0)).cast("long").alias("n_hit"),
                       F.coalesce(F.sort_array("spans"), none).alias("spans"),
                       F.coalesce("items", F.expr("CAST(array() AS array<string>)")).alias("items"))
+
+
+def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id",
+                      item_text_col: str = "text", window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+    """The rows without any benchmark window, with the columns they had."""
+    hits = hit_windows(docs, items, id_col, text_col, item_id_col, item_text_col, window, gram)
+    gone = bounded_broadcast(written(hits.select("_id", "_tx").distinct(), "contaminated"))
+    return docs.join(gone, (key_of(docs[id_col]) == gone["_id"]) & (F.xxhash64(docs[text_col]) == gone["_tx"]), "left_anti")

@@ -295,3 +295,15 @@ def finished(todo: DataFrame, sets: DataFrame, similarity: tuple[int, int]) -> D
     x = todo.where("label <> main").select("key", "id", "label", "dist", own.alias("xb"), every.alias("yb"), F.lit("x").alias("side"))
     y = todo.select("key", "id", "label", "dist", every.alias("xb"), own.alias("yb"), F.lit("y").alias("side"))
     return x.unionByName(y).join(sets, "id").groupBy("key", "xb", "yb").applyInArrow(finish_block(similarity), "a long, b long").distinct()
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5,
+                         similarity: tuple[int, int] = (80, 100)) -> DataFrame:
+    """One row of each group, with the columns it had: the smallest id; of rows that share it, any one."""
+    groups = near_duplicates(docs, id_col, text_col, shingle, similarity)
+    gone = bounded_broadcast(written(groups.where(~F.col("kept")).select(F.col(id_col).alias("_gone")).distinct(), "near_duplicates"))
+    left = docs.join(gone, F.col(id_col).cast("long") == gone["_gone"], "left_anti")
+    twice = left.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1")
+    if twice.isEmpty():
+        return left
+    return left.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]).unionByName(left.where(F.col(id_col).isNull()))

@@ -220,8 +220,10 @@ def hot_repeats(parts: DataFrame, least: int) -> DataFrame:
 
 
 def numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc, copy, text): copy counts the rows that share an id, in the order of their texts; a null id is the smallest."""
-    d = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-2 ** 63)).alias("doc"), F.col(id_col).alias("_id"), F.col(text_col).alias("text"))
+    """(doc, copy, text, _row): copy counts the rows that share an id, in the order of their texts; a null id is the
+    smallest; _row has the columns but the text."""
+    rest = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col])
+    d = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-2 ** 63)).alias("doc"), rest.alias("_row"), F.col(text_col).alias("text"))
     twice = d.groupBy("doc").count().where("count > 1").select("doc")
     if twice.isEmpty():
         return d.withColumn("copy", F.lit(0).cast("long"))
@@ -232,11 +234,14 @@ def numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST, gram: int = GRAM,
-                   whole_characters: bool = False) -> DataFrame:
+                   whole_characters: bool = False, whole_rows: bool = False) -> DataFrame:
     """One row per document: id, n_bytes, n_removed, n_spans (maximal removed runs) and kept (the remaining bytes).
 
     ``whole_characters`` shrinks each removed run to whole UTF-8 characters, so that the rest is text.
+    ``whole_rows`` returns the columns of ``docs`` instead, with the remaining text.
     """
+    if not whole_rows:
+        docs = docs.select(id_col, text_col)
     d = numbered(docs, id_col, text_col)
     rows = stretches(d.select("doc", "copy", "text"), least, gram)
     found = written(compare_stretches(rows), "stretches")
@@ -257,10 +262,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         spans = spans.unionByName(hot_repeats(parts.join(bounded_broadcast(hot), "hash", "left_semi"), least))
 
     lists = spans.groupBy("doc", "copy").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    id_type = docs.schema[id_col].dataType
-    joined = d.join(lists, ["doc", "copy"], "left").select("_id", "text", "spans")
-    return joined.mapInArrow(cut_out(whole_characters), f"_id {id_type.simpleString()}, n_bytes long, n_removed long, n_spans long, kept binary") \
-        .withColumnRenamed("_id", id_col)
+    joined = d.join(lists, ["doc", "copy"], "left").select("_row", "text", "spans")
+    done = joined.mapInArrow(cut_out(whole_characters), f"_row {d.schema['_row'].dataType.simpleString()}, n_bytes long, n_removed long, "
+                             "n_spans long, kept binary")
+    if whole_rows:
+        return done.select(*[F.col("kept").cast("string").alias(c) if c == text_col else F.col(f"_row.`{c}`") for c in docs.columns])
+    return done.select(F.col(f"_row.`{id_col}`"), "n_bytes", "n_removed", "n_spans", "kept")
 
 
 def cut_out(whole_characters: bool):
@@ -299,6 +306,6 @@ def cut_out(whole_characters: bool):
                 runs.append(k)
                 kept.append(rest)
             yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c, pa.int64()) for c in (size, removed, runs)], pa.array(kept, pa.binary())],
-                                             names=["_id", "n_bytes", "n_removed", "n_spans", "kept"])
+                                             names=["_row", "n_bytes", "n_removed", "n_spans", "kept"])
 
     return run

@@ -273,19 +273,30 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return Model(kept, cost, fit_curve((r["e"], r["h"], r["_y"], r["n"]) for r in sorted(counts)))
 
 
-def score_toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: id, held_out, score, predicted, evidence and hits."""
-    def make():
-        read = reader(model.features, model.cost)
-        a, b, c = model.curve
+def scorer(model: Model) -> Callable[[str], tuple[float, float, int]]:
+    """The function text -> (score, evidence, hits)."""
+    read = reader(model.features, model.cost)
+    a, b, c = model.curve
 
-        def score(text: str) -> tuple:
-            e, h = read(text)
-            z = a + b * e + c * math.log1p(min(h, MOST_HITS))
-            return 1 / (1 + math.exp(-max(-40.0, min(40.0, z)))), e, h
+    def score(text: str) -> tuple[float, float, int]:
+        e, h = read(text)
+        z = a + b * e + c * math.log1p(min(h, MOST_HITS))
+        return 1 / (1 + math.exp(-max(-40.0, min(40.0, z)))), e, h
+
+    return score
 
-        return score
 
-    scored = per_text(docs, id_col, text_col, make, "score double, evidence double, hits int")
+def score_toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: id, held_out, score, predicted, evidence and hits."""
+    scored = per_text(docs, id_col, text_col, lambda: scorer(model), "score double, evidence double, hits int")
     return scored.select(id_col, (fold_of(id_col) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"),
                          "evidence", "hits")
+
+
+def drop_toxic(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows scored below 0.5, with the columns they had; one pass, no shuffle."""
+    rest = [c for c in docs.columns if c != id_col]
+    names = {c: f"_c{k}" for k, c in enumerate(rest)}            # no column can clash with the score
+    scored = per_text(docs.withColumnsRenamed(names), id_col, names[text_col], lambda: scorer(model),
+                      "_score double, _evidence double, _hits int", carry=list(names.values()))
+    return scored.where("_score < 0.5").select(*[F.col(names.get(c, c)).alias(c) for c in docs.columns])
