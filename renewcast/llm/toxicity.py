@@ -43,6 +43,7 @@ LOOKALIKE = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "g", "7": "
              "|": "il", "+": "t", "€": "e", "(": "c"}
 SWAP_COST, DROP_COST, REPEAT_COST, KEEP_SIGN_COST = 0.5, 1.0, 0.2, 6.0
 EDGE = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "«»„“”‘’…–—¿¡"
+PLAIN_EDGE = "".join(c for c in EDGE if c not in "$@")     # at an edge, only these two are taken for letters
 TRIPLE = re.compile(r"([^\W\d_])\1\1")
 SPACED = re.compile(r"(?<!\S)(?:\S[ .\-_*]){3,}\S(?!\S)")
 LETTERS = 28                              # a-z, any other letter, word edge
@@ -140,14 +141,17 @@ def reader(features: dict[str, float], cost: np.ndarray) -> Callable[[str], tupl
         best, hits = 0.0, 0
         for token in low.split():
             word = token.strip(EDGE)
-            if word.isalpha():
-                e = evidence(word) if word[:4] in stems else 0.0
-                if e == 0.0 and (triple and TRIPLE.search(word) or token[0] in "$@" and token[1:2].isalpha() or token[-1] in "$@" and token[-2:-1].isalpha()):
-                    e = decoded(token if token[0] in "$@" or token[-1] in "$@" else word)
-            elif word and not word.isdigit() and sum(map(str.isalpha, word)) * 2 >= len(word):
-                e = decoded(word)
-            else:
-                continue
+            e = evidence(word) if word[:4] in stems else 0.0
+            if e == 0.0 and len(word) > 2:
+                if not word.isalpha():
+                    if any(map(str.isalpha, word)):
+                        e = decoded(word)
+                elif triple and TRIPLE.search(word):
+                    e = decoded(word)
+                if e == 0.0 and (token[0] in "$@" or token[-1] in "$@"):
+                    whole = token.strip(PLAIN_EDGE)
+                    if 0 < len(whole) - len(word) <= 2:      # longer runs of signs are decoration
+                        e = decoded(whole)
             if e > 0:
                 hits += 1
                 best = max(best, e)
