@@ -227,12 +227,10 @@ def canonical_order(spark, sf):
 
 
 @query("union_by_name", O.with_base("""
-SELECT tx_id, msno, membership_expire_date FROM transactions WHERE membership_expire_date IS NOT NULL"""))
+SELECT tx_id, msno, transaction_date AS day FROM transactions UNION ALL
+SELECT NULL AS tx_id, msno, date AS day FROM user_logs"""))
 def union_by_name(spark, sf):
-    """UNION ALL by column name of the expiries before and from 1998-06-01, written with
-    different column orders (together: the whole table)."""
-    t = fx.transactions(spark, sf)
-    cut = F.lit("1998-06-01").cast("date")
-    a = t.where(F.col("membership_expire_date") < cut).select("tx_id", "msno", "membership_expire_date")
-    b = t.where(F.col("membership_expire_date") >= cut).select("membership_expire_date", "tx_id", "msno")
-    return a.unionByName(b)
+    """UNION ALL by column name of two inputs with different columns in different orders: transactions and logs."""
+    a = fx.transactions(spark, sf).select("tx_id", "msno", F.col("transaction_date").alias("day"))
+    b = fx.user_logs(spark, sf).select(F.col("date").alias("day"), "msno")
+    return a.unionByName(b, allowMissingColumns=True)

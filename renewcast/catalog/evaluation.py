@@ -197,7 +197,7 @@ SELECT c.day, tn + fp + fn + tp AS rows, tn, fp, fn, tp, {_div0('fn', 'tn + fn')
        CASE WHEN tp + fn = 0 OR tn + fp = 0 THEN NULL
             ELSE (CAST(tp AS DOUBLE) / (tp + fn) + CAST(tn AS DOUBLE) / (tn + fp)) / 2 END AS auc,
        a.auc AS score_auc
-FROM (SELECT day, {COUNTS} FROM ds GROUP BY day) c LEFT JOIN day_auc a ON a.day = c.day""",
+FROM (SELECT day, {COUNTS} FROM ds GROUP BY day) c LEFT JOIN day_auc a ON a.day IS NOT DISTINCT FROM c.day""",
                                     _DS + f",\nday_auc AS ({midrank_auc('ds', 'day')})",
                                     doubles=["fn_rate", "f1_5", "auc", "score_auc"]), headline=True)
 def daily_monitor(spark, sf):
@@ -212,7 +212,7 @@ SELECT c.day, tn + fp + fn + tp AS rows, tn, fp, fn, tp, {_div0('fn', 'tn + fn')
        CASE WHEN tp + fn = 0 OR tn + fp = 0 THEN NULL
             ELSE (CAST(tp AS DOUBLE) / (tp + fn) + CAST(tn AS DOUBLE) / (tn + fp)) / 2 END AS auc,
        a.auc AS score_auc
-FROM (SELECT day, {COUNTS} FROM ds GROUP BY day) c LEFT JOIN day_auc a ON a.day = c.day""",
+FROM (SELECT day, {COUNTS} FROM ds GROUP BY day) c LEFT JOIN day_auc a ON a.day IS NOT DISTINCT FROM c.day""",
                                             _DS + f",\nday_auc AS ({midrank_auc('ds', 'day')})",
                                             doubles=["fn_rate", "f1_5", "auc", "score_auc"]))
 def daily_monitor_stream(spark, sf):

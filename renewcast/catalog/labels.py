@@ -47,6 +47,18 @@ def renewal_labels_day_blocks(spark, sf):
     return _labels(spark, sf, 0, method="day_blocks")
 
 
+def _without_some_users(spark, sf):
+    """Transactions in which every seventh user's id is missing."""
+    return fx.transactions(spark, sf).withColumn("msno", F.when(F.col("msno").cast("long") % 7 != 0, F.col("msno")))
+
+
+@query("renewal_labels__null_users", O.with_base(_LABEL_SQL.format(never=0) + " WHERE CAST(msno AS BIGINT) % 7 <> 0"))
+def renewal_labels_null_users(spark, sf):
+    """Rows without a user get no label and change nobody else's."""
+    return L.renewal_labels(_without_some_users(spark, sf), window=W, burst_n=fx.BURST_THRESHOLD_ORDERS, tail_end=fx.TAIL_END,
+                            tail_days=fx.TAIL_DAYS, grace=5)
+
+
 @query("churn_by_month", O.with_base("""
 SELECT CAST(date_trunc('month', membership_expire_date) AS DATE) AS snapshot_month,
        count(*) AS n_periods, CAST(sum(churn) AS BIGINT) AS n_churn

@@ -1,10 +1,15 @@
-"""Model queries: rows-only checks -- fitted coefficients are not SQL."""
+"""Model queries.
+
+Fitted coefficients are not SQL, so the plain queries are checked by their rows only.  The ``__checked`` ones return what SQL
+can state of the same run: the keys and labels of the scored rows, that every decision follows from its
+probability and cut-off, counts of trials, folds and classes, and metrics that add up.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from renewcast.catalog.prep import model_set
+from renewcast.catalog.prep import _ms_sql, model_set
 from renewcast.operators import metrics as M
 from renewcast.operators import models as ML
 from renewcast.plans import training as T
@@ -139,3 +144,116 @@ def tune_model_forest(spark, sf):
     return spark.createDataFrame(rows, "trial int, num_trees int, max_depth int, feature_subset string, "
                                        "min_leaf int, impurity string, cv_auc double, is_best boolean, "
                                        "test_auc double")
+
+
+# ------------------------------------------------------------------ the same operators in a form SQL can check
+
+_KEYS = "msno, membership_start_date, membership_expire_date"
+
+
+def _decisions(df, cut, *keep):
+    """Keys, whether the probability is one, and whether the decision is the probability against the cut-off."""
+    p = F.col("probability")
+    return df.select(*KEY, *keep, ((p >= 0) & (p <= 1)).alias("is_probability"),
+                     (F.col("prediction") == (p >= F.lit(cut)).cast("int")).alias("decided"))
+
+
+@query("train_logistic__checked", _ms_sql(f"SELECT {_KEYS}, churn, true AS is_probability, true AS decided FROM tr WHERE is_test = 1"))
+def train_logistic_checked(spark, sf):
+    p = _prep(spark, sf)
+    b = T.fit_bundle(spark, p, "logistic", {"C": 1.0, "penalty": "l1"})
+    return _decisions(T.score_batch(b, p.test, threshold=b.threshold), b.threshold, "churn")
+
+
+@query("train_forest__checked", _ms_sql(f"SELECT {_KEYS}, churn, true AS is_probability, true AS decided FROM tr WHERE is_test = 1"))
+def train_forest_checked(spark, sf):
+    """With a minimum of rows to split a node."""
+    p = _prep(spark, sf)
+    b = T.fit_bundle(spark, p, "forest", {"num_trees": 20, "max_depth": 5, "min_split": 20})
+    return _decisions(T.score_batch(b, p.test, threshold=b.threshold), b.threshold, "churn")
+
+
+@query("score_batch__unlabelled", _ms_sql(f"SELECT {_KEYS}, true AS is_probability, true AS decided FROM ms WHERE split = 'inference'"))
+def score_batch_unlabelled(spark, sf):
+    """Inference rows that have no label column, scored and served at 0.5."""
+    p = _prep(spark, sf)
+    b = T.fit_bundle(spark, p, "logistic", {"C": 1.0, "penalty": "l2"})
+    return _decisions(T.score_batch(b, p.model_set.where(F.col("split") == "inference").drop("churn")), 0.5)
+
+
+@query("score_batch__one_day", _ms_sql(f"""
+SELECT {_KEYS}, true AS is_probability, true AS decided FROM ms WHERE split = 'inference'
+  AND membership_expire_date = (SELECT max(membership_expire_date) FROM ms WHERE split = 'inference')"""))
+def score_batch_one_day(spark, sf):
+    """The last day's partition of the inference layer, read with a pruned scan and scored."""
+    from renewcast.sources.io import read_layer, write_by_day
+    p = _prep(spark, sf)
+    path = scratch_path(spark, "inference_by_day")
+    write_by_day(p.model_set.where(F.col("split") == "inference"), path)
+    last = spark.read.parquet(path).agg(F.max("membership_expire_date")).first()[0]
+    b = T.fit_bundle(spark, p, "logistic", {"C": 1.0, "penalty": "l2"})
+    return _decisions(T.score_batch(b, read_layer(spark, path, "membership_expire_date", [str(last)])), 0.5)
+
+
+@query("tune_model__checked", _ms_sql("""
+SELECT CAST(i AS INTEGER) AS trial, true AS is_auc, true AS best_has_top_auc, 1 AS best_trials, true AS bundle_is_best,
+       CAST((SELECT count(*) FROM fit) AS BIGINT) AS sample_size
+FROM range(5) t(i)"""))
+def tune_model_checked(spark, sf):
+    """Tune, refit, choose the threshold, bundle, save and load: what the bundle says against the trials."""
+    p = _prep(spark, sf)
+    bundle, draws, scores = T.tune_bundle(spark, p, "logistic")
+    path = scratch_path(spark, "tuned_bundle")
+    ML.save_bundle(spark, bundle, path)
+    info = ML.load_bundle(spark, path).info
+    top = max(scores)
+    same = info["cv_score"] == top and info["best_params"] == draws[scores.index(top)] and info["params"] == info["best_params"]
+    rows = [(i, 0.0 <= s <= 1.0, s <= info["cv_score"], 1, bool(same), int(info["sample_size"])) for i, s in enumerate(scores)]
+    return spark.createDataFrame(rows, "trial int, is_auc boolean, best_has_top_auc boolean, best_trials int, bundle_is_best boolean, "
+                                       "sample_size long")
+
+
+@query("cv_report__checked", _ms_sql("""
+SELECT CAST(i AS INTEGER) AS trial, part, true AS has_rates FROM range(5) t(i), (VALUES ('train'), ('validation')) v(part)"""))
+def cv_report_checked(spark, sf):
+    """Trials and parts of the report, and that every mean metric is a share."""
+    r = cv_report(spark, sf)
+    share = [F.col(c).between(0, 1) for c in ("auc", "f1_5", "fn_rate")]
+    return r.select(F.col("trial").cast("int").alias("trial"), "part", (share[0] & share[1] & share[2]).alias("has_rates"))
+
+
+@query("save_load_bundle__checked", _ms_sql(f"SELECT {_KEYS}, churn, true AS same FROM ms WHERE split = 'oot'"))
+def save_load_bundle_checked(spark, sf):
+    """Out-of-time rows scored by a bundle and by its saved and loaded copy: the same probabilities and decisions."""
+    p = _prep(spark, sf)
+    b = T.fit_bundle(spark, p, "logistic", {"C": 1.0, "penalty": "l2"})
+    path = scratch_path(spark, "bundle")
+    ML.save_bundle(spark, b, path)
+    loaded = ML.load_bundle(spark, path)
+    oot = p.model_set.where(F.col("split") == "oot")
+    a = T.score_batch(b, oot, threshold=b.threshold)
+    c = T.score_batch(loaded, oot, threshold=loaded.threshold).select(*KEY, F.col("probability").alias("p2"), F.col("prediction").alias("d2"))
+    return a.join(c, KEY).select(*KEY, "churn", ((F.col("probability") == F.col("p2")) & (F.col("prediction") == F.col("d2"))).alias("same"))
+
+
+@query("evaluate_model__checked", _ms_sql("""
+SELECT model, dataset, CAST(count(*) AS BIGINT) AS total_users, CAST(sum(churn) AS BIGINT) AS total_churn, true AS adds_up
+FROM (SELECT 'test' AS dataset, churn FROM tr WHERE is_test = 1 UNION ALL SELECT 'oot', churn FROM ms WHERE split = 'oot') d,
+     (VALUES ('logistic'), ('forest')) m(model)
+GROUP BY 1, 2"""))
+def evaluate_model_checked(spark, sf):
+    """Rows and churners of every (model, data set), and that counts and rates agree."""
+    e = evaluate_model(spark, sf)
+    right = (F.col("tn") + F.col("fp") + F.col("fn") + F.col("tp") == F.col("total_users")) & (F.col("tp") + F.col("fn") == F.col("total_churn")) \
+        & F.coalesce(F.col("auc").between(0, 1), F.lit(True))
+    return e.select("model", "dataset", "total_users", "total_churn", right.alias("adds_up"))
+
+
+@query("daily_monitor__model_checked", _ms_sql("""
+SELECT membership_expire_date AS day, CAST(count(*) AS BIGINT) AS rows, CAST(sum(churn) AS BIGINT) AS churned, true AS adds_up
+FROM ms WHERE split = 'inference' GROUP BY 1"""))
+def daily_monitor_model_checked(spark, sf):
+    """Rows and churners per expiry day of the monitored model predictions."""
+    m = daily_monitor_model(spark, sf)
+    return m.select("day", "rows", (F.col("tp") + F.col("fn")).alias("churned"),
+                    (F.col("tn") + F.col("fp") + F.col("fn") + F.col("tp") == F.col("rows")).alias("adds_up"))

@@ -312,10 +312,8 @@ SELECT CAST(m AS DATE) AS snapshot_month FROM (
   FROM transactions) x"""))
 def month_spine(spark, sf):
     """First-of-month dates spanning the transaction table (bounds read from the data)."""
-    t = fx.transactions(spark, sf)
-    b = t.agg(F.min("transaction_date").alias("lo"), F.max("membership_expire_date").alias("hi"))
-    return b.select(F.explode(F.sequence(F.trunc("lo", "MM"), F.col("hi"), F.expr("INTERVAL 1 MONTH")))
-                    .alias("snapshot_month"))
+    b = fx.transactions(spark, sf).agg(F.min("transaction_date"), F.max("membership_expire_date")).first()
+    return io.month_spine(spark, str(b[0]), str(b[1]))
 
 
 @query("semi_filter", O.with_base("""

@@ -18,7 +18,8 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from renewcast.operators.windows import DEFAULT_BLOCKS, blocks_from_cuts, first_argmax, running_sum
+from renewcast.operators.windows import first_argmax, running_sum
+from renewcast.session import written
 
 BETA = 1.5
 
@@ -92,27 +93,12 @@ def score_counts(df: DataFrame, y_true: str = "y_true", score: str = "score",
         F.count_if(F.col(y_true) == 0).alias("neg"))
 
 
-def _score_blocks(score: str, score_range: tuple[float, float] | None):
-    """Block ids for a known score range (e.g. probabilities in [0, 1]): evenly spaced
-    cut points, no sampling pass.  Scores outside the range fall into the first or
-    last block, so the blocks stay monotone and the result exact."""
-    if score_range is None:
-        return None
-    lo, hi = score_range
-    n = DEFAULT_BLOCKS
-    return blocks_from_cuts(score, [lo + (hi - lo) * i / n for i in range(1, n)])
+def auc_of_counts(sc: DataFrame, score: str = "score", by: Sequence[str] = ()) -> DataFrame:
+    """Area under the ROC curve per group from positives and negatives per distinct score; ties count half.
 
-
-def roc_auc(df: DataFrame, y_true: str = "y_true", score: str = "score",
-            by: Sequence[str] = (), score_range: tuple[float, float] | None = None) -> DataFrame:
-    """Area under the ROC curve per group; tied scores count half.
-
-    null when a group has only one class (sklearn raises there).  With a known
-    ``score_range`` the running sum's blocks need no approximate-quantile pass.
+    null when a group has only one class (sklearn raises there).
     """
-    sc = score_counts(df, y_true, score, by)
-    rs = running_sum(sc, [score], ["neg", "pos"], group=list(by), with_total=True,
-                     block=_score_blocks(score, score_range))
+    rs = running_sum(sc, [score], ["neg", "pos"], group=list(by), with_total=True)
     below = F.col("neg_cum") - F.col("neg")
     term = F.col("pos").cast("double") * (below.cast("double") + F.col("neg").cast("double") / 2)
     agg = rs.groupBy(*by).agg(F.sum(term).alias("_u"), F.max("pos_total").alias("_p"),
@@ -122,6 +108,36 @@ def roc_auc(df: DataFrame, y_true: str = "y_true", score: str = "score",
     return agg.select(*by, auc.alias("auc"))
 
 
+def roc_auc(df: DataFrame, y_true: str = "y_true", score: str = "score", by: Sequence[str] = ()) -> DataFrame:
+    """Area under the ROC curve per group of rows; tied scores count half."""
+    return auc_of_counts(score_counts(df, y_true, score, by), score, by)
+
+
+def _decided_counts(df: DataFrame, y_true: str, y_pred: str, score: str, by: Sequence[str], extra: Sequence[str] = ()) -> DataFrame:
+    """Positives and negatives per (group, score, decision), written: the one aggregate over the
+    predictions that both the confusion counts and the AUC are read from."""
+    t = F.col(y_true)
+    return written(df.groupBy(*by, F.col(score).alias("_score"), F.col(y_pred).alias("_pred"), *extra).agg(
+        F.count_if(t == 1).alias("pos"), F.count_if(t == 0).alias("neg")), "decided_counts")
+
+
+def _confusion_of(decided: DataFrame, by: Sequence[str], *more: Column) -> DataFrame:
+    """Confusion counts from ``_decided_counts``."""
+    p = F.col("_pred")
+
+    def total(col: str, pred: int) -> Column:
+        return F.coalesce(F.sum(F.when(p == pred, F.col(col))), F.lit(0)).cast("long")
+
+    return decided.groupBy(*by).agg(total("neg", 0).alias("tn"), total("neg", 1).alias("fp"), total("pos", 0).alias("fn"),
+                                    total("pos", 1).alias("tp"), *more)
+
+
+def _auc_of_decided(decided: DataFrame, by: Sequence[str]) -> DataFrame:
+    counts = decided.where("_score IS NOT NULL AND pos + neg > 0").groupBy(*by, "_score").agg(
+        F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    return auc_of_counts(counts, "_score", by)
+
+
 def roc_curve(df: DataFrame, y_true: str = "y_true", score: str = "score",
               by: Sequence[str] = ()) -> DataFrame:
     """(threshold, fpr, tpr) at every distinct score, descending; all points kept."""
@@ -201,12 +217,11 @@ def evaluate_split(df: DataFrame, by: Sequence[str], threshold: float | Column,
                    y_true: str = "y_true", score: str = "score", beta: float = BETA) -> DataFrame:
     """AUC, F-beta, precision, recall, counts, threshold, totals per (model, data set)."""
     thr = threshold if isinstance(threshold, Column) else F.lit(float(threshold))
-    pred = df.withColumn("_pred", (F.col(score) >= thr).cast("int")).withColumn("_thr", thr)
-    counts = confusion_counts(pred, y_true, "_pred", by)
+    pred = df.withColumn("_thr", thr).withColumn("_decision", (F.col(score) >= F.col("_thr")).cast("int"))
     # the cut-off may be a per-row column (e.g. each model's own threshold): report it per group
-    cut = pred.groupBy(*by).agg(F.max("_thr").alias("threshold"))
-    counts = with_rates(join_groups(counts, cut, by, "inner") if by else _attach(counts, cut), beta)
-    auc = roc_auc(df, y_true, score, by)
+    decided = _decided_counts(pred, y_true, "_decision", score, by, ["_thr"])
+    counts = with_rates(_confusion_of(decided, by, F.max("_thr").alias("threshold")), beta)
+    auc = _auc_of_decided(decided, by)
     j = join_groups(counts, auc, by, "left") if by else _attach(counts, auc)
     return campaign_metrics(j)
 
@@ -228,16 +243,20 @@ def _attach(a: DataFrame, one_row: DataFrame) -> DataFrame:
 
 
 def daily_monitor(preds: DataFrame, day: str = "day", y_true: str = "y_true", y_pred: str = "y_pred",
-                  score: str | None = None, beta: float = BETA,
-                  score_range: tuple[float, float] | None = (0.0, 1.0)) -> DataFrame:
+                  score: str | None = None, beta: float = BETA) -> DataFrame:
     """Per day: rows, false omission rate, F-beta, hard AUC of 0/1 predictions (Q8) and,
-    when a score column is given, the score AUC -- all days in one job.  Scores are
-    probabilities by default (``score_range=(0, 1)``); pass ``None`` for any scale."""
-    counts = confusion_counts(preds, y_true, y_pred, [day])
+    when a score column is given, the score AUC.
+
+    All days come from one aggregate over the predictions, (day, score, decision) counts; the null day is a day of its own.
+    """
+    if score:
+        decided = _decided_counts(preds, y_true, y_pred, score, [day])
+        counts = _confusion_of(decided, [day])
+    else:
+        counts = confusion_counts(preds, y_true, y_pred, [day])
     out = counts.select(day, (F.col("tn") + F.col("fp") + F.col("fn") + F.col("tp")).alias("rows"),
                         "tn", "fp", "fn", "tp", false_omission_rate().alias("fn_rate"),
                         fbeta(beta=beta).alias("f1_5"), hard_auc().alias("auc"))
     if score:
-        auc = roc_auc(preds, y_true, score, [day], score_range).withColumnRenamed("auc", "score_auc")
-        out = out.join(auc, day, "left")
+        out = join_groups(out, _auc_of_decided(decided, [day]).withColumnRenamed("auc", "score_auc"), [day], "left")
     return out

@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from renewcast.operators import metrics as M
+from renewcast.session import written
 
 
 def logistic(n_rows: int, C: float = 1.0, penalty: str = "l2", label: str = "churn",
@@ -38,12 +39,18 @@ def logistic(n_rows: int, C: float = 1.0, penalty: str = "l2", label: str = "chu
 
 def forest(num_trees: int = 100, max_depth: int = 5, feature_subset: str = "sqrt",
            min_leaf: int = 1, impurity: str = "gini", seed: int = 42, label: str = "churn",
-           features: str = "features") -> RandomForestClassifier:
-    """Random forest; the reference's min-samples-split has no Spark counterpart and
-    is folded into ``minInstancesPerNode``."""
+           features: str = "features", min_split: int = 2, max_bins: int = 32) -> RandomForestClassifier:
+    """Random forest.  Spark has no min-samples-split: a node that may only be split from ``min_split`` rows on
+    is approached by ``leaf_rows`` rows in each child.  ``max_bins``: split candidates per feature, which
+    Spark takes from a sample of the rows (a fitting parameter of the model, not a limit on the data)."""
     return RandomForestClassifier(featuresCol=features, labelCol=label, numTrees=num_trees,
-                                  maxDepth=max_depth, featureSubsetStrategy=feature_subset,
-                                  minInstancesPerNode=min_leaf, impurity=impurity, seed=seed)
+                                  maxDepth=max_depth, featureSubsetStrategy=feature_subset, maxBins=max_bins,
+                                  minInstancesPerNode=leaf_rows(min_leaf, min_split), impurity=impurity, seed=seed)
+
+
+def leaf_rows(min_leaf: int, min_split: int) -> int:
+    """Rows each child must have so that no node of fewer than ``min_split`` rows is split."""
+    return max(min_leaf, -(-min_split // 2))
 
 
 def vector_model(feature_cols: Sequence[str], estimator) -> Pipeline:
@@ -62,11 +69,12 @@ def draw_logistic_params(trials: int = 5, seed: int = 42) -> list[dict]:
 
 
 def draw_forest_params(trials: int = 5, seed: int = 42) -> list[dict]:
-    """Seeded draw over 50-400 trees, depth 5-10, sqrt/log2/0.6/0.8, leaf 1-10, gini/entropy."""
+    """Seeded draw over 50-400 trees, depth 5-10, sqrt/log2/0.6/0.8, leaf 1-10, gini/entropy, split 10-50."""
     rng = random.Random(seed)
     return [{"num_trees": rng.randint(50, 400), "max_depth": rng.randint(5, 10),
              "feature_subset": rng.choice(["sqrt", "log2", "0.6", "0.8"]),
-             "min_leaf": rng.randint(1, 10), "impurity": rng.choice(["gini", "entropy"])}
+             "min_leaf": rng.randint(1, 10), "impurity": rng.choice(["gini", "entropy"]),
+             "min_split": rng.randint(10, 50)}
             for _ in range(trials)]
 
 
@@ -85,11 +93,12 @@ def tune_model(train: DataFrame, feature_cols: Sequence[str], kind: str = "logis
         draws = draw_forest_params(trials, seed)
         est = forest(label=label, seed=seed)
         grid = [{est.numTrees: d["num_trees"], est.maxDepth: d["max_depth"],
-                 est.featureSubsetStrategy: d["feature_subset"], est.minInstancesPerNode: d["min_leaf"],
+                 est.featureSubsetStrategy: d["feature_subset"],
+                 est.minInstancesPerNode: leaf_rows(d["min_leaf"], d["min_split"]),
                  est.impurity: d["impurity"]} for d in draws]
     asm = VectorAssembler(inputCols=list(feature_cols), outputCol="features", handleInvalid="keep")
     cv = CrossValidator(estimator=est, estimatorParamMaps=grid,
-                        evaluator=BinaryClassificationEvaluator(labelCol=label, metricName="areaUnderROC"),
+                        evaluator=BinaryClassificationEvaluator(labelCol=label, metricName="areaUnderROC", numBins=0),
                         foldCol=fold_col, parallelism=parallelism, seed=seed)
     model = cv.fit(asm.transform(train))
     return model, draws, list(model.avgMetrics)
@@ -101,9 +110,9 @@ def positive_probability(df: DataFrame, col: str = "probability", name: str = "p
 
 def predict(model: PipelineModel, df: DataFrame, keep: Sequence[str], threshold: float = 0.5,
             label: str = "churn") -> DataFrame:
-    """key, label, probability of churn and the 0/1 decision at ``threshold`` (0.5 serves, Q8)."""
+    """key, label (where the rows have one), probability of churn and the 0/1 decision at ``threshold`` (0.5 serves, Q8)."""
     out = positive_probability(model.transform(df))
-    return out.select(*keep, label, F.col("p_churn").alias("probability"),
+    return out.select(*keep, *[c for c in (label,) if c in df.columns], F.col("p_churn").alias("probability"),
                       (F.col("p_churn") >= F.lit(threshold)).cast("int").alias("prediction"))
 
 
@@ -114,8 +123,8 @@ def cv_report(train: DataFrame, feature_cols: Sequence[str], make_estimator, dra
 
     The (trial, fold) fits are independent Spark jobs and are submitted from
     ``parallelism`` threads (as ``CrossValidator`` does).  Each model scores the
-    whole training set once, tagged train / validation; all metrics then come
-    from one grouped aggregate.
+    whole training set once and keeps only positives and negatives per (part, score); all
+    metrics come from these counts.
     """
     from concurrent.futures import ThreadPoolExecutor
 
@@ -123,10 +132,11 @@ def cv_report(train: DataFrame, feature_cols: Sequence[str], make_estimator, dra
         t, d, f = job
         fit_rows = train.where(F.col(fold_col) != f)
         model = vector_model(feature_cols, make_estimator(d)).fit(fit_rows)
-        return positive_probability(model.transform(train)).select(
-            F.lit(t).alias("trial"), F.lit(f).alias("fold"),
-            F.when(F.col(fold_col) == f, F.lit("validation")).otherwise(F.lit("train")).alias("part"),
-            F.col(label).cast("int").alias("y_true"), F.col("p_churn").alias("score"))
+        part = F.when(F.col(fold_col) == f, F.lit("validation")).otherwise(F.lit("train"))
+        y = F.col(label).cast("int")
+        return positive_probability(model.transform(train)).groupBy(part.alias("part"), F.col("p_churn").alias("score")).agg(
+            F.count_if(y == 1).alias("pos"), F.count_if(y == 0).alias("neg")).select(
+            F.lit(t).alias("trial"), F.lit(f).alias("fold"), "part", "score", "pos", "neg")
 
     jobs = [(t, d, f) for t, d in enumerate(draws) for f in range(k)]
     with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
@@ -134,14 +144,17 @@ def cv_report(train: DataFrame, feature_cols: Sequence[str], make_estimator, dra
     scored = parts[0]
     for s in parts[1:]:
         scored = scored.unionByName(s)
-    # the union of all fold predictions feeds two aggregates: write it once to the shared
-    # folder so the fold models are not applied twice
-    from renewcast.plans.training import materialize
-    scored = materialize(train.sparkSession, scored, "cv_scored")
+    # the counts feed two aggregates: written once, so the fold models are not applied twice
+    scored = written(scored, "cv_counts")
     by = ["trial", "fold", "part"]
-    pred = scored.withColumn("y_pred", (F.col("score") >= F.lit(cut)).cast("int"))
-    counts = M.with_rates(M.confusion_counts(pred, "y_true", "y_pred", by))
-    auc = M.roc_auc(scored, "y_true", "score", by)
+    hit = F.col("score") >= F.lit(cut)
+
+    def total(col, where):
+        return F.coalesce(F.sum(F.when(where, F.col(col))), F.lit(0)).cast("long")
+
+    counts = M.with_rates(scored.groupBy(*by).agg(total("neg", ~hit).alias("tn"), total("neg", hit).alias("fp"),
+                                                  total("pos", ~hit).alias("fn"), total("pos", hit).alias("tp")))
+    auc = M.auc_of_counts(scored, "score", by)
     per_fold = counts.join(auc, by, "left")
     return per_fold.groupBy("trial", "part").agg(F.avg("auc").alias("auc"), F.avg("f1_5").alias("f1_5"),
                                                  F.avg("fn_rate").alias("fn_rate"))

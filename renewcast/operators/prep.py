@@ -102,10 +102,17 @@ def fit_vocabulary(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return long.where(F.col("level").isNotNull()).distinct()
 
 
-def vocabulary(vocab: DataFrame) -> dict[str, list[str]]:
-    """Sorted levels per column (small: categories after rare mapping)."""
+#: Levels that one-hot columns are made for, over all columns; more of them is an error, not a cut.
+MAX_LEVELS = 5000
+
+
+def vocabulary(vocab: DataFrame, max_levels: int = MAX_LEVELS) -> dict[str, list[str]]:
+    """Sorted levels per column; raises beyond ``max_levels`` in all (rows that come to the driver)."""
     out: dict[str, list[str]] = {}
-    for r in vocab.collect():
+    rows = vocab.limit(max_levels + 1).collect()
+    if len(rows) > max_levels:
+        raise ValueError(f"more than {max_levels} category levels: map rare ones first")
+    for r in rows:
         out.setdefault(r["column"], []).append(r["level"])
     return {k: sorted(v) for k, v in out.items()}
 

@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from renewcast.operators.windows import DEFAULT_BLOCKS, blocks_from_cuts, hash_blocks, running_sum
+from renewcast.operators.windows import hash_blocks, running_sum
 
 
 def _stack(pairs: Sequence[tuple[str, Column]], key: str, value: str) -> Column:
@@ -85,8 +85,7 @@ def schema_profile(df: DataFrame) -> DataFrame:
                        F.col("__rows").alias("n_rows"))
 
 
-def exact_quantiles(df: DataFrame, col: str, qs: Sequence[float] = (0.25, 0.5, 0.75),
-                    cuts: Sequence[float] | None = None) -> DataFrame:
+def exact_quantiles(df: DataFrame, col: str, qs: Sequence[float] = (0.25, 0.5, 0.75)) -> DataFrame:
     """Linear-interpolation quantiles (pandas / ``quantile_cont``), exact and distributed.
 
     Returns one row: ``q<pct>`` columns.  Distinct values are counted (partial
@@ -95,8 +94,7 @@ def exact_quantiles(df: DataFrame, col: str, qs: Sequence[float] = (0.25, 0.5, 0
     max -- no task ever holds the whole column.
     """
     counts = df.where(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias("_n"))
-    block = blocks_from_cuts(col, cuts) if cuts is not None else None
-    rs = running_sum(counts, [col], ["_n"], with_total=True, block=block)
+    rs = running_sum(counts, [col], ["_n"], with_total=True)
     first = F.col("_n_cum") - F.col("_n")          # rank of the first copy (0-based)
     last = F.col("_n_cum") - 1
     aggs = []
@@ -116,28 +114,18 @@ def exact_quantiles(df: DataFrame, col: str, qs: Sequence[float] = (0.25, 0.5, 0
     return picked.select(*outs)
 
 
-def exact_quantiles_long(df: DataFrame, cols: Sequence[str], qs: Sequence[float] = (0.25, 0.5, 0.75),
-                         cuts: Sequence[Sequence[float]] | None = None) -> DataFrame:
+def exact_quantiles_long(df: DataFrame, cols: Sequence[str], qs: Sequence[float] = (0.25, 0.5, 0.75)) -> DataFrame:
     """Exact linear-interpolation quantiles of several columns in one pass.
 
     The columns are stacked to (column, value), distinct values counted per
-    column, and one running sum grouped by column ranks them; the block of a
-    value comes from its own column's cut points.  One scan and one shuffle of
+    column, and one running sum grouped by column ranks them in blocks cut by range of (column, value).  One scan and one shuffle of
     distinct (column, value) pairs, whatever the number of columns.
     """
     cols = list(cols)
     pairs = ", ".join(f"'{c}', CAST(`{c}` AS DOUBLE)" for c in cols)
     long = df.select(F.expr(f"stack({len(cols)}, {pairs}) AS (column, value)")).where(F.col("value").isNotNull())
     counts = long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("_n"))
-    if cuts is None:
-        probs = [i / DEFAULT_BLOCKS for i in range(1, DEFAULT_BLOCKS)]
-        cuts = df.approxQuantile(cols, probs, 1.0 / (4 * DEFAULT_BLOCKS))
-    block = None
-    for c, cc in zip(cols, cuts):
-        b = blocks_from_cuts("value", cc)
-        block = F.when(F.col("column") == c, b) if block is None else block.when(F.col("column") == c, b)
-    rs = running_sum(counts, ["value"], ["_n"], group=["column"], block=block.otherwise(F.lit(0)),
-                     with_total=True)
+    rs = running_sum(counts, ["value"], ["_n"], group=["column"], with_total=True)
     first = F.col("_n_cum") - F.col("_n")
     last = F.col("_n_cum") - 1
     aggs = []
@@ -249,7 +237,7 @@ def rank_in_class(df: DataFrame, label: str, key: Sequence[str], seed: int | str
                   tie: Sequence[str] = ()) -> DataFrame:
     """1-based rank of each row within its class in md5(key, seed) order, plus the class size.
 
-    Distributed: the md5's first two hex digits cut every class into 256
+    Distributed: the md5's first four hex digits cut every class into 65,536
     blocks, so a class holding most of the rows is still ranked in pieces.
     """
     h = with_hash_key(df, key, seed).withColumn("_one", F.lit(1))

@@ -6,9 +6,9 @@ Scale rules followed here:
   ``row_number`` window, so partial aggregation keeps a group of a billion
   copies down to one candidate per task before the shuffle;
 * a running sum over a whole column (ROC, Pareto, ranks, exact quantiles) is
-  never a window without ``partitionBy``: rows are cut into blocks by a
-  monotone function of the order key, each block is summed on its own, and a
-  tiny per-block offset table (bounded by the number of blocks) is joined back;
+  never a window without ``partitionBy``: rows are dealt into even blocks by range
+  of the whole sort key, each block is summed on its own, and the
+  per-block offsets are joined back;
 * ``lead`` over a user is used only where the partition size is bounded by the
   preceding filters (see ``next_active_transaction``).
 """
@@ -20,7 +20,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-DEFAULT_BLOCKS = 256
+from renewcast.session import written
+
 HASH_DIGITS = 4      # 16^4 = 65,536 hash blocks
 
 
@@ -29,72 +30,43 @@ def _sort_col(c: str | Column, descending: bool = False) -> Column:
     return x.desc_nulls_last() if descending else x.asc_nulls_first()
 
 
-def quantile_blocks(df: DataFrame, col: str, blocks: int = DEFAULT_BLOCKS,
-                    descending: bool = False) -> Column:
-    """A block id that is monotone in ``col`` (reversed when descending).
-
-    Cut points come from ``approxQuantile`` (one pass, ``blocks`` numbers back
-    to the driver -- the same thing a range partitioner samples).  The block of
-    a value is the number of cut points at or below it, computed JVM-side.
-    """
-    probs = [i / blocks for i in range(1, blocks)]
-    return blocks_from_cuts(col, df.approxQuantile(col, probs, 1.0 / (4 * blocks)), descending)
-
-
-def blocks_from_cuts(col: str, cuts, descending: bool = False) -> Column:
-    """Block id = number of cut points at or below the value (descending: the
-    number of cut points above it).  Written as a balanced ``CASE`` tree, i.e. a
-    binary search of depth log2(len(cuts)) per row, with no lambda: the block
-    column survives the self-join of the running sum (attribute de-duplication
-    does not rewrite references inside higher-order-function lambdas)."""
-    cuts = sorted(set(float(x) for x in cuts if x is not None))
-    x = F.col(col).cast("double")
-    if not cuts:
-        return F.lit(0)
-
-    def count(lo: int, hi: int, strict: bool) -> Column:
-        # number of cuts[lo:hi] that are <= x (strict: < x), plus lo
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        cond = (x > F.lit(cuts[mid])) if strict else (x >= F.lit(cuts[mid]))
-        return F.when(cond, count(mid + 1, hi, strict)).otherwise(count(lo, mid, strict))
-
-    if descending:
-        return F.lit(len(cuts)) - count(0, len(cuts), True)
-    return count(0, len(cuts), False)
-
-
 def hash_blocks(hex_col: str | Column, digits: int = HASH_DIGITS) -> Column:
     """Block id from the leading hex digits of an md5 string (uniform, monotone)."""
     x = F.col(hex_col) if isinstance(hex_col, str) else hex_col
     return F.conv(F.substring(x, 1, digits), 16, 10).cast("int")
 
 
+def order_blocks(df: DataFrame, order: Sequence[Column], group: Sequence[str] = (), blocks: int | None = None) -> DataFrame:
+    """Rows with ``_blk``, an id that rises with (group, order): the rows are dealt out by range over
+    the whole sort key and written, and the block is the range.
+
+    Ranges come from a sample of the rows themselves, so blocks are even however the values are spread, and ties of the
+    first order key are split by the next one.  ``blocks`` defaults to the session's shuffle
+    partitions, so it follows the size the job was set up for.
+    """
+    n = blocks or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = [*[F.col(g).asc_nulls_first() for g in group], *order]
+    return written(df.repartitionByRange(n, *keys).withColumn("_blk", F.spark_partition_id()), "order_blocks")
+
+
 def running_sum(df: DataFrame, order: Sequence[str | Column], values: Sequence[str],
                 group: Sequence[str] = (), descending: bool = False,
                 block: Column | None = None, suffix: str = "_cum",
-                with_total: bool = False) -> DataFrame:
+                with_total: bool = False, blocks: int | None = None) -> DataFrame:
     """Inclusive running sums of ``values`` within ``group`` in ``order``.
 
     ``order`` holds column names (sorted ascending, or descending when
     ``descending``) or ready sort expressions.  It must be a total order within
     the group (callers aggregate to one row per distinct order value first).
-    ``block`` must be monotone in that order; by default it comes from
-    approximate quantiles of the first order column.  Every window is
-    partitioned by (group, block), so no task holds more than one block of one
-    group; the per-block offsets table has (groups x blocks) rows.
+    Blocks come from ``order_blocks``, which runs the plan of ``df`` and writes its rows;
+    a caller may pass its own ``block`` instead, which must be monotone in the order.
+    Every window is partitioned by (group, block), so no task holds more than one block of one
+    group; the offsets table has one row per (group, block).
     ``with_total`` adds ``<value>_total``, the group total, without a cross join.
     """
-    order = list(order)
-    if block is None:
-        first = order[0]
-        if not isinstance(first, str):
-            raise ValueError("give a block column when the first order key is an expression")
-        block = quantile_blocks(df, first, descending=descending)
+    order, group = list(order), list(group)
     sort = [(_sort_col(c, descending) if isinstance(c, str) else c) for c in order]
-    d = df.withColumn("_blk", block)
-    group = list(group)
+    d = order_blocks(df, sort, group, blocks) if block is None else df.withColumn("_blk", block)
     totals = d.groupBy(*group, "_blk").agg(*[F.sum(v).alias(f"_t_{v}") for v in values])
     before = (Window.partitionBy(*group).orderBy("_blk")
               .rowsBetween(Window.unboundedPreceding, -1))
@@ -104,8 +76,8 @@ def running_sum(df: DataFrame, order: Sequence[str | Column], values: Sequence[s
         *group, "_blk",
         *[F.coalesce(F.sum(f"_t_{v}").over(before), F.lit(0)).alias(f"_o_{v}") for v in values],
         *extra)
-    if not group:
-        # one row per block: bounded by the block count, safe to broadcast
+    if not group and block is None:
+        # one row per block, and there are as many blocks as range partitions
         offsets = F.broadcast(offsets)
     w = (Window.partitionBy(*group, "_blk").orderBy(*sort)
          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
@@ -136,10 +108,11 @@ def next_active_transaction(tx: DataFrame, user: str = "msno",
     ``lead`` over the non-cancelled rows gives the first later non-cancelled
     row in one pass (the reference's per-row forward scan is quadratic).  The
     per-user window is bounded: after ``drop_burst_users`` a user has at most
-    2 * n rows per day, and the membership window bounds the days.
+    2 * n rows per day, and the membership window bounds the days.  Rows without a user are dropped.
     """
     if not tie_break:
         raise ValueError("a tie_break column is required for a repeatable order")
+    tx = tx.where(F.col(user).isNotNull())
     if method == "day_blocks":
         return _next_active_by_days(tx, user, order, tie_break, cancel_col, date_col, plan_col,
                                     plan_lo, plan_hi, expire)
@@ -207,7 +180,7 @@ def category_coverage(df: DataFrame, col: str) -> DataFrame:
     """
     counts = df.where(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias("n"))
     rs = running_sum(counts, [F.col("n").desc(), F.col(col).asc()], ["n"],
-                     block=quantile_blocks(counts, "n", descending=True), with_total=True)
+                     with_total=True)
     return rs.select(col, F.col("n").alias("count"), (F.col("n") / F.col("n_total")).alias("share"),
                      (F.col("n_cum") * 100.0 / F.col("n_total")).alias("cum_pct"))
 

@@ -56,8 +56,8 @@ def renewal_labels(tx: DataFrame, window: tuple[str, str] = ("2015-01-01", "2017
 
 
 def cancel_behaviour(tx: DataFrame, user: str = "msno", cancel_col: str = "is_cancel") -> DataFrame:
-    """Users whose set of cancel values is exactly {0, 1} (nulls ignored, as ``set`` of NaN-free data)."""
-    return (tx.where(F.col(cancel_col).isNotNull()).groupBy(user)
+    """Users whose set of cancel values is exactly {0, 1} (null values and rows without a user are ignored)."""
+    return (tx.where(F.col(cancel_col).isNotNull() & F.col(user).isNotNull()).groupBy(user)
             .agg(F.min(cancel_col).alias("_lo"), F.max(cancel_col).alias("_hi"))
             .where((F.col("_lo") == 0) & (F.col("_hi") == 1))
             .select(user))

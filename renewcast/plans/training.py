@@ -12,7 +12,7 @@ from renewcast.operators import metrics as M
 from renewcast.operators import models as ML
 from renewcast.operators import prep as PR
 from renewcast.plans.assembly import CATEGORICAL, NUMERIC
-from renewcast.session import scratch_path
+from renewcast.session import written
 
 KEY = ["msno", "membership_start_date", "membership_expire_date"]
 
@@ -20,9 +20,7 @@ KEY = ["msno", "membership_start_date", "membership_expire_date"]
 def materialize(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """Write to the shared folder and read back: cuts the lineage (so the plan is
     computed once, and a lost executor re-reads files instead of re-running it)."""
-    path = scratch_path(spark, name)
-    df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    return written(df, name)
 
 
 @dataclass
@@ -36,7 +34,7 @@ class Prepared:
 
     def matrix(self, df: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
         return PR.feature_matrix(df, self.scaler, self.vocabulary, list(NUMERIC),
-                                 keep=[*KEY, "churn", *extra])
+                                 keep=[*KEY, *[c for c in ("churn",) if c in df.columns], *extra])
 
 
 def prepare(spark: SparkSession, model_set: DataFrame, test_fraction: float = 0.2, split_seed: int = 611,
@@ -55,7 +53,7 @@ def prepare(spark: SparkSession, model_set: DataFrame, test_fraction: float = 0.
 
 
 def fit_bundle(spark: SparkSession, prep: Prepared, kind: str = "logistic", params: dict | None = None,
-               metric: str = "f1_5", evaluate: bool = False) -> ML.Bundle:
+               metric: str = "f1_5", evaluate: bool = False, info: dict | None = None) -> ML.Bundle:
     """Fit one model on all fitting rows, pick the cut-off with the best ``metric`` on
     the training predictions, and bundle scaler, vocabulary and threshold with it.
     ``evaluate=True`` adds the hold-out AUC, F1.5 and FN rate at that cut-off to the
@@ -70,13 +68,13 @@ def fit_bundle(spark: SparkSession, prep: Prepared, kind: str = "logistic", para
     else:
         est = ML.forest(params.get("num_trees", 50), params.get("max_depth", 5),
                         params.get("feature_subset", "sqrt"), params.get("min_leaf", 1),
-                        params.get("impurity", "gini"))
+                        params.get("impurity", "gini"), min_split=params.get("min_split", 2))
     model = ML.vector_model(prep.names, est).fit(X)
     tr = ML.positive_probability(model.transform(X)).select(
         F.col("churn").cast("int").alias("y_true"), F.col("p_churn").alias("score"))
     best = M.best_threshold(M.threshold_sweep(spark, tr), metric).first()
     thr = float(best["threshold"]) if best else 0.5
-    info = {"model_type": kind, "params": params, "threshold": thr, "sample_size": n,
+    info = (info or {}) | {"model_type": kind, "params": params, "threshold": thr, "sample_size": n,
             "feature_count": len(prep.names), "feature_names": prep.names}
     if evaluate:
         te = ML.positive_probability(model.transform(prep.matrix(prep.test))).select(
@@ -88,10 +86,22 @@ def fit_bundle(spark: SparkSession, prep: Prepared, kind: str = "logistic", para
     return ML.Bundle(model, thr, prep.scaler, prep.vocabulary, list(NUMERIC), info)
 
 
+def tune_bundle(spark: SparkSession, prep: Prepared, kind: str = "logistic", trials: int = 5, seed: int = 42,
+                metric: str = "f1_5") -> tuple[ML.Bundle, list[dict], list[float]]:
+    """Tune, refit the best draw on all fitting rows, choose its threshold and bundle it: (bundle, draws, mean validation
+    AUC of each).  The bundle's info has ``cv_score`` and ``best_params``."""
+    X = materialize(spark, prep.matrix(prep.fit, extra=["fold"]), "cv_matrix")
+    _, draws, scores = ML.tune_model(X, prep.names, kind, trials=trials, seed=seed)
+    best = max(range(len(scores)), key=lambda i: (scores[i], -i))
+    info = {"cv_score": float(scores[best]), "best_params": draws[best]}
+    return fit_bundle(spark, prep, kind, draws[best], metric, evaluate=True, info=info), draws, scores
+
+
 def score_batch(bundle: ML.Bundle, df: DataFrame, threshold: float | None = None,
                 keep: Sequence[str] = ()) -> DataFrame:
     """Scale with the *training* statistics, encode with the training vocabulary, apply
-    the model; ``threshold=None`` serves at 0.5 (what the reference's service does, Q8)."""
+    the model; ``threshold=None`` serves at 0.5 (what the reference's service does, Q8).
+    Rows need no label; where they have one it is handed through."""
     X = PR.feature_matrix(df, bundle.scaler, bundle.vocabulary, list(bundle.numeric),
-                          keep=[*KEY, "churn", *keep])
+                          keep=[*KEY, *[c for c in ("churn",) if c in df.columns], *keep])
     return ML.predict(bundle.model, X, [*KEY, *keep], 0.5 if threshold is None else threshold)

@@ -1,8 +1,9 @@
 """Session construction and the shared working folder.
 
 On a cluster the shared folder comes from ``spark.checkpoint.dir`` (set by
-whoever launches the job, pointing at HDFS / object storage).  Only when it is
-unset -- local tests, the bench -- do we create one of our own under /tmp.
+whoever launches the job, pointing at HDFS / object storage).  Only where it is
+unset and the master is local -- tests, the bench -- do we create one of our own under /tmp;
+with any other master a missing setting is an error.
 """
 
 from __future__ import annotations
@@ -11,9 +12,10 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _CHECKPOINT_KEY = "spark.checkpoint.dir"
+_SCRATCH: list[str] = []
 
 
 # Settings for a large cluster (100 TB class inputs): many initial shuffle
@@ -73,13 +75,17 @@ def shared_dir(spark: SparkSession) -> str:
     """Folder visible to every executor, for checkpoints and written layers.
 
     Reads ``spark.checkpoint.dir`` from the session; sets a fresh local one
-    only when it is unset (tests / single-machine runs).
+    only where it is unset and the master is ``local`` or ``local[...]``.  Elsewhere each executor
+    would write to a disk of its own, so a missing setting raises.
     """
     d = spark.conf.get(_CHECKPOINT_KEY, None)
     if not d:
         # a checkpoint directory set on the context (setCheckpointDir) counts as well
         d = spark.sparkContext.getCheckpointDir()
     if not d:
+        master = spark.conf.get("spark.master", "")
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError(f"spark.checkpoint.dir must name a folder that all executors share (master {master})")
         d = tempfile.mkdtemp(prefix="run-", dir="/tmp")
         spark.conf.set(_CHECKPOINT_KEY, d)
         spark.sparkContext.setCheckpointDir(os.path.join(d, "checkpoints"))
@@ -87,5 +93,26 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh sub-path of the shared folder for one written layer."""
-    return os.path.join(shared_dir(spark).rstrip("/"), "layers", f"{name}-{uuid.uuid4().hex[:8]}")
+    """A fresh sub-path of the shared folder for one written layer; ``clear_scratch`` removes it."""
+    path = os.path.join(shared_dir(spark).rstrip("/"), "layers", f"{name}-{uuid.uuid4().hex[:8]}")
+    _SCRATCH.append(path)
+    return path
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The rows written as Parquet to the shared folder and read back: the plan so far runs once, and a
+    lost executor re-reads files instead of running it again."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def clear_scratch(spark: SparkSession) -> int:
+    """Removes the layers written through ``scratch_path`` so far (any file system Spark can write); returns
+    how many.  Call it when no result that reads them is still wanted."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    n = 0
+    while _SCRATCH:
+        path = jvm.org.apache.hadoop.fs.Path(_SCRATCH.pop())
+        n += bool(path.getFileSystem(conf).delete(path, True))
+    return n

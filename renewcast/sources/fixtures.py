@@ -38,17 +38,9 @@ SECS_LO = 1000.0
 SECS_HI = 90000.0
 
 
-_SCHEMAS: dict[str, object] = {}
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Scan one test table; its schema is read once per path and then declared,
-    so repeated scans in one plan skip the schema-inference job."""
-    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
-    schema = _SCHEMAS.get(path)
-    if schema is None:
-        schema = _SCHEMAS[path] = spark.read.parquet(path).schema
-    return spark.read.schema(schema).parquet(path)
+    """Scan of one test table."""
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,16 +77,28 @@ def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def raw_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Text variant: dates as yyyyMMdd strings and a stray pandas index column."""
+    """Text variant: a stray pandas index column, dates as yyyyMMdd strings, columns in an order of their own."""
     t = transactions(spark, sf_dir)
     return t.select(
-        F.col("tx_id").alias("_c0"),
-        *[c for c in t.columns if c not in ("transaction_date", "membership_expire_date")],
-        F.date_format("transaction_date", "yyyyMMdd").alias("transaction_date"),
+        F.col("tx_id").alias("Unnamed: 0"),
         F.date_format("membership_expire_date", "yyyyMMdd").alias("membership_expire_date"),
+        *sorted(c for c in t.columns if c not in ("transaction_date", "membership_expire_date")),
+        F.date_format("transaction_date", "yyyyMMdd").alias("transaction_date"),
     )
 
 
+def raw_user_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text variant of the logs: index column first, columns reversed, yyyyMMdd dates."""
+    u = user_logs(spark, sf_dir).withColumn("date", F.date_format("date", "yyyyMMdd"))
+    return u.select(F.lit(0).alias("_c0"), *reversed(u.columns))
+
+
+def raw_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text variant of the members, with the age column the layers drop."""
+    m = members(spark, sf_dir).withColumn("registration_init_time", F.date_format("registration_init_time", "yyyyMMdd"))
+    return m.select("registered_via", F.lit(30).alias("bd"), F.lit("7").alias("Unnamed: 0"), "gender", "registration_init_time", "msno", "city")
+
+
 def user_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice",

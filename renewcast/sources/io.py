@@ -18,11 +18,9 @@ from renewcast.functions.scalar import parse_yyyymmdd
 
 STRAY_INDEX_COLUMNS = ("_c0", "Unnamed: 0")
 
-# Raw schemas of the three source files (dates arrive as yyyyMMdd text).
+# Columns of the three source files (dates arrive as yyyyMMdd text); files may hold index columns besides, in any order.
 RAW_TRANSACTIONS = T.StructType([
-    T.StructField("_c0", T.StringType()),
     T.StructField("msno", T.StringType()),
-    T.StructField("tx_id", T.LongType()),
     T.StructField("payment_method_id", T.StringType()),
     T.StructField("payment_plan_days", T.IntegerType()),
     T.StructField("plan_list_price", T.DoubleType()),
@@ -50,12 +48,22 @@ RAW_MEMBERS = T.StructType([
 
 def read_raw_csv(spark: SparkSession, path: str, schema: T.StructType | None = None,
                  date_cols: Sequence[str] = ()) -> DataFrame:
-    """Headed CSV scan with a declared schema (no inference pass); drops stray
-    pandas index columns and parses ``yyyyMMdd`` date columns (bad text -> null)."""
-    r = spark.read.option("header", True)
-    r = r.schema(schema) if schema is not None else r.option("inferSchema", False)
-    df = r.csv(path)
+    """Headed CSV scan with declared columns, bound by the header's names whatever their order.
+
+    Every file's header must name the same columns in the order of the first one (``enforceSchema``
+    is off, so Spark checks it and raises).  A declared column that the header lacks raises; pandas index columns are dropped by name;
+    columns that are not declared are left out.  Values that do not fit the declared type, and bad dates, become null.
+    """
+    read = spark.read.option("header", True)
+    header = read.option("inferSchema", False).csv(path).columns
+    text = T.StructType([T.StructField(c, T.StringType()) for c in header])
+    df = read.option("enforceSchema", False).schema(text).csv(path)
     df = df.drop(*[c for c in STRAY_INDEX_COLUMNS if c in df.columns])
+    if schema is not None:
+        missing = [f.name for f in schema.fields if f.name not in df.columns]
+        if missing:
+            raise ValueError(f"{path}: no column {', '.join(missing)}; the header has {', '.join(header)}")
+        df = cast_schema(df.select(*schema.names), {f.name: f.dataType for f in schema.fields if f.dataType != T.StringType()})
     for c in date_cols:
         df = df.withColumn(c, parse_yyyymmdd(c))
     return df
@@ -179,10 +187,12 @@ def month_readiness(df: DataFrame, date_col: str, spine: DataFrame,
 
 
 def path_exists(spark: SparkSession, path: str, fmt: str = "parquet") -> bool:
-    """Whether a layer can be read at ``path`` (any file system Spark can read)."""
+    """Whether a layer can be read at ``path`` (any file system Spark can read); other errors are raised."""
     from pyspark.errors import AnalysisException
     try:
         spark.read.format(fmt).load(path).schema
         return True
-    except AnalysisException:
-        return False
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return False
+        raise

@@ -29,8 +29,10 @@ def monitor_days(spark: SparkSession, predictions_path: str, out_path: str, chec
     stream = spark.readStream.schema(schema).parquet(predictions_path)
 
     def per_batch(batch: DataFrame, batch_id: int) -> None:
-        months = batch.select(partition).distinct()
-        full = spark.read.parquet(predictions_path).join(months, partition, "left_semi")
+        # the partition values a batch touched: a list of months, which prunes the scan
+        months = [r[0] for r in batch.select(partition).distinct().collect()]
+        known = F.col(partition).isin([m for m in months if m is not None])
+        full = spark.read.parquet(predictions_path).where(known | F.col(partition).isNull() if None in months else known)
         metrics = daily_monitor(full, day, score=score).withColumn(partition, F.trunc(day, "MM"))
         (metrics.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
          .partitionBy(partition).parquet(out_path))

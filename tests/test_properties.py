@@ -71,15 +71,50 @@ def test_labels_unchanged_under_repartition(spark):
     assert _rows(a) == _rows(b)
 
 
-def test_blocks_monotone_in_both_directions(spark):
-    from renewcast.operators.windows import blocks_from_cuts
-    df = spark.createDataFrame([(x,) for x in [None, -5.0, 0.0, 0.5, 1.0, 1.5, 2.0, 9.0]], "v double")
-    cuts = [0.0, 1.0, 2.0]
-    rows = df.select("v", blocks_from_cuts("v", cuts).alias("a"), blocks_from_cuts("v", cuts, True).alias("d")).collect()
-    got = {r["v"]: (r["a"], r["d"]) for r in rows}
-    assert got[None] == (0, 3)                     # nulls: first ascending, last descending
-    assert [got[v][0] for v in [-5.0, 0.0, 0.5, 1.0, 1.5, 2.0, 9.0]] == [0, 1, 1, 2, 2, 3, 3]
-    assert [got[v][1] for v in [-5.0, 0.0, 0.5, 1.0, 1.5, 2.0, 9.0]] == [3, 3, 2, 2, 1, 1, 0]
+def _block_sizes(df, order, group=(), blocks=16):
+    from renewcast.operators.windows import order_blocks
+    d = order_blocks(df, order, group, blocks)
+    return sorted(r["count"] for r in d.groupBy("_blk").count().collect())
+
+
+def test_order_blocks_are_even_on_ties_and_on_concentrated_scores(spark):
+    from pyspark.sql import functions as F
+    # a near-unique category column: every count is 1, the value decides
+    ties = spark.range(20_000).select(F.concat(F.lit("c"), F.col("id")).alias("v"), F.lit(1).alias("n"))
+    # scores of a rare event: nearly all of them in a narrow range near 0
+    low = spark.range(20_000).select((F.pow(F.col("id") / 20_000, 8) * 0.9).alias("score"))
+    for sizes in (_block_sizes(ties, [F.col("n").desc(), F.col("v").asc()]), _block_sizes(low, [F.col("score").asc()])):
+        assert sum(sizes) == 20_000 and len(sizes) >= 14 and sizes[-1] <= 3 * 20_000 / 16
+
+
+def test_order_blocks_rise_with_the_order(spark):
+    from pyspark.sql import functions as F
+    from renewcast.operators.windows import order_blocks
+    rows = [(g, v) for g in (None, "a", "b") for v in (None, -5.0, 0.0, 0.5, 1.0, 9.0)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    got = order_blocks(df, [F.col("v").desc_nulls_last()], ["g"], 5).collect()
+    key = lambda r: (r["g"] is not None, r["g"] or "", r["v"] is None, -(r["v"] or 0.0))
+    ids = [r["_blk"] for r in sorted(got, key=key)]
+    assert len(got) == len(rows) and ids == sorted(ids)
+
+
+def test_category_coverage_of_a_near_unique_column(spark):
+    from renewcast.operators.windows import category_coverage
+    df = spark.createDataFrame([(f"k{i:05d}",) for i in range(3000)] + [("k00007",)] * 2, "c string")
+    rows = {r["c"]: r for r in category_coverage(df, "c").collect()}
+    assert len(rows) == 3000 and rows["k00007"]["count"] == 3 and abs(rows["k02999"]["cum_pct"] - 100.0) < 1e-9
+    assert abs(rows["k00000"]["cum_pct"] - 100.0 * 4 / 3002) < 1e-9
+
+
+def test_tuning_auc_is_exact_on_many_scores(spark):
+    from pyspark.ml.evaluation import BinaryClassificationEvaluator
+    from pyspark.sql import functions as F
+    df = spark.range(20_000).select((F.xxhash64("id") % 1000 < F.col("id") % 977).cast("double").alias("churn"),
+                                    ((F.xxhash64(F.col("id") + 1) % 1_000_003) / 1e6 + F.col("id") % 7).alias("rawPrediction"))
+    assert df.select("rawPrediction").distinct().count() > 19_000
+    exact = M.roc_auc(df.select(F.col("churn").cast("int").alias("y_true"), F.col("rawPrediction").alias("score"))).first()["auc"]
+    spark_auc = BinaryClassificationEvaluator(labelCol="churn", numBins=0).evaluate(df)
+    assert abs(exact - spark_auc) < 1e-9
 
 
 def _brute_auc(pairs):
@@ -126,11 +161,3 @@ def test_threshold_sweep_equals_brute_force(spark):
             assert got[t] == (tp, fp, fn, tn)
 
     check()
-
-
-def test_roc_auc_with_score_range_is_exact_even_out_of_range(spark):
-    rows = [(i % 2, (i % 13) / 10.0 - 0.1) for i in range(300)]   # scores from -0.1 to 1.1
-    df = spark.createDataFrame(rows, "y_true int, score double")
-    a = M.roc_auc(df).first()["auc"]
-    b = M.roc_auc(df, score_range=(0.0, 1.0)).first()["auc"]
-    assert abs(a - b) < 1e-12 and abs(a - _brute_auc(rows)) < 1e-12
