@@ -88,6 +88,12 @@ def usage_features_all_logs(spark, sf):
     return FP.usage_features(logs_valid(spark, sf), silver_tx_feat(spark, sf), lookback_months=None)
 
 
+@query("usage_features__daily", _usage_sql(1, False))
+def usage_features_daily(spark, sf):
+    """Logs pre-aggregated to one row per user and day before the join (for finer-grained logs)."""
+    return FP.usage_features(logs_valid(spark, sf), silver_tx_feat(spark, sf), lookback_months=1, pre_aggregate_days=True)
+
+
 @query("usage_features__dedupe_periods", _usage_sql(1, True))
 def usage_features_dedupe(spark, sf):
     return FP.usage_features(logs_valid(spark, sf), silver_tx_feat(spark, sf), lookback_months=1,

@@ -90,7 +90,14 @@ def assemble_model_set(spark, sf):
 
 @query("label_feature_join", _ms_sql("SELECT * FROM joined", MS_DOUBLES))
 def label_feature_join(spark, sf):
-    return model_set(spark, sf).drop("split")
+    """Labels and features, each deduped by period, joined; rows with any null dropped."""
+    from renewcast.operators.joins import label_feature_join as join
+    from renewcast.operators.windows import dedupe_first
+    lab = dedupe_first(labels_with_tie(spark, sf).select(*KEY, "churn", "tx_id"), KEY, ["tx_id"]).drop("tx_id")
+    feat = gold(spark, sf).where(F.datediff("membership_expire_date", "membership_start_date").isin(30, 31))
+    order = ["tx_id", *USAGE_FEATURES]
+    feat = dedupe_first(feat.select(*KEY, *dict.fromkeys([*FEATS, *order])), KEY, order)
+    return join(lab, feat.select(*KEY, *FEATS)).select(*KEY, "churn", *FEATS)
 
 
 @query("label_balance", _ms_sql("""
@@ -194,6 +201,26 @@ def one_hot(spark, sf):
     return PR.one_hot(PR.apply_rare_maps(p.model_set), p.vocabulary, keep=KEY)
 
 
+_LEVELS = " UNION ALL ".join(
+    f"SELECT DISTINCT '{c}' AS col, lv FROM (SELECT {_rare_sql(c, 'lv')} FROM fit) x WHERE lv IS NOT NULL" for c in PR.ONE_HOT_ALL)
+_MAPPED = " UNION ALL ".join(
+    f"SELECT msno, membership_start_date, membership_expire_date, '{c}' AS col, {_rare_sql(c, 'v')} FROM ms"
+    for c in (*PR.ONE_HOT_ALL, *PR.ONE_HOT_DROP_FIRST))
+
+
+@query("one_hot__fitted_levels", _ms_sql(f"""
+SELECT m.msno, m.membership_start_date, m.membership_expire_date, l.col || '_' || l.lv AS name,
+       CAST(coalesce(m.v = l.lv, false) AS INTEGER) AS value
+FROM ({_MAPPED}) m JOIN ({_LEVELS} UNION ALL SELECT 'is_auto_renew', '1' UNION ALL SELECT 'is_cancel', '1') l ON l.col = m.col"""))
+def one_hot_fitted_levels(spark, sf):
+    """The one-hot columns in long form, against the levels that SQL finds in the training rows itself."""
+    p = prepared(spark, sf)
+    names = [n for n, _, _ in PR.dummy_names(p.vocabulary)]
+    wide = PR.one_hot(PR.apply_rare_maps(p.model_set), p.vocabulary, keep=KEY)
+    pairs = ", ".join(f"'{n}', `{n}`" for n in names)
+    return wide.select(*KEY, F.expr(f"stack({len(names)}, {pairs}) AS (name, value)"))
+
+
 @query("feature_matrix", _ms_sql(f"SELECT m.msno, m.membership_start_date, m.membership_expire_date, {_SCALED}, "
                                  f"{_dummies_sql()} FROM ms m", NUMERIC))
 def feature_matrix(spark, sf):

@@ -323,4 +323,5 @@ def semi_filter(spark, sf):
     from renewcast.catalog.labels import _nb_tx
     from renewcast.plans.labels import cancel_behaviour
     t = _nb_tx(spark, sf)
-    return flt.semi_filter(t, cancel_behaviour(t)).select("msno", "tx_id")
+    from renewcast.operators.joins import semi_filter as keep
+    return keep(t, cancel_behaviour(t)).select("msno", "tx_id")

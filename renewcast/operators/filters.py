@@ -116,7 +116,3 @@ def snapshot_slice(df: DataFrame, date_col: str, month: str) -> DataFrame:
     """Rows whose date lies in ``month`` (first to last day, inclusive)."""
     m = F.lit(month).cast("date")
     return df.where((F.col(date_col) >= m) & (F.col(date_col) <= F.last_day(m)))
-
-
-def semi_filter(df: DataFrame, keys: DataFrame, on: str | Sequence[str] = "msno") -> DataFrame:
-    return df.join(keys, on=on, how="left_semi")

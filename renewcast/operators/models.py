@@ -101,7 +101,7 @@ def tune_model(train: DataFrame, feature_cols: Sequence[str], kind: str = "logis
                         evaluator=BinaryClassificationEvaluator(labelCol=label, metricName="areaUnderROC", numBins=0),
                         foldCol=fold_col, parallelism=parallelism, seed=seed)
     model = cv.fit(asm.transform(train))
-    return model, draws, list(model.avgMetrics)
+    return model, draws, [float(x) for x in model.avgMetrics]
 
 
 def positive_probability(df: DataFrame, col: str = "probability", name: str = "p_churn") -> DataFrame:
