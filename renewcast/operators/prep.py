@@ -9,11 +9,12 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from renewcast.functions.scalar import map_rare
 from renewcast.operators.profiles import rank_in_class, with_hash_key
+from renewcast.operators.windows import hash_blocks
 
 # Rare-category lists of the reference (fixed values): categories kept as
 # themselves, everything else becomes '99'.
@@ -23,6 +24,8 @@ RARE_KEEP = {
     "registered_via": ["7", "9", "3"],
 }
 OTHER = "99"
+#: Classes a split may have; more of them is an error.
+MAX_CLASSES = 1000
 # one-hot: all levels for these, first level dropped for the 0/1 flags
 ONE_HOT_ALL = ("payment_method_id", "city", "gender", "registered_via")
 ONE_HOT_DROP_FIRST = ("is_auto_renew", "is_cancel")
@@ -33,8 +36,8 @@ def stratified_split(df: DataFrame, label: str, key: Sequence[str], test_fractio
                      exact: bool = True) -> DataFrame:
     """Hold out round(f * n_class) rows of every class, first in md5(key, seed) order.
 
-    Repeatable and independent of partitioning; the ranking runs in hash
-    blocks, so a class with most of the rows is still ranked in pieces.
+    Repeatable and independent of partitioning.  Rows are counted per (class, hash block); the block in which a class reaches its
+    number (one row per class comes to the driver) is ranked, and all other rows are decided by their block alone, without a shuffle.
     ``exact=False`` skips the ranking: a row is held out when its md5 falls in
     the first ``f`` of the hash range -- a pure projection, class shares kept
     in expectation only.
@@ -43,9 +46,24 @@ def stratified_split(df: DataFrame, label: str, key: Sequence[str], test_fractio
         h = with_hash_key(df, key, seed)
         frac = F.conv(F.substring("_h", 1, 12), 16, 10).cast("double") / float(16 ** 12)
         return h.withColumn(name, (frac < F.lit(float(test_fraction))).cast("int")).drop("_h")
-    r = rank_in_class(df, label, key, seed, tie)
-    n_test = F.round(F.lit(float(test_fraction)) * F.col("_class_n"))
-    return r.withColumn(name, (F.col("_rank") <= n_test).cast("int")).drop("_rank", "_class_n", "_h")
+    h = with_hash_key(df, key, seed).withColumn("_blk", hash_blocks("_h"))
+    counts = h.groupBy(label, "_blk").agg(F.count(F.lit(1)).alias("_c"))
+    w = Window.partitionBy(label).orderBy("_blk").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    upto = counts.select(label, "_blk", "_c", F.sum("_c").over(w).alias("_upto"), F.sum("_c").over(Window.partitionBy(label)).alias("_n"))
+    goal = F.round(F.lit(float(test_fraction)) * F.col("_n"))
+    edges = upto.where((F.col("_upto") >= goal) & (F.col("_upto") - F.col("_c") < goal)).select(
+        F.col(label).alias("c"), F.col("_blk").alias("b"), (goal - F.col("_upto") + F.col("_c")).cast("long").alias("n")) \
+        .limit(MAX_CLASSES + 1).collect()
+    if len(edges) > MAX_CLASSES:
+        raise ValueError(f"more than {MAX_CLASSES} classes in {label}")
+    edge, take = F.lit(-1), F.lit(0).cast("long")
+    for e in edges:
+        own = F.col(label).eqNullSafe(F.lit(e["c"]))
+        edge, take = F.when(own, e["b"]).otherwise(edge), F.when(own, e["n"]).otherwise(take)
+    sure = h.where(F.col("_blk") != edge).withColumn(name, (F.col("_blk") < edge).cast("int"))
+    place = F.row_number().over(Window.partitionBy(label).orderBy(F.col("_h").asc(), *[F.col(c).asc_nulls_first() for c in tie]))
+    ranked = h.where(F.col("_blk") == edge).withColumn(name, (place <= take).cast("int"))
+    return sure.unionByName(ranked).drop("_h", "_blk")
 
 
 def stratified_folds(df: DataFrame, label: str, key: Sequence[str], k: int = 3, seed: int = 42,

@@ -18,11 +18,18 @@ _CHECKPOINT_KEY = "spark.checkpoint.dir"
 _SCRATCH: list[str] = []
 
 
-# Settings for a large cluster (100 TB class inputs): many initial shuffle
-# partitions that AQE coalesces to ~256 MB each, splits of skewed partitions,
-# scan splits of 256 MB.  Applied by ``get_session(profile="cluster")``.
+#: Bytes of one shuffle partition on a cluster.
+PARTITION_BYTES = 256 << 20
+
+
+def partitions_for(shuffle_bytes: int) -> int:
+    """Initial shuffle partitions for a shuffle of that size: about PARTITION_BYTES each, 200 at least (AQE coalesces what turns out small)."""
+    return max(200, -(-shuffle_bytes // PARTITION_BYTES))
+
+
+# Settings for a large cluster: splits of skewed partitions, scan splits of 256 MB; the number of shuffle
+# partitions follows the expected shuffle (``partitions_for``).  Applied by ``get_session(profile="cluster")``.
 CLUSTER_CONF = {
-    "spark.sql.shuffle.partitions": "8000",
     "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256m",
     "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64m",
     "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4",
@@ -37,19 +44,21 @@ CLUSTER_CONF = {
 
 
 def get_session(master: str | None = None, shuffle_partitions: int | None = None,
-                app_name: str = "renewcast", profile: str = "local") -> SparkSession:
+                app_name: str = "renewcast", profile: str = "local", shuffle_bytes: int = 10 ** 13) -> SparkSession:
     """Build (or reuse) a session with the settings every operator assumes.
 
     AQE is on: it coalesces small shuffle partitions, splits skewed join
     partitions and turns a sort-merge join into a broadcast join only after the
     build side has been measured at run time (the size check for every join we
     do not broadcast explicitly).  ``profile="cluster"`` applies ``CLUSTER_CONF``
-    (the master then comes from spark-submit).
+    (the master then comes from spark-submit) with shuffle partitions for the largest
+    shuffle expected, ``shuffle_bytes`` (of a 100 TB scan, by default a tenth).
     """
     if profile == "cluster":
         b = SparkSession.builder.appName(app_name)
         for k, v in CLUSTER_CONF.items():
             b = b.config(k, v)
+        b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions or partitions_for(shuffle_bytes)))
         b = b.config("spark.sql.session.timeZone", "UTC").config("spark.sql.adaptive.enabled", "true")
         return b.getOrCreate()
     master = master or os.environ.get("SPARK_MASTER", "local[8]")

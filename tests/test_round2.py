@@ -119,7 +119,7 @@ def test_vocabulary_has_a_limit(spark):
         PR.vocabulary(v, 29)
 
 
-def test_smallest_split_is_folded_into_the_leaves():
+def test_smallest_split_is_folded_into_the_leaves(spark):
     assert [ML.leaf_rows(*x) for x in ((1, 2), (1, 50), (10, 11), (3, 7))] == [1, 25, 10, 4]
     draws = ML.draw_forest_params(20, 1)
     assert all(10 <= d["min_split"] <= 50 for d in draws)
@@ -143,3 +143,17 @@ def test_monitor_stream_prunes_months(spark, tmp_path):
         daily.daily_monitor = real
     assert seen and all("PartitionFilters: [" in p and "month" in p.split("PartitionFilters: [")[1].split("]")[0] for p in seen)
     assert daily.read_monitor(spark, out).count() == 4
+
+
+def test_shuffle_partitions_follow_the_size():
+    assert session.partitions_for(0) == 200
+    assert session.partitions_for(10 ** 13) == -(-10 ** 13 // session.PARTITION_BYTES)
+
+
+@pytest.mark.parametrize("fraction", [0.0, 0.2, 0.5, 1.0])
+def test_split_by_boundary_block_equals_full_ranking(spark, monkeypatch, fraction):
+    from renewcast.operators.profiles import rank_in_class
+    df = spark.range(3000).select("id", (F.col("id") % 7 == 0).cast("int").alias("y")).withColumn("y", F.when(F.col("id") % 11 != 0, F.col("y")))
+    got = {r["id"]: r["is_test"] for r in PR.stratified_split(df, "y", ["id"], fraction, 611).collect()}
+    ranked = rank_in_class(df, "y", ["id"], 611).select("id", (F.col("_rank") <= F.round(F.lit(fraction) * F.col("_class_n"))).cast("int").alias("t"))
+    assert got == {r["id"]: r["t"] for r in ranked.collect()} and len(got) == 3000
