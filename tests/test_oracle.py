@@ -8,11 +8,14 @@ import pytest
 
 import __spark_entry__ as E
 from conftest import SF_SMALL
+from renewcast import registry
 
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings "
           "pages benchmark labels conversations").split()
-SQL = E.oracle_sql()
-QUERIES = E.queries()
+registry.load_all()
+SQL, QUERIES = registry.ORACLES, registry.QUERIES
+#: No all-pairs join and no Python in any plan that has SQL.
+BAD = ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "ArrowEvalPython", "FlatMapGroupsInPandas", "MapInPandas")
 
 
 def _norm(v):
@@ -45,6 +48,8 @@ def test_every_query_has_sql_or_is_rows_only():
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_query_matches_duckdb(spark, duck, name):
     sdf = QUERIES[name](spark, SF_SMALL)
+    plan = sdf._jdf.queryExecution().executedPlan().toString()
+    assert not [b for b in BAD if b in plan]
     rows = sdf.collect()
     res = duck.execute(SQL[name])
     dcols = [d[0] for d in res.description]
@@ -62,3 +67,7 @@ def test_entry_smoke(spark):
     df = E.entry(spark)
     assert df.count() > 0
     assert df.columns == ["snapshot_month", "n_periods", "n_churn"]
+
+
+def test_entry_holds_the_core_queries():
+    assert set(QUERIES) <= set(E.queries()) and set(SQL) <= set(E.oracle_sql())
