@@ -46,6 +46,7 @@ EDGE = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "«»
 PLAIN_EDGE = "".join(c for c in EDGE if c not in "$@")     # at an edge, only these two are taken for letters
 TRIPLE = re.compile(r"([^\W\d_])\1\1")
 SPACED = re.compile(r"(?<!\S)(?:\S[ .\-_*]){3,}\S(?!\S)")
+PART, OVERLAP = 64, 24                    # signs decoded at a time in very long tokens
 LETTERS = 28                              # a-z, any other letter, word edge
 OTHER, EDGE_CODE = 26, 27
 CODES = np.full(256, EDGE_CODE, dtype=np.int64)
@@ -131,10 +132,17 @@ def reader(features: dict[str, float], cost: np.ndarray) -> Callable[[str], tupl
         if e is None:
             if len(known) > 200_000:
                 known.clear()
-            word = restore(token, cost) if len(token) <= 64 else ""
-            e = known[token] = evidence(word)
+            e = known[token] = evidence(restore(token, cost)) if len(token) <= PART else inside(token)
         return e
 
+    def inside(token: str) -> float:
+        """Evidence anywhere in a run of signs; long runs are decoded in parts that overlap."""
+        best = 0.0
+        for at in range(0, max(1, len(token) - OVERLAP), PART - OVERLAP):
+            word = restore(token[at:at + PART], cost)
+            best = max([best, *[evidence(word[k:]) for k in range(len(word) - 2) if word[k:k + 4] in stems]])
+        return best
+
     def read(text: str) -> tuple[float, int]:
         low = text.lower()
         triple = TRIPLE.search(low) is not None
@@ -156,9 +164,7 @@ def reader(features: dict[str, float], cost: np.ndarray) -> Callable[[str], tupl
                 hits += 1
                 best = max(best, e)
         for m in SPACED.finditer(low):
-            run = "".join(ch for ch in m[0] if not ch.isspace() and ch not in ".-_*")
-            run = restore(run, cost) if len(run) <= 64 else run
-            e = max((evidence(run[k:]) for k in range(len(run) - 2) if run[k:k + 4] in stems), default=0.0)
+            e = inside("".join(ch for ch in m[0] if not ch.isspace() and ch not in ".-_*"))
             if e > 0:
                 hits += 1
                 best = max(best, e)

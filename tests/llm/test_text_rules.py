@@ -145,3 +145,10 @@ def test_toxicity_defined_cases(spark, make_docs, toxic_model):
     assert left.columns == docs.columns and left.count() == len(ODD) + 2
     none = toxicity.learn(make_docs([]), spark.createDataFrame([], "doc_id long, toxic int"))
     assert [r["predicted"] for r in toxicity.score_toxicity(make_docs([(1, "idiot")]), none).collect()] == [0]
+
+
+def test_disguised_words_inside_long_runs(toxic_model):
+    score = toxicity.scorer(toxic_model)
+    hidden = "the." * 40 + "1d10t" + ".and" * 40
+    assert score(hidden)[1] > 0 and score("the." * 200)[1] == 0
+    assert score(" ".join("the and of in" * 10) + " " + " ".join("1d10t"))[1] > 0
