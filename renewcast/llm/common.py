@@ -12,6 +12,8 @@ from renewcast.session import scratch_path
 
 #: Rows up to which a table that has been counted may be broadcast; a larger one is joined by a shuffle.
 BROADCAST_ROWS = 200_000
+#: The same for the bytes of rows that hold texts or lists.
+BROADCAST_BYTES = 32_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,10 +34,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def bounded_broadcast(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    """Marks a written table for broadcast only if its row count, taken here, is within
-    ``most``; otherwise the table is left to a shuffled join."""
-    return F.broadcast(df) if df.count() <= most else df
+def bounded_broadcast(df: DataFrame, size: Column | None = None) -> DataFrame:
+    """Marks a written table for broadcast only if its rows, counted here, are within BROADCAST_ROWS and, for rows without a fixed
+    size, their bytes (the sum of ``size``) within BROADCAST_BYTES; otherwise the table is left to a shuffled join."""
+    n = df.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(F.lit(0) if size is None else size), F.lit(0)).alias("bytes")).first()
+    return F.broadcast(df) if n["rows"] <= BROADCAST_ROWS and n["bytes"] <= BROADCAST_BYTES else df
 
 
 def key_of(c: Column) -> Column:

@@ -109,10 +109,11 @@ def hit_windows(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, i
     found = marked.select("_id", "_tx", F.explode(prints).alias("mark")).join(marks, "mark")
     found = written(found.groupBy("_id", "_tx").agg(F.collect_set("mark").alias("_marks")), "fingerprint_hits")
 
-    near = with_fingerprints(d.join(bounded_broadcast(found), ["_id", "_tx"]), lengths, gram)
+    near = with_fingerprints(d.join(bounded_broadcast(found, 8 * F.size("_marks")), ["_id", "_tx"]), lengths, gram)
     places = F.concat(*[F.array_compact(F.transform(f"_f{n}", _hit_at(n))) for n in lengths])
     windows = near.select("_id", "_tx", F.explode(places).alias("x")).select("_id", "_tx", "x.*")
-    return windows.join(bounded_broadcast(bench.select("span", "items")), "span").select("_id", "_tx", "start", "end", "items")
+    listed = F.aggregate("items", F.lit(0), lambda n, x: n + F.octet_length(x) + 16)
+    return windows.join(bounded_broadcast(bench.select("span", "items"), F.octet_length("span") + listed), "span").select("_id", "_tx", "start", "end", "items")
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -126,7 +127,8 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     none = F.expr("CAST(array() AS array<struct<start:bigint,end:bigint>>)")
     base = docs.select(F.col(id_col).alias("_out_id"), key_of(F.col(id_col)).alias("_id"), F.xxhash64(text_col).alias("_tx"),
                        F.size(words_of(F.col(text_col))).cast("long").alias("n_words"))
-    out = base.join(bounded_broadcast(per_doc), ["_id", "_tx"], "left")
+    listed = F.aggregate("items", F.lit(0), lambda n, x: n + F.octet_length(x) + 16)
+    out = base.join(bounded_broadcast(per_doc, 16 * F.size("spans") + listed), ["_id", "_tx"], "left")
     return out.select(F.col("_out_id").alias(id_col), "n_words", F.coalesce(covered(F.col("spans")), F.lit(0)).cast("long").alias("n_hit"),
                       F.coalesce(F.sort_array("spans"), none).alias("spans"),
                       F.coalesce("items", F.expr("CAST(array() AS array<string>)")).alias("items"))
