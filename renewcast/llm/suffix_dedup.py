@@ -29,15 +29,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from renewcast.llm.bwt import long_repeats
-from renewcast.llm.common import bounded_broadcast, written
+from renewcast.llm.common import BROADCAST_ROWS, bounded_broadcast, partitions, written
 
 LEAST, GRAM = 100, 32
 CHUNK = 1 << 20                 # windows worked on at a time
-BLOCK_BYTES = 2_000_000         # text of one block for the transform
-HOT = 4_000                     # different stretches of one anchor in a block, at most
+BLOCK_BYTES = 1_000_000         # text of one block for the transform
+HOT = 2_000                     # different stretches of one anchor in a block, at most
 MULTIPLIER = 0x9E3779B97F4A7C15
 #: A place packs copy (22 bits), start (32) and length (9) so that places of a document sort by it.
 START_BITS, LENGTH_BITS = 32, 9
+SURE = -1
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -85,9 +86,9 @@ class Anchors:
 
 
 def stretches(docs: DataFrame, least: int, gram: int) -> DataFrame:
-    """(route, sure, hash, stretch, doc, place): a row for each stretch.  ``sure``: an equal stretch stands earlier in
-    the same batch; those rows are dealt out by place, the others by anchor."""
-    names = ["route", "sure", "hash", "stretch", "doc", "place"]
+    """(route, stretch, doc, place): a row for each stretch, dealt out by its anchor's hash.  Where an equal stretch stands
+    earlier in the same batch, stretch is SURE and the row is dealt out by its place."""
+    names = ["route", "stretch", "doc", "place"]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = Anchors(least, gram)
@@ -102,7 +103,7 @@ def stretches(docs: DataFrame, least: int, gram: int) -> DataFrame:
                 sure = np.concatenate(([False], (h[1:] == h[:-1]) & (s[1:] == s[:-1])))
                 h = h.view(np.int64)
                 route = np.where(sure, (place * 7919 + doc) * 1_000_003, h)
-                return pa.RecordBatch.from_arrays([pa.array(c) for c in (route, sure, h, s.astype(np.int64), doc, place)], names=names)
+                return pa.RecordBatch.from_arrays([pa.array(c) for c in (route, np.where(sure, SURE, s.astype(np.int64)), doc, place)], names=names)
 
             for i in range(b.num_rows):
                 text = (b.column(2)[i].as_py() or "").encode("utf-8", "replace")
@@ -116,7 +117,7 @@ def stretches(docs: DataFrame, least: int, gram: int) -> DataFrame:
             if parts:
                 yield out()
 
-    return docs.mapInArrow(run, "route long, sure boolean, hash long, stretch long, doc long, place long")
+    return docs.mapInArrow(run, "route long, stretch long, doc long, place long")
 
 
 def compare_stretches(rows: DataFrame) -> DataFrame:
@@ -129,9 +130,9 @@ def compare_stretches(rows: DataFrame) -> DataFrame:
         paired = False                                     # whether its anchor had another one before
         empty = [np.empty(0, dtype=np.int64)] * 4
         for b in batches:
-            sure = b.column(1).to_numpy(zero_copy_only=False)
-            h, s, doc, place = (b.column(c).to_numpy() for c in range(2, 6))
-            known = [np.concatenate(x) for x in ((h[sure],), (doc[sure],), (place[sure],))]
+            h, s, doc, place = (c.to_numpy() for c in b.columns)
+            sure = s == SURE
+            known = [x[sure] for x in (h, doc, place)]
             h, s, doc, place = (x[~sure] for x in (h, s, doc, place))
             if held is not None:
                 h, s, doc, place = (np.concatenate(([v], x)) for v, x in zip(held, (h, s, doc, place), strict=True))
@@ -156,10 +157,17 @@ def compare_stretches(rows: DataFrame) -> DataFrame:
         if held is not None and paired:
             yield pa.RecordBatch.from_arrays([pa.array([True]), *[pa.array([int(held[k])], pa.int64()) for k in (0, 2, 3)]], names=names)
 
-    dealt = rows.repartition("route").sortWithinPartitions("route", "hash", "stretch", "doc", "place")
+    dealt = rows.repartition("route").sortWithinPartitions("route", "stretch", "doc", "place")
     return dealt.mapInArrow(run, "open boolean, hash long, doc long, place long")
 
 
+def _touched(docs: DataFrame, lists: DataFrame) -> DataFrame:
+    """The documents that a list names, without a shuffle where the lists were counted to be few; else all of them."""
+    if lists.count() > BROADCAST_ROWS:
+        return docs
+    return docs.join(F.broadcast(lists.select("doc", "copy")), ["doc", "copy"], "left_semi")
+
+
 def with_texts(open_: DataFrame, docs: DataFrame) -> DataFrame:
     """(hash, doc, copy, start, part): the bytes of each open stretch."""
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,7 +189,7 @@ def with_texts(open_: DataFrame, docs: DataFrame) -> DataFrame:
 
     copy = F.shiftright("place", START_BITS + LENGTH_BITS)
     lists = written(open_.groupBy("doc", copy.alias("copy")).agg(F.collect_list(F.struct("hash", "place")).alias("spots")), "open_places")
-    joined = docs.join(bounded_broadcast(lists, 50_000), ["doc", "copy"]).select("doc", "copy", "text", "spots")
+    joined = _touched(docs, lists).join(lists, ["doc", "copy"]).select("doc", "copy", "text", "spots")
     return joined.mapInArrow(run, "hash long, doc long, copy long, start long, part binary")
 
 
@@ -256,15 +264,24 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     hot = written(counts.where(F.col("n") > HOT).select("hash"), "hot_anchors")
     some = not hot.isEmpty()
     usual = parts.join(bounded_broadcast(hot), "hash", "left_anti") if some else parts
-    block = F.pmod(F.xxhash64("hash"), F.lit(size // BLOCK_BYTES + 1))
+    block = F.pmod(F.xxhash64("hash"), F.lit(size // BLOCK_BYTES + partitions(docs.sparkSession)))
     spans = spans.unionByName(usual.groupBy(block.alias("block")).applyInArrow(block_repeats(least), "doc long, copy long, start long, end long"))
     if some:
         spans = spans.unionByName(hot_repeats(parts.join(bounded_broadcast(hot), "hash", "left_semi"), least))
 
-    lists = spans.groupBy("doc", "copy").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    joined = d.join(lists, ["doc", "copy"], "left").select("_row", "text", "spans")
-    done = joined.mapInArrow(cut_out(whole_characters), f"_row {d.schema['_row'].dataType.simpleString()}, n_bytes long, n_removed long, "
-                             "n_spans long, kept binary")
+    lists = written(spans.groupBy("doc", "copy").agg(F.collect_list(F.struct("start", "end")).alias("spans")), "removed_spans")
+    kinds = f"_row {d.schema['_row'].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept binary"
+    if lists.count() <= BROADCAST_ROWS:
+        # documents that keep all their bytes need neither a shuffle nor Python
+        whole = d.join(F.broadcast(lists.select("doc", "copy")), ["doc", "copy"], "left_anti")
+        text = F.coalesce(F.col("text"), F.lit(""))
+        zero = F.lit(0).cast("long")
+        whole = whole.select("_row", F.octet_length(text).cast("long").alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"),
+                             text.cast("binary").alias("kept"))
+        cut = _touched(d, lists).join(lists, ["doc", "copy"]).select("_row", "text", "spans").mapInArrow(cut_out(whole_characters), kinds)
+        done = whole.unionByName(cut)
+    else:
+        done = d.join(lists, ["doc", "copy"], "left").select("_row", "text", "spans").mapInArrow(cut_out(whole_characters), kinds)
     if whole_rows:
         return done.select(*[F.col("kept").cast("string").alias(c) if c == text_col else F.col(f"_row.`{c}`") for c in docs.columns])
     return done.select(F.col(f"_row.`{id_col}`"), "n_bytes", "n_removed", "n_spans", "kept")
