@@ -8,8 +8,8 @@ an island's best solutions migrate to the next island of its block.  An island s
 reaches the lower bound (tokens / capacity).  Bins that stay below ``FULL`` of the capacity are taken apart, and their
 pieces are dealt into new blocks and packed once more, so that the many blocks do not leave one slack bin each.
 
-Token counts come from a public tokenizer, its path a parameter.  Its words are looked up in a table per task; new words
-are encoded together.  Texts with characters for which splitting here is not known to equal the
+Token counts come from a public tokenizer, its path a parameter.  The ids of words are remembered per
+task.  Texts with characters for which splitting here is not known to equal the
 tokenizer's own go to the tokenizer whole.
 
 Defined results: null and empty texts are one piece of the end token; rows that share an id, or repeat, are pieces
@@ -23,7 +23,7 @@ import random
 import re
 import zlib
 from bisect import bisect_left, insort
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -40,43 +40,52 @@ END_TOKEN = 1
 
 #: Texts of these characters alone are split here; all others go to the tokenizer whole.
 SIMPLE = re.compile(r"[\t\n\r -~À-ÖØ-öø-ÿ]*")
-PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-zß-öø-ÿ0-9]+")
+#: The tokenizer's own pieces of such a text in lower case (no piece crosses white space).
+PIECES = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|'s|'t|'re|'ve|'m|'ll|'d|[^\sa-zß-öø-ÿ0-9]+")
+KNOWN = 250_000            # chunks, and pieces, whose ids a task remembers
+
+
+class _Remembered(dict):
+    """key -> bytes, made on first use; forgets all when it is full."""
+
+    def __init__(self, make: Callable[[str], bytes]) -> None:
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, key: str) -> bytes:
+        if len(self) >= KNOWN:
+            self.clear()
+        value = self[key] = self.make(key)
+        return value
 
 
 class Encoder:
-    """text -> ids as little-endian 32-bit bytes, without the end token."""
+    """text -> ids as little-endian 32-bit bytes, without the end token.
+
+    A simple text is cut at white space; the ids of a chunk are those of its pieces, and the ids of a piece come
+    from the tokenizer's model.  Both are remembered.
+    """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
-
-    def learn(self, words: set[str]) -> None:
-        new = sorted(w for w in words if w not in self.known)
-        if len(self.known) + len(new) > 1_000_000:
-            self.known.clear()
-            new = sorted(words)
-        for at in range(0, len(new), 20_000):
-            part = new[at:at + 20_000]
-            found = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
-            ids, owner = np.array(found.ids, dtype="<u4"), np.array(found.word_ids)
-            cut = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1])))
-            if len(cut) != len(part):                # cannot be, by the pattern; but then each word by itself
-                self.known.update((w, self.whole(w)) for w in part)
-                continue
-            edges = [*cut.tolist(), len(ids)]
-            self.known.update((w, ids[edges[k]:edges[k + 1]].tobytes()) for k, w in enumerate(part))
-
-    def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        model = self.tokenizer.model
+        level = ByteLevel(add_prefix_space=False, use_regex=False)
+        # the model reads a byte as a character of its own
+        as_bytes = {k: level.pre_tokenize_str(chr(k))[0][0] for k in range(33, 256) if SIMPLE.fullmatch(chr(k))}
+
+        def piece_ids(piece: str) -> bytes:
+            return np.array([t.id for t in model.tokenize(piece.translate(as_bytes))], dtype="<u4").tobytes()
 
-    def encode(self, texts: list[str]) -> Iterator[bytes]:
-        """For a moderate number of texts at a time: words new to the table are encoded together."""
-        split = [PIECES.findall(t.lower()) if SIMPLE.fullmatch(t) and "<|" not in t else None for t in texts]
-        self.learn({w for words in split if words is not None for w in words})
-        for text, words in zip(texts, split, strict=True):
-            yield self.whole(text) if words is None else b"".join(map(self.known.__getitem__, words))
+        pieces = _Remembered(piece_ids)
+        self.chunks = _Remembered(lambda chunk: b"".join(map(pieces.__getitem__, PIECES.findall(chunk))))
+
+    def encode(self, text: str) -> bytes:
+        if SIMPLE.fullmatch(text) and "<|" not in text:
+            return b"".join(map(self.chunks.__getitem__, text.lower().split()))
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, id_col: str, text_col: str, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
@@ -89,10 +98,9 @@ def token_pieces(docs: DataFrame, tokenizer: str, id_col: str, text_col: str, ca
         for b in batches:
             for at in range(0, b.num_rows, 200):
                 part = b.slice(at, 200)
-                texts = [t.as_py() or "" for t in part.column(1)]
                 row, piece, start, length, crc, ids = [], [], [], [], [], []
-                for i, data in enumerate(encoder.encode(texts)):
-                    data += end
+                for i, text in enumerate(part.column(1)):
+                    data = encoder.encode(text.as_py() or "") + end
                     for k, from_ in enumerate(range(0, len(data), 4 * capacity)):
                         cut = data[from_:from_ + 4 * capacity]
                         row.append(i)
