@@ -111,7 +111,7 @@ def stretches(docs: DataFrame, least: int, gram: int) -> DataFrame:
                     place = (int(copies[i]) << (START_BITS + LENGTH_BITS)) | (start << LENGTH_BITS) | length
                     parts.append((h, s, np.full(len(h), docs_[i], dtype=np.int64), place))
                     held += len(h)
-                    if held > 1_000_000:
+                    if held > 300_000:
                         yield out()
                         parts, held = [], 0
             if parts:
