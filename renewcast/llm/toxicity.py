@@ -46,7 +46,8 @@ EDGE = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "«»
 PLAIN_EDGE = "".join(c for c in EDGE if c not in "$@")     # at an edge, only these two are taken for letters
 TRIPLE = re.compile(r"([^\W\d_])\1\1")
 SPACED = re.compile(r"(?<!\S)(?:\S[ .\-_*]){3,}\S(?!\S)")
-PART, OVERLAP = 64, 24                    # signs decoded at a time in very long tokens
+PART, OVERLAP = 64, 24                    # signs decoded at a time in long runs
+PART_END = re.compile("(?<=.)[^\\w" + re.escape("".join(c for c in LOOKALIKE if not c.isalnum())) + "]|_")
 LETTERS = 28                              # a-z, any other letter, word edge
 OTHER, EDGE_CODE = 26, 27
 CODES = np.full(256, EDGE_CODE, dtype=np.int64)
@@ -122,17 +123,51 @@ def restore(token: str, cost: np.ndarray) -> str:
 def reader(features: dict[str, float], cost: np.ndarray) -> Callable[[str], tuple[float, int]]:
     """The function text -> (strongest evidence, number of words with evidence)."""
     stems = {f[:4].rstrip("$") for f in features}
+    starts = {s[:n] for s in stems for n in range(1, len(s) + 1)}
     known: dict[str, float] = {}
 
     def evidence(word: str) -> float:
         return max(0.0, *[features.get(f, 0.0) for f in features_of(word)])
 
+    def opens(token: str, at: int) -> tuple[bool, bool]:
+        """Whether the lattice from a place on can begin with a learned stem, and whether it must read a sign for it."""
+        plain, read = {""}, set()               # beginnings of stems read from letters alone, and with signs
+        for ch in token[at:at + PART]:
+            if ch.isalpha():
+                plain = {p + ch for p in plain if p + ch in starts} | {p for p in plain if p.endswith(ch) and p}
+                read = {p + ch for p in read if p + ch in starts} | {p for p in read if p.endswith(ch)}
+            else:
+                both = plain | read
+                ways = LOOKALIKE.get(ch, "")
+                read = {p + x for p in both for x in ways if p + x in starts} | {p for p in both if p}
+                plain = set()
+            if not plain and not read:
+                break
+            if not stems.isdisjoint(plain):
+                return True, False
+            if not stems.isdisjoint(read):
+                return True, True
+        return False, False
+
     def decoded(token: str) -> float:
+        """Evidence of a token of any length: read from its start and from behind each sign, as far as it goes and to the
+        next sign that is no letter; amid letters only what is written with signs counts, and no stem of four letters."""
         e = known.get(token)
         if e is None:
             if len(known) > 200_000:
                 known.clear()
-            e = known[token] = evidence(restore(token, cost)) if len(token) <= PART else inside(token)
+            e = 0.0
+            for at in range(len(token)):
+                may, signs = opens(token, at)
+                edge = at == 0 or not token[at - 1].isalnum()
+                if not may or not (edge or signs):
+                    continue
+                rest = token[at:at + PART]
+                for part in {rest, PART_END.split(rest, maxsplit=1)[0]}:
+                    word = restore(part, cost)
+                    e = max(e, evidence(word) if edge else max(0.0, *[features.get(word[:n], 0.0) for n in PREFIXES[1:]],
+                                                               features.get(word + "$", 0.0)))
+            known[token] = e
         return e
 
     def inside(token: str) -> float:

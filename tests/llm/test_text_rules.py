@@ -152,3 +152,11 @@ def test_disguised_words_inside_long_runs(toxic_model):
     hidden = "the." * 40 + "1d10t" + ".and" * 40
     assert score(hidden)[1] > 0 and score("the." * 200)[1] == 0
     assert score(" ".join("the and of in" * 10) + " " + " ".join("1d10t"))[1] > 0
+
+
+@pytest.mark.parametrize("written", ["well,idiot", "end.1d10t", "<b>idiot</b>", "total/idiot", "end.$tupid", "x.m0r0n,y", "xx1d10tyy"])
+@pytest.mark.parametrize("before", ["", "foo-" * 30, "x" * 80 + "."])
+def test_joined_words_score_alike_at_every_length(toxic_model, written, before):
+    score = toxicity.scorer(toxic_model)
+    assert score(f"the {before}{written} of")[1] > 0
+    assert score(f"the {before}sunlose-up,unidiomatic of")[1] == 0
