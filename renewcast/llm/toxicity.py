@@ -2,7 +2,9 @@
 
 A written token is taken as a plain word sent through a channel that swaps letters for look-alike
 digits and signs, repeats letters, and puts signs or spaces between them.  Suspicious tokens become a lattice of
-possible letters, and Viterbi decoding under a character trigram model finds the likeliest word.
+possible letters, and Viterbi decoding under a character trigram model finds the likeliest word.  Decoded is what the
+lattice can read as the start of a learned word: a token from its start or from behind a sign, a token with doubled letters,
+or short tokens joined over the spaces between them (then only whole learned words, or six letters of one).
 The trigrams are counted over every text of the corpus, mixed with those of the learned words.
 
 Learning uses labelled rows alone, distinct texts only.  Features of a text are its words and the first
@@ -44,9 +46,11 @@ LOOKALIKE = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "g", "7": "
 SWAP_COST, DROP_COST, REPEAT_COST, KEEP_SIGN_COST = 0.5, 1.0, 0.2, 6.0
 EDGE = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "«»„“”‘’…–—¿¡"
 PLAIN_EDGE = "".join(c for c in EDGE if c not in "$@")     # at an edge, only these two are taken for letters
-TRIPLE = re.compile(r"([^\W\d_])\1\1")
-SPACED = re.compile(r"(?<!\S)(?:\S[ .\-_*]){3,}\S(?!\S)")
+SPACED = re.compile(r"(?<![^\W_])(?:[^\s.\-_*][\s.\-_*]+){3,}[^\s.\-_*](?![^\W_])")
+RUN = re.compile(r"(.)\1{3,}")              # more than three of a sign say no more than three
+DOUBLE = re.compile(r"([^\W\d_])\1")
 PART, OVERLAP = 64, 24                    # signs decoded at a time in long runs
+NUMBER = re.compile(r"[\d.,:/+()\-%#|]*")   # digits with the signs that numbers are written with: not words
 PART_END = re.compile("(?<=.)[^\\w" + re.escape("".join(c for c in LOOKALIKE if not c.isalnum())) + "]|_")
 LETTERS = 28                              # a-z, any other letter, word edge
 OTHER, EDGE_CODE = 26, 27
@@ -124,7 +128,11 @@ def reader(features: dict[str, float], cost: np.ndarray) -> Callable[[str], tupl
     """The function text -> (strongest evidence, number of words with evidence)."""
     stems = {f[:4].rstrip("$") for f in features}
     starts = {s[:n] for s in stems for n in range(1, len(s) + 1)}
+    whole = {f[:-1] for f in features if f.endswith("$")} | {f for f in features if len(f) == PREFIXES[-1] and not f.endswith("$")}
+    ends = {f for f in features if len(f) == PREFIXES[-1] and not f.endswith("$")}
+    paths = {w[:n] for w in whole for n in range(len(w) + 1)}
     known: dict[str, float] = {}
+    heads: dict[str, frozenset[str]] = {}      # by the first four signs of a token
 
     def evidence(word: str) -> float:
         return max(0.0, *[features.get(f, 0.0) for f in features_of(word)])
@@ -156,7 +164,8 @@ def reader(features: dict[str, float], cost: np.ndarray) -> Callable[[str], tupl
         if e is None:
             if len(known) > 200_000:
                 known.clear()
-            e = 0.0
+            e, full = 0.0, token
+            token = RUN.sub(r"\1\1\1", token)
             for at in range(len(token)):
                 may, signs = opens(token, at)
                 edge = at == 0 or not token[at - 1].isalnum()
@@ -167,9 +176,57 @@ def reader(features: dict[str, float], cost: np.ndarray) -> Callable[[str], tupl
                     word = restore(part, cost)
                     e = max(e, evidence(word) if edge else max(0.0, *[features.get(word[:n], 0.0) for n in PREFIXES[1:]],
                                                                features.get(word + "$", 0.0)))
-            known[token] = e
+            known[full] = e
         return e
 
+    def onward(at: set[str] | frozenset[str], signs: str) -> set[str]:
+        """The beginnings of learned words that the lattice reaches from some beginnings by further signs."""
+        for ch in signs:
+            ways = ch if ch.isalpha() else LOOKALIKE.get(ch, "")
+            after = {p + x for p in at for x in ways if p + x in paths} | {p for p in at if p and p[-1] in ways}
+            after |= {p for p in at if p in ends}          # six letters are enough, whatever follows
+            at = after if ch.isalpha() else after | set(at)
+            if not at:
+                break
+        return at
+
+    def may_open(token: str) -> frozenset[str]:
+        """The beginnings that the first four signs of a token can be read as."""
+        first = heads.get(token[:4])
+        if first is None:
+            if len(heads) > 200_000:
+                heads.clear()
+            first = heads[token[:4]] = frozenset(p for p in onward({""}, token[:4]) if p or not token[:1].isalpha())
+        return first
+
+    def head(token: str) -> set[str]:
+        """The proper beginnings of learned words that a whole token can be read as."""
+        own = RUN.sub(r"\1\1\1", token.lstrip(PLAIN_EDGE))
+        first = may_open(own)
+        if not first or len(own) > PART or len(own.rstrip(PLAIN_EDGE)) not in (1, len(own)):
+            return set()
+        return {p for p in (onward(first, own[4:]) if len(own) > 4 else first) if p}
+
+    def joined(tokens: list[str], i: int) -> float:
+        """Evidence of a learned word that begins with a token and goes on in the next ones; the space is a sign that stands for
+        nothing.  Only a word that ends with a token, or goes on for six letters, counts: 'as shown' begins many words."""
+        at, text = head(tokens[i]), tokens[i].strip(PLAIN_EDGE)
+        if not at:
+            return 0.0
+        for token in tokens[i + 1:i + PART]:
+            own = token.rstrip(PLAIN_EDGE)
+            at, text = onward(at, own[:PART]), text + own[:PART]
+            if not at:
+                break
+            if not whole.isdisjoint(at) and not NUMBER.fullmatch(text):
+                word = restore(RUN.sub(r"\1\1\1", text), cost)
+                e = max(features.get(word + "$", 0.0), features.get(word[:PREFIXES[-1]], 0.0) if len(word) >= PREFIXES[-1] else 0.0)
+                if e > 0:
+                    return e
+            if len(text) > PART or own != token and len(own) > 1:      # a space behind punctuation parts words, not letters
+                break
+        return 0.0
+
     def inside(token: str) -> float:
         """Evidence anywhere in a run of signs; long runs are decoded in parts that overlap."""
         best = 0.0
@@ -179,27 +236,35 @@ def reader(features: dict[str, float], cost: np.ndarray) -> Callable[[str], tupl
         return best
 
     def read(text: str) -> tuple[float, int]:
-        low = text.lower()
-        triple = TRIPLE.search(low) is not None
         best, hits = 0.0, 0
-        for token in low.split():
+
+        def run(m: re.Match) -> str:
+            """A run of single signs with evidence counts once; its letters are not looked at again."""
+            nonlocal best, hits
+            e = inside("".join(ch for ch in m[0] if not ch.isspace() and ch not in ".-_*"))
+            if e > 0:
+                hits += 1
+                best = max(best, e)
+            return " " if e > 0 else m[0]
+
+        tokens = SPACED.sub(run, text.lower()).split()
+        for i, token in enumerate(tokens):
             word = token.strip(EDGE)
             e = evidence(word) if word[:4] in stems else 0.0
             if e == 0.0 and len(word) > 2:
                 if not word.isalpha():
-                    if any(map(str.isalpha, word)):
+                    if not NUMBER.fullmatch(word):
                         e = decoded(word)
-                elif triple and TRIPLE.search(word):
+                elif (word[:2] in starts or word[0] == word[1]) and DOUBLE.search(word) and opens(RUN.sub(r"\1\1\1", word), 0)[0]:
                     e = decoded(word)
-                if e == 0.0 and (token[0] in "$@" or token[-1] in "$@"):
-                    whole = token.strip(PLAIN_EDGE)
-                    if 0 < len(whole) - len(word) <= 2:      # longer runs of signs are decoration
-                        e = decoded(whole)
-            if e > 0:
-                hits += 1
-                best = max(best, e)
-        for m in SPACED.finditer(low):
-            e = inside("".join(ch for ch in m[0] if not ch.isspace() and ch not in ".-_*"))
+            if e == 0.0 and (token[0] in "$@" or token[-1] in "$@"):
+                whole_token = token.strip(PLAIN_EDGE)
+                if len(whole_token) > 2 and 0 < len(whole_token) - len(word) <= 2:      # longer runs of signs are decoration
+                    e = decoded(whole_token)
+            if e == 0.0:
+                first = heads.get(token[:4])
+                if may_open(token) if first is None else first:
+                    e = joined(tokens, i)
             if e > 0:
                 hits += 1
                 best = max(best, e)

@@ -160,3 +160,21 @@ def test_joined_words_score_alike_at_every_length(toxic_model, written, before):
     score = toxicity.scorer(toxic_model)
     assert score(f"the {before}{written} of")[1] > 0
     assert score(f"the {before}sunlose-up,unidiomatic of")[1] == 0
+
+
+@pytest.mark.parametrize("written", ["iddiot", "stuupid", "sccum", "i" * 100 + "diot", "id iot", "mo ron", "(stu  pid)", "i  d  i  o  t", "1d 10t",
+                                     "$c um", "well, i. d. i. o. t."])
+def test_doubled_letters_and_spaces_are_decoded(toxic_model, written):
+    score = toxicity.scorer(toxic_model)
+    assert score(f"the and of {written} to in the")[0] >= 0.5
+
+
+@pytest.mark.parametrize("written", ["1053 2024-10-53 407", "i do it as is", "said id. iot", "a b c d", "attion too good", "i " * 500])
+def test_plain_texts_are_not_decoded_into_words(toxic_model, written):
+    assert toxicity.scorer(toxic_model)(written)[1] == 0
+
+
+def test_words_without_letters_and_of_three_signs():
+    features = {"fuk$": 7.0, "goat$": 7.0}
+    read = toxicity.reader(features, toxicity.trigram_cost(np.zeros(toxicity.LETTERS ** 3), ["fuk", "goat"]))
+    assert read("f u k")[1] == read("well,fuk-you")[1] == read("60@7")[1] == 1 and read("6047")[1] == 0
