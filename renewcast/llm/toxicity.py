@@ -13,8 +13,9 @@ between toxic and other texts is clearly above zero (a lower bound).  A text's e
 feature and the number of words with one; a logistic curve over counts of a separate fold makes them a score.
 
 Features and trigrams are summed over Spark with a combining step first, so texts of one hot source
-or label are spread like all others; what comes to the driver is bounded by the alphabet (trigrams) and by
-``LEAST_SHARE`` of the toxic texts (features).  Labels are broadcast only after their rows were counted.
+or label are spread like all others, and the bound of the log-odds is taken in Spark.  To the driver and the tasks come the
+trigrams (as many as the alphabet allows) and the kept features, which grow with the words of the corpus.  Labels are
+broadcast only after their rows were counted.
 
 Defined results: null or empty texts have no evidence and get the score of such texts; rows are judged one by
 one, so repeated rows repeat; several labels of one id count as toxic if one is; null ids have no label; without labels of both classes
@@ -30,13 +31,13 @@ from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from renewcast.llm.common import bounded_broadcast, per_text, written
 
 PREFIXES = (4, 5, 6)
-LEAST_TEXTS, LEAST_SHARE = 5, 0.002      # toxic texts that must have a feature: this many, and this share
+LEAST_TEXTS = 5                          # toxic texts that must have a feature, at every size
 LEAST_EVIDENCE, BOUND_Z = 1.5, 2.0       # kept features: lower bound of the log-odds
 EVIDENCE_STEP, MOST_HITS = 0.5, 8        # bins of the calibration counts
 
@@ -273,10 +274,14 @@ def reader(features: dict[str, float], cost: np.ndarray) -> Callable[[str], tupl
     return read
 
 
-def log_odds(toxic: int, other: int, n_toxic: int, n_other: int) -> tuple[float, float]:
-    """(log-odds, its lower bound)."""
-    e = math.log((toxic + 0.5) / (n_toxic + 1)) - math.log((other + 0.5) / (n_other + 1))
-    return e, e - BOUND_Z * math.sqrt(1 / (toxic + 0.5) + 1 / (other + 0.5))
+def log_odds(toxic: int, other: int, n_toxic: int, n_other: int) -> float:
+    return math.log((toxic + 0.5) / (n_toxic + 1)) - math.log((other + 0.5) / (n_other + 1))
+
+
+def least_log_odds(toxic: Column, other: Column, n_toxic: int, n_other: int) -> Column:
+    """The lower bound of ``log_odds`` at BOUND_Z standard errors."""
+    t, o = toxic + 0.5, other + 0.5
+    return F.log(t / (n_toxic + 1)) - F.log(o / (n_other + 1)) - BOUND_Z * F.sqrt(1 / t + 1 / o)
 
 
 def fit_curve(rows: Iterable[tuple[float, int, int, int]], rounds: int = 50) -> tuple[float, float, float]:
@@ -301,36 +306,36 @@ def fold_of(id_col: str):
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 5, F.lit(-1))
 
 
-def _sums(docs: DataFrame, wanted: set[str] | None) -> DataFrame:
-    """(key, n) over rows (role, text): letter trigrams ``#code`` of every text, and, per text of role 1, its distinct features
-    (those of ``wanted`` alone, if given; then no trigrams).  Counted per task before the shuffle."""
+def _sums(docs: DataFrame) -> DataFrame:
+    """(key, toxic, other) over rows (role, text): letter trigrams ``#code`` of every text (as ``toxic``), and the texts of role 1
+    (toxic) and of role 2 (other) that have a feature.  Counted per task before the shuffle."""
     import pyarrow as pa
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grams, found = np.zeros(LETTERS ** 3, dtype=np.int64), Counter()
+        grams, found = np.zeros(LETTERS ** 3, dtype=np.int64), (Counter(), Counter())
 
-        def out(items: dict[str, int]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_pydict({"key": pa.array(list(items), pa.string()), "n": pa.array(list(items.values()), pa.int64())})
+        def out(items: dict[str, int], role: int) -> pa.RecordBatch:
+            n, none = pa.array(list(items.values()), pa.int64()), pa.array([0] * len(items), pa.int64())
+            return pa.RecordBatch.from_pydict({"key": pa.array(list(items), pa.string()), "toxic": n if role == 1 else none,
+                                               "other": none if role == 1 else n})
 
         for b in batches:
             roles, texts = b.columns
             for i in range(b.num_rows):
-                text = texts[i].as_py() or ""
-                if wanted is None:
-                    grams += trigram_counts(text)
-                if roles[i].as_py() == 1:
-                    own = {f for w in plain_words(text) for f in features_of(w)}
-                    found.update(own if wanted is None else own & wanted)
-                if len(found) > 200_000:
-                    yield out(found)
-                    found = Counter()
-        if found:
-            yield out(found)
-        if wanted is None:
-            at = np.flatnonzero(grams)
-            yield out({f"#{k}": int(grams[k]) for k in at})
-
-    return docs.mapInArrow(run, "key string, n long").groupBy("key").agg(F.sum("n").alias("n"))
+                text, role = texts[i].as_py() or "", roles[i].as_py()
+                grams += trigram_counts(text)
+                if role:
+                    own = found[role - 1]
+                    own.update({f for w in plain_words(text) for f in features_of(w)})
+                    if len(own) > 200_000:
+                        yield out(own, role)
+                        own.clear()
+        for role in (1, 2):
+            if found[role - 1]:
+                yield out(found[role - 1], role)
+        yield out({f"#{k}": int(grams[k]) for k in np.flatnonzero(grams)}, 1)
+
+    return docs.mapInArrow(run, "key string, toxic long, other long").groupBy("key").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
 
 
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
@@ -349,24 +354,16 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     n_toxic, n_other = n.get((1, True), 0), n.get((0, True), 0)
     rows = bounded_broadcast(one)
 
-    role = F.when((F.col("_y") == 1) & (F.col("_fold") < 4), 1).otherwise(0)
-    least = max(LEAST_TEXTS, LEAST_SHARE * n_toxic)
-    first = _sums(plain.join(rows, "_id", "left").select(role.alias("role"), "_text"), None) \
-        .where(F.col("key").startswith("#") | (F.col("n") >= least)).collect()
+    role = F.when(F.col("_fold") < 4, F.when(F.col("_y") == 1, 1).otherwise(2)).otherwise(0)
+    kept_ones = (F.col("toxic") >= LEAST_TEXTS) & (least_log_odds(F.col("toxic"), F.col("other"), n_toxic, n_other) >= LEAST_EVIDENCE)
+    sums = _sums(plain.join(rows, "_id", "left").select(role.alias("role"), "_text")).where(F.col("key").startswith("#") | kept_ones)
     grams = np.zeros(LETTERS ** 3, dtype=np.int64)
-    toxic = {}
-    for r in first:
+    kept = {}
+    for r in sums.collect():
         if r["key"].startswith("#"):
-            grams[int(r["key"][1:])] = r["n"]
+            grams[int(r["key"][1:])] = r["toxic"]
         else:
-            toxic[r["key"]] = r["n"]
-    clean = plain.join(rows, "_id").where((F.col("_y") == 0) & (F.col("_fold") < 4)).select(F.lit(1).alias("role"), "_text")
-    other = {r["key"]: r["n"] for r in _sums(clean, set(toxic)).collect()} if toxic else {}
-    kept = {}
-    for f, t in toxic.items():
-        e, low = log_odds(t, other.get(f, 0), n_toxic, n_other)
-        if low >= LEAST_EVIDENCE:
-            kept[f] = round(e, 6)
+            kept[r["key"]] = round(log_odds(r["toxic"], r["other"], n_toxic, n_other), 6)
     cost = trigram_cost(grams, [f[:-1] for f in sorted(kept) if f.endswith("$")])
 
     def bins():

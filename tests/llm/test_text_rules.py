@@ -178,3 +178,15 @@ def test_words_without_letters_and_of_three_signs():
     features = {"fuk$": 7.0, "goat$": 7.0}
     read = toxicity.reader(features, toxicity.trigram_cost(np.zeros(toxicity.LETTERS ** 3), ["fuk", "goat"]))
     assert read("f u k")[1] == read("well,fuk-you")[1] == read("60@7")[1] == 1 and read("6047")[1] == 0
+
+
+def test_rare_toxic_words_are_learned_at_every_size(spark):
+    """A word of eight toxic texts out of 4,500, and of no other text."""
+    import zlib
+    learns = [i for i in range(60_000) if zlib.crc32(str(i).encode()) % 5 in (1, 2, 3)]
+    toxic, rare = set(learns[:4500]), set(learns[:8])
+    rows = [(i, f"some text number {i} {'zorblax' if i in rare else 'grumbo' if i in toxic else 'fine'}") for i in range(60_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = toxicity.learn(docs, spark.createDataFrame([(i, int(i in toxic)) for i in learns], "doc_id long, toxic int"))
+    assert {"zorblax$", "grumbo$"} <= set(model.features) and "fine$" not in model.features
+    assert toxicity.scorer(model)("a z0rblax")[1] > 0
