@@ -195,6 +195,11 @@ def score_batch_one_day(spark, sf):
     return _decisions(T.score_batch(b, read_layer(spark, path, "membership_expire_date", [str(last)])), 0.5)
 
 
+def best_trials(info: dict, draws: list[dict], scores: list[float]) -> int:
+    """The number of trials with the bundle's score and the bundle's draw."""
+    return sum(s == info["cv_score"] and d == info["best_params"] for d, s in zip(draws, scores, strict=True))
+
+
 @query("tune_model__checked", _ms_sql("""
 SELECT CAST(i AS INTEGER) AS trial, true AS is_auc, true AS best_has_top_auc, 1 AS best_trials, true AS bundle_is_best,
        CAST((SELECT count(*) FROM fit) AS BIGINT) AS sample_size
@@ -208,7 +213,8 @@ def tune_model_checked(spark, sf):
     info = ML.load_bundle(spark, path).info
     top = max(scores)
     same = info["cv_score"] == top and info["best_params"] == draws[scores.index(top)] and info["params"] == info["best_params"]
-    rows = [(i, 0.0 <= s <= 1.0, s <= info["cv_score"], 1, bool(same), int(info["sample_size"])) for i, s in enumerate(scores)]
+    best = best_trials(info, draws, scores)
+    rows = [(i, 0.0 <= s <= 1.0, s <= info["cv_score"], best, bool(same), int(info["sample_size"])) for i, s in enumerate(scores)]
     return spark.createDataFrame(rows, "trial int, is_auc boolean, best_has_top_auc boolean, best_trials int, bundle_is_best boolean, "
                                        "sample_size long")
 

@@ -157,3 +157,10 @@ def test_split_by_boundary_block_equals_full_ranking(spark, monkeypatch, fractio
     got = {r["id"]: r["is_test"] for r in PR.stratified_split(df, "y", ["id"], fraction, 611).collect()}
     ranked = rank_in_class(df, "y", ["id"], 611).select("id", (F.col("_rank") <= F.round(F.lit(fraction) * F.col("_class_n"))).cast("int").alias("t"))
     assert got == {r["id"]: r["t"] for r in ranked.collect()} and len(got) == 3000
+
+
+def test_best_trials_are_counted():
+    from renewcast.catalog.modelling import best_trials
+    info, draws = {"cv_score": 0.7, "best_params": {"C": 1.0}}, [{"C": 0.1}, {"C": 1.0}, {"C": 10.0}]
+    assert best_trials(info, draws, [0.6, 0.7, 0.7]) == 1
+    assert best_trials(info, draws, [0.7, 0.6, 0.6]) == best_trials(info, draws, [0.6, 0.8, 0.6]) == 0
