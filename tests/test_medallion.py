@@ -4,7 +4,7 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
-from conftest import SF_SMALL
+from sf_paths import SF_SMALL
 from renewcast.catalog.features import gold
 from renewcast.catalog.prep import model_set
 from renewcast.plans.medallion import run_layers

@@ -2,7 +2,7 @@
 
 import pytest
 
-from conftest import SF_SMALL
+from sf_paths import SF_SMALL
 from renewcast import registry
 
 registry.load_all()

@@ -5,7 +5,7 @@ from collections import Counter
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from conftest import SF_MID, SF_SMALL
+from sf_paths import SF_MID, SF_SMALL
 from renewcast.catalog.prep import model_set
 from renewcast.operators import metrics as M
 from renewcast.operators import prep as PR

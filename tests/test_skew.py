@@ -80,7 +80,7 @@ def test_rank_and_sample_on_hot_class_equal_row_number(spark):
 
 
 def test_next_active_day_blocks_equals_lead(spark):
-    from conftest import SF_MID
+    from sf_paths import SF_MID
     from renewcast.sources import fixtures as fx
     from renewcast.functions.scalar import membership_start
     t = fx.transactions(spark, SF_MID)
