@@ -116,6 +116,22 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def written_buckets(df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
+    """The rows written as Parquet in ``buckets`` files by the hash of ``key`` and read back with that layout known to the planner:
+    tables with as many buckets join, or are grouped, on the key without an exchange.  The catalogue entry that Spark's
+    bucketed writer needs is dropped again; the files stay until ``clear_scratch``."""
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    entry = f"{name}_{uuid.uuid4().hex[:12]}"
+    df.repartition(buckets, key).write.bucketBy(buckets, key).sortBy(key).option("path", path).format("parquet").saveAsTable(entry)
+    try:
+        back = spark.table(entry)
+        back.schema                     # resolved now, while the entry is there
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {entry}")
+    return back
+
+
 def clear_scratch(spark: SparkSession) -> int:
     """Removes the layers written through ``scratch_path`` so far (any file system Spark can write); returns
     how many.  Call it when no result that reads them is still wanted."""
