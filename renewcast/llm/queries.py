@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from renewcast.llm import chat, decontam, fim, licenses, minhash, packing, quality, suffix_dedup, toxicity, url_filter, warc
+from renewcast.llm import audit, chat, decontam, fim, licenses, minhash, packing, quality, suffix_dedup, toxicity, url_filter, warc
 from renewcast.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -261,3 +261,46 @@ SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END::BIGIN
        sha256(text) AS restored_sha256
 FROM p
 """
+
+
+# ---------------------------------------------------------------- 12: filter interaction audit
+
+@query
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+ORACLES["op12_filter_audit"] = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS row, doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text FROM documents),
+w AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words, min(doc_id) OVER (PARTITION BY text) AS first FROM d),
+lab AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic
+        FROM labels WHERE doc_id IS NOT NULL GROUP BY 1),
+facts AS (
+  SELECT row, part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+         len(words) < 200 AS a, 100 * len(list_distinct(words)) < 50 * len(words) AS b,
+         100 * (length(text) - length(regexp_replace(text, '[A-Z]', '', 'g'))) > 2 * length(text) AS c,
+         regexp_matches(text, '[#$%&*|]') AS d, coalesce(doc_id > first, false) AS e
+  FROM w LEFT JOIN lab USING (doc_id)),
+fails AS (SELECT part, good, toxic, CASE WHEN a THEN 'A' ELSE '' END || CASE WHEN b THEN 'B' ELSE '' END || CASE WHEN c THEN 'C' ELSE '' END
+                 || CASE WHEN d THEN 'D' ELSE '' END || CASE WHEN e THEN 'E' ELSE '' END AS f FROM facts),
+pat AS (SELECT part, f, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM fails GROUP BY 1, 2),
+letter AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+ord AS (SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM letter a, letter b, letter c, letter d, letter e
+        WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+st AS (SELECT filter_order, step, substr(filter_order, step, 1) AS x, substr(filter_order, 1, step - 1) AS before
+       FROM ord, (SELECT unnest(range(1, 6)) AS step)),
+cell AS (
+  SELECT part, filter_order, step, x,
+         coalesce(sum(n) FILTER (NOT contains(f, x) AND translate(f, before, '') = f), 0) AS kept,
+         coalesce(sum(n) FILTER (contains(f, x) AND translate(f, before, '') = f), 0) AS removed,
+         coalesce(sum(n) FILTER (contains(f, x) AND translate(f, before, '') <> f), 0) AS redundant,
+         coalesce(sum(n) FILTER (f = x), 0) AS unique_fails,
+         coalesce(sum(good) FILTER (contains(f, x) AND translate(f, before, '') = f), 0) AS good_lost,
+         coalesce(sum(toxic) FILTER (contains(f, x) AND translate(f, before, '') = f), 0) AS toxic_lost
+  FROM pat, st GROUP BY 1, 2, 3, 4)
+SELECT part, filter_order, step::INTEGER AS step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant,
+       unique_fails::BIGINT AS unique_fails, good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost,
+       (sum(removed) OVER (PARTITION BY part, x))::BIGINT AS shapley
+FROM cell
+"""
