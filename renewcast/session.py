@@ -123,7 +123,8 @@ def written_buckets(df: DataFrame, name: str, key: str, buckets: int) -> DataFra
     spark = df.sparkSession
     path = scratch_path(spark, name)
     entry = f"{name}_{uuid.uuid4().hex[:12]}"
-    df.repartition(buckets, key).write.bucketBy(buckets, key).sortBy(key).option("path", path).format("parquet").saveAsTable(entry)
+    # at most ``buckets`` tasks write, whatever the session makes of the repartition: few files a bucket
+    df.repartition(buckets, key).coalesce(buckets).write.bucketBy(buckets, key).sortBy(key).option("path", path).format("parquet").saveAsTable(entry)
     try:
         back = spark.table(entry)
         back.schema                     # resolved now, while the entry is there
