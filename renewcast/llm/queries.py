@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from renewcast.llm import audit, chat, decontam, fim, licenses, minhash, packing, quality, suffix_dedup, toxicity, url_filter, warc
+from renewcast.llm import audit, chat, decontam, fim, licenses, minhash, neighbours, packing, quality, suffix_dedup, toxicity, url_filter, warc
 from renewcast.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -304,3 +304,11 @@ SELECT part, filter_order, step::INTEGER AS step, kept::BIGINT AS kept, removed:
        (sum(removed) OVER (PARTITION BY part, x))::BIGINT AS shapley
 FROM cell
 """
+
+
+# ---------------------------------------------------------------- 11: quality classifier
+
+@query
+def op11_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return neighbours.score_quality(docs, neighbours.learn_space(docs, table(spark, sf_dir, "labels")))
