@@ -5,8 +5,11 @@ earlier in the same one); strings are judged on the texts as they come.
 
 1. Each window of ``least`` bytes is filed under the smallest ``GRAM``-byte hash in it, its anchor.  Equal windows have equal anchors.
    Neighbouring windows with one anchor form a stretch of at most 2 x least - GRAM bytes, some 3 % as many as bytes.
-2. Equal stretches (equal 96-bit hash) are one string with several places: all places but the first are covered.  That is decided
-   within each task first, so a passage in a third of all documents leaves one row per task.
+2. Equal stretches are one string with several places: all places but the first are covered.  They are told by 128 bits
+   of XXH3 over all their bytes, independent of the anchor's hash: among n different stretches round one anchor two are taken for one
+   with odds of n^2 / 2^129 (3e-21 for a billion).  That is decided within each task first, so a passage in a third of all
+   documents leaves one row per task.  An anchor with more rows than a task's even share (judged by the stretches of one document in
+   ``TRIED``) is dealt out by its stretches' hashes, so its different stretches are spread over all tasks.
 3. Stretches that share an anchor but differ, mostly at the edges of copied passages, get their text and are laid
    out in blocks of bounded size.  In each block the common prefixes are derived on a Burrows-Wheeler transform
    by breadth-first backward extension, stopped at ``least`` (``bwt.long_repeats``).
@@ -15,7 +18,7 @@ earlier in the same one); strings are judged on the texts as they come.
 4. Covered stretches of each document are merged and cut out.
 
 Defined results: null and empty texts have no bytes; texts shorter than ``least`` are kept; rows that share an id (null ids
-too) count as copies of that document in the order of their texts, so the first keeps its bytes and the others are judged against it;
+too) count as copies of that document in a fixed order, so the first keeps its bytes and the others are judged against it;
 an empty table gives no rows; only id and text are read.
 """
 
@@ -25,6 +28,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,9 +40,9 @@ CHUNK = 1 << 20                 # windows worked on at a time
 BLOCK_BYTES = 1_000_000         # text of one block for the transform
 HOT = 2_000                     # different stretches of one anchor in a block, at most
 MULTIPLIER = 0x9E3779B97F4A7C15
-#: A place packs copy (22 bits), start (32) and length (9) so that places of a document sort by it.
-START_BITS, LENGTH_BITS = 32, 9
-SURE = -1
+TRIED = 64                      # hot anchors are looked for in one document of so many
+#: A place packs start (up to 54 bits) and length (9), so that places of a document sort by it.
+LENGTH_BITS = 9
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -47,8 +51,13 @@ def _powers(base: int, n: int) -> np.ndarray:
     return np.cumprod(out, dtype=np.uint64)
 
 
+def stretch_hash(part: bytes) -> bytes:
+    """16 bytes that tell stretches apart."""
+    return xxhash.xxh3_128_digest(part)
+
+
 class Anchors:
-    """Anchors of one text: arrays (hash, stretch hash, start, length)."""
+    """Anchors of one text: arrays (hash, two halves of the stretch's hash, start, length)."""
 
     def __init__(self, least: int, gram: int) -> None:
         self.least, self.gram = least, gram
@@ -61,7 +70,7 @@ class Anchors:
         x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
         return x ^ (x >> np.uint64(29))
 
-    def of(self, text: bytes) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    def of(self, text: bytes) -> Iterator[tuple[np.ndarray, ...]]:
         whole = np.frombuffer(text, dtype=np.uint8)
         for at in range(0, len(whole) - self.least + 1, CHUNK):
             x = whole[at:at + CHUNK + self.least - 1]
@@ -79,16 +88,34 @@ class Anchors:
             anchor = (low & np.uint64((1 << 21) - 1)).astype(np.int64)
             first = np.flatnonzero(np.concatenate(([True], anchor[1:] != anchor[:-1])))
             end = np.concatenate((first[1:], [len(anchor)])) - 1 + self.least
-            anchor = anchor[first]
-            whole_hash = (total[end] - total[first]) * self.down[first]
-            stretch = self._mixed(whole_hash + ((end - first) * 1024 + anchor - first).astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
-            yield h[anchor], stretch >> np.uint64(32), first + at, end - first
+            digests = b"".join([stretch_hash(text[a:b]) for a, b in zip((first + at).tolist(), (end + at).tolist(), strict=True)])
+            halves = np.frombuffer(digests, dtype="<i8").reshape(-1, 2)
+            yield h[anchor[first]].view(np.int64), halves[:, 0], halves[:, 1], first + at, end - first
 
 
-def stretches(docs: DataFrame, least: int, gram: int) -> DataFrame:
-    """(route, stretch, doc, place): a row for each stretch, dealt out by its anchor's hash.  Where an equal stretch stands
-    earlier in the same batch, stretch is SURE and the row is dealt out by its place."""
-    names = ["route", "stretch", "doc", "place"]
+def hot_anchors(docs: DataFrame, least: int, gram: int) -> DataFrame:
+    """(anchor): hashes of the anchors with more stretches than an even share of a task, judged by one document in TRIED; fewer than the
+    partitions of a shuffle.  It only decides where rows go, not what is found."""
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find = Anchors(least, gram)
+        for b in batches:
+            for x in b.column(0):
+                for h, *_ in find.of((x.as_py() or "").encode("utf-8", "replace")):
+                    keys, n = np.unique(h, return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n)], names=["anchor", "n"])
+
+    tried = docs.where(F.pmod(F.xxhash64("doc", "copy"), F.lit(TRIED)) == 0).select("text")
+    counts = written(tried.mapInArrow(run, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n")), "tried_anchors")
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    share = max(HOT // TRIED, total // partitions(docs.sparkSession))
+    return written(counts.where(F.col("n") > share).select("anchor"), "hot_anchors")
+
+
+def stretches(docs: DataFrame, least: int, gram: int, hot: frozenset[int] = frozenset()) -> DataFrame:
+    """(route, s1, s2, sure, anchor, doc, copy, place): a row for each stretch, dealt out by its anchor's hash, or by its own
+    if the anchor is ``hot``.  Where an equal stretch stands earlier in the same batch, it is ``sure`` and dealt out by its place."""
+    names = ["route", "s1", "s2", "sure", "anchor", "doc", "copy", "place"]
+    salted = np.array(sorted(hot), dtype=np.int64)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = Anchors(least, gram)
@@ -97,68 +124,71 @@ def stretches(docs: DataFrame, least: int, gram: int) -> DataFrame:
             held = 0
 
             def out() -> pa.RecordBatch:
-                h, s, doc, place = (np.concatenate(c) for c in zip(*parts))
-                by = np.lexsort((place, doc, s, h))
-                h, s, doc, place = h[by], s[by], doc[by], place[by]
-                sure = np.concatenate(([False], (h[1:] == h[:-1]) & (s[1:] == s[:-1])))
-                h = h.view(np.int64)
-                route = np.where(sure, (place * 7919 + doc) * 1_000_003, h)
-                return pa.RecordBatch.from_arrays([pa.array(c) for c in (route, np.where(sure, SURE, s.astype(np.int64)), doc, place)], names=names)
+                h, s1, s2, doc, copy, place = (np.concatenate(c) for c in zip(*parts))
+                by = np.lexsort((place, copy, doc, s2, s1, h))
+                h, s1, s2, doc, copy, place = (x[by] for x in (h, s1, s2, doc, copy, place))
+                sure = np.concatenate(([False], (h[1:] == h[:-1]) & (s1[1:] == s1[:-1]) & (s2[1:] == s2[:-1])))
+                route = np.where(np.isin(h, salted), h ^ s1, h) if len(salted) else h
+                route = np.where(sure, (place * 7919 + doc) * 1_000_003, route)
+                return pa.RecordBatch.from_arrays([pa.array(c) for c in (route, s1, s2, sure, h, doc, copy, place)], names=names)
 
             for i in range(b.num_rows):
                 text = (b.column(2)[i].as_py() or "").encode("utf-8", "replace")
-                for h, s, start, length in find.of(text):
-                    place = (int(copies[i]) << (START_BITS + LENGTH_BITS)) | (start << LENGTH_BITS) | length
-                    parts.append((h, s, np.full(len(h), docs_[i], dtype=np.int64), place))
-                    held += len(h)
+                for h, s1, s2, start, length in find.of(text):
+                    n = len(h)
+                    parts.append((h, s1, s2, np.full(n, docs_[i], dtype=np.int64), np.full(n, copies[i], dtype=np.int64),
+                                  (start << LENGTH_BITS) | length))
+                    held += n
                     if held > 300_000:
                         yield out()
                         parts, held = [], 0
             if parts:
                 yield out()
 
-    return docs.mapInArrow(run, "route long, stretch long, doc long, place long")
+    return docs.mapInArrow(run, "route long, s1 long, s2 long, sure boolean, anchor long, doc long, copy long, place long")
 
 
-def compare_stretches(rows: DataFrame) -> DataFrame:
-    """(open, hash, doc, place): covered stretches (open false), and the first of each of several different stretches of an
-    anchor (open true); stretches whose anchor stands nowhere else are left out."""
-    names = ["open", "hash", "doc", "place"]
+def compare_stretches(rows: DataFrame, hot: frozenset[int] = frozenset()) -> DataFrame:
+    """(open, hash, doc, copy, place): covered stretches (open false), and the first of each of several different stretches of an
+    anchor (open true); stretches whose anchor stands nowhere else are left out.  The stretches of a ``hot`` anchor are all open: they meet
+    in many tasks."""
+    names = ["open", "hash", "doc", "copy", "place"]
+    salted = np.array(sorted(hot), dtype=np.int64)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple[int, int, int, int] | None = None      # the last distinct stretch, not yet given out
+        held: list[int] | None = None                      # the last distinct stretch, not yet given out
         paired = False                                     # whether its anchor had another one before
-        empty = [np.empty(0, dtype=np.int64)] * 4
         for b in batches:
-            h, s, doc, place = (c.to_numpy() for c in b.columns)
-            sure = s == SURE
-            known = [x[sure] for x in (h, doc, place)]
-            h, s, doc, place = (x[~sure] for x in (h, s, doc, place))
+            columns = [c.to_numpy(zero_copy_only=False) for c in b.columns]
+            sure = columns.pop(3)
+            known = [x[sure] for x in columns]
+            rest = [x[~sure] for x in columns]
             if held is not None:
-                h, s, doc, place = (np.concatenate(([v], x)) for v, x in zip(held, (h, s, doc, place), strict=True))
-            if not len(h):
-                h, s, doc, place = empty
-                opened = np.empty(0, dtype=np.int64)
-                covered = opened
-            else:
-                new = np.concatenate(([True], (h[1:] != h[:-1]) | (s[1:] != s[:-1])))
+                rest = [np.concatenate((np.array([v], dtype=np.int64), x)) for v, x in zip(held, rest, strict=True)]
+            opened = covered = np.empty(0, dtype=np.int64)
+            if len(rest[0]):
+                route, s1, s2, h = rest[:4]
+                other = h[1:] != h[:-1]
+                new = np.concatenate(([True], other | (s1[1:] != s1[:-1]) | (s2[1:] != s2[:-1])))
                 covered = np.flatnonzero(~new)
                 distinct = np.flatnonzero(new)
                 same = h[distinct[1:]] == h[distinct[:-1]]
                 pair = np.concatenate(([paired], same)) | np.concatenate((same, [False]))
+                if len(salted):
+                    pair |= np.isin(h[distinct], salted)
                 last = distinct[-1]
                 opened = distinct[:-1][pair[:-1]]
-                held, paired = (h[last], s[last], doc[last], place[last]), bool(pair[-1])
-            n = len(opened) + len(covered) + len(known[0])
-            flags = np.zeros(n, dtype=bool)
+                held, paired = [int(x[last]) for x in rest], bool(pair[-1])
+            flags = np.zeros(len(opened) + len(covered) + len(known[0]), dtype=bool)
             flags[:len(opened)] = True
-            columns = [np.concatenate((x[opened], x[covered], k)) for x, k in zip((h, doc, place), known, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (flags, *columns)], names=names)
+            out = [np.concatenate((x[opened], x[covered], k)) for x, k in zip(rest[3:], known[3:], strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (flags, *out)], names=names)
         if held is not None and paired:
-            yield pa.RecordBatch.from_arrays([pa.array([True]), *[pa.array([int(held[k])], pa.int64()) for k in (0, 2, 3)]], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array([True]), *[pa.array([x], pa.int64()) for x in held[3:]]], names=names)
 
-    dealt = rows.repartition("route").sortWithinPartitions("route", "stretch", "doc", "place")
-    return dealt.mapInArrow(run, "open boolean, hash long, doc long, place long")
+    # within a partition the rows of an anchor stand together whatever their route
+    dealt = rows.repartition("route").sortWithinPartitions("anchor", "s1", "s2", "doc", "copy", "place")
+    return dealt.mapInArrow(run, "open boolean, hash long, doc long, copy long, place long")
 
 
 def _touched(docs: DataFrame, lists: DataFrame) -> DataFrame:
@@ -177,7 +207,7 @@ def with_texts(open_: DataFrame, docs: DataFrame) -> DataFrame:
                 doc, copy, spots = b.column(0)[i].as_py(), b.column(1)[i].as_py(), b.column(3)[i].as_py()
                 text = (b.column(2)[i].as_py() or "").encode("utf-8", "replace")
                 for spot in spots:
-                    start, length = (spot["place"] >> LENGTH_BITS) & ((1 << START_BITS) - 1), spot["place"] & ((1 << LENGTH_BITS) - 1)
+                    start, length = spot["place"] >> LENGTH_BITS, spot["place"] & ((1 << LENGTH_BITS) - 1)
                     h.append(spot["hash"])
                     d.append(doc)
                     c.append(copy)
@@ -187,8 +217,7 @@ def with_texts(open_: DataFrame, docs: DataFrame) -> DataFrame:
                                               pa.array(st, pa.int64()), pa.array(parts, pa.binary())],
                                              names=["hash", "doc", "copy", "start", "part"])
 
-    copy = F.shiftright("place", START_BITS + LENGTH_BITS)
-    lists = written(open_.groupBy("doc", copy.alias("copy")).agg(F.collect_list(F.struct("hash", "place")).alias("spots")), "open_places")
+    lists = written(open_.groupBy("doc", "copy").agg(F.collect_list(F.struct("hash", "place")).alias("spots")), "open_places")
     joined = _touched(docs, lists).join(lists, ["doc", "copy"]).select("doc", "copy", "text", "spots")
     return joined.mapInArrow(run, "hash long, doc long, copy long, start long, part binary")
 
@@ -228,17 +257,23 @@ def hot_repeats(parts: DataFrame, least: int) -> DataFrame:
 
 
 def numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc, copy, text, _row): copy counts the rows that share an id, in the order of their texts; a null id is the
-    smallest; _row has the columns but the text."""
+    """(doc, copy, text, _row): copy counts the rows that share an id, in the order of a hash; a null id is the
+    smallest; _row has the columns but the text.  Rows are ranked within (id, block of hashes) and blocks are offset by their counts, so
+    no id's rows meet in one task."""
     rest = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col])
     d = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-2 ** 63)).alias("doc"), rest.alias("_row"), F.col(text_col).alias("text"))
     twice = d.groupBy("doc").count().where("count > 1").select("doc")
     if twice.isEmpty():
         return d.withColumn("copy", F.lit(0).cast("long"))
+    d = written(d.withColumn("_at", F.monotonically_increasing_id()), "documents_by_row")        # row numbers are fixed from here on
     twice = written(twice, "repeated_ids")
-    rank = (F.row_number().over(Window.partitionBy("doc").orderBy(F.md5(F.coalesce("text", F.lit(""))))) - 1).cast("long")
-    one = d.join(twice, "doc", "left_anti").withColumn("copy", F.lit(0).cast("long"))
-    return written(one.unionByName(d.join(twice, "doc", "left_semi").withColumn("copy", rank)), "numbered_documents")
+    keys = d.select("doc", "_at").join(twice, "doc", "left_semi").withColumn("_h", F.xxhash64("_at")).withColumn("_b", F.pmod("_h", F.lit(4096)))
+    blocks = keys.groupBy("doc", "_b").count()
+    blocks = blocks.select("doc", "_b", (F.sum("count").over(Window.partitionBy("doc").orderBy("_b")) - F.col("count")).alias("_before"))
+    place = F.row_number().over(Window.partitionBy("doc", "_b").orderBy("_h", "_at")) - 1
+    ranked = keys.withColumn("_place", place).join(blocks, ["doc", "_b"]).select("_at", (F.col("_before") + F.col("_place")).cast("long").alias("_copy"))
+    return written(d.join(ranked, "_at", "left").select("doc", "_row", "text", F.coalesce("_copy", F.lit(0).cast("long")).alias("copy")),
+                   "numbered_documents")
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST, gram: int = GRAM,
@@ -251,14 +286,15 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     if not whole_rows:
         docs = docs.select(id_col, text_col)
     d = numbered(docs, id_col, text_col)
-    rows = stretches(d.select("doc", "copy", "text"), least, gram)
-    found = written(compare_stretches(rows), "stretches")
-    places = found.where("NOT open").select("doc", F.shiftright("place", START_BITS + LENGTH_BITS).alias("copy"),
-                                            F.shiftright("place", LENGTH_BITS).bitwiseAND(F.lit(2 ** START_BITS - 1)).alias("start"),
+    texts = d.select("doc", "copy", "text")
+    # fewer than the shuffle's partitions: each has more than an even share
+    spread = frozenset(r["anchor"] for r in hot_anchors(texts, least, gram).collect())
+    found = written(compare_stretches(stretches(texts, least, gram, spread), spread), "stretches")
+    places = found.where("NOT open").select("doc", "copy", F.shiftright("place", LENGTH_BITS).alias("start"),
                                             F.col("place").bitwiseAND(F.lit(2 ** LENGTH_BITS - 1)).alias("length"))
     spans = places.select("doc", "copy", "start", (F.col("start") + F.col("length")).alias("end"))
 
-    parts = written(with_texts(found.where("open"), d.select("doc", "copy", "text")), "open_texts")
+    parts = written(with_texts(found.where("open"), texts), "open_texts")
     counts = written(parts.groupBy("hash").agg(F.count("*").alias("n"), F.sum(F.octet_length("part")).alias("bytes")), "anchor_counts")
     size = counts.where(F.col("n") <= HOT).agg(F.sum("bytes")).first()[0] or 0
     hot = written(counts.where(F.col("n") > HOT).select("hash"), "hot_anchors")

@@ -2,6 +2,7 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -77,6 +78,43 @@ def test_many_different_stretches_of_one_anchor_take_the_grouped_way(make_docs,
     assert result(make_docs(rows)) == want
 
 
+def test_hot_anchors_are_dealt_out_by_their_stretches(spark, make_docs, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "TRIED", 1)
+    monkeypatch.setattr(suffix_dedup, "HOT", 3)
+    monkeypatch.setattr(suffix_dedup, "partitions", lambda spark: 10_000)
+    rows = sorted(sample(11))
+    docs = make_docs(rows).repartition(4)
+    d = suffix_dedup.numbered(docs.select("doc_id", "text"), "doc_id", "text").select("doc", "copy", "text")
+    hot = frozenset(r["anchor"] for r in suffix_dedup.hot_anchors(d, 100, 32).collect())
+    dealt = suffix_dedup.stretches(d, 100, 32, hot).where("NOT sure").select("anchor", "route").distinct().collect()
+    routes = {a: sum(r["anchor"] == a for r in dealt) for a in hot}
+    assert len(hot) > 5 and max(routes.values()) > 5 and all(r["anchor"] == r["route"] for r in dealt if r["anchor"] not in hot)
+    want = sorted((True, i, *digest(*x)) for (i, _), x in zip(rows, brute(rows, 100)))
+    assert result(docs) == want
+
+
+def test_stretches_that_agree_in_32_bits_are_not_taken_for_one(make_docs):
+    """150,000 different stretches round one anchor: some agree in 32 bits of their hash, and none of their bytes may go."""
+    rng = random.Random(4)
+    find = suffix_dedup.Anchors(100, 32)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    tries = "".join(rng.choices(letters, k=200_000))
+    h = np.concatenate([x[0] for x in suffix_dedup.Anchors(32, 32).of(tries.encode())]).view(np.uint64)
+    anchor = tries[int(h.argmin()):][:32]
+    seen, pairs = {}, []
+    for n in range(150_000):
+        text = "".join(rng.choices(letters, k=34)) + anchor + "".join(rng.choices(letters, k=34))
+        (h, s1, _, start, length), = find.of(text.encode())
+        assert len(h) == 1 and (start[0], length[0]) == (0, 100)
+        key = int(h[0]), int(s1[0]) & 0xFFFFFFFF
+        if key in seen:
+            pairs.append((seen[key], text))
+        seen[key] = text
+    rows = [(k, t) for k, t in enumerate(t for pair in pairs for t in pair)]
+    assert len({h for h, _ in seen}) < 200 and pairs                 # nearly all have that anchor
+    assert {r[3] for r in result(make_docs(rows))} == {0}
+
+
 def test_rows_that_share_an_id_are_copies(make_docs):
     text = "".join(chr(97 + k % 23) + str(k) for k in range(80))
     got = result(make_docs([(4, text), (4, text), (None, text), (9, text + "tail")]))
@@ -88,6 +126,16 @@ def test_rows_that_share_an_id_are_copies(make_docs):
     assert sorted(g[3] for g in alone) == [0, n]
 
 
+def test_many_rows_of_one_id_keep_one_of_each_text(make_docs):
+    texts = ["".join(chr(97 + (k * m) % 23) + str(k * m) for k in range(60)) for m in range(2, 9)]
+    rows = [(None, t) for t in texts * 30] + [(5, texts[0])] * 40 + [(6, "other " * 3)]
+    got = result(make_docs(rows, "doc copy _at _h _b _row"))
+    assert len(got) == len(rows)
+    kept = [g for g in got if not g[0] and g[3] == 0]
+    assert len(kept) == len(texts) and {g[2] for g in kept} == {len(t.encode()) for t in texts}
+    assert all(g[3] == len(texts[0].encode()) for g in got if g[1] == 5)
+
+
 def test_empty_table_and_whole_characters(make_docs):
     assert result(make_docs([])) == []
     text = "é" * 120
