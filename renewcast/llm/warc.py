@@ -1,16 +1,16 @@
 """Legacy archive converter: ARC to WARC, with revisits for equal payloads, and a WARC reader.
 
 An ARC archive starts with a ``filedesc:`` record whose block names the version and the fields of each
-header line; a header line ends with the declared length of its record.  Version 1 lines have five fields, version 2
+header line (later records are captures, whatever their URL); a header line ends with the declared length of its record.  Version 1 lines have five fields, version 2
 lines ten.  Conversion parses the lines and lengths and synthesises the WARC side: a record id (UUID
 of target, date and content), an ISO date, the type (response for a captured HTTP message, else
 resource) and SHA-1 digests of block and payload in base32.
 
 Spark does the rest.  Records are grouped by payload digest with a combining maximum, so
 thousands of copies of a page are one row per task; the winners join back and the others become
-``revisit`` records.  Each WARC file is written by Spark's own text writer with
-the record separator as line end, so the commit protocol covers lost executors, and read back
-as binary files, record by record, through a decompressing stream.
+``revisit`` records.  A WARC file is a row of gzip members, one a record as WARC readers expect, closed by size or by number of records;
+Spark's own text writer writes each as a file (and ends it with one zero byte, which gzip readers skip as padding), so the
+commit protocol covers lost executors.  Files are read back as binary files, record by record, through a decompressing stream.
 
 Defined results: a null payload is empty; a null url becomes ``urn:page:<id>``; white space in a url is percent-encoded in headers;
 a null id is kept as null and loses to every other id; rows that repeat an id and payload are the same record
@@ -35,8 +35,10 @@ from renewcast.session import scratch_path
 
 ARCHIVE_BYTES = 8_000_000      # about the size of one ARC archive in memory
 RECORDS_PER_FILE = 10_000
+FILE_BYTES = 16_000_000        # a WARC file is closed once it has as many compressed bytes
+LEVEL = 5                      # of compression
 CAPTURED = "20240101000000"    # ARC date of rows that have none
-LINE, END = b"\r\n", "\r\n\r\n"
+LINE, END, PADDING = b"\r\n", b"\r\n\r\n", "\0"
 # The field lines of the two ARC versions.
 ARC_FIELDS = {
     1: "URL IP-address Archive-date Content-type Archive-length",
@@ -65,7 +67,7 @@ def arc_record(version: int, uri: bytes, date: str, content_type: str, block: by
 
 
 def arc_records(data: bytes) -> Iterator[dict[str, str | bytes]]:
-    """The records of one ARC archive, by the header fields its version declares; ``block`` has the bytes."""
+    """The records of one ARC archive but its version block, by the header fields that declares; ``block`` has the bytes."""
     at, fields = 0, None
     while at < len(data):
         if data[at:at + 1] == b"\n":                     # separator
@@ -79,16 +81,18 @@ def arc_records(data: bytes) -> Iterator[dict[str, str | bytes]]:
         block = data[end + 1:end + 1 + size]
         if len(block) < size:
             raise ValueError(f"ARC record at byte {at} declares {size} bytes, {len(block)} are there")
-        if parts[0].startswith("filedesc:"):
+        first = fields is None
+        if first:                                        # the first record alone is the version block
+            if not parts[0].startswith("filedesc:"):
+                raise ValueError("ARC archive without a version block")
             lines = block.decode("utf-8").split("\n")
             fields = ARC_FIELDS[int(lines[0].split(" ")[0])].split(" ")
             if lines[1].split(" ") != fields:
                 raise ValueError(f"unknown ARC fields: {lines[1]}")
-        elif fields is None:
-            raise ValueError("ARC archive without a version block")
         if len(parts) != len(fields):
             raise ValueError(f"ARC header line of {len(parts)} fields, {len(fields)} declared")
-        yield dict(zip(fields, parts, strict=True)) | {"block": block}
+        if not first:
+            yield dict(zip(fields, parts, strict=True)) | {"block": block}
         at = end + 1 + size
 
 
@@ -156,7 +160,7 @@ def arc_to_warc(archives: DataFrame, content_col: str = "content") -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for cell in b.column(0):
-                rows = [convert_record(r) for r in arc_records(cell.as_py()) if not r["URL"].startswith("filedesc:")]
+                rows = [convert_record(r) for r in arc_records(cell.as_py())]
                 for at in range(0, len(rows), 500):
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(c, type=k) for c, k in zip(zip(*rows[at:at + 500]), kinds, strict=True)], schema=out)
@@ -200,18 +204,35 @@ def warc_text(r: DataFrame) -> Column:
     return F.concat(*lines, block.cast("string"))
 
 
-def write_warc(records: DataFrame, name: str = "warc", per_file: int = RECORDS_PER_FILE) -> str:
-    """Writes compressed WARC files to the shared folder; returns their path."""
+def write_warc(records: DataFrame, name: str = "warc", per_file: int = RECORDS_PER_FILE, file_bytes: int = FILE_BYTES) -> str:
+    """Writes WARC files to the shared folder, one gzip member a record; returns their path.  A file is closed at ``per_file``
+    records or ``file_bytes`` compressed bytes, so only a single record can make it larger."""
+    import pyarrow as pa
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        members: list[bytes] = []
+        size = 0
+        for b in batches:
+            for cell in b.column(0):
+                members.append(gzip.compress(cell.as_py() + END, LEVEL, mtime=0))
+                size += len(members[-1])
+                if size >= file_bytes or len(members) >= per_file:
+                    yield pa.RecordBatch.from_arrays([pa.array([b"".join(members)], pa.large_binary())], names=["file"])
+                    members, size = [], 0
+        if members:
+            yield pa.RecordBatch.from_arrays([pa.array([b"".join(members)], pa.large_binary())], names=["file"])
+
     path = scratch_path(records.sparkSession, name)
-    records.select(warc_text(records).alias("value")).write.option("maxRecordsPerFile", per_file) \
-        .text(path, compression="gzip", lineSep=END)
+    files = records.select(warc_text(records).cast("binary").alias("record")).mapInArrow(run, "file binary")
+    files.select(F.col("file").cast("string").alias("value")).write.option("maxRecordsPerFile", 1) \
+        .option("lineSep", PADDING).text(path)
     return path
 
 
 # ------------------------------------------------------------------ reading WARC
 
 def warc_records(stream: BinaryIO) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(header fields, block) of each record in turn."""
+    """(header fields, block) of each record in turn, from a stream of bytes already decompressed."""
     while line := stream.readline():
         if line == LINE:
             continue

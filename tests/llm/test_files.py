@@ -28,11 +28,11 @@ def test_arc_records_by_declared_length(version):
     for b in blocks:
         data += warc.arc_record(version, b"http://h/%20", "20240102030405", "text/html", b, len(data), "a.arc")
     got = list(warc.arc_records(data))
-    assert [r["block"] for r in got[1:]] == blocks and got[1]["URL"] == "http://h/%20"
-    rec = warc.convert_record(got[1])
+    assert [r["block"] for r in got] == blocks and got[0]["URL"] == "http://h/%20"
+    rec = warc.convert_record(got[0])
     assert rec[0] == "response" and rec[2] == "2024-01-02T03:04:05Z" and rec[4] == 7 and rec[-1] == b"body\nfiledesc://x y\n"
     assert rec[7] == base64.b32encode(hashlib.sha1(rec[-1]).digest()).decode() and rec[1].startswith("urn:uuid:")
-    assert warc.convert_record(got[2])[0] == "resource"
+    assert warc.convert_record(got[1])[0] == "resource"
     for damaged in (data[:-20], b"http://h 0.0.0.0 1 text/html 0\n", data.replace(b"Archive-length", b"Archive-size!!")):
         with pytest.raises(ValueError):
             list(warc.arc_records(damaged))
@@ -57,6 +57,38 @@ def test_pages_round_trip(spark):
     assert all(r["refers_to_id"] == ids[r["refers_to"]] for r in got if r["record_type"] == "revisit")
 
 
+def test_any_url_round_trips(spark):
+    urls = ["filedesc://x", "filedesc:", "filedesc://a.arc 0.0.0.0 1 text/plain 3", "http://a\tb/\nc", "WARC/1.1", "1 0 x", "é://ü ", ""]
+    df = spark.createDataFrame([(i, u, f"page {i}") for i, u in enumerate(urls)], "page_id long, url string, html string").coalesce(1)
+    path = warc.write_warc(warc.mark_revisits(warc.arc_to_warc(warc.pages_to_arc(df))))
+    got = {r["page_id"]: r for r in warc.read_warc(spark.read.format("binaryFile").load(path)).collect()}
+    assert len(got) == len(urls) and {r["record_type"] for r in got.values()} == {"response"}
+    for i, u in enumerate(urls):
+        want = "".join(f"%{ord(c):02X}" if c in "\t\n " else c for c in u) or f"urn:page:{i}"
+        assert got[i]["uri"] == want and got[i]["payload_bytes"] == len(f"page {i}")
+
+
+def test_files_are_bounded_and_hold_one_member_a_record(spark):
+    import random
+    rng = random.Random(1)
+    pages = [(i, f"http://h/{i}", "".join(rng.choices("abcdefghij0123456789 ", k=3000))) for i in range(200)] + [(999, "http://big", "é" * 400_000)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(2)
+    records = warc.arc_to_warc(warc.pages_to_arc(df)).withColumn("refers_to_page", F.lit(None).cast("long"))
+    path = warc.write_warc(records, file_bytes=20_000)
+    files = [bytes(r["content"]) for r in spark.read.format("binaryFile").load(path).collect()]
+    assert len(files) > 15 and max(map(len, files)) < 20_000 + 5_000
+    seen = 0
+    for raw in files:
+        rest = raw
+        while rest.strip(b"\0"):
+            one = zlib.decompressobj(31)
+            text = one.decompress(rest)
+            assert one.eof and len(list(warc.warc_records(io.BytesIO(text)))) == 1
+            seen, rest = seen + 1, one.unused_data
+        assert gzip.decompress(raw).count(b"WARC-Record-ID: ") >= 1
+    assert seen == len(pages) == warc.read_warc(spark.read.format("binaryFile").load(path)).count()
+
+
 def test_files_are_plain_warc(spark, tmp_path):
     path = warc.write_warc(warc.arc_to_warc(warc.pages_to_arc(table(spark, SF, "pages"))).withColumn("refers_to_page", F.lit(None).cast("long")))
     raw = [r["content"] for r in spark.read.format("binaryFile").load(path).collect()]
