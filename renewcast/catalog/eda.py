@@ -121,6 +121,38 @@ def describe_profile_approx(spark, sf):
     return P.describe_profile(fx.transactions(spark, sf), _DESC_COLS, approx=True)
 
 
+_RANGE = ("1997-03-01", "1999-02-28")
+
+
+@query("describe_profile__day_range", O.with_base(" UNION ALL ".join(f"""
+SELECT '{c}' AS "column", count(CAST({c} AS DOUBLE)) AS count, avg(CAST({c} AS DOUBLE)) AS mean, stddev_samp(CAST({c} AS DOUBLE)) AS std,
+       min(CAST({c} AS DOUBLE)) AS min, max(CAST({c} AS DOUBLE)) AS max, true AS ranks_hold
+FROM transactions WHERE transaction_date BETWEEN DATE '{_RANGE[0]}' AND DATE '{_RANGE[1]}'""" for c in _DESC_COLS), doubles=["mean", "std", "min", "max"]))
+def describe_profile_day_range(spark, sf):
+    """A range of days described from one written sketch per day and column; the quartiles' ranks are held against the rows."""
+    from renewcast.operators import sketches as S
+    from renewcast.session import written
+    tx = fx.transactions(spark, sf)
+    layer = written(S.day_sketches(tx, "transaction_date", _DESC_COLS), "day_sketches")
+    found = written(S.describe_days(layer, *_RANGE), "described_days")
+    values = tx.where(F.col("transaction_date").between(*[F.lit(d).cast("date") for d in _RANGE]))
+    pairs = ", ".join(f"'{c}', CAST(`{c}` AS DOUBLE)" for c in _DESC_COLS)
+    long = values.select(F.expr(f"stack({len(_DESC_COLS)}, {pairs}) AS (column, value)"))
+    near = [((F.avg((F.col("value") < F.col(p)).cast("double")) <= q + S.RANK_ERROR)
+             & (F.avg((F.col("value") <= F.col(p)).cast("double")) >= q - S.RANK_ERROR)) for q, p in ((.25, "p25"), (.5, "p50"), (.75, "p75"))]
+    ranks = long.join(found, "column").groupBy("column").agg((near[0] & near[1] & near[2]).alias("ranks_hold"))
+    return found.join(ranks, "column").select("column", "count", "mean", "std", "min", "max", "ranks_hold")
+
+
+@query("top_counts__values", O.with_base("""
+SELECT *, true AS proved FROM (
+  SELECT msno AS value, count(*) AS count FROM user_logs GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10)"""))
+def top_counts_values(spark, sf):
+    """The ten users with most log rows, by counters and an exact count of the candidates, with the proof that none is missing."""
+    from renewcast.operators import sketches as S
+    return S.top_values(fx.user_logs(spark, sf).select("msno"), "msno", 10)
+
+
 @query("distinct_values", O.with_base("""
 SELECT DISTINCT CAST(datediff('day', membership_start_date, membership_expire_date) AS INTEGER) AS plan_days
 FROM tx_start"""))

@@ -57,6 +57,19 @@ def interval_join(spark, sf):
                                          "membership_start_date", "membership_expire_date")
 
 
+@query("interval_join__prefiltered", O.with_base("""
+SELECT l.msno, l.date, l.total_secs, p.tx_id, p.membership_start_date, p.membership_expire_date
+FROM logs_valid l JOIN silver_tx_feat p
+  ON l.msno = p.msno AND l.date >= p.membership_start_date AND l.date <= p.membership_expire_date
+WHERE p.snapshot_month = DATE '2000-06-01'""", doubles=["total_secs"]))
+def interval_join_prefiltered(spark, sf):
+    """The periods of one month: logs of users without one are dropped in their scan, before the shuffle."""
+    p = silver_tx_feat(spark, sf).where(F.col("snapshot_month") == F.lit("2000-06-01").cast("date")).select(
+        "msno", "tx_id", "membership_start_date", "membership_expire_date")
+    lg = logs_valid(spark, sf).select("msno", "date", "total_secs")
+    return J.interval_join(lg, p, prefilter=True).select("msno", "date", "total_secs", "tx_id", "membership_start_date", "membership_expire_date")
+
+
 @query("interval_join__prior_month", O.with_base("""
 SELECT l.msno, l.date, l.total_secs, p.tx_id, p.membership_start_date, p.membership_expire_date
 FROM logs_valid l JOIN silver_tx_feat p

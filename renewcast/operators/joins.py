@@ -13,12 +13,15 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from renewcast.operators.sketches import bit_filter, filter_bits, may_contain
+from renewcast.session import written
+
 PERIOD_KEY = ["msno", "membership_start_date", "membership_expire_date"]
 
 
 def interval_join(logs: DataFrame, periods: DataFrame, user: str = "msno", date: str = "date",
                   start: str = "membership_start_date", expire: str = "membership_expire_date",
-                  lookback_months: int | None = None) -> DataFrame:
+                  lookback_months: int | None = None, prefilter: bool = False) -> DataFrame:
     """Inner join of every log row to every period of its user with start <= date <= expire.
 
     The equi key is (user, month): each period is exploded into the calendar
@@ -30,7 +33,14 @@ def interval_join(logs: DataFrame, periods: DataFrame, user: str = "msno", date:
     ``lookback_months=k`` reproduces the monthly partitioning of the
     reference (Q11): a period expiring in month M only sees logs from months
     M-k .. M, i.e. the lower bound becomes max(start, first of month M-k).
+
+    ``prefilter=True`` builds a bit filter of the users that have periods (one aggregate, at most 8 MB) and tests the logs
+    against it in their scan, so that logs of other users are not shuffled; the result is the same.
     """
+    if prefilter:
+        users = periods.select(user)
+        bits = filter_bits(users, user)
+        logs = logs.where(may_contain(user, written(bit_filter(users, user, bits), "user_bits"), bits))
     lo = F.col(start)
     if lookback_months is not None:
         lo = F.greatest(lo, F.add_months(F.trunc(F.col(expire), "MM"), -int(lookback_months)))

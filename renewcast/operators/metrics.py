@@ -14,11 +14,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from renewcast.operators.windows import first_argmax, running_sum
+from renewcast.operators.windows import first_argmax, order_blocks, running_sum
 from renewcast.session import written
 
 BETA = 1.5
@@ -151,15 +150,21 @@ def roc_curve(df: DataFrame, y_true: str = "y_true", score: str = "score",
 def roc_area_trapezoid(curve: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Trapezoid area under a ``roc_curve`` (origin added); equals ``roc_auc``.
 
-    Uses ``lag`` over the curve points of each group: the curve has one row
-    per distinct score, so use ``roc_auc`` when scores are continuous and huge.
+    The points are dealt into blocks by range of (group, threshold).  Within a block a point's neighbour is the one before it;
+    the first point of a block takes the last one of its group's block before, from a table with a row per (group, block).
     """
-    w = Window.partitionBy(*by).orderBy(F.col("threshold").desc())
-    pts = curve.select(*by, "threshold", "fpr", "tpr",
-                       F.coalesce(F.lag("fpr").over(w), F.lit(0.0)).alias("_f0"),
-                       F.coalesce(F.lag("tpr").over(w), F.lit(0.0)).alias("_t0"))
-    return pts.groupBy(*by).agg(
-        F.sum((F.col("fpr") - F.col("_f0")) * (F.col("tpr") + F.col("_t0")) / 2).alias("auc"))
+    falling = F.col("threshold").desc_nulls_last()
+    d = order_blocks(curve.select(*by, "threshold", "fpr", "tpr"), [falling], by)
+    ends = d.groupBy(*by, "_blk").agg(F.min_by(F.struct("fpr", "tpr"), "threshold").alias("_end"))
+    before = F.lag("_end").over(Window.partitionBy(*by).orderBy("_blk"))          # as many rows a group as there are blocks
+    ends = ends.select(*[F.col(c).alias(f"_b_{c}") for c in by], F.col("_blk").alias("_b_blk"), before.alias("_before"))
+    same = F.col("_blk") == F.col("_b_blk")
+    for c in by:
+        same &= F.col(c).eqNullSafe(F.col(f"_b_{c}"))
+    last = F.coalesce(F.lag(F.struct("fpr", "tpr")).over(Window.partitionBy(*by, "_blk").orderBy(falling)), F.col("_before"),
+                      F.struct(F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr")))
+    pts = d.join(ends, same).select(*by, "fpr", "tpr", last.alias("_last"))
+    return pts.groupBy(*by).agg(F.sum((F.col("fpr") - F.col("_last.fpr")) * (F.col("tpr") + F.col("_last.tpr")) / 2).alias("auc"))
 
 
 def threshold_sweep(spark: SparkSession, df: DataFrame, y_true: str = "y_true", score: str = "score",
@@ -167,35 +172,41 @@ def threshold_sweep(spark: SparkSession, df: DataFrame, y_true: str = "y_true",
     """Confusion counts and rates at every cut-off in one pass over the data.
 
     A score s is predicted positive at cut-off t when s >= t.  Each row gets
-    bucket k = number of cut-offs <= s, so TP at cut-off i is the suffix sum of
-    positives over buckets k >= i + 1.  The bucket table has at most
-    len(cutoffs) + 1 rows: the window over it is bounded by the cut-off count.
+    bucket k = number of cut-offs <= s (a comparison tree in the generated code), so TP at cut-off i is the sum of
+    positives over buckets k >= i + 1.  After the one aggregate there are at most len(cutoffs) + 1 rows; they are
+    gathered into one, and all cut-offs are read from it.
     """
     cuts = sorted(float(c) for c in (cutoffs if cutoffs is not None else default_cutoffs()))
-    arr = F.array(*[F.lit(c) for c in cuts])
-    # Bucketizer: splits [-inf, c1, ..., cm, +inf] give bucket k = #cut-offs <= score (binary
-    # search in the JVM); every row is bucketed and partially aggregated to <= m + 1 groups
     rows = df.where(F.col(score).isNotNull() & F.col(y_true).isNotNull()) \
         .select(F.col(score).cast("double").alias("_s"), F.col(y_true).alias("_y"))
-    bk = Bucketizer(splits=[float("-inf"), *cuts, float("inf")], inputCol="_s", outputCol="_k")
-    buckets = (bk.transform(rows).groupBy(F.col("_k").cast("int").alias("k"))
-               .agg(F.sum(F.col("_y").cast("long")).alias("pos"), F.count_if(F.col("_y") == 0).alias("neg")))
-    spine = spark.range(0, len(cuts) + 1).select(F.col("id").cast("int").alias("k"))
-    full = spine.join(buckets, "k", "left").select(
-        "k", F.coalesce("pos", F.lit(0)).alias("pos"), F.coalesce("neg", F.lit(0)).alias("neg"))
-    suffix = Window.orderBy(F.col("k").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    whole = Window.partitionBy()
-    t = full.select(
-        "k", F.sum("pos").over(suffix).alias("tp"), F.sum("neg").over(suffix).alias("fp"),
-        F.sum("pos").over(whole).alias("_p"), F.sum("neg").over(whole).alias("_n"))
-    out = t.where(F.col("k") >= 1).select(
-        F.element_at(arr, F.col("k")).alias("threshold"), "tp", "fp",
-        (F.col("_p") - F.col("tp")).alias("fn"), (F.col("_n") - F.col("fp")).alias("tn"))
+    buckets = rows.groupBy(cuts_reached("_s", cuts).alias("k")).agg(
+        F.sum(F.col("_y").cast("long")).alias("pos"), F.count_if(F.col("_y") == 0).alias("neg"))
+    table = buckets.agg(F.collect_list(F.struct("k", "pos", "neg")).alias("b"))
+
+    def total(part: str, least: str) -> str:
+        return f"aggregate(filter(b, x -> x.k >= {least}), 0L, (a, x) -> a + x.{part})"
+
+    listed = f"CAST(split('{','.join(map(repr, cuts))}', ',') AS ARRAY<DOUBLE>)"
+    t = table.selectExpr(
+        f"{total('pos', '0')} AS _p", f"{total('neg', '0')} AS _n",
+        f"inline(transform({listed}, (c, i) -> struct(c AS threshold, {total('pos', 'i + 1')} AS tp, {total('neg', 'i + 1')} AS fp)))")
+    out = t.select("threshold", "tp", "fp", (F.col("_p") - F.col("tp")).alias("fn"), (F.col("_n") - F.col("fp")).alias("tn"))
     return out.select("threshold", "tp", "fp", "fn", "tn",
                       fbeta(beta=beta).alias("f1_5"), false_omission_rate().alias("fn_rate"),
                       precision().alias("precision"), recall().alias("recall"))
 
 
+def cuts_reached(column: str, cuts: Sequence[float]) -> Column:
+    """How many of the ascending cut-offs are at or below the value; NaN reaches all.  As deep as the logarithm of their number."""
+    def tree(low: int, high: int) -> str:
+        if low == high:
+            return str(low)
+        mid = (low + high) // 2
+        return f"CASE WHEN `{column}` < double('{cuts[mid]!r}') THEN {tree(low, mid)} ELSE {tree(mid + 1, high)} END"
+
+    return F.expr(tree(0, len(cuts)))
+
+
 def best_threshold(sweep: DataFrame, metric: str = "f1_5") -> DataFrame:
     """First cut-off (lowest threshold) having the largest ``metric``."""
     return first_argmax(sweep, metric, ["threshold"])

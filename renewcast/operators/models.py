@@ -1,7 +1,7 @@
 """Spark ML models, tuning, scoring and model bundles.
 
 Estimators are Spark ML's own (distributed fits).  The only driver loops are
-over parameter maps and folds -- a handful of model fits, each a Spark job --
+over trials and folds -- a handful of model fits, each a Spark job --
 never over rows.
 """
 
@@ -18,25 +18,81 @@ from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from renewcast.operators import metrics as M
+from renewcast.operators.compiled import logistic_probability, number, with_probability
+from renewcast.operators.forest import GrownForest
+from renewcast.operators.tuning import ParzenSampler
 from renewcast.session import written
 
+#: The feature that stands for a penalised intercept: 1 in every row.
+INTERCEPT = "_intercept"
+
 
 def logistic(n_rows: int, C: float = 1.0, penalty: str = "l2", label: str = "churn",
-             features: str = "features", max_iter: int = 1000, tol: float = 1e-4) -> LogisticRegression:
+             features: str = "features", max_iter: int = 1000, tol: float = 1e-4,
+             penalise_intercept: bool = False) -> LogisticRegression:
     """L1/L2 logistic regression with the inverse-strength ``C`` mapped to Spark's
     ``regParam = 1 / (C * n)`` (Spark averages the loss, liblinear sums it); at most
-    1000 iterations and a 1e-4 convergence tolerance, the reference's settings."""
+    1000 iterations and a 1e-4 convergence tolerance, the reference's settings.
+    Spark leaves the intercept free; ``penalise_intercept`` fits none, for use with the rows and features of ``with_penalised_intercept``, which is
+    what the reference's solver does."""
     return LogisticRegression(featuresCol=features, labelCol=label, maxIter=max_iter, tol=tol,
-                              regParam=1.0 / (C * max(n_rows, 1)),
+                              regParam=1.0 / (C * max(n_rows, 1)), fitIntercept=not penalise_intercept,
                               elasticNetParam=1.0 if penalty == "l1" else 0.0,
                               standardization=False, family="binomial")
 
 
+def with_penalised_intercept(df: DataFrame, names: Sequence[str], key: Sequence[str], label: str = "churn") -> tuple[DataFrame, list[str]]:
+    """Rows and features to fit a penalised intercept on: the intercept is the weight of one more feature, ``INTERCEPT``.
+
+    Spark gives a constant column the weight 0, so half of the rows (by a hash of the key) have all features negated and
+    the other label, which leaves their loss as it is: log(1 + exp(-s w.x)) is the same for (x, s) and (-x, -s)."""
+    sign = F.when(F.pmod(F.xxhash64(*key), F.lit(2)) == 1, F.lit(-1.0)).otherwise(F.lit(1.0))
+    y = F.col(label).cast("double")
+    flipped = df.withColumn(INTERCEPT, sign)
+    rest = [c for c in flipped.columns if c not in {*names, label}]
+    return flipped.select(*rest, *[(F.col(f"`{n}`").cast("double") * F.col(INTERCEPT)).alias(n) for n in names],
+                          F.when(F.col(INTERCEPT) > 0, y).otherwise(1 - y).alias(label)), [*names, INTERCEPT]
+
+
+def coefficients(model: PipelineModel) -> tuple[list[str], list[float], float]:
+    """(features, weights, intercept) of a fitted logistic pipeline; a penalised intercept comes as the intercept."""
+    assembler, fitted = model.stages
+    names, weights, intercept = list(assembler.getInputCols()), fitted.coefficients.toArray().tolist(), float(fitted.intercept)
+    if INTERCEPT in names:
+        intercept += weights.pop(names.index(INTERCEPT))
+        names.remove(INTERCEPT)
+    return names, weights, intercept
+
+
+def optimality(df: DataFrame, names: Sequence[str], weights: Sequence[float], intercept: float, C: float = 1.0, penalty: str = "l2",
+               label: str = "churn", penalise_intercept: bool = False) -> DataFrame:
+    """Certificate of a logistic fit: (name, weight, gradient, violation), one aggregate over the rows.
+
+    The objective is penalty(w) + C x sum of losses.  ``gradient`` is that of the losses; at the optimum it balances the
+    penalty: -w for L2, -sign(w) for L1 and anything in [-1, 1] at a weight of 0.  ``violation`` is what is left, 0 at the optimum,
+    whoever found the weights.
+    """
+    p = logistic_probability(names, weights, intercept)
+    rows = df.select((F.lit(float(C)) * (p - F.col(label).cast("double"))).alias("_r"), *[number(n).alias(n) for n in names])
+    parts = [F.sum(F.col("_r") * F.col(f"`{n}`")).alias(n) for n in names] + [F.sum("_r").alias(INTERCEPT)]
+    wide = rows.agg(*parts)
+    every = [*names, INTERCEPT]
+    w = dict(zip(every, [*map(float, weights), float(intercept)], strict=True))
+    pairs = ", ".join(f"'{n}', double('{w[n]!r}'), `{n}`" for n in every)
+    long = wide.select(F.expr(f"stack({len(every)}, {pairs}) AS (name, weight, gradient)"))
+    weight, g = F.col("weight"), F.col("gradient")
+    if penalty == "l1":
+        own = F.when(weight != 0, F.abs(g + F.signum(weight))).otherwise(F.greatest(F.abs(g) - 1, F.lit(0.0)))
+    else:
+        own = F.abs(g + weight)
+    free = (F.col("name") == INTERCEPT) & F.lit(not penalise_intercept)
+    return long.withColumn("violation", F.when(free, F.abs(g)).otherwise(own))
+
+
 def forest(num_trees: int = 100, max_depth: int = 5, feature_subset: str = "sqrt",
            min_leaf: int = 1, impurity: str = "gini", seed: int = 42, label: str = "churn",
            features: str = "features", min_split: int = 2, max_bins: int = 32) -> RandomForestClassifier:
@@ -48,6 +104,14 @@ def forest(num_trees: int = 100, max_depth: int = 5, feature_subset: str = "sqrt
                                   minInstancesPerNode=leaf_rows(min_leaf, min_split), impurity=impurity, seed=seed)
 
 
+#: Ranges of the reference's searches.
+LOGISTIC_SPACE = {"C": ("log", 0.1, 50.0), "penalty": ("choice", ("l1", "l2"))}
+FOREST_SPACE = {"num_trees": ("int", 50, 400), "max_depth": ("int", 5, 10), "feature_subset": ("choice", ("sqrt", "log2", "0.6", "0.8")),
+                "min_leaf": ("int", 1, 10), "impurity": ("choice", ("gini", "entropy")), "min_split": ("int", 10, 50)}
+#: Random draws before adaptive ones.
+STARTUP = {"logistic": 3, "forest": 2}
+
+
 def leaf_rows(min_leaf: int, min_split: int) -> int:
     """Rows each child must have so that no node of fewer than ``min_split`` rows is split."""
     return max(min_leaf, -(-min_split // 2))
@@ -78,40 +142,71 @@ def draw_forest_params(trials: int = 5, seed: int = 42) -> list[dict]:
             for _ in range(trials)]
 
 
+def fold_scores(train: DataFrame, estimator, fold_col: str, folds: Sequence[int], label: str, parallelism: int) -> list[float]:
+    """Validation AUC of each fold: fitted on the other folds, scored on it.  The fits are Spark jobs, submitted together."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    judge = BinaryClassificationEvaluator(labelCol=label, metricName="areaUnderROC", numBins=0)
+
+    def one(f: int) -> float:
+        model = estimator.fit(train.where(F.col(fold_col) != f))
+        return float(judge.evaluate(model.transform(train.where(F.col(fold_col) == f))))
+
+    with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
+        return list(pool.map(one, folds))
+
+
 def tune_model(train: DataFrame, feature_cols: Sequence[str], kind: str = "logistic",
                trials: int = 5, seed: int = 42, fold_col: str = "fold", label: str = "churn",
-               parallelism: int = 3):
-    """CrossValidator over a seeded draw of parameters, scored by validation AUC, with
-    user-supplied stratified folds; the best parameters are refit on all rows."""
-    if kind == "logistic":
-        n = train.count()
-        draws = draw_logistic_params(trials, seed)
-        est = logistic(n, label=label)
-        grid = [{est.regParam: 1.0 / (d["C"] * n), est.elasticNetParam: 1.0 if d["penalty"] == "l1" else 0.0}
-                for d in draws]
+               parallelism: int = 3, adaptive: bool = True, startup: int | None = None):
+    """Trial after trial: a draw of parameters, scored by its mean validation AUC over the user's stratified folds; the best draw is
+    refit on all rows.  (model, draws, scores).
+
+    ``adaptive`` draws follow the trials before (``ParzenSampler``, after ``startup`` random ones); otherwise all are random.
+    """
+    n = train.count()
+    draws: list[dict] = []
+    scores: list[float] = []
+    if adaptive:
+        sampler = ParzenSampler(LOGISTIC_SPACE if kind == "logistic" else FOREST_SPACE, seed, STARTUP[kind] if startup is None else startup)
     else:
-        draws = draw_forest_params(trials, seed)
-        est = forest(label=label, seed=seed)
-        grid = [{est.numTrees: d["num_trees"], est.maxDepth: d["max_depth"],
-                 est.featureSubsetStrategy: d["feature_subset"],
-                 est.minInstancesPerNode: leaf_rows(d["min_leaf"], d["min_split"]),
-                 est.impurity: d["impurity"]} for d in draws]
-    asm = VectorAssembler(inputCols=list(feature_cols), outputCol="features", handleInvalid="keep")
-    cv = CrossValidator(estimator=est, estimatorParamMaps=grid,
-                        evaluator=BinaryClassificationEvaluator(labelCol=label, metricName="areaUnderROC", numBins=0),
-                        foldCol=fold_col, parallelism=parallelism, seed=seed)
-    model = cv.fit(asm.transform(train))
-    return model, draws, [float(x) for x in model.avgMetrics]
+        fixed = draw_logistic_params(trials, seed) if kind == "logistic" else draw_forest_params(trials, seed)
+
+    def estimator(d: dict):
+        if kind == "logistic":
+            return logistic(n, d["C"], d["penalty"], label=label)
+        return forest(d["num_trees"], d["max_depth"], d["feature_subset"], d["min_leaf"], d["impurity"], seed, label, min_split=d["min_split"])
+
+    x = VectorAssembler(inputCols=list(feature_cols), outputCol="features", handleInvalid="keep").transform(train).select("features", label, fold_col)
+    folds = [r[0] for r in train.select(fold_col).distinct().orderBy(fold_col).collect()]      # a handful
+    for t in range(trials):
+        d = sampler.next(draws, scores) if adaptive else fixed[t]
+        found = fold_scores(x, estimator(d), fold_col, folds, label, parallelism)
+        draws.append(d)
+        scores.append(sum(found) / len(found))
+    best = max(range(trials), key=lambda i: (scores[i], -i))
+    return estimator(draws[best]).fit(x), draws, scores
 
 
 def positive_probability(df: DataFrame, col: str = "probability", name: str = "p_churn") -> DataFrame:
     return df.withColumn(name, vector_to_array(F.col(col))[1])
 
 
-def predict(model: PipelineModel, df: DataFrame, keep: Sequence[str], threshold: float = 0.5,
-            label: str = "churn") -> DataFrame:
+def churn_probability(model: PipelineModel | GrownForest, df: DataFrame, compiled: bool = True, name: str = "p_churn") -> DataFrame:
+    """Adds the probability of churn, as column expressions where the model has such a form (``compiled``), else by its ``transform``."""
+    if isinstance(model, PipelineModel) and INTERCEPT in getattr(model.stages[0], "getInputCols", list)() and INTERCEPT not in df.columns:
+        df = df.withColumn(INTERCEPT, F.lit(1.0))
+    if compiled or isinstance(model, GrownForest):
+        out = with_probability(df, model, name)
+        if out is not None:
+            return out
+    return positive_probability(model.transform(df), name=name)
+
+
+def predict(model: PipelineModel | GrownForest, df: DataFrame, keep: Sequence[str], threshold: float = 0.5,
+            label: str = "churn", compiled: bool = True) -> DataFrame:
     """key, label (where the rows have one), probability of churn and the 0/1 decision at ``threshold`` (0.5 serves, Q8)."""
-    out = positive_probability(model.transform(df))
+    out = churn_probability(model, df, compiled)
     return out.select(*keep, *[c for c in (label,) if c in df.columns], F.col("p_churn").alias("probability"),
                       (F.col("p_churn") >= F.lit(threshold)).cast("int").alias("prediction"))
 
@@ -163,7 +258,7 @@ def cv_report(train: DataFrame, feature_cols: Sequence[str], make_estimator, dra
 @dataclass
 class Bundle:
     """A fitted model with everything needed to score new rows the same way."""
-    model: PipelineModel
+    model: PipelineModel | GrownForest
     threshold: float = 0.5
     scaler: Mapping[str, tuple[float, float]] = field(default_factory=dict)
     vocabulary: Mapping[str, Sequence[str]] = field(default_factory=dict)
@@ -172,9 +267,14 @@ class Bundle:
 
 
 def save_bundle(spark: SparkSession, bundle: Bundle, path: str) -> None:
-    """Pipeline via Spark ML persistence + one-row metadata table (parquet)."""
-    bundle.model.write().overwrite().save(f"{path}/model")
-    meta = {"threshold": float(bundle.threshold),
+    """Pipeline via Spark ML persistence, or a grown forest as its table of nodes, + one-row metadata table (parquet)."""
+    grown = isinstance(bundle.model, GrownForest)
+    if grown:
+        bundle.model.node_table(spark).coalesce(1).write.mode("overwrite").parquet(f"{path}/nodes")
+    else:
+        bundle.model.write().overwrite().save(f"{path}/model")
+    meta = {"forest": json.dumps({"features": bundle.model.features, "params": bundle.model.params}) if grown else "",
+            "threshold": float(bundle.threshold),
             "scaler": json.dumps({k: list(v) for k, v in bundle.scaler.items()}),
             "vocabulary": json.dumps({k: list(v) for k, v in bundle.vocabulary.items()}),
             "numeric": json.dumps(list(bundle.numeric)),
@@ -183,8 +283,12 @@ def save_bundle(spark: SparkSession, bundle: Bundle, path: str) -> None:
 
 
 def load_bundle(spark: SparkSession, path: str) -> Bundle:
-    model = PipelineModel.load(f"{path}/model")
-    m = spark.read.parquet(f"{path}/meta").first()
+    m = spark.read.parquet(f"{path}/meta").first().asDict()
+    if m.get("forest"):
+        about = json.loads(m["forest"])
+        model = GrownForest.from_table(spark.read.parquet(f"{path}/nodes"), about["features"], about["params"])
+    else:
+        model = PipelineModel.load(f"{path}/model")
     return Bundle(model=model, threshold=m["threshold"],
                   scaler={k: tuple(v) for k, v in json.loads(m["scaler"]).items()},
                   vocabulary=json.loads(m["vocabulary"]), numeric=json.loads(m["numeric"]),

@@ -36,34 +36,46 @@ def stratified_split(df: DataFrame, label: str, key: Sequence[str], test_fractio
                      exact: bool = True) -> DataFrame:
     """Hold out round(f * n_class) rows of every class, first in md5(key, seed) order.
 
-    Repeatable and independent of partitioning.  Rows are counted per (class, hash block); the block in which a class reaches its
-    number (one row per class comes to the driver) is ranked, and all other rows are decided by their block alone, without a shuffle.
-    ``exact=False`` skips the ranking: a row is held out when its md5 falls in
+    Repeatable and independent of partitioning.  Rows are counted per (class, hash block); in the block where a class reaches its
+    number the hash of the last row to hold out is looked up (one row per class comes to the driver, from hashes alone), and every row is
+    decided by comparing its hash with that one: a projection, no shuffle of rows.  Only where rows that share that very hash are held out
+    in part are these ranked, by ``tie``.
+    ``exact=False`` skips the counting: a row is held out when its md5 falls in
     the first ``f`` of the hash range -- a pure projection, class shares kept
     in expectation only.
     """
+    h = with_hash_key(df, key, seed)
     if not exact:
-        h = with_hash_key(df, key, seed)
         frac = F.conv(F.substring("_h", 1, 12), 16, 10).cast("double") / float(16 ** 12)
         return h.withColumn(name, (frac < F.lit(float(test_fraction))).cast("int")).drop("_h")
-    h = with_hash_key(df, key, seed).withColumn("_blk", hash_blocks("_h"))
-    counts = h.groupBy(label, "_blk").agg(F.count(F.lit(1)).alias("_c"))
+    narrow = h.select(label, "_h", hash_blocks("_h").alias("_blk"))
     w = Window.partitionBy(label).orderBy("_blk").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    counts = narrow.groupBy(label, "_blk").agg(F.count(F.lit(1)).alias("_c"))
     upto = counts.select(label, "_blk", "_c", F.sum("_c").over(w).alias("_upto"), F.sum("_c").over(Window.partitionBy(label)).alias("_n"))
     goal = F.round(F.lit(float(test_fraction)) * F.col("_n"))
     edges = upto.where((F.col("_upto") >= goal) & (F.col("_upto") - F.col("_c") < goal)).select(
-        F.col(label).alias("c"), F.col("_blk").alias("b"), (goal - F.col("_upto") + F.col("_c")).cast("long").alias("n")) \
-        .limit(MAX_CLASSES + 1).collect()
-    if len(edges) > MAX_CLASSES:
+        F.col(label).alias("_l"), F.col("_blk").alias("_b"), (goal - F.col("_upto") + F.col("_c")).cast("long").alias("_take"))
+    # the hashes of one block per class, in order, each with the rows that have it
+    ends = narrow.join(edges, F.col(label).eqNullSafe(F.col("_l")) & (F.col("_blk") == F.col("_b"))) \
+        .groupBy("_l", "_take", "_h").agg(F.count(F.lit(1)).alias("_same"))
+    run = F.sum("_same").over(Window.partitionBy("_l").orderBy("_h").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    last = ends.withColumn("_run", run).where((F.col("_run") >= F.col("_take")) & (F.col("_run") - F.col("_same") < F.col("_take"))) \
+        .select("_l", "_h", "_same", (F.col("_take") - F.col("_run") + F.col("_same")).alias("_of_these")).limit(MAX_CLASSES + 1).collect()
+    if len(last) > MAX_CLASSES:
         raise ValueError(f"more than {MAX_CLASSES} classes in {label}")
-    edge, take = F.lit(-1), F.lit(0).cast("long")
-    for e in edges:
-        own = F.col(label).eqNullSafe(F.lit(e["c"]))
-        edge, take = F.when(own, e["b"]).otherwise(edge), F.when(own, e["n"]).otherwise(take)
-    sure = h.where(F.col("_blk") != edge).withColumn(name, (F.col("_blk") < edge).cast("int"))
-    place = F.row_number().over(Window.partitionBy(label).orderBy(F.col("_h").asc(), *[F.col(c).asc_nulls_first() for c in tie]))
-    ranked = h.where(F.col("_blk") == edge).withColumn(name, (place <= take).cast("int"))
-    return sure.unionByName(ranked).drop("_h", "_blk")
+    edge, part = F.lit(""), F.lit(None).cast("long")           # below every hash: a class of which no row is held out
+    for e in last:
+        own = F.col(label).eqNullSafe(F.lit(e["_l"]))
+        edge = F.when(own, e["_h"]).otherwise(edge)
+        if e["_of_these"] < e["_same"]:
+            part = F.when(own, e["_of_these"]).otherwise(part)
+    decided = h.withColumn(name, (F.col("_h") <= edge).cast("int"))
+    if all(e["_of_these"] == e["_same"] for e in last):
+        return decided.drop("_h")
+    split_tie = (F.col("_h") == edge) & part.isNotNull()
+    place = F.row_number().over(Window.partitionBy(label, "_h").orderBy(*([F.col(c).asc_nulls_first() for c in tie] or [F.col("_h")])))
+    ranked = h.where(split_tie).withColumn(name, (place <= part).cast("int"))
+    return decided.where(~F.coalesce(split_tie, F.lit(False))).unionByName(ranked).drop("_h")
 
 
 def stratified_folds(df: DataFrame, label: str, key: Sequence[str], k: int = 3, seed: int = 42,

@@ -150,8 +150,7 @@ def describe_profile(df: DataFrame, cols: Sequence[str], approx: bool = False,
     """count, mean, std (sample), min, 25/50/75% (linear interpolation), max per column.
 
     One aggregate pass for the moments of every column; exact quartiles of all
-    columns by one distributed selection over the stacked (column, value) pairs
-    (block cut points for all columns from one ``approxQuantile`` pass).  ``approx=True`` uses ``percentile_approx``
+    columns by one distributed selection over the stacked (column, value) pairs (``exact_quantiles_long``).  ``approx=True`` uses ``percentile_approx``
     (one pass, bounded memory) instead.
     """
     cols = list(cols)
@@ -272,6 +271,8 @@ def sample_per_class(df: DataFrame, label: str, key: Sequence[str], n: int = 5,
 def canonical_order(df: DataFrame, user: str = "msno",
                     order: Sequence[str] = ("transaction_date", "membership_expire_date"),
                     tie: Sequence[str] = ("tx_id",)) -> DataFrame:
-    """Position of each row in its user's (date, expiry, tie) order; the order only feeds windows."""
+    """Position of each row in its user's (date, expiry, tie) order; the order only feeds windows.  Rows without a user
+    have no order: their position is null, and they meet in no window."""
     w = Window.partitionBy(user).orderBy(*[F.col(c).asc_nulls_last() for c in (*order, *tie)])
-    return df.withColumn("seq", F.row_number().over(w))
+    owned = df.where(F.col(user).isNotNull()).withColumn("seq", F.row_number().over(w))
+    return owned.unionByName(df.where(F.col(user).isNull()).withColumn("seq", F.lit(None).cast("int")))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from renewcast.operators import metrics as M
 from renewcast.operators import models as ML
 from renewcast.operators import prep as PR
+from renewcast.operators.forest import grow_forest
 from renewcast.plans.assembly import CATEGORICAL, NUMERIC
 from renewcast.session import written
 
@@ -63,21 +64,30 @@ def fit_bundle(spark: SparkSession, prep: Prepared, kind: str = "logistic", para
     # estimators cache their own training instances
     X = prep.matrix(prep.fit)
     n = X.count()
-    if kind == "logistic":
-        est = ML.logistic(n, params.get("C", 1.0), params.get("penalty", "l2"))
+    names, rows = prep.names, X
+    if kind == "grown_forest":
+        # distributed histograms level by level: ``min_split`` is kept exactly
+        model = grow_forest(X, prep.names, "churn", KEY, params.get("num_trees", 50), params.get("max_depth", 5), params.get("min_split", 2),
+                            params.get("min_leaf", 1), params.get("feature_subset", "sqrt"), params.get("impurity", "gini"))
     else:
-        est = ML.forest(params.get("num_trees", 50), params.get("max_depth", 5),
-                        params.get("feature_subset", "sqrt"), params.get("min_leaf", 1),
-                        params.get("impurity", "gini"), min_split=params.get("min_split", 2))
-    model = ML.vector_model(prep.names, est).fit(X)
-    tr = ML.positive_probability(model.transform(X)).select(
+        if kind == "logistic":
+            free = not params.get("penalise_intercept", False)
+            est = ML.logistic(n, params.get("C", 1.0), params.get("penalty", "l2"), tol=params.get("tol", 1e-4), penalise_intercept=not free)
+            if not free:
+                rows, names = ML.with_penalised_intercept(X, names, KEY)
+        else:
+            est = ML.forest(params.get("num_trees", 50), params.get("max_depth", 5),
+                            params.get("feature_subset", "sqrt"), params.get("min_leaf", 1),
+                            params.get("impurity", "gini"), min_split=params.get("min_split", 2))
+        model = ML.vector_model(names, est).fit(rows)
+    tr = ML.churn_probability(model, X).select(
         F.col("churn").cast("int").alias("y_true"), F.col("p_churn").alias("score"))
     best = M.best_threshold(M.threshold_sweep(spark, tr), metric).first()
     thr = float(best["threshold"]) if best else 0.5
     info = (info or {}) | {"model_type": kind, "params": params, "threshold": thr, "sample_size": n,
             "feature_count": len(prep.names), "feature_names": prep.names}
     if evaluate:
-        te = ML.positive_probability(model.transform(prep.matrix(prep.test))).select(
+        te = ML.churn_probability(model, prep.matrix(prep.test)).select(
             F.col("churn").cast("int").alias("y_true"), F.col("p_churn").alias("score"))
         counts = M.with_rates(M.confusion_counts(te.withColumn("y_pred", (F.col("score") >= thr).cast("int"))))
         c = counts.first()
@@ -100,7 +110,7 @@ def tune_bundle(spark: SparkSession, prep: Prepared, kind: str = "logistic", tri
 def score_batch(bundle: ML.Bundle, df: DataFrame, threshold: float | None = None,
                 keep: Sequence[str] = ()) -> DataFrame:
     """Scale with the *training* statistics, encode with the training vocabulary, apply
-    the model; ``threshold=None`` serves at 0.5 (what the reference's service does, Q8).
+    the model as column expressions; ``threshold=None`` serves at 0.5 (what the reference's service does, Q8).
     Rows need no label; where they have one it is handed through."""
     X = PR.feature_matrix(df, bundle.scaler, bundle.vocabulary, list(bundle.numeric),
                           keep=[*KEY, *[c for c in ("churn",) if c in df.columns], *keep])

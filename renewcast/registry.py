@@ -56,7 +56,7 @@ def load_all() -> None:
     """Import every module that registers queries."""
     import importlib
 
-    for mod in ("labels", "features", "scalars", "eda", "evaluation", "prep", "modelling", "sources"):
+    for mod in ("labels", "features", "scalars", "eda", "evaluation", "prep", "modelling", "fitted", "sources"):
         try:
             importlib.import_module(f"renewcast.catalog.{mod}")
         except ModuleNotFoundError as e:
