@@ -2,23 +2,24 @@
 
 1. Signature: a document's distinct word shingles are hashed; for each of bands x rows hash functions the minimum is
    kept as a 16-bit register, its leading-zero count (6 bits) and the 10 bits after its first one.
-2. Documents of equal shingle sets collapse to their smallest id.  Every band of registers is one 64-bit key.
+2. Rows of equal shingle sets (equal 128-bit digest) are one node, numbered for the rest.  Every band of registers is one 64-bit key.
 3. In each bucket every member is paired with the smallest member (a star, never all pairs).  The Jaccard estimate of a
    pair, corrected for registers that agree by chance, drops hopeless pairs (six standard deviations below the
    threshold); the others are checked on their full shingle sets.  Components of these links follow.
 4. Buckets whose other members are still in different components are finished exactly.  Jaccard distance is a metric,
    so members whose distances to the bucket's centre differ by more than the threshold distance cannot link;
-   what is left is counted with an inverted index over the full sets, in blocks of bounded size, and only
-   links that join two components are emitted.
+   what is left, members outside the bucket's main component against all others, is counted with an inverted index over the full
+   sets, in blocks of bounded size on both sides, and only links that join two components are emitted.
 
 So every candidate pair of different components is checked or excluded by a bound, no group is expanded into
 all its pairs, and a bucket with a third of all rows is many blocks.  A link of similarity s is a candidate with
 probability 1 - (1 - s^rows)^bands: 1 - 2e-8 at 0.85, 1 - 4e-6 at 0.8.
 
 Defined results: null, empty and white-space texts have no shingles and link with nothing; a text of fewer
-words than a shingle is one shingle; rows with the same id are one document, that
-of the smallest set digest; a null id links with nothing and is kept;
-all rows come back; empty tables give no rows; only id and text are read.
+words than a shingle is one shingle; rows with the same id and different texts are judged each by its own text, repeated rows alike;
+a null id links with nothing and is kept; all rows come back; empty tables give no rows; only id and text are read.
+The stage keeps one row of each group: of the group's smallest id, there of the smallest digest, and of rows that still are
+equal the first by a hash of their columns; rows without shingles or id all stay.
 """
 
 from __future__ import annotations
@@ -29,15 +30,15 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from renewcast.llm.common import bounded_broadcast, written
+from renewcast.llm.common import bounded_broadcast, per_text, written
 from renewcast.llm.graph import components
 
 BANDS, ROWS, MANTISSA = 24, 4, 10
 DEVIATIONS = 6
-BLOCK = 2_000_000          # shingles of one block of a bucket
+BLOCK = 200_000            # shingles of one block of a bucket
 MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], dtype=np.uint64)
 
 
@@ -165,8 +166,9 @@ def promising(pairs: DataFrame, similarity: tuple[int, int]) -> DataFrame:
     return pairs.select("a", "b", "na", "nb", "ra", "rb").mapInArrow(run, "a long, b long")
 
 
-def full_sets(texts: DataFrame, needed: DataFrame, shingle: int) -> DataFrame:
-    """(id, hashes): the whole shingle set of each needed (id, digest); the text of another row with that id is left out."""
+def full_sets(texts: DataFrame, needed: DataFrame, shingle: int, repeats: bool) -> DataFrame:
+    """(id, hashes): the whole shingle set of each needed node (id, doc, digest); another text under that doc id is left out.
+    ``repeats``: whether rows repeat an id with its text."""
     import xxhash
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,7 +178,8 @@ def full_sets(texts: DataFrame, needed: DataFrame, shingle: int) -> DataFrame:
             own = [xxhash.xxh3_128_digest(h) == d.as_py() for h, d in zip(sets, b.column(2), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary())], names=["id", "hashes"]).filter(pa.array(own, pa.bool_()))
 
-    return texts.join(bounded_broadcast(needed), "id").select("id", "text", "digest").mapInArrow(run, "id long, hashes binary")
+    found = texts.join(bounded_broadcast(needed), "doc").select("id", "text", "digest").mapInArrow(run, "id long, hashes binary")
+    return found.groupBy("id").agg(F.min("hashes").alias("hashes")) if repeats else found
 
 
 def common_shingles(pairs: DataFrame) -> DataFrame:
@@ -236,27 +239,28 @@ def finish_block(similarity: tuple[int, int]):
     return run
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5,
-                    similarity: tuple[int, int] = (80, 100), bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """One row per document: id, n_shingles, component_id (smallest linked id) and kept.  ``similarity`` is a fraction
-    (numerator, denominator), so that the threshold is tested on whole numbers."""
+def grouped_rows(docs: DataFrame, id_col: str, text_col: str, shingle: int, similarity: tuple[int, int], bands: int = BANDS,
+                 rows: int = ROWS) -> DataFrame:
+    """(id, n, digest, component, label) for each row; component and label are null for rows without id or shingles.  Components of
+    different texts may have the same smallest id, so ``label`` tells them apart."""
     sig = written(signatures(docs, id_col, text_col, shingle, bands, rows), "signatures")
-    nodes = written(sig.where("id IS NOT NULL AND digest IS NOT NULL").groupBy("id").agg(F.min(F.struct("digest", "n", "regs")).alias("x"))
-                    .select("id", "x.digest", "x.n", "x.regs"), "nodes")
-    reps = written(nodes.groupBy("digest").agg(F.min(F.struct("id", "n", "regs")).alias("x")).select("digest", "x.id", "x.n", "x.regs"),
-                   "representatives")
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    own = sig.where("id IS NOT NULL AND digest IS NOT NULL")
+    reps = own.groupBy("digest").agg(F.min(F.struct("id", "n", "regs")).alias("x"))
+    # numbered when written: from here on a node's number is fixed
+    reps = written(reps.select("digest", F.col("x.id").alias("doc"), "x.n", "x.regs", F.monotonically_increasing_id().alias("id")), "nodes")
+    repeats = not own.groupBy("id", "digest").count().where("count > 1").isEmpty()
+    texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
 
     keys = band_rows(reps, bands, rows)
-    buckets = keys.groupBy("key").agg(F.min("id").alias("centre"), F.count("*").alias("members"), F.sum("n").alias("shingles")).where("members > 1")
-    members = written(keys.join(buckets, "key").where("id <> centre").select("key", "id", "n", "centre", "members", "shingles"), "bucket_members")
+    buckets = keys.groupBy("key").agg(F.min("id").alias("centre"), F.count("*").alias("members")).where("members > 1")
+    members = written(keys.join(buckets, "key").where("id <> centre").select("key", "id", "n", "centre", "members"), "bucket_members")
 
     stars = members.select(F.col("id").alias("a"), F.col("centre").alias("b")).distinct()
     r = reps.select("id", "n", "regs")
     stars = stars.join(r.toDF("a", "na", "ra"), "a").join(r.toDF("b", "nb", "rb"), "b")
     stars = written(promising(stars, similarity), "star_pairs")
     ids = stars.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    sets = full_sets(texts, written(reps.select("id", "digest").join(ids, "id"), "pair_ids"), shingle)
+    sets = full_sets(texts, written(reps.select("id", "doc", "digest").join(ids, "id"), "pair_ids"), shingle, repeats)
     pairs = stars.join(sets.toDF("b", "hb"), "b").join(sets.toDF("a", "ha"), "a")
     checked = written(common_shingles(pairs), "star_checks")
     num, den = similarity
@@ -268,42 +272,88 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                               (1 - F.col("inter") / (F.col("na") + F.col("nb") - F.col("inter"))).alias("dist"))
     open_ = members.where("members > 2").join(labels, "id", "left").withColumn("label", F.coalesce("label", "id")) \
         .join(distance, ["id", "centre"], "left")
-    several = open_.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min("dist").alias("d0"),
-                                       F.max("dist").alias("d1"), F.mode("label").alias("main")).where("low <> high")
+    several = open_.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.mode("label").alias("main")).where("low <> high")
     todo = written(open_.join(several.select("key", "main"), "key"), "open_buckets")
-    needed = written(reps.select("id", "digest").join(todo.select("id").distinct(), "id"), "open_ids")
-    more = finished(todo, full_sets(texts, needed, shingle), similarity)
+    needed = written(reps.select("id", "doc", "digest").join(todo.select("id").distinct(), "id"), "open_ids")
+    more = finished(todo, full_sets(texts, needed, shingle, repeats), similarity)
     joined = more.join(labels.toDF("a", "la"), "a", "left").join(labels.toDF("b", "lb"), "b", "left") \
         .select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))
     known = labels.select(F.col("id").alias("a"), F.col("label").alias("b")).where("a <> b")
     final = components(known.unionByName(joined))
 
-    own = nodes.select("id", "digest").join(reps.select("digest", F.col("id").alias("rep")), "digest").join(final.toDF("rep", "label"), "rep", "left") \
-        .select("id", F.coalesce("label", "rep").alias("component"))
-    out = sig.select("id", "n").join(own, "id", "left")
+    # a component is named by the smallest id of its rows; nodes without links are their own
+    linked_nodes = written(reps.select("id", "doc", "digest").join(final, "id"), "linked_nodes")
+    least = linked_nodes.groupBy("label").agg(F.min("doc").alias("component"))
+    named = linked_nodes.join(least, "label").select("digest", "component", "label")
+    named = reps.select("digest", "doc", "id").join(named, "digest", "left").select(
+        "digest", F.coalesce("component", "doc").alias("component"), F.coalesce("label", "id").alias("label"))
+    key = F.when(F.col("id").isNotNull(), F.col("digest"))
+    return sig.select("id", "n", "digest", key.alias("_key")).join(named.withColumnRenamed("digest", "_key"), "_key", "left").drop("_key")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5,
+                    similarity: tuple[int, int] = (80, 100), bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """One row per document: id, n_shingles, component_id (smallest linked id) and kept.  ``similarity`` is a fraction
+    (numerator, denominator), so that the threshold is tested on whole numbers."""
+    out = grouped_rows(docs, id_col, text_col, shingle, similarity, bands, rows)
     component = F.coalesce("component", "id")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"),
                       F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
 
 
 def finished(todo: DataFrame, sets: DataFrame, similarity: tuple[int, int]) -> DataFrame:
-    """Links between components inside open buckets: members outside the bucket's main component against all others,
-    in blocks of about BLOCK shingles."""
-    blocks = F.ceil(F.col("shingles") / F.lit(BLOCK)).cast("int")
-    own = F.pmod(F.xxhash64("id"), blocks).cast("int")
-    every = F.explode(F.sequence(F.lit(0), blocks - 1))
-    x = todo.where("label <> main").select("key", "id", "label", "dist", own.alias("xb"), every.alias("yb"), F.lit("x").alias("side"))
-    y = todo.select("key", "id", "label", "dist", every.alias("xb"), own.alias("yb"), F.lit("y").alias("side"))
+    """Links between components inside open buckets: members outside the bucket's main component against all others.  Both sides are cut
+    into blocks of about BLOCK shingles, each side by its own sum: a set is copied once for each block of the other side."""
+    outside = F.when(F.col("label") != F.col("main"), F.col("n"))
+    size = todo.groupBy("key").agg(F.ceil(F.sum("n") / F.lit(BLOCK)).cast("int").alias("ys"),
+                                   F.ceil(F.coalesce(F.sum(outside), F.lit(0)) / F.lit(BLOCK)).cast("int").alias("xs"))
+    todo = todo.join(size, "key")
+
+    def block(n: str) -> Column:
+        return F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+
+    def every(n: str) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+
+    x = todo.where("label <> main").select("key", "id", "label", "dist", block("xs").alias("xb"), every("ys").alias("yb"), F.lit("x").alias("side"))
+    y = todo.where("xs > 0").select("key", "id", "label", "dist", every("xs").alias("xb"), block("ys").alias("yb"), F.lit("y").alias("side"))
     return x.unionByName(y).join(sets, "id").groupBy("key", "xb", "yb").applyInArrow(finish_block(similarity), "a long, b long").distinct()
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5,
                          similarity: tuple[int, int] = (80, 100)) -> DataFrame:
-    """One row of each group, with the columns it had: the smallest id; of rows that share it, any one."""
-    groups = near_duplicates(docs, id_col, text_col, shingle, similarity)
-    gone = bounded_broadcast(written(groups.where(~F.col("kept")).select(F.col(id_col).alias("_gone")).distinct(), "near_duplicates"))
-    left = docs.join(gone, F.col(id_col).cast("long") == gone["_gone"], "left_anti")
-    twice = left.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1")
-    if twice.isEmpty():
-        return left
-    return left.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]).unionByName(left.where(F.col(id_col).isNull()))
+    """One row of each group, with the columns it had (see above which); rows without shingles or id stay."""
+    groups = written(grouped_rows(docs, id_col, text_col, shingle, similarity).where("component IS NOT NULL"), "near_groups")
+    # ids that stand for one row alone need no look at the text; the rows of all others are told by their digest
+    shared = groups.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("id")
+    none = docs.where(F.col(id_col).isNull())
+    ids = docs.where(F.col(id_col).isNotNull())
+    on = F.col(id_col).cast("long")
+    gone = bounded_broadcast(written(groups.where("id <> component").select(F.col("id").alias("_gone")).distinct(), "near_duplicates"))
+    if shared.isEmpty():
+        return docs.join(gone, on == gone["_gone"], "left_anti")
+    shared = bounded_broadcast(written(shared.toDF("_shared"), "shared_ids"))
+    alone = ids.join(shared, on == shared["_shared"], "left_anti").join(gone, on == gone["_gone"], "left_anti")
+    told = with_digests(ids.join(shared, on == shared["_shared"], "left_semi"), id_col, text_col, shingle)
+    best = groups.where("id = component").groupBy("label", "id").agg(F.min("digest").alias("best"))
+    chosen = told.where("_digest IS NOT NULL").join(best, (F.col("_id") == F.col("id")) & (F.col("_digest") == F.col("best")))
+    one = chosen.groupBy("_id", "_digest").agg(F.min_by("_row", F.xxhash64("_row")).alias("_row"))
+    rest = told.where("_digest IS NULL").select("_row").unionByName(one.select("_row"))
+    return alone.unionByName(none).unionByName(rest.select(*[F.col(f"_row.`{c}`").alias(c) for c in docs.columns]))
+
+
+def with_digests(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
+    """(_id, _digest, _row): each row with its id and the digest of its shingle set, null without shingles."""
+    import xxhash
+
+    def make():
+        words = WordHash()
+
+        def digest(text: str) -> tuple:
+            h = shingle_hashes(text, shingle, words)
+            return (xxhash.xxh3_128_digest(h.tobytes()) if len(h) else None,)
+
+        return digest
+
+    packed = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+    return per_text(packed, "_id", "_text", make, "_digest binary", carry=("_row",))

@@ -79,6 +79,41 @@ def test_defined_cases(make_docs):
     assert got(make_docs([(1, None), (2, "")])) == [(1, 0, 1, True), (2, 0, 2, True)]
 
 
+def test_rows_of_one_id_are_judged_by_their_own_texts(make_docs):
+    """Ids shared by unrelated texts, by near copies and by repeated rows, against all pairs of rows."""
+    rows = corpus(9, 90)
+    rows = [(i // 3 if i % 2 else i, t) for i, t in rows] + [(1, "quite another text stands here now"), (1, "and a third one that is like none"), (1, "")] \
+        + [rows[4], rows[4], rows[7]]
+    sets = [(i, shingles(t, 3)) for i, t in rows]
+    parent = list(range(len(rows)))
+
+    def top(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a in range(len(rows)):
+        for b in range(a):
+            x, y = sets[a][1], sets[b][1]
+            if x and y and 100 * len(x & y) >= 85 * len(x | y):
+                parent[top(a)] = top(b)
+    least = {}
+    for k, (i, _) in enumerate(sets):
+        least[top(k)] = min(i, least.get(top(k), i))
+    want = sorted((i, len(x), least[top(k)], i == least[top(k)]) for k, (i, x) in enumerate(sets))
+    assert got(make_docs(rows), shingle=3, similarity=(85, 100)) == want
+    left = minhash.drop_near_duplicates(make_docs(rows, "_row _id"), shingle=3, similarity=(85, 100)).collect()
+    kept = [(r["doc_id"], r["text"]) for r in left]
+    groups = {top(k) for k, (_, x) in enumerate(sets) if x}
+    empty = [(i, t) for i, t in rows if not shingles(t, 3)]
+    assert len(kept) == len(groups) + len(empty)
+    by_text = {}
+    for k, (i, t) in enumerate(rows):
+        by_text.setdefault((i, t), set()).add(top(k))
+    found = [next(iter(by_text[x])) for x in kept if shingles(x[1], 3)]
+    assert sorted(found) == sorted(groups) and all(i == least[g] for (i, _), g in zip([x for x in kept if shingles(x[1], 3)], found))
+
+
 def test_estimate_is_near_the_truth():
     rng = np.random.default_rng(5)
     for share in (0.3, 0.6, 0.85):
