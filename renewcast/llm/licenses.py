@@ -3,20 +3,24 @@
 One automaton finds the base phrases, further notice phrases and the identifier tags in one pass
 over the words (runs of ASCII letters and digits and all other characters from U+0080 on, A-Z
 lower-cased).  Where a tag such as ``SPDX-License-Identifier:`` stands, the rest of its line is read as an
-expression of identifiers, ``and``, ``or``, ``with`` and parentheses.
+expression of identifiers, ``and``, ``or``, ``with`` and parentheses.  Identifiers are held against a list, a parameter; a word that
+is none is reported as unknown and is no label.
 
 Score: how freely the text may be reused, 0 (no licence found, or reserved) to 1.  Each licence has a
 grade; ``or`` takes the larger, ``and`` the smaller, ``with`` (an exception) the middle of the
-licence's grade and 1; several findings in one text hold together, as by ``and``.
+licence's grade and 1; several findings in one text hold together, as by ``and``.  An unknown word
+grants nothing: its grade is 0.
 
 Defined results: null or empty texts have no words, no places, empty labels and score 0; a malformed
-expression yields the identifiers up to the fault and their smallest grade; rows are judged one by one,
+expression yields the known identifiers up to the fault and their smallest grade; an expression of unknown words alone finds no licence;
+null ids are kept; rows are judged one by one,
 so repeated rows repeat; only id and text are read.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Collection
 
 from pyspark.sql import DataFrame
 
@@ -50,6 +54,23 @@ NOTICES = {
     "public domain": "public-domain",
     "all rights reserved": "reserved",
 }
+#: Identifiers known without a list of one's own, in lower case: those of the licences above and the most used others.
+IDENTIFIERS = (
+    "0bsd", "afl-3.0", "agpl-3.0", "agpl-3.0-only", "agpl-3.0-or-later", "apache-1.1", "apache-2.0", "apsl-2.0", "artistic-2.0", "blueoak-1.0.0",
+    "bsd-1-clause", "bsd-2-clause", "bsd-2-clause-patent", "bsd-3-clause", "bsd-3-clause-clear", "bsd-4-clause", "bsl-1.0", "bzip2-1.0.6",
+    "cc-by-3.0", "cc-by-4.0", "cc-by-nc-4.0", "cc-by-nc-nd-4.0", "cc-by-nc-sa-4.0", "cc-by-nd-4.0", "cc-by-sa-3.0", "cc-by-sa-4.0", "cc0-1.0",
+    "cddl-1.0", "cddl-1.1", "cecill-2.1", "cpl-1.0", "ecl-2.0", "epl-1.0", "epl-2.0", "eupl-1.1", "eupl-1.2", "gfdl-1.3", "gpl-1.0", "gpl-2.0",
+    "gpl-2.0-only", "gpl-2.0-or-later", "gpl-3.0", "gpl-3.0-only", "gpl-3.0-or-later", "hpnd", "ijg", "isc", "lgpl-2.0", "lgpl-2.1",
+    "lgpl-2.1-only", "lgpl-2.1-or-later", "lgpl-3.0", "lgpl-3.0-only", "lgpl-3.0-or-later", "libpng-2.0", "lppl-1.3c", "mit", "mit-0", "mpl-1.1",
+    "mpl-2.0", "ms-pl", "ms-rl", "mulanpsl-2.0", "ncsa", "odbl-1.0", "ofl-1.1", "openssl", "osl-3.0", "pddl-1.0", "php-3.01", "postgresql",
+    "proprietary", "psf-2.0", "python-2.0", "qpl-1.0", "ruby", "sspl-1.0", "tcl", "unicode-3.0", "unlicense", "upl-1.0", "vim", "w3c", "wtfpl", "x11",
+    "zlib", "zpl-2.1",
+    # after "with"
+    "autoconf-exception-3.0", "bison-exception-2.2", "classpath-exception-2.0", "gcc-exception-3.1", "linux-syscall-note", "llvm-exception",
+    "openssl-exception", "font-exception-2.0", "libtool-exception", "swift-exception", "u-boot-exception-2.0", "wxwindows-exception-3.1",
+)
+#: References that a document defines itself.
+OWN = ("licenseref-", "documentref-")
 TAGS = ("spdx license identifier", "license expression")
 TAG_LINE = re.compile(rb"(?:spdx-license-identifier|license-expression)[ \t]*[:=][ \t]*([^\n\r]*)")
 #: Grade by the first part of a label; others are 0.5.
@@ -102,31 +123,36 @@ def postfix(expression: str) -> list[str]:
     return out
 
 
-def evaluate(expression: str) -> tuple[set[str], float] | None:
-    """(labels, grade) of an expression; None if it names no licence."""
-    stack: list[tuple[set[str], float]] = []
-    seen: list[tuple[set[str], float]] = []
+def evaluate(expression: str, known: Collection[str] = IDENTIFIERS) -> tuple[set[str], float, set[str]] | None:
+    """(labels, grade, unknown words) of an expression; None if it names nothing.  A ``+`` behind an identifier is not part of it."""
+    stack: list[tuple[set[str], float, set[str]]] = []
+    seen: list[tuple[set[str], float, set[str]]] = []
     for t in postfix(expression):
         if t not in OPERATORS:
-            stack.append(({t.rstrip("+")}, grade(t)))
+            name = t.rstrip("+")
+            sure = name in known or name.startswith(OWN)
+            stack.append(({name}, grade(t), set()) if sure else (set(), 0.0, {name}))
             seen.append(stack[-1])
             continue
         if len(stack) < 2:               # cut off after an operator
             break
         b, a = stack.pop(), stack.pop()
         if t == "with":
-            stack.append((a[0] | {f"with-{x}" for x in b[0]}, (a[1] + 1) / 2))
+            stack.append((a[0] | {f"with-{x}" for x in b[0]}, (a[1] + 1) / 2 if a[0] else 0.0, a[2] | b[2]))
         else:
-            stack.append((a[0] | b[0], max(a[1], b[1]) if t == "or" else min(a[1], b[1])))
+            stack.append((a[0] | b[0], max(a[1], b[1]) if t == "or" else min(a[1], b[1]), a[2] | b[2]))
     if len(stack) == 1:
         return stack[0]
-    return (set().union(*[x[0] for x in seen]), min(x[1] for x in seen)) if seen else None
+    sure = [x for x in seen if x[0]]
+    return (set().union(*[x[0] for x in seen]), min((x[1] for x in sure), default=0.0), set().union(*[x[2] for x in seen])) if seen else None
 
 
-def scanner():
-    """The function text -> (n_words, n_base, first_word, last_word, base_labels, labels, score)."""
+def scanner(known: Collection[str] = IDENTIFIERS):
+    """The function text -> (n_words, n_base, first_word, last_word, base_labels, labels, score, unknown)."""
     import ahocorasick
 
+    known = frozenset(x.lower() for x in known)
+
     found = ahocorasick.Automaton()
     for phrase in {*BASE, *NOTICES, *TAGS}:
         found.add_word(f" {phrase} ", phrase)
@@ -137,7 +163,7 @@ def scanner():
         words = low.translate(NOT_WORD).split(b" ")
         words = [w for w in words if w]
         line = " " + b" ".join(words).decode("latin-1") + " "
-        starts, base, more, tagged = [], set(), set(), False
+        starts, base, more, other, tagged = [], set(), set(), set(), False
         for end, phrase in found.iter(line):
             if phrase in BASE:
                 starts.append(end - len(phrase) - 1)
@@ -148,18 +174,21 @@ def scanner():
         grades = [grade(x) for x in base | more]
         if tagged:
             for m in TAG_LINE.finditer(low):
-                if value := evaluate(m[1].decode("utf-8", "replace")):
+                if value := evaluate(m[1].decode("utf-8", "replace"), known):
                     more |= value[0]
-                    grades.append(value[1])
+                    other |= value[2]
+                    if value[0]:
+                        grades.append(value[1])
         first = line.count(" ", 0, min(starts)) if starts else None
         last = line.count(" ", 0, max(starts)) if starts else None
         return (len(words), len(starts), first, last, ",".join(sorted(base)), ",".join(sorted(base | more)),
-                min(grades) if grades else 0.0)
+                min(grades) if grades else 0.0, ",".join(sorted(other)))
 
     return scan
 
 
-def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document; first_word and last_word are null without a place."""
-    return per_text(docs, id_col, text_col, scanner, "n_words long, n_base long, first_word long, last_word long, "
-                    "base_labels string, labels string, score double")
+def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", identifiers: Collection[str] = IDENTIFIERS) -> DataFrame:
+    """One row per document; first_word and last_word are null without a place; unknown has the words in expressions that are no
+    identifier."""
+    return per_text(docs, id_col, text_col, lambda: scanner(identifiers), "n_words long, n_base long, first_word long, last_word long, "
+                    "base_labels string, labels string, score double, unknown string")

@@ -4,14 +4,15 @@ Counts that any rule may use come first (``rule_counts``).  Then each line gets
 binary features, and Viterbi decoding finds the best sequence of labels.  The share of words that
 stand in content lines decides whether the document is kept.
 
-The field is fitted here, on a bounded sample of labelled documents: the ``sample`` labelled rows with the smallest
-hash of their id.  Lines of documents of quality 1 count as content, those of quality 0 as
+The field is fitted here, on a bounded sample: of the ``sample`` labelled documents with the smallest hash of their id the lines, in pieces
+of ``piece_lines``.  Of a document with more than ``pieces`` pieces as many are taken, evenly spaced from its start to its end, so
+documents of any length teach the field.  Lines of documents of quality 1 count as content, those of quality 0 as
 boilerplate; the transition weights and the line features then tell mixed documents apart.  Fitting is
 full-batch gradient ascent of the conditional likelihood (forward-backward), on the driver, over that
 sample alone; everything else is per text in the tasks.
 
 Defined results: null or empty texts have no words and no lines that count, and fail the base rule; a text
-without boilerplate has share 1; rows are judged one by one, so repeated rows repeat; without any labelled
+without boilerplate has share 1; rows are judged one by one, so repeated rows repeat; of labelled rows that share an id the smallest text is fitted on; without any labelled
 row, or with one class alone, every line is content; only id and text are read.
 """
 
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 from renewcast.llm.common import per_text
 
 SAMPLE = 2000          # labelled documents the field is fitted on, at most
-SAMPLE_LINES = 400     # longer documents are not used for fitting
+PIECE_LINES, PIECES = 200, 4   # lines of one training sequence, and sequences taken of one document, at most
 LEAST_CONTENT = 0.5    # share of words in content lines that keeps a document
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 
@@ -87,15 +88,28 @@ def line_features(lines: list[str]) -> tuple[list[int], list[int]]:
     return masks, sizes
 
 
-def fit_field(sequences: list[list[int]], labels: list[int], rounds: int = 150, rate: float = 0.5, ridge: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
-    """(emission weights: features; transition weights: 2 x 2, from and to) of label 1, content, against 0."""
+def spread_pieces(masks: list[int], piece_lines: int, pieces: int) -> list[list[int]]:
+    """The lines in pieces, all of them or as many as asked for, evenly spaced from the first to the last."""
+    parts = [masks[i:i + piece_lines] for i in range(0, len(masks), piece_lines)]
+    if len(parts) <= pieces:
+        return parts
+    return [parts[round(k * (len(parts) - 1) / max(1, pieces - 1))] for k in range(pieces)]
+
+
+def fit_field(sequences: list[list[int]], labels: list[int], rounds: int = 150, rate: float = 0.5, ridge: float = 1e-3,
+              wholes: list[int] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(emission weights: features; transition weights: 2 x 2, from and to) of label 1, content, against 0.  ``wholes``: the lines
+    of the document behind each sequence, where it is a piece of one."""
     k = len(FEATURES)
     weights, moves = np.zeros(k), np.zeros((2, 2))
     if not sequences or len(set(labels)) < 2:
         weights[-1] = 10.0
         return weights, moves
     # equal weight for both classes; sequences by length, so that little is padded
-    share = Counter(labels)
+    wholes = [len(x) for x in sequences] if wholes is None else wholes
+    share: Counter = Counter()
+    for x, y, n in zip(sequences, labels, wholes, strict=True):
+        share[y] += len(x) / n                             # documents of a class, whatever their pieces
     groups = []
     order = sorted(range(len(sequences)), key=lambda i: len(sequences[i]))
     for at in range(0, len(order), 256):
@@ -107,13 +121,12 @@ def fit_field(sequences: list[list[int]], labels: list[int], rounds: int = 150,
             m = np.array(sequences[i])
             x[r, :len(m)] = (m[:, None] >> np.arange(k)) & 1
             live[r, :len(m)] = True
-        groups.append((x, live, np.array([labels[i] for i in part]), np.array([0.5 / share[labels[i]] for i in part])))
+        groups.append((x, live, np.array([labels[i] for i in part]), np.array([0.5 / share[labels[i]] / wholes[i] for i in part])))
     step_w, step_m = np.full(k, 1e-8), np.full((2, 2), 1e-8)
     for _ in range(rounds):
         grad_w, grad_m = -ridge * weights, -ridge * moves
-        for x, live, y, pay in groups:
+        for x, live, y, each in groups:                          # a document counts once, however long
             score = x @ weights                                     # of content; boilerplate has 0
-            length = live.sum(1)
             emit = np.stack([np.zeros_like(score), score], -1)
             ahead = np.zeros_like(emit)
             ahead[:, 0] = emit[:, 0]
@@ -126,7 +139,6 @@ def fit_field(sequences: list[list[int]], labels: list[int], rounds: int = 150,
                 out = back[:, t + 1] + emit[:, t + 1]
                 into = np.logaddexp(moves[:, 0] + out[:, 0, None], moves[:, 1] + out[:, 1, None])
                 back[:, t] = np.where(live[:, t + 1, None], into, 0)
-            each = pay / length                                      # a document counts once, however long
             p1 = np.exp(ahead[..., 1] + back[..., 1] - total[:, None]) * live
             grad_w += np.einsum("rt,rtk,r->k", (y[:, None] - p1) * live, x, each)
             if x.shape[1] > 1:
@@ -168,17 +180,23 @@ def content_lines(masks: list[int], weights: np.ndarray, moves: np.ndarray, scor
 
 
 def fit_lines(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality",
-              sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarray]:
-    """Fits the field; at most ``sample`` documents of line features come to the driver."""
-    judged = labels.where(F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.min(label_col).cast("int").alias("_y"))
+              sample: int = SAMPLE, piece_lines: int = PIECE_LINES, pieces: int = PIECES) -> tuple[np.ndarray, np.ndarray]:
+    """Fits the field; at most sample x pieces x piece_lines lines, as numbers, come to the driver."""
+    judged = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")) \
+        .agg(F.min(label_col).cast("int").alias("_y"))
     half = max(1, sample // 2)
     drawn = [judged.where(F.col("_y") == y).orderBy(F.xxhash64("_id"), "_id").limit(half) for y in (0, 1)]
-    chosen = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")) \
-        .join(F.broadcast(drawn[0].unionByName(drawn[1])), "_id").select(F.col("_y"), F.col("_text"))
-    rows = per_text(chosen, "_y", "_text", lambda: lambda text: (line_features(text.split("\n"))[0],), "masks array<int>") \
-        .where(F.size("masks") <= SAMPLE_LINES).limit(2 * sample).collect()
-    rows.sort(key=lambda r: (r["_y"], r["masks"]))
-    return fit_field([r["masks"] for r in rows], [r["_y"] for r in rows])
+    chosen = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text")) \
+        .join(F.broadcast(drawn[0].unionByName(drawn[1])), "_id").groupBy("_id", "_y").agg(F.min("_text").alias("_text"))
+
+    def parts(text: str) -> tuple:
+        found = spread_pieces(line_features(text.split("\n"))[0], piece_lines, pieces)
+        return found, sum(map(len, found))
+
+    rows = per_text(chosen, "_y", "_text", lambda: parts, "parts array<array<int>>, lines int").collect()
+    rows.sort(key=lambda r: (r["_y"], r["parts"]))
+    every = [(m, r["_y"], r["lines"]) for r in rows for m in r["parts"] if m]
+    return fit_field([m for m, _, _ in every], [y for _, y, _ in every], wholes=[n for _, _, n in every])
 
 
 def judge_quality(docs: DataFrame, field: tuple[np.ndarray, np.ndarray], id_col: str = "doc_id", text_col: str = "text",

@@ -94,12 +94,46 @@ def test_license_places_match_plain_search(spark, make_docs):
     ("gpl-2.0+ with classpath-exception-2.0", {"gpl-2.0", "with-classpath-exception-2.0"}, 0.65),
     ("mit or gpl-3.0 and agpl-3.0", {"mit", "gpl-3.0", "agpl-3.0"}, 1.0), ("(mit or gpl-3.0) and agpl-3.0", {"mit", "gpl-3.0", "agpl-3.0"}, 0.2),
     ("mit or", {"mit"}, 1.0), ("(mit", {"mit"}, 1.0), ("or mit", None, None), ("", None, None),
+    ("see the notes", set(), 0.0), ("mit or seen", {"mit"}, 1.0), ("mit and seen", {"mit"}, 0.0), ("licenseref-own", {"licenseref-own"}, 0.5),
+    ("seen with classpath-exception-2.0", {"with-classpath-exception-2.0"}, 0.0), ("tbd or mit (", {"mit"}, 1.0), ("see (mit", set(), 0.0),
 ])
 def test_expressions(text, labels, score):
     value = licenses.evaluate(text)
     assert value is None if labels is None else (value[0] == labels and value[1] == pytest.approx(score))
 
 
+def test_unknown_words_are_no_labels(make_docs):
+    rows = [(1, "License-Expression: see the notes"), (2, "License-Expression: MIT OR house-rules"), (None, "SPDX-License-Identifier: house-rules"),
+            (3, "MIT License\nLicense-Expression: none of these"), (3, "MIT License\nLicense-Expression: none of these")]
+    got = sorted((str(r["doc_id"]), r["labels"], r["score"], r["unknown"]) for r in licenses.scan_licenses(make_docs(rows, "unknown")).collect())
+    assert got == [("1", "", 0.0, "see"), ("2", "mit", 1.0, "house-rules"), ("3", "mit", 1.0, "none"), ("3", "mit", 1.0, "none"),
+                   ("None", "", 0.0, "house-rules")]
+    own = licenses.scan_licenses(make_docs(rows), identifiers=["House-Rules"]).where("doc_id IS NULL").first()
+    assert own["labels"] == "house-rules" and own["unknown"] == "" and own["score"] == 0.5
+
+
+def test_long_labelled_documents_teach_the_field(spark, make_docs):
+    """Menus of thousands of lines are the only junk; the field must still learn to tell them."""
+    menu = "\n".join(f"link {k} |" for k in range(3000))
+    prose = "\n".join("A quiet river runs below the old stone bridge, and the town sleeps on." for _ in range(30))
+    docs = make_docs([(i, menu if i % 2 else prose) for i in range(40)])
+    labels = spark.createDataFrame([(i, 1 - i % 2, 0) for i in range(40)], "doc_id long, quality int, toxic int")
+    field = quality.fit_lines(docs, labels)
+    assert np.array_equal(field[0], quality.fit_lines(docs.repartition(7), labels)[0])
+    by = {r["doc_id"]: r["content_share"] for r in quality.judge_quality(docs, field).collect()}
+    assert all(by[i] < 0.2 if i % 2 else by[i] > 0.8 for i in range(40))
+    twice = docs.unionByName(make_docs([(2, menu)] * 50))
+    assert np.array_equal(quality.fit_lines(twice, labels)[0], quality.fit_lines(twice.coalesce(1), labels)[0])
+
+
+def test_pieces_are_spread_over_the_whole_text():
+    lines = list(range(2000))
+    parts = quality.spread_pieces(lines, 200, 4)
+    assert [p[0] for p in parts] == [0, 600, 1200, 1800] and all(len(p) == 200 for p in parts)
+    assert quality.spread_pieces(lines[:450], 200, 4) == [lines[:200], lines[200:400], lines[400:450]]
+    assert quality.spread_pieces([], 200, 4) == [] and quality.spread_pieces(lines, 200, 1) == [lines[:200]]
+
+
 def test_identifier_tags(make_docs):
     got = licenses.scan_licenses(make_docs([(1, "code\n// SPDX-License-Identifier: Apache-2.0 OR MIT\nmore"), (2, "SPDX-License-Identifier:")])).collect()
     by = {r["doc_id"]: r for r in got}
@@ -190,3 +224,54 @@ def test_rare_toxic_words_are_learned_at_every_size(spark):
     model = toxicity.learn(docs, spark.createDataFrame([(i, int(i in toxic)) for i in learns], "doc_id long, toxic int"))
     assert {"zorblax$", "grumbo$"} <= set(model.features) and "fine$" not in model.features
     assert toxicity.scorer(model)("a z0rblax")[1] > 0
+
+
+def all_readings(token, cost):
+    """Every way through the lattice of a token, sign by sign: word -> its least cost."""
+    edge, n = toxicity.EDGE_CODE, toxicity.LETTERS
+    paths = [("", 0.0)]
+    for ch in token:
+        after = []
+        for word, total in paths:
+            before = [edge, edge, *[toxicity.code(c) for c in word]][-2:]
+            if ch.isalpha():
+                ways = [(ch, 0.0)]
+            else:
+                ways = [(x, toxicity.SWAP_COST) for x in toxicity.LOOKALIKE.get(ch, "")]
+                ways.append(("", toxicity.KEEP_SIGN_COST if ch.isdigit() else toxicity.DROP_COST))
+            for letter, pay in ways:
+                if not letter:
+                    after.append((word, total + pay))
+                    continue
+                after.append((word + letter, total + pay + float(cost[(before[0] * n + before[1]) * n + toxicity.code(letter)])))
+                if word.endswith(letter):
+                    after.append((word, total + pay + toxicity.REPEAT_COST))
+        paths = after
+    found = {}
+    for word, total in paths:
+        a, b = [edge, edge, *[toxicity.code(c) for c in word]][-2:]
+        whole = total + float(cost[(a * n + b) * n + edge])
+        found[word] = min(whole, found.get(word, whole))
+    return found
+
+
+def test_decoding_is_the_cheapest_of_all_lattice_paths(toxic_model):
+    import random
+    rng = random.Random(6)
+    chance = -np.log(np.random.default_rng(1).dirichlet(np.ones(toxicity.LETTERS), toxicity.LETTERS ** 2)).ravel()
+    signs = "aabdeilost" + "0134578@$!|+.-*"
+    for cost in (toxic_model.cost, chance):
+        for _ in range(400):
+            token = "".join(rng.choices(signs, k=rng.randrange(1, 9)))
+            ways = all_readings(token, cost)
+            assert ways[toxicity.restore(token, cost)] == pytest.approx(min(ways.values()), abs=1e-9), token
+
+
+def test_words_spread_over_many_signs(toxic_model):
+    """The stated limit: words whose signs stand within PART of each other are found, runs of one sign at any length."""
+    read = toxicity.reader(toxic_model.features, toxic_model.cost)
+    words = sorted({f[:-1] for f in toxic_model.features if f.endswith("$") and len(f) > 5})[:12]
+    assert words
+    for gap, least in ((1, 0.9), (4, 0.9), (60, 0.9)):
+        hit = sum(read("-" * gap + ("-" * gap).join(w) + " end")[0] > 0 for w in words)
+        assert hit >= least * len(words), gap
