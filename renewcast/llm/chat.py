@@ -4,6 +4,9 @@ A record's layout is the set of its nested field paths that hold a value, such a
 ``messages[].role``.  The sorted paths are hashed, and the hash selects a
 declarative mapping to canonical turns (role, text).  One frame may hold
 records of all layouts side by side (the union schema ``spark.read.json`` gives).
+As null fields hold no value, the table of hashes also has each part of a layout's paths; it selects the
+layout with the fewest paths that has them all, and the null fields are empty texts.  The fingerprint and the name of the layout are
+part of the result, so records that fit none can be counted and their layout looked up.
 
 Template: ``<|turn|>`` role newline text ``<|end|>`` newline.  Inside roles and texts
 ``&``, ``<`` and ``[`` (and a newline in a role) become ``&amp;``, ``&lt;``,
@@ -16,15 +19,16 @@ in one task by nature; conversations are spread by their id.
 
 Defined results: null roles and texts are empty; turns are ordered by (turn, role, text),
 a null turn first, and repeated rows are repeated turns; a null id is a
-conversation of its own; a record of unknown layout has no turns; fields outside the known layouts
-do not count; empty tables give no rows.
+conversation of its own; a record whose known fields fit no layout (fields of two layouts, or none) has no turns and a null layout; fields
+outside the known layouts do not count, nor do columns a layout knows but the table lacks; empty tables give no rows.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -47,7 +51,11 @@ class Layout:
 
     @property
     def fingerprint(self) -> str:
-        return hashlib.sha256(",".join(sorted(self.paths)).encode()).hexdigest()
+        return hash_of(self.paths)
+
+
+def hash_of(paths: Iterable[str]) -> str:
+    return hashlib.sha256(",".join(sorted(paths)).encode()).hexdigest()
 
 
 def _list(name: str, array: str, role: str, text: str, *more: str) -> Layout:
@@ -71,6 +79,16 @@ LAYOUTS: tuple[Layout, ...] = (
 )
 
 
+def fingerprints() -> dict[str, Layout]:
+    """Fingerprint -> layout: of all its paths, and of every part of them, for the first layout with the fewest paths that has these."""
+    found: dict[str, Layout] = {lay.fingerprint: lay for lay in LAYOUTS}
+    for lay in sorted(LAYOUTS, key=lambda x: len(x.paths)):
+        for n in range(len(lay.paths) - 1, 0, -1):
+            for part in combinations(sorted(lay.paths), n):
+                found.setdefault(hash_of(part), lay)
+    return found
+
+
 def _holds(field: str) -> Callable[[Column], Column]:
     return lambda x: x[field].isNotNull()
 
@@ -98,26 +116,41 @@ def fingerprint(schema: T.StructType) -> Column:
     return F.sha2(F.concat_ws(",", *[F.when(c, p) for p, c in has.items()]), 256)
 
 
-def canonical_turns(records: DataFrame) -> Column:
-    """array<struct<role, text>> by the layout that the record's fingerprint selects."""
+def layout_name(schema: T.StructType) -> Column:
+    """The name of the layout that the row's fingerprint selects, else null."""
+    mark = fingerprint(schema)
+    by: dict[str, list[str]] = {}
+    for f, lay in fingerprints().items():
+        by.setdefault(lay.name, []).append(f)
+    return F.coalesce(*[F.when(mark.isin(own), name) for name, own in by.items()])
+
+
+def canonical_turns(records: DataFrame, layout: Column) -> Column:
+    """array<struct<role, text>> by the layout of that name."""
     have = set(field_paths(records.schema))
-    mark, out, empty = fingerprint(records.schema), None, F.expr("CAST(array() AS array<struct<role:string,text:string>>)")
+    empty = F.expr("CAST(array() AS array<struct<role:string,text:string>>)")
+    out = None
 
     def turn(role: Column, text: Column) -> Column:
         return F.struct(F.coalesce(role, F.lit("")).alias("role"), F.coalesce(text, F.lit("")).alias("text"))
 
     for lay in LAYOUTS:
-        if not set(lay.paths) <= have:
+        if not set(lay.paths) & have:
             continue
         if lay.listed:
             array, role, text = lay.listed
             rename = F.create_map(*[F.lit(x) for kv in ROLES.items() for x in kv]) if role != "role" else None
-            turns = F.transform(F.col(array), lambda m: turn(
-                m[role].cast("string") if rename is None else F.coalesce(rename[m[role].cast("string")], m[role].cast("string")),
-                m[text].cast("string")))
+
+            def field(m: Column, name: str, array: str = array) -> Column:
+                return m[name].cast("string") if f"{array}[].{name}" in have else F.lit(None).cast("string")
+
+            def named(m: Column, role: str = role, rename: Column | None = rename) -> Column:
+                return field(m, role) if rename is None else F.coalesce(rename[F.coalesce(field(m, role), F.lit(""))], field(m, role))
+
+            turns = F.transform(F.col(array), lambda m: turn(named(m), field(m, text)))
         else:
-            turns = F.array(*[turn(F.lit(role), F.concat_ws("\n\n", *[F.col(p).cast("string") for p in paths])) for role, paths in lay.fixed])
-        hit = mark == lay.fingerprint
+            turns = F.array(*[turn(F.lit(role), F.concat_ws("\n\n", *[F.col(p).cast("string") for p in paths if p in have])) for role, paths in lay.fixed])
+        hit = layout == lay.name
         out = F.when(hit, turns) if out is None else out.when(hit, turns)
     return empty if out is None else out.otherwise(empty)
 
@@ -158,10 +191,12 @@ def read_turns(formatted: Column) -> Column:
 
 
 def format_chats(records: DataFrame, id_col: str = "conv_id") -> DataFrame:
-    """id, formatted, segments (array of text and loss flag) for each record."""
-    turns = records.select(F.col(id_col), canonical_turns(records).alias("canonical"))
-    done = turns.select(id_col, render(F.col("canonical")).alias("segments"))
-    return done.select(id_col, F.concat_ws("", F.col("segments.text")).alias("formatted"), "segments")
+    """id, formatted, segments (array of text and loss flag), layout and fingerprint for each record; a record of no known
+    layout has a null layout and an empty string."""
+    turns = records.select(F.col(id_col), canonical_turns(records, layout_name(records.schema)).alias("canonical"),
+                           layout_name(records.schema).alias("layout"), fingerprint(records.schema).alias("fingerprint"))
+    done = turns.select(id_col, render(F.col("canonical")).alias("segments"), "layout", "fingerprint")
+    return done.select(id_col, F.concat_ws("", F.col("segments.text")).alias("formatted"), "segments", "layout", "fingerprint")
 
 
 def turn_records(rows: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role",

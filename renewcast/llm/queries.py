@@ -37,6 +37,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages"), outcomes, URL_RULES, ref=ref)
 
 
+_SUFFIXES = ", ".join(f"'{x}'" for x in url_filter.SUFFIXES)         # all of two labels
 ORACLES["op10_url_filter"] = r"""
 WITH rest AS (
   SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS r FROM pages),
@@ -47,11 +48,15 @@ lab AS (
   SELECT doc_id AS ref, max(CASE WHEN quality = 0 OR toxic = 1 THEN 1 ELSE 0 END) AS bad FROM labels
   WHERE doc_id IS NOT NULL AND (quality IS NOT NULL OR toxic IS NOT NULL) GROUP BY 1),
 pr AS (SELECT *, TRY_CAST(nullif(regexp_extract(path, '/([0-9]{1,18})(?:\.html)?/?$', 1), '') AS BIGINT) AS ref FROM p),
+seen AS (
+  SELECT host, regexp_replace(host, ':[0-9]*$', '') AS nm, count(bad)::DOUBLE AS n, coalesce(sum(bad), 0)::DOUBLE AS b
+  FROM pr LEFT JOIN lab USING (ref) GROUP BY 1, 2),
+part AS (SELECT *, string_split(nm, '.') AS l, regexp_matches(nm, '^([0-9]{1,3}\.){3}[0-9]{1,3}$') OR starts_with(nm, '[') AS ip FROM seen),
 hosts AS (
-  SELECT host, array_to_string(list_slice(string_split(host, '.'), -2, -1), '.') AS domain,
-         list_extract(string_split(host, '.'), -1) AS suffix,
-         count(bad)::DOUBLE AS n, coalesce(sum(bad), 0)::DOUBLE AS b
-  FROM pr LEFT JOIN lab USING (ref) GROUP BY 1, 2, 3),
+  SELECT host, n, b, CASE WHEN ip THEN nm WHEN array_to_string(l[-2:], '.') IN (SUFFIX_LIST) THEN array_to_string(l[-3:], '.')
+                          ELSE array_to_string(l[-2:], '.') END AS domain,
+         CASE WHEN ip THEN 'ip' WHEN array_to_string(l[-2:], '.') IN (SUFFIX_LIST) THEN array_to_string(l[-2:], '.') ELSE l[-1] END AS suffix
+  FROM part),
 domains AS (SELECT domain, suffix, sum(n) AS n, sum(b) AS b FROM hosts GROUP BY 1, 2),
 suffixes AS (SELECT suffix, sum(n) AS n, sum(b) AS b FROM hosts GROUP BY 1),
 lev AS (
@@ -80,7 +85,7 @@ SELECT page_id, host, path, rule,
             ELSE CASE WHEN lower_bound > 0.5 THEN 'block' ELSE 'allow' END END AS verdict,
        round(bad_rate, 6) AS bad_rate, round(lower_bound, 6) AS lower_bound
 FROM ruled JOIN rate USING (host)
-"""
+""".replace("SUFFIX_LIST", _SUFFIXES)
 
 
 # ---------------------------------------------------------------- 7: chat formatting

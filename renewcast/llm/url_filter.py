@@ -1,7 +1,8 @@
 """URL filter: path rules first, else an empirical-Bayes reputation of the host.
 
-Labelled page outcomes are counted per host, per registered domain (the last two
-labels of the host) and per suffix (the last label).  Each level is a
+Labelled page outcomes are counted per host, per registered domain (one label more
+than its suffix) and per suffix (the longest of a list of suffixes, a parameter, that ends the host,
+else the last label).  A port is no part of either; an IP address is a domain of its own, and all of them share a suffix.  Each level is a
 beta-binomial: a suffix shrinks towards the rate of all pages, a domain towards
 its suffix, a host towards its domain.  How strongly comes from the data: the
 prior's weight at a level is the method-of-moments estimate from the spread of
@@ -35,6 +36,14 @@ Rule = tuple[str, str, str]
 LEAST_SPREAD, MOST_SPREAD = 0.002, 0.5   # bounds of the intra-class correlation a level may have
 Z = 1.645                                # one-sided 95 % bound
 MAX_BAD = 0.5
+#: Suffixes of several labels under which anyone may register; a complete list belongs into the parameter.
+SUFFIXES = (
+    "ac.uk", "blogspot.com", "co.in", "co.jp", "co.kr", "co.nz", "co.uk", "co.za", "com.ar", "com.au", "com.br", "com.cn", "com.mx", "com.tr",
+    "edu.au", "github.io", "gitlab.io", "gov.uk", "herokuapp.com", "ne.jp", "net.au", "netlify.app", "or.jp", "org.au", "org.uk", "pages.dev",
+    "vercel.app", "web.app", "wordpress.com",
+)
+IP_SUFFIX = "ip"
+PORT, IPV4 = r":[0-9]*$", r"^([0-9]{1,3}\.){3}[0-9]{1,3}$"
 
 
 def split_url(url: Column) -> tuple[Column, Column]:
@@ -58,9 +67,19 @@ def rule_of(host: Column, path: Column, rules: Sequence[Rule]) -> tuple[Column,
     return (none, none) if name is None else (name, action)
 
 
-def levels(host: Column) -> tuple[Column, Column]:
-    """(registered domain, suffix) of a host."""
-    return F.substring_index(host, ".", -2), F.substring_index(host, ".", -1)
+def levels(host: Column, suffixes: Sequence[str] = SUFFIXES) -> tuple[Column, Column]:
+    """(registered domain, suffix) of a host; a host that is a suffix itself is its own domain."""
+    name = F.regexp_replace(host, PORT, "")
+    address = F.rlike(name, F.lit(IPV4)) | F.startswith(name, F.lit("["))
+    domain, suffix = F.when(address, name), F.when(address, F.lit(IP_SUFFIX))
+    by: dict[int, list[str]] = {}
+    for x in suffixes:
+        by.setdefault(x.count(".") + 1, []).append(x)
+    for n in sorted(by, reverse=True):
+        ends = F.substring_index(name, ".", -n)
+        domain = domain.when(ends.isin(by[n]), F.substring_index(name, ".", -n - 1))
+        suffix = suffix.when(ends.isin(by[n]), ends)
+    return domain.otherwise(F.substring_index(name, ".", -2)), suffix.otherwise(F.substring_index(name, ".", -1))
 
 
 def _weight(counts: DataFrame) -> float:
@@ -79,7 +98,7 @@ def _weight(counts: DataFrame) -> float:
     return round((1 - r) / r, 6)
 
 
-def host_reputation(pages: DataFrame, outcomes: DataFrame) -> DataFrame:
+def host_reputation(pages: DataFrame, outcomes: DataFrame, suffixes: Sequence[str] = SUFFIXES) -> DataFrame:
     """host, n, b, alpha, beta: labelled pages, bad ones, and the posterior of the host's bad rate.
 
     ``pages`` has host and page key ``ref``; ``outcomes`` has ``ref`` and ``bad`` (0/1), one row a ref.
@@ -87,7 +106,7 @@ def host_reputation(pages: DataFrame, outcomes: DataFrame) -> DataFrame:
     seen = pages.join(outcomes, "ref", "left")
     hosts = written(seen.groupBy("host").agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).cast("long").alias("b")),
                     "host_counts")
-    domain, suffix = levels(F.col("host"))
+    domain, suffix = levels(F.col("host"), suffixes)
     hosts = hosts.withColumns({"domain": domain, "suffix": suffix})
     sums = [F.sum("n").alias("n"), F.sum("b").alias("b")]
     domains = hosts.groupBy("domain", "suffix").agg(*sums)
@@ -105,7 +124,8 @@ def host_reputation(pages: DataFrame, outcomes: DataFrame) -> DataFrame:
 
 
 def judge_urls(pages: DataFrame, outcomes: DataFrame, rules: Sequence[Rule] = (), id_col: str = "page_id",
-               url_col: str = "url", ref: Column | None = None, max_bad: float = MAX_BAD, z: float = Z) -> DataFrame:
+               url_col: str = "url", ref: Column | None = None, max_bad: float = MAX_BAD, z: float = Z,
+               suffixes: Sequence[str] = SUFFIXES) -> DataFrame:
     """One row per page: id, host, path, rule, verdict, bad_rate and its lower_bound.
 
     ``outcomes``: (ref, bad).  ``ref``: the expression over a page that names its outcome, by default
@@ -116,7 +136,7 @@ def judge_urls(pages: DataFrame, outcomes: DataFrame, rules: Sequence[Rule] = ()
     p = pages.select(F.col(id_col).alias("id"), host.alias("host"), path.alias("path"),
                      (F.col(id_col) if ref is None else ref).cast("long").alias("ref"))
     one = outcomes.groupBy("ref").agg(F.max("bad").alias("bad"))
-    posterior = host_reputation(p.select("host", "ref"), one)
+    posterior = host_reputation(p.select("host", "ref"), one, suffixes)
     a, b = F.col("alpha"), F.col("beta")
     rate = a / (a + b)
     posterior = posterior.select("host", rate.alias("bad_rate"),

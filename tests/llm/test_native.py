@@ -68,6 +68,27 @@ def test_reputation_shrinks_to_the_domain_and_blocks_bad_hosts(spark):
     assert 0 < got["new.y.io"]["bad_rate"] < 1 and got["bad.x.io"]["bad_rate"] > got["new.y.io"]["bad_rate"] > got["good.x.io"]["bad_rate"]
 
 
+@pytest.mark.parametrize("host,domain,suffix", [
+    ("a.b.co.uk", "b.co.uk", "co.uk"), ("b.co.uk", "b.co.uk", "co.uk"), ("co.uk", "co.uk", "co.uk"), ("me.github.io", "me.github.io", "github.io"),
+    ("x.me.github.io:8080", "me.github.io", "github.io"), ("a.example.com", "example.com", "com"), ("example.com:80", "example.com", "com"),
+    ("10.0.0.1", "10.0.0.1", "ip"), ("10.0.0.1:99", "10.0.0.1", "ip"), ("[::1]:80", "[::1]", "ip"), ("1.2.3.4.net", "4.net", "net"),
+    ("localhost", "localhost", "localhost"), ("", "", ""), ("a.k12.ca.us", "a.k12.ca.us", "k12.ca.us")])
+def test_levels_of_a_host(spark, host, domain, suffix):
+    d, x = url_filter.levels(F.col("h"), [*url_filter.SUFFIXES, "k12.ca.us"])
+    assert tuple(spark.createDataFrame([(host,)], "h string").select(d, x).first()) == (domain, suffix)
+
+
+def test_strangers_under_one_suffix_do_not_share_a_domain(spark):
+    pages, outcomes = [], []
+    for h, bad, n in (("bad.github.io", 60, 60), ("good.github.io", 0, 60), ("10.0.0.1", 50, 50), ("10.0.0.2:80", 0, 50)):
+        for k in range(n):
+            pages.append((len(pages), f"http://{h}/{k}"))
+            outcomes.append((len(outcomes), int(k < bad)))
+    pages += [(900, "http://www.bad.github.io/"), (901, "http://www.good.github.io/"), (902, "http://10.0.0.1:81/"), (903, "http://10.0.0.2/")]
+    got = {r["page_id"]: r["bad_rate"] for r in judged(spark, pages, outcomes)}
+    assert got[900] > got[901] + 0.1 and got[902] > got[903] + 0.1
+
+
 def test_url_defined_cases(spark):
     rows = judged(spark, [(1, None), (1, None), (None, "http://a.b/"), (2, "junk")], [])
     assert len(rows) == 4 and {r["verdict"] for r in rows} == {"allow"}
@@ -104,6 +125,32 @@ def test_layouts_of_one_file(spark, tmp_path):
         assert r["formatted"].count(chat.CLOSE) == len(back[r["conv_id"]])
 
 
+def test_null_fields_keep_their_texts(spark, tmp_path):
+    lines = ['{"conv_id": 1, "prompt": "hi", "response": null}', '{"conv_id": 2, "instruction": null, "input": null, "output": "done"}',
+             '{"conv_id": 3, "instruction": "do", "input": "this"}', '{"conv_id": 4, "messages": [{"role": "user"}, {"role": "assistant"}]}',
+             '{"conv_id": 5, "prompt": "p", "question": "two layouts"}', '{"conv_id": 6, "system": "s", "response": "r"}', '{"conv_id": 7}',
+             '{"conv_id": 8, "messages": [{"content": "no role"}]}', '{"conv_id": 9, "response": "alone"}']
+    (tmp_path / "nulls.json").write_text("\n".join(lines))
+    out = chat.format_chats(spark.read.json(str(tmp_path / "nulls.json")))
+    rows = {r["conv_id"]: r for r in out.select("*", chat.read_turns(F.col("formatted")).alias("t")).collect()}
+    back = {k: [tuple(t) for t in r["t"]] for k, r in rows.items()}
+    assert back == {1: [("user", "hi"), ("assistant", "")], 2: [("user", ""), ("assistant", "done")], 3: [("user", "do\n\nthis"), ("assistant", "")],
+                    4: [("user", ""), ("assistant", "")], 5: [], 6: [("system", "s"), ("user", ""), ("assistant", "r")], 7: [], 8: [("", "no role")],
+                    9: [("user", ""), ("assistant", "alone")]}
+    assert rows[1]["layout"] == "prompt and response" and rows[5]["layout"] is None
+    assert rows[5]["fingerprint"] == chat.hash_of(["prompt", "question"]) and rows[7]["fingerprint"] == hashlib.sha256(b"").hexdigest()
+
+
+def test_a_table_without_some_columns_of_a_layout(spark):
+    out = chat.format_chats(spark.createDataFrame([(1, "only a prompt"), (2, None)], "conv_id long, prompt string"))
+    assert {r["conv_id"]: r["formatted"].count(chat.CLOSE) for r in out.collect()} == {1: 2, 2: 0}
+
+
+def test_every_fingerprint_selects_a_layout_that_has_its_paths():
+    table = chat.fingerprints()
+    assert all(table[lay.fingerprint] is lay for lay in chat.LAYOUTS) and len(table) > len(chat.LAYOUTS)
+
+
 def test_rows_by_turn_defined_cases(spark):
     rows = [(1, 2, "assistant", "b"), (1, 1, "user", "a"), (1, 2, "assistant", "b"), (1, None, None, None), (None, 1, "user", "z"),
             (2, 1, "a\nb<", "&lt; &nl; [ <|turn|>"), (3, 1, "user", "x" * 100_000)]
