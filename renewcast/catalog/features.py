@@ -158,8 +158,8 @@ JOIN silver_members m ON m.msno = t.msno"""
 _GOLD_SQL = _GOLD.format(usage=", ".join(f"u.{c}" for c in FP.USAGE_FEATURES))
 
 
-def gold(spark, sf, dedupe=False):
-    return FP.feature_store(fx.transactions(spark, sf), fx.user_logs(spark, sf), fx.members(spark, sf),
+def gold(spark, sf, dedupe=False, tx=None):
+    return FP.feature_store(fx.transactions(spark, sf) if tx is None else tx, fx.user_logs(spark, sf), fx.members(spark, sf),
                             window=W, burst_n=fx.BURST_THRESHOLD_ORDERS, secs_bounds=SECS,
                             lookback_months=1, dedupe_periods=dedupe)
 
@@ -189,6 +189,18 @@ def feature_join(spark, sf):
     return J.feature_join(st, u).select(*KEY, "tx_id", "sum_songs", "skip_ratio")
 
 
+@query("feature_store__bucketed", O.with_base("""
+SELECT t.msno, t.membership_start_date, t.membership_expire_date, t.tx_id, u.sum_songs, u.skip_ratio, m.city, m.gender, m.registered_via
+FROM silver_tx_feat t JOIN usage u ON u.msno = t.msno AND u.membership_start_date = t.membership_start_date
+ AND u.membership_expire_date = t.membership_expire_date JOIN silver_members m ON m.msno = t.msno""", O.usage_block(1, False), ["skip_ratio"]))
+def feature_store_bucketed(spark, sf):
+    """Transactions x usage features x members, joined from layers bucketed by user."""
+    st = silver_tx_feat(spark, sf)
+    u = FP.usage_features(logs_valid(spark, sf), st, lookback_months=1).select(*KEY, "sum_songs", "skip_ratio")
+    m = FP.silver_members(fx.members(spark, sf)).select("msno", "city", "gender", "registered_via")
+    return J.bucketed_feature_store(st.select(*KEY, "tx_id"), u, m)
+
+
 @query("member_join", O.with_base("""
 SELECT t.msno, t.tx_id, m.city, m.gender, m.registered_via,
        CAST(datediff('day', m.registration_init_time, t.membership_start_date) AS INTEGER) AS account_age

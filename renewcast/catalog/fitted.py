@@ -25,7 +25,7 @@ _DUMMIES = f"""SELECT m.msno, m.membership_start_date, m.membership_expire_date,
 FROM ({_MAPPED}) m JOIN ({_LEVELS} UNION ALL SELECT 'is_auto_renew', '1' UNION ALL SELECT 'is_cancel', '1') l ON l.col = m.col"""
 
 
-def _logistic_sql(body: str, C: float = 1.0, penalise_intercept: bool = False, rounds: int = 150) -> str:
+def _logistic_sql(body: str, C: float = 1.0, penalise_intercept: bool = False, rounds: int = 90) -> str:
     """``body`` may read names (name, j), best (w: list by j, the intercept is called _intercept) and rx (key, x: list by j)."""
     columns = ", ".join(NUMERIC)
     return _ms_sql(f"""
@@ -103,6 +103,61 @@ def train_logistic_certificate(spark, sf):
     return parts[0].unionByName(parts[1])
 
 
+CV_DRAWS = [{"C": 1.0, "penalty": "l2"}, {"C": 0.2, "penalty": "l2"}]
+
+
+def _cv_sql(body: str, rounds: int = 90) -> str:
+    """Every (trial, fold) problem at once: ``body`` may read scored (trial, fold, part, y, p)."""
+    f = _logistic_sql("SELECT 1", 1.0)
+    head, _, rest = f.partition("fx AS MATERIALIZED")
+    folds = """
+folded AS (SELECT *, CAST((row_number() OVER (PARTITION BY churn ORDER BY md5(concat_ws('|', msno, CAST(membership_start_date AS VARCHAR),
+                          CAST(membership_expire_date AS VARCHAR), '42'))) - 1) % 3 AS INTEGER) AS fold FROM fit),"""
+    trials = " UNION ALL ".join(f"SELECT {t} AS trial, {d['C']}::DOUBLE AS c, {k} AS out_fold" for t, d in enumerate(CV_DRAWS) for k in range(3))
+    return head + f"""{folds}
+grp AS (SELECT *, trial * 3 + out_fold AS g FROM ({trials})),
+ax AS MATERIALIZED (SELECT x, CAST(churn AS DOUBLE) AS y, fold FROM rx JOIN folded USING ({_K})),
+fx AS MATERIALIZED (SELECT g, c, x, y FROM ax, grp WHERE fold <> out_fold),
+h AS (SELECT g, a.j AS i, b.j AS j, any_value(c) / 4 * sum(x[a.j] * x[b.j]) + CASE WHEN a.j = b.j THEN any_value(a.pen) ELSE 0 END AS v
+      FROM fx, names a, names b GROUP BY 1, 2, 3),
+aug AS (SELECT g, i, list(v ORDER BY j) AS r FROM (
+          SELECT g, i, j, v FROM h UNION ALL SELECT g, a.j, b.j + d, CASE WHEN a.j = b.j THEN 1.0 ELSE 0.0 END::DOUBLE FROM names a, names b, dim, grp) GROUP BY g, i),
+gj AS (
+  SELECT g, 0 AS k, list(r ORDER BY i) AS m FROM aug GROUP BY g
+  UNION ALL
+  SELECT g, k + 1, list_transform(m, lambda r, i: CASE WHEN i = k + 1 THEN list_transform(r, lambda v: v / m[k + 1][k + 1])
+           ELSE list_transform(r, lambda v, j: v - r[k + 1] * m[k + 1][j] / m[k + 1][k + 1]) END) FROM gj, dim WHERE k < d),
+inv AS MATERIALIZED (SELECT g, list_transform(m, lambda r: r[d + 1:2 * d]) AS m FROM gj, dim WHERE k = d),
+it AS (
+  SELECT g, 0 AS t, list_transform(pens, lambda p: 0.0::DOUBLE) AS w FROM dim, grp
+  UNION ALL
+  SELECT z.g, t + 1, list_transform(w, lambda v, i: v - list_dot_product(m[i], list_transform(gr, lambda s, q: s + pens[q] * w[q])))
+  FROM (SELECT g, t, w, list(s ORDER BY j) AS gr FROM (
+          SELECT g, t, w, names.j, sum(e * x[names.j]) AS s
+          FROM (SELECT it.g, t, w, x, c * (1 / (1 + exp(-list_dot_product(w, x))) - y) AS e FROM it JOIN fx ON fx.g = it.g WHERE t < {rounds}), names GROUP BY ALL)
+        GROUP BY ALL) z JOIN inv ON inv.g = z.g, dim),
+scored AS (SELECT trial, out_fold AS fold, CASE WHEN ax.fold = out_fold THEN 'validation' ELSE 'train' END AS part, y,
+                  1 / (1 + exp(-list_dot_product(w, x))) AS p FROM it JOIN grp USING (g), ax WHERE t = {rounds})
+{body})"""
+
+
+@query("cv_report__values", _cv_sql("""
+SELECT trial::INTEGER AS trial, part, round(avg(auc), 3) AS auc, round(avg(f), 3) AS f1_5, round(avg(fnr), 3) AS fn_rate FROM (
+  SELECT trial, fold, part, (sum(rk) FILTER (y = 1) - any_value(np) * (any_value(np) + 1) / 2) / (any_value(np) * any_value(nn)) AS auc,
+         3.25 * sum(hit * y) / (3.25 * sum(hit * y) + 2.25 * sum((1 - hit) * y) + sum(hit * (1 - y))) AS f,
+         coalesce(sum((1 - hit) * y) / nullif(sum(1 - hit), 0), 0) AS fnr
+  FROM (SELECT *, CASE WHEN p >= 0.5 THEN 1.0 ELSE 0.0 END::DOUBLE AS hit,
+               rank() OVER (PARTITION BY trial, fold, part ORDER BY round(p, 9)) + (count(*) OVER (PARTITION BY trial, fold, part, round(p, 9)) - 1) / 2 AS rk,
+               sum(y) OVER (PARTITION BY trial, fold, part) AS np, sum(1 - y) OVER (PARTITION BY trial, fold, part) AS nn FROM scored)
+  GROUP BY trial, fold, part) GROUP BY trial, part"""))
+def cv_report_values(spark, sf):
+    """Mean AUC, F1.5 and FN rate over three folds of two draws, against fold problems that DuckDB solves itself."""
+    p = _prep(spark, sf)
+    X = T.materialize(spark, p.matrix(p.fit, extra=["fold"]), "cv_matrix")
+    r = ML.cv_report(X, p.names, lambda d, n: ML.logistic(n, d["C"], d["penalty"], tol=TIGHT), CV_DRAWS, k=3)
+    return r.select(F.col("trial").cast("int").alias("trial"), "part", *[F.round(c, 3).alias(c) for c in ("auc", "f1_5", "fn_rate")])
+
+
 @query("score_batch__values", _logistic_sql(f"""
 SELECT {_K}, round(1 / (1 + exp(-list_dot_product(w, x))), 3) AS probability FROM rx JOIN ms USING ({_K}), best WHERE split = 'inference'"""))
 def score_batch_values(spark, sf):

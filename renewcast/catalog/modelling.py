@@ -68,9 +68,8 @@ def cv_report(spark, sf):
     """Per trial: mean train / validation AUC, F1.5, FN rate at cut 0.5."""
     p = _prep(spark, sf)
     X = T.materialize(spark, p.matrix(p.fit, extra=["fold"]), "cv_matrix")
-    n = X.count()
     draws = ML.draw_logistic_params(5, 42)
-    return ML.cv_report(X, p.names, lambda d: ML.logistic(n, d["C"], d["penalty"]), draws, k=3)
+    return ML.cv_report(X, p.names, lambda d, n: ML.logistic(n, d["C"], d["penalty"]), draws, k=3)
 
 
 @query("score_batch", headline=True)
@@ -167,9 +166,11 @@ def train_logistic_checked(spark, sf):
 
 @query("train_forest__checked", _ms_sql(f"SELECT {_KEYS}, churn, true AS is_probability, true AS decided FROM tr WHERE is_test = 1"))
 def train_forest_checked(spark, sf):
-    """With a minimum of rows to split a node."""
+    """A grown forest, no node of fewer than 20 rows split, saved and loaded before it scores."""
     p = _prep(spark, sf)
-    b = T.fit_bundle(spark, p, "forest", {"num_trees": 20, "max_depth": 5, "min_split": 20})
+    path = scratch_path(spark, "forest_bundle")
+    ML.save_bundle(spark, T.fit_bundle(spark, p, "grown_forest", {"num_trees": 20, "max_depth": 5, "min_split": 20}), path)
+    b = ML.load_bundle(spark, path)
     return _decisions(T.score_batch(b, p.test, threshold=b.threshold), b.threshold, "churn")
 
 

@@ -14,6 +14,7 @@ from renewcast.plans import assembly as A
 from renewcast.plans import labels as L
 from renewcast.plans.features import USAGE_FEATURES
 from renewcast.registry import query
+from renewcast.session import written
 from renewcast.sources import fixtures as fx
 
 KEY = ["msno", "membership_start_date", "membership_expire_date"]
@@ -23,13 +24,15 @@ NUMERIC = list(A.NUMERIC)
 MS_DOUBLES = [c for c in GOLD_DOUBLES if c in FEATS]
 
 
-def labels_with_tie(spark, sf):
-    return L.renewal_labels(fx.transactions(spark, sf), window=W, burst_n=fx.BURST_THRESHOLD_ORDERS,
+def labels_with_tie(spark, sf, tx=None):
+    return L.renewal_labels(fx.transactions(spark, sf) if tx is None else tx, window=W, burst_n=fx.BURST_THRESHOLD_ORDERS,
                             tail_end=fx.TAIL_END, tail_days=fx.TAIL_DAYS, keep=("tx_id",))
 
 
 def model_set(spark, sf):
-    return A.assemble_model_set(labels_with_tie(spark, sf), gold(spark, sf),
+    """Labels and features both read one written table of transactions."""
+    tx = written(fx.transactions(spark, sf), "transactions")
+    return A.assemble_model_set(labels_with_tie(spark, sf, tx), gold(spark, sf, tx=tx),
                                 train_before=fx.SPLIT_TRAIN_BEFORE, oot_end=fx.SPLIT_OOT_END,
                                 inference_after=fx.SPLIT_INFERENCE_AFTER)
 

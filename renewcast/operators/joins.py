@@ -1,6 +1,6 @@
 """Joins.
 
-No explicit ``broadcast()`` here: the sides are data-sized.  AQE measures the
+No explicit ``broadcast()`` of a data-sized side here.  AQE measures the
 build side at run time and switches to a broadcast hash join only below
 ``spark.sql.adaptive.autoBroadcastJoinThreshold``; otherwise it stays a
 sort-merge join, and skewed partitions are split by the AQE skew-join rule.
@@ -8,13 +8,14 @@ sort-merge join, and skewed partitions are split by the AQE skew-join rule.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from renewcast.operators.sketches import bit_filter, filter_bits, may_contain
-from renewcast.session import written
+from renewcast.session import written, written_buckets
 
 PERIOD_KEY = ["msno", "membership_start_date", "membership_expire_date"]
 
@@ -63,6 +64,48 @@ def member_join(df: DataFrame, members: DataFrame, user: str = "msno") -> DataFr
     return df.join(members, on=user, how="inner")
 
 
+@contextmanager
+def co_partitioned(spark: SparkSession) -> Iterator[None]:
+    """While plans are made and run inside, tables bucketed by one of several join keys count as dealt out for all of them."""
+    name = "spark.sql.requireAllClusterKeysForCoPartition"
+    before = spark.conf.get(name, "true")
+    spark.conf.set(name, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def join_buckets(tx: DataFrame, features: DataFrame, members: DataFrame, user: str = "msno", keys: Sequence[str] = PERIOD_KEY) -> DataFrame:
+    """Both gold joins over layers bucketed by user alike: no exchange (inside ``co_partitioned``)."""
+    return member_join(feature_join(tx, features, keys), members, user)
+
+
+def bucketed_feature_store(tx: DataFrame, features: DataFrame, members: DataFrame, user: str = "msno", keys: Sequence[str] = PERIOD_KEY,
+                           buckets: int | None = None) -> DataFrame:
+    """``feature_join`` and ``member_join`` over layers written bucketed and sorted by user: each layer is dealt out once, when it
+    is written, and every later join of it reads its buckets in place.
+
+    A bucket cannot be split, so users with more than a bucket's even share of the transactions (fewer users than buckets, a broadcast list)
+    go through the ordinary joins, which AQE splits; rows without a user join nothing.  The result is written."""
+    spark = tx.sparkSession
+    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    tx = written(tx.where(F.col(user).isNotNull()), "store_transactions")
+    counts = tx.groupBy(user).agg(F.count(F.lit(1)).alias("_n"))
+    share = F.lit(max(1, tx.count() // buckets))
+    hot = written(counts.where(F.col("_n") > share).select(user), "hot_users")
+    some = not hot.isEmpty()
+    few = F.broadcast(hot)
+    layers = [written_buckets(x.join(few, user, "left_anti") if some else x, f"by_user_{name}", user, buckets)
+              for name, x in (("transactions", tx), ("features", features), ("members", members))]
+    with co_partitioned(spark):
+        out = written(join_buckets(*layers, user, keys), "feature_store")
+    if some:
+        parts = [x.join(few, user, "left_semi") for x in (tx, features, members)]
+        out = out.unionByName(written(join_buckets(*parts, user, keys), "feature_store_hot"))
+    return out
+
+
 def label_feature_join(labels: DataFrame, features: DataFrame,
                        keys: Sequence[str] = PERIOD_KEY) -> DataFrame:
     """labels LEFT JOIN features, then drop rows with any null (= inner join + null drop)."""

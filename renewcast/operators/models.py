@@ -10,10 +10,10 @@ from __future__ import annotations
 import json
 import math
 import random
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import Estimator, Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
@@ -142,14 +142,22 @@ def draw_forest_params(trials: int = 5, seed: int = 42) -> list[dict]:
             for _ in range(trials)]
 
 
-def fold_scores(train: DataFrame, estimator, fold_col: str, folds: Sequence[int], label: str, parallelism: int) -> list[float]:
-    """Validation AUC of each fold: fitted on the other folds, scored on it.  The fits are Spark jobs, submitted together."""
+def fitting_rows(train: DataFrame, fold_col: str) -> dict[int, int]:
+    """Fold -> rows of all other folds; one aggregate, a row per fold."""
+    n = {r[fold_col]: r["count"] for r in train.where(F.col(fold_col).isNotNull()).groupBy(fold_col).count().collect()}
+    return {f: sum(n.values()) - own for f, own in sorted(n.items())}
+
+
+def fold_scores(train: DataFrame, estimator: Callable[[int], Estimator], fold_col: str, folds: Mapping[int, int], label: str,
+                parallelism: int) -> list[float]:
+    """Validation AUC of each fold: fitted on the other folds, scored on it.  ``folds`` has the rows each fit sees, which the estimator is
+    made for (its penalty is relative to them).  The fits are Spark jobs, submitted together."""
     from concurrent.futures import ThreadPoolExecutor
 
     judge = BinaryClassificationEvaluator(labelCol=label, metricName="areaUnderROC", numBins=0)
 
     def one(f: int) -> float:
-        model = estimator.fit(train.where(F.col(fold_col) != f))
+        model = estimator(folds[f]).fit(train.where(F.col(fold_col) != f))
         return float(judge.evaluate(model.transform(train.where(F.col(fold_col) == f))))
 
     with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
@@ -172,20 +180,20 @@ def tune_model(train: DataFrame, feature_cols: Sequence[str], kind: str = "logis
     else:
         fixed = draw_logistic_params(trials, seed) if kind == "logistic" else draw_forest_params(trials, seed)
 
-    def estimator(d: dict):
+    def estimator(d: dict, rows: int):
         if kind == "logistic":
-            return logistic(n, d["C"], d["penalty"], label=label)
+            return logistic(rows, d["C"], d["penalty"], label=label)
         return forest(d["num_trees"], d["max_depth"], d["feature_subset"], d["min_leaf"], d["impurity"], seed, label, min_split=d["min_split"])
 
     x = VectorAssembler(inputCols=list(feature_cols), outputCol="features", handleInvalid="keep").transform(train).select("features", label, fold_col)
-    folds = [r[0] for r in train.select(fold_col).distinct().orderBy(fold_col).collect()]      # a handful
+    folds = fitting_rows(train, fold_col)
     for t in range(trials):
         d = sampler.next(draws, scores) if adaptive else fixed[t]
-        found = fold_scores(x, estimator(d), fold_col, folds, label, parallelism)
+        found = fold_scores(x, lambda rows, d=d: estimator(d, rows), fold_col, folds, label, parallelism)
         draws.append(d)
         scores.append(sum(found) / len(found))
     best = max(range(trials), key=lambda i: (scores[i], -i))
-    return estimator(draws[best]).fit(x), draws, scores
+    return estimator(draws[best], n).fit(x), draws, scores
 
 
 def positive_probability(df: DataFrame, col: str = "probability", name: str = "p_churn") -> DataFrame:
@@ -211,12 +219,12 @@ def predict(model: PipelineModel | GrownForest, df: DataFrame, keep: Sequence[st
                       (F.col("p_churn") >= F.lit(threshold)).cast("int").alias("prediction"))
 
 
-def cv_report(train: DataFrame, feature_cols: Sequence[str], make_estimator, draws: Sequence[dict],
+def cv_report(train: DataFrame, feature_cols: Sequence[str], make_estimator: Callable[[dict, int], Estimator], draws: Sequence[dict],
               k: int = 3, fold_col: str = "fold", label: str = "churn", cut: float = 0.5,
               parallelism: int = 4) -> DataFrame:
     """Per trial: mean train and validation AUC, F1.5 and FN rate at cut 0.5 over the folds.
 
-    The (trial, fold) fits are independent Spark jobs and are submitted from
+    ``make_estimator`` gets a draw and the rows of the fit.  The (trial, fold) fits are independent Spark jobs and are submitted from
     ``parallelism`` threads (as ``CrossValidator`` does).  Each model scores the
     whole training set once and keeps only positives and negatives per (part, score); all
     metrics come from these counts.
@@ -226,13 +234,14 @@ def cv_report(train: DataFrame, feature_cols: Sequence[str], make_estimator, dra
     def fit_one(job):
         t, d, f = job
         fit_rows = train.where(F.col(fold_col) != f)
-        model = vector_model(feature_cols, make_estimator(d)).fit(fit_rows)
+        model = vector_model(feature_cols, make_estimator(d, rows[f])).fit(fit_rows)
         part = F.when(F.col(fold_col) == f, F.lit("validation")).otherwise(F.lit("train"))
         y = F.col(label).cast("int")
         return positive_probability(model.transform(train)).groupBy(part.alias("part"), F.col("p_churn").alias("score")).agg(
             F.count_if(y == 1).alias("pos"), F.count_if(y == 0).alias("neg")).select(
             F.lit(t).alias("trial"), F.lit(f).alias("fold"), "part", "score", "pos", "neg")
 
+    rows = fitting_rows(train, fold_col)
     jobs = [(t, d, f) for t, d in enumerate(draws) for f in range(k)]
     with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
         parts = list(pool.map(fit_one, jobs))

@@ -243,12 +243,12 @@ def test_tuning_is_repeatable_and_its_scores_are_fold_means(spark, table):
     sampler = ML.ParzenSampler(ML.LOGISTIC_SPACE, 5, 2)
     assert draws[2] == sampler.next(draws[:2], scores[:2])
     x = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(full)
-    n = full.count()
     from renewcast.operators import metrics as M
     for d, s in zip(draws[2:], scores[2:]):
         per_fold = []
         for f in range(3):
-            fitted = ML.logistic(n, d["C"], d["penalty"]).fit(x.where(F.col("fold") != f))
+            rest = x.where(F.col("fold") != f)
+            fitted = ML.logistic(rest.count(), d["C"], d["penalty"]).fit(rest)
             own = ML.positive_probability(fitted.transform(x.where(F.col("fold") == f))).select(F.col("churn").alias("y_true"), F.col("p_churn").alias("score"))
             per_fold.append(M.roc_auc(own).first()["auc"])
         assert s == pytest.approx(sum(per_fold) / 3, abs=1e-6)
@@ -257,10 +257,11 @@ def test_tuning_is_repeatable_and_its_scores_are_fold_means(spark, table):
 def test_cv_report_equals_plain_fold_runs(spark, table):
     full = table.fillna(0.0).withColumn("fold", F.pmod(F.xxhash64("msno"), F.lit(3)).cast("int"))
     d = {"C": 1.0, "penalty": "l2"}
-    got = {r["part"]: r for r in ML.cv_report(full, FEATURES, lambda d: ML.logistic(700, d["C"], d["penalty"]), [d], k=3).collect()}
+    got = {r["part"]: r for r in ML.cv_report(full, FEATURES, lambda d, n: ML.logistic(n, d["C"], d["penalty"]), [d], k=3).collect()}
     want = {"train": [], "validation": []}
     for f in range(3):
-        model = ML.vector_model(FEATURES, ML.logistic(700, 1.0, "l2")).fit(full.where(F.col("fold") != f))
+        own = full.where(F.col("fold") != f)
+        model = ML.vector_model(FEATURES, ML.logistic(own.count(), 1.0, "l2")).fit(own)
         for part, rows_ in (("train", full.where(F.col("fold") != f)), ("validation", full.where(F.col("fold") == f))):
             s = [(r["churn"], r["p_churn"]) for r in ML.positive_probability(model.transform(rows_)).collect()]
             pos, neg = [p for y, p in s if y == 1], [p for y, p in s if y == 0]
