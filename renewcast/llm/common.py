@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from renewcast.session import scratch_path
+from renewcast.session import written  # noqa: F401  (operators take it from here)
 
 #: Rows up to which a table that has been counted may be broadcast; a larger one is joined by a shuffle.
 BROADCAST_ROWS = 200_000
@@ -26,14 +26,6 @@ def ascii_lower(c: Column) -> Column:
         F.translate(c, string.ascii_uppercase, string.ascii_lowercase))
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The rows written as Parquet to the shared folder and read again: lineage ends
-    here, a lost executor costs no recomputation, and later plans know the true size."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def bounded_broadcast(df: DataFrame, size: Column | None = None) -> DataFrame:
     """Marks a written table for broadcast only if its rows, counted here, are within BROADCAST_ROWS and, for rows without a fixed
     size, their bytes (the sum of ``size``) within BROADCAST_BYTES; otherwise the table is left to a shuffled join."""
