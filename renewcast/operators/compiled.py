@@ -1,9 +1,8 @@
 """Fitted models as column expressions: scoring without vectors, UDFs or a per-row model call.
 
 A logistic model becomes one arithmetic expression over the feature columns, its terms added pairwise so that the
-expression is as deep as the logarithm of their number.  A forest becomes node tables held as constant arrays, one set for each level: a row's
-node in every tree is a column, and each level is one projection that looks up the node's feature and cut and moves to a child.  The
-plan has trees x depth such steps, whatever the number of nodes, and no expression is deeper than one of them.
+expression is as deep as the logarithm of their number.  Each tree of a forest becomes nested CASE expressions, as deep as the
+tree, of which a row evaluates one path; every split stands in the plan once, so filters on the probability may be pushed through it.
 """
 
 from __future__ import annotations
@@ -19,9 +18,6 @@ from pyspark.sql import functions as F
 
 from renewcast.session import scratch_path
 
-#: Trees whose nodes are columns at the same time.
-TREES_AT_ONCE = 20
-
 
 @dataclass
 class Tree:
@@ -33,26 +29,14 @@ class Tree:
     right: list[int]
     value: list[float]
 
-    def levels(self) -> tuple[list[tuple[list[int], list[float], list[int]]], list[float]]:
-        """Per level (feature, cut, children) of its inner nodes, and the leaves' values.  A node has two children: the number of an inner node on
-        the next level, or -1 - the number of a leaf."""
-        found, values = [], []
-
-        def place(n: int, below: list[int]) -> int:
+    def expression(self, columns: Sequence[str]) -> str:
+        """SQL of the value of the leaf a row reaches; ``columns`` is the SQL of every feature."""
+        def at(n: int) -> str:
             if self.left[n] == n:
-                values.append(self.value[n])
-                return -len(values)
-            below.append(n)
-            return len(below) - 1
+                return f"double('{self.value[n]!r}')"
+            return f"CASE WHEN {columns[self.feature[n]]} <= double('{self.cut[n]!r}') THEN {at(self.left[n])} ELSE {at(self.right[n])} END"
 
-        level: list[int] = []
-        place(0, level)
-        while level:
-            below: list[int] = []
-            children = [place(c, below) for n in level for c in (self.left[n], self.right[n])]
-            found.append(([self.feature[n] for n in level], [self.cut[n] for n in level], children))
-            level = below
-        return found, values
+        return at(0)
 
 
 def constant(values: Sequence[int] | Sequence[float], kind: str) -> str:
@@ -82,24 +66,10 @@ def logistic_probability(names: Sequence[str], weights: Sequence[float], interce
 
 
 def with_forest_probability(df: DataFrame, names: Sequence[str], trees: Sequence[Tree], name: str) -> DataFrame:
-    """Adds the mean over trees of the reached leaf's value.  NaN goes right, as in Spark's trees.  A column ``name`` is replaced; none may be
-    called ``_x`` or ``_n`` and a number."""
-    columns = df.columns
-    df = df.withColumns({"_x": F.array(*[number(n) for n in names]), name: F.lit(0.0)})
-    for at in range(0, len(trees), TREES_AT_ONCE):
-        part = [t.levels() for t in trees[at:at + TREES_AT_ONCE]]
-        df = df.withColumns({f"_n{k}": F.lit(0 if levels else -1) for k, (levels, _) in enumerate(part)})
-        for level in range(max(len(levels) for levels, _ in part)):
-            steps = {}
-            for k, (levels, _) in enumerate(part):
-                if level < len(levels):
-                    feature, cut, children = (constant(x, kind) for x, kind in zip(levels[level], ("int", "double", "int")))
-                    right = f"NOT (get(_x, get({feature}, _n{k})) <= get({cut}, _n{k}))"
-                    steps[f"_n{k}"] = F.expr(f"CASE WHEN _n{k} < 0 THEN _n{k} ELSE get({children}, 2 * _n{k} + CAST({right} AS INT)) END")
-            df = df.withColumns(steps)
-        votes = add_pairwise([F.expr(f"get({constant(values, 'double')}, -1 - _n{k})") for k, (_, values) in enumerate(part)])
-        df = df.withColumn(name, F.col(f"`{name}`") + votes).drop(*[f"_n{k}" for k in range(len(part))])
-    return df.select(*[F.col(f"`{c}`") for c in columns if c != name], (F.col(f"`{name}`") / len(trees)).alias(name))
+    """Adds the mean over trees of the reached leaf's value.  NaN goes right, as in Spark's trees.  A column ``name`` is replaced."""
+    columns = [f"coalesce(CAST(`{n}` AS DOUBLE), double('NaN'))" for n in names]
+    votes = add_pairwise([F.expr(t.expression(columns)) for t in trees])
+    return df.withColumn(name, votes / len(trees))
 
 
 def spark_trees(model: RandomForestClassificationModel) -> list[Tree]:

@@ -113,7 +113,7 @@ def test_bags_have_poisson_weights(spark):
 
 
 def test_saved_forest_scores_alike(spark, table):
-    forest = G.grow_forest(table, FEATURES, num_trees=25, max_depth=4, min_split=20)      # more trees than are columns at a time
+    forest = G.grow_forest(table, FEATURES, num_trees=25, max_depth=4, min_split=20)
     path = scratch_path(spark, "grown_bundle")
     ML.save_bundle(spark, ML.Bundle(forest, 0.4, {"a": (1.0, 2.0)}, {}, ["a"], {"model_type": "grown_forest"}), path)
     back = ML.load_bundle(spark, path)
@@ -146,6 +146,20 @@ def test_compiled_models_equal_transform(spark, table, estimator):
     assert "UDF" not in plan and "Python" not in plan
 
 
+def test_a_filter_on_the_probability_stays_linear_in_the_nodes(spark, table):
+    """Pushed through the scoring, a condition repeats each split once, not once for each level below it."""
+    model = ML.vector_model(FEATURES, ML.forest(20, 8)).fit(table.fillna(0.0))
+    scored = with_probability(table.fillna(0.0), model, "p").where("p IS NOT NULL AND p > 0.2")
+    plan = scored._jdf.queryExecution().optimizedPlan().toString()
+    splits = sum(l != n for t in with_trees(model) for n, l in enumerate(t.left))
+    assert splits > 100 and plan.count("CASE WHEN") <= 4 * splits and scored.count() > 100
+
+
+def with_trees(model):
+    from renewcast.operators.compiled import spark_trees
+    return spark_trees(model.stages[-1])
+
+
 def test_a_null_feature_counts_as_nan(spark, table):
     model = ML.vector_model(FEATURES, ML.logistic(700)).fit(table.fillna(0.0))
     got = with_probability(table, model, "p").where("b IS NULL").select(F.isnan("p").alias("n")).distinct().collect()
