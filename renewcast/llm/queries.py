@@ -176,6 +176,53 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents"))
 
 
+# ---------------------------------------------------------------- what SQL can state of operators 4 and 6
+
+@query
+def op4_quality_rules__base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op4_quality_rules(spark, sf_dir).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
+ORACLES["op4_quality_rules__base"] = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+w AS (SELECT r, doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w FROM d),
+ln AS (SELECT r, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS i FROM d),
+dup AS (SELECT r, count(*) AS n FROM (SELECT r, line, row_number() OVER (PARTITION BY r, line ORDER BY i) AS k FROM ln)
+        WHERE k > 1 AND regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY r),
+wd AS (SELECT r, unnest(w) AS x, unnest(range(len(w))) AS i FROM w),
+tri AS (SELECT r, i, x, lead(x, 1) OVER p AS y, lead(x, 2) OVER p AS z FROM wd WINDOW p AS (PARTITION BY r ORDER BY i)),
+rep AS (SELECT r, i, count(*) OVER (PARTITION BY r, x, y, z) AS c FROM tri WHERE z IS NOT NULL),
+hit AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest([i, i + 1, i + 2]) AS p FROM rep WHERE c > 1) GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
+       (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols, coalesce(dup.n, 0)::BIGINT AS n_dup_lines,
+       coalesce(hit.n, 0)::BIGINT AS n_repeat_words, len(w) < 50 OR 100 * coalesce(hit.n, 0) > 50 * len(w) AS base_failed
+FROM w LEFT JOIN dup USING (r) LEFT JOIN hit USING (r)
+"""
+
+
+@query
+def op6_license_scan__base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op6_license_scan(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+
+
+ORACLES["op6_license_scan__base"] = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                               '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+wd AS (SELECT r, unnest(w) AS a, unnest(range(len(w))) AS i FROM d),
+nx AS (SELECT r, i, a, lead(a, 1) OVER p AS b, lead(a, 2) OVER p AS c, lead(a, 3) OVER p AS e FROM wd WINDOW p AS (PARTITION BY r ORDER BY i)),
+pl AS (
+  SELECT r, i, 'gpl' AS label FROM nx WHERE a = 'gnu' AND b = 'general' AND c = 'public' AND e = 'license'
+  UNION ALL SELECT r, i, 'apache' FROM nx WHERE a = 'apache' AND b = 'license'
+  UNION ALL SELECT r, i, 'cc-by' FROM nx WHERE a = 'cc' AND b = 'by'
+  UNION ALL SELECT r, i, 'mit' FROM nx WHERE a = 'mit' AND b = 'license'),
+g AS (SELECT r, count(*) AS n, min(i) AS lo, max(i) AS hi, array_to_string(list_sort(list_distinct(list(label))), ',') AS labels FROM pl GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_base, lo::BIGINT AS first_word, hi::BIGINT AS last_word,
+       coalesce(labels, '') AS base_labels
+FROM d LEFT JOIN g USING (r)
+"""
+
+
 # ---------------------------------------------------------------- 9: WARC
 
 @query
@@ -223,6 +270,23 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+#: All windows of 100 bytes, as hexadecimal text; windows are told by 128 bits of MD5.
+ORACLES["op1_suffix_dedup"] = r"""
+WITH d AS (SELECT row_number() OVER (ORDER BY doc_id NULLS FIRST, md5(coalesce(text, ''))) AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+win AS (SELECT r, i, md5_number(substr(h, 2 * i + 1, 200)) AS k FROM (SELECT r, h, unnest(range(length(h) // 2 - 99)) AS i FROM d WHERE length(h) >= 200)),
+gone AS (SELECT r, i FROM (SELECT r, i, row_number() OVER (PARTITION BY k ORDER BY r, i) AS n FROM win) WHERE n > 1),
+mark AS (SELECT r, i, CASE WHEN i <= lag(i) OVER (PARTITION BY r ORDER BY i) + 100 THEN 0 ELSE 1 END AS fresh FROM gone),
+run AS (SELECT r, min(i) AS a, max(i) + 100 AS b FROM (SELECT r, i, sum(fresh) OVER (PARTITION BY r ORDER BY i) AS g FROM mark) GROUP BY r, g),
+cut AS (SELECT r, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0) AS x, a AS y FROM run
+        UNION ALL SELECT r, max(b), NULL FROM run GROUP BY r),
+kept AS (SELECT r, string_agg(substr(h, 2 * x + 1, coalesce(2 * (y - x), length(h))), '' ORDER BY x) AS h FROM cut JOIN d USING (r) GROUP BY r),
+n AS (SELECT r, sum(b - a) AS removed, count(*) AS spans FROM run GROUP BY r)
+SELECT doc_id, (length(d.h) // 2)::BIGINT AS n_bytes, coalesce(removed, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans,
+       sha256(unhex(coalesce(kept.h, d.h))) AS kept_sha256
+FROM d LEFT JOIN n USING (r) LEFT JOIN kept USING (r)
+"""
+
+
 # ---------------------------------------------------------------- 5: best-fit packing
 
 def tokenizer_path() -> str:
