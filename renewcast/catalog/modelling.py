@@ -39,11 +39,11 @@ def train_forest(spark, sf):
     return T.score_batch(b, p.test, threshold=b.threshold)
 
 
-def _test_auc(spark, p, cv_model):
+def _test_auc(spark, p, model):
     """AUC of the refit best model on the hold-out rows."""
     from pyspark.ml.feature import VectorAssembler
     Xt = VectorAssembler(inputCols=p.names, outputCol="features", handleInvalid="keep").transform(p.matrix(p.test))
-    s = ML.positive_probability(cv_model.bestModel.transform(Xt)).select(
+    s = ML.positive_probability(model.transform(Xt)).select(
         F.col("churn").cast("int").alias("y_true"), F.col("p_churn").alias("score"))
     return M.roc_auc(s).first()["auc"]
 
