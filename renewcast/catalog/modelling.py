@@ -50,7 +50,7 @@ def _test_auc(spark, p, model):
 
 @query("tune_model")
 def tune_model(spark, sf):
-    """5 seeded draws x 3 stratified folds, scored by mean validation AUC (CrossValidator);
+    """5 draws (3 random, then adaptive) x 3 stratified folds, scored by mean validation AUC;
     the best draw is refit on all fitting rows and its hold-out AUC reported."""
     p = _prep(spark, sf)
     X = T.materialize(spark, p.matrix(p.fit, extra=["fold"]), "cv_matrix")
