@@ -16,7 +16,20 @@ BROADCAST_ROWS = 200_000
 BROADCAST_BYTES = 32_000_000
 
 
+#: Rows of one Arrow batch between Spark and Python, at most: whole texts make the default of 10,000 rows heavy on both sides.
+BATCH_ROWS = 2_000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lowers the session's Arrow batches to BATCH_ROWS rows, where they are larger; no result depends on it."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    rows = int(spark.conf.get(key, "10000"))
+    if rows <= 0 or rows > BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
