@@ -268,6 +268,15 @@ def test_tuning_is_repeatable_and_its_scores_are_fold_means(spark, table):
         assert s == pytest.approx(sum(per_fold) / 3, abs=1e-6)
 
 
+def test_forests_are_tuned_over_their_own_space(spark, table, monkeypatch):
+    small = {**ML.FOREST_SPACE, "num_trees": ("int", 2, 5), "max_depth": ("int", 2, 3)}
+    monkeypatch.setattr(ML, "FOREST_SPACE", small)
+    full = table.fillna(0.0).withColumn("fold", F.pmod(F.xxhash64("msno"), F.lit(2)).cast("int")).coalesce(1)
+    model, draws, scores = ML.tune_model(full, FEATURES, "forest", trials=3, seed=9)
+    assert len(draws) == 3 and all(set(d) == set(small) and 2 <= d["num_trees"] <= 5 for d in draws) and all(0.5 < s <= 1 for s in scores)
+    assert model.getNumTrees == draws[scores.index(max(scores))]["num_trees"]
+
+
 def test_cv_report_equals_plain_fold_runs(spark, table):
     full = table.fillna(0.0).withColumn("fold", F.pmod(F.xxhash64("msno"), F.lit(3)).cast("int"))
     d = {"C": 1.0, "penalty": "l2"}
