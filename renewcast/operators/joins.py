@@ -25,11 +25,11 @@ def interval_join(logs: DataFrame, periods: DataFrame, user: str = "msno", date:
                   lookback_months: int | None = None, prefilter: bool = False) -> DataFrame:
     """Inner join of every log row to every period of its user with start <= date <= expire.
 
-    The equi key is (user, month): each period is exploded into the calendar
-    months it touches (a 30-day plan gives 1-2 rows), the log row carries its
-    own month, and the exact range is the residual predicate.  Compared with
+    The equi key is (user, quarter): each period is exploded into the calendar
+    quarters it touches (a plan of up to 90 days gives 1-2 rows), the log row carries its
+    own quarter, and the exact range is the residual predicate.  Compared with
     an equi join on the user alone, a heavy user is split into one join key
-    per month and the residual only sees periods overlapping that month.
+    per quarter and the residual only sees periods overlapping that quarter.
 
     ``lookback_months=k`` reproduces the monthly partitioning of the
     reference (Q11): a period expiring in month M only sees logs from months
@@ -45,14 +45,12 @@ def interval_join(logs: DataFrame, periods: DataFrame, user: str = "msno", date:
     lo = F.col(start)
     if lookback_months is not None:
         lo = F.greatest(lo, F.add_months(F.trunc(F.col(expire), "MM"), -int(lookback_months)))
-    p = (periods.withColumn("_lo", lo)
-         .where(F.col("_lo") <= F.col(expire))
-         .withColumn("_m", F.explode(F.sequence(F.trunc("_lo", "MM"), F.trunc(F.col(expire), "MM"),
-                                                F.expr("INTERVAL 1 MONTH")))))
-    lg = logs.withColumn("_m", F.trunc(F.col(date), "MM"))
-    j = lg.join(p, on=[user, "_m"], how="inner").where(
-        (F.col(date) >= F.col("_lo")) & (F.col(date) <= F.col(expire)))
-    return j.drop("_m", "_lo")
+    p = (periods.where(lo <= F.col(expire))
+         .withColumn("_q", F.explode(F.sequence(F.trunc(lo, "QUARTER"), F.trunc(F.col(expire), "QUARTER"),
+                                                F.expr("INTERVAL 3 MONTHS")))))
+    lg = logs.withColumn("_q", F.trunc(F.col(date), "QUARTER"))
+    # the lower bound is computed again from the period: no column of its own is dealt out
+    return lg.join(p, on=[user, "_q"], how="inner").where((F.col(date) >= lo) & (F.col(date) <= F.col(expire))).drop("_q")
 
 
 def feature_join(tx: DataFrame, features: DataFrame, keys: Sequence[str] = PERIOD_KEY) -> DataFrame:

@@ -14,6 +14,7 @@ from renewcast.plans.features import USAGE_FEATURES
 
 CATEGORICAL = ("payment_method_id", "is_auto_renew", "is_cancel", "city", "gender", "registered_via")
 NUMERIC = ("discount_ratio", *USAGE_FEATURES, "account_age")
+PLAN_DAYS = (30, 31)
 FEATURE_COLUMNS = ("payment_method_id", "is_auto_renew", "is_cancel", "discount_ratio", *USAGE_FEATURES,
                    "city", "gender", "registered_via", "account_age")
 
@@ -21,7 +22,7 @@ FEATURE_COLUMNS = ("payment_method_id", "is_auto_renew", "is_cancel", "discount_
 def assemble_model_set(labels: DataFrame, features: DataFrame,
                        label_order: Sequence[str] = ("tx_id",),
                        feature_order: Sequence[str] = ("tx_id", *USAGE_FEATURES),
-                       plan_days: Sequence[int] = (30, 31),
+                       plan_days: Sequence[int] = PLAN_DAYS,
                        train_before: str = "2016-11-01", oot_end: str = "2016-11-30",
                        inference_after: str = "2016-12-01") -> DataFrame:
     """Dedupe labels, keep 30/31-day feature periods, dedupe features, left join,

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from renewcast.functions.scalar import (account_age, guarded_ratio, parse_yyyymmdd,
                                         smoothed_ratio, sum_songs)
-from renewcast.operators.filters import valid_range
+from renewcast.operators.filters import plan_days_in, valid_range
 from renewcast.operators.joins import PERIOD_KEY, feature_join, interval_join, member_join
 from renewcast.plans.labels import silver_transactions
 
@@ -44,24 +44,20 @@ def daily_usage(logs: DataFrame, user: str = "msno", date: str = "date") -> Data
     )
 
 
-def log_rows(logs: DataFrame, user: str = "msno", date: str = "date") -> DataFrame:
+def log_rows(logs: DataFrame, keep: Sequence[str] = ("msno", "date")) -> DataFrame:
     """Per-log-row values in the same shape as ``daily_usage`` (no shuffle)."""
     songs = sum_songs(*PLAY_COLS)
     ratio = guarded_ratio("num_unq", songs)
     return logs.select(
-        user, date, *[F.col(c).alias(f"d_{c}") for c in PLAY_COLS],
+        *keep, *[F.col(c).alias(f"d_{c}") for c in PLAY_COLS],
         songs.alias("d_songs"), F.col("total_secs").alias("d_secs"),
         ratio.alias("d_ratio_sum"), F.when(ratio.isNotNull(), F.lit(1)).otherwise(F.lit(0)).alias("d_ratio_n"))
 
 
-def period_usage(joined: DataFrame, group: Sequence[str], edge_days: int = 7,
-                 weight: str | None = None, secs_digits: int = 6) -> DataFrame:
+def period_usage(joined: DataFrame, group: Sequence[str], edge_days: int = 7, secs_digits: int = 6) -> DataFrame:
     """Per period: the 10 aggregates (sums, mean row ratio, first/last ``edge_days`` seconds).
 
-    ``joined`` holds day rows from ``daily_usage`` matched to periods.  ``weight``
-    (copies of an identical transaction row) multiplies the sums exactly as the
-    reference's duplicate rows do (Q3) without emitting the duplicate pairs.
-    Second totals are rounded to ``secs_digits`` decimals, so they (and the
+    ``joined`` holds rows of ``daily_usage`` or ``log_rows`` matched to periods.  Second totals are rounded to ``secs_digits`` decimals, so they (and the
     ratios built on them) do not depend on summation order, i.e. on how the
     rows were partitioned or re-run after a lost executor.
     """
@@ -71,7 +67,7 @@ def period_usage(joined: DataFrame, group: Sequence[str], edge_days: int = 7,
     def secs(c):
         return F.round(c, secs_digits)
 
-    agg = joined.groupBy(*group).agg(
+    return joined.groupBy(*group).agg(
         F.sum("d_num_25").alias("sum_completion_25"),
         F.sum("d_num_50").alias("sum_completion_50"),
         F.sum("d_num_75").alias("sum_completion_75"),
@@ -85,11 +81,18 @@ def period_usage(joined: DataFrame, group: Sequence[str], edge_days: int = 7,
         secs(F.coalesce(F.sum(F.when(to_end < edge_days, F.col("d_secs"))), F.lit(0.0)))
         .alias("total_secs_last_7_days"),
     )
-    if weight:
-        w = F.col(weight)
-        scaled = {*USAGE_SUMS, "total_secs_first_7_days", "total_secs_last_7_days"}
-        agg = agg.select(*[(F.col(c) * w).alias(c) if c in scaled else F.col(c) for c in agg.columns])
-    return agg
+
+
+def with_copies(agg: DataFrame, periods: DataFrame, attrs: Sequence[str] = PERIOD_ATTRS) -> DataFrame:
+    """Period aggregates once for every distinct attribute set of the period; the number of identical transaction rows multiplies
+    the sums, exactly as the reference's duplicate rows do (Q3), without emitting the duplicate pairs.
+
+    The sums do not depend on the attributes, so these meet the sums of a period and not its log rows.  The transactions are dealt out by
+    the period key alone, which serves the grouping and the join."""
+    copies = periods.select(*PERIOD_KEY, *attrs).repartition(*PERIOD_KEY).groupBy(*PERIOD_KEY, *attrs).agg(F.count(F.lit(1)).alias("_copies"))
+    scaled = {*USAGE_SUMS, "total_secs_first_7_days", "total_secs_last_7_days"}
+    return agg.join(copies.select(*PERIOD_KEY, "_copies"), PERIOD_KEY).select(
+        *[(F.col(c) * F.col("_copies")).alias(c) if c in scaled else F.col(c) for c in agg.columns])
 
 
 def usage_ratios(agg: DataFrame, eps: float = 0.01) -> DataFrame:
@@ -114,9 +117,9 @@ def usage_features(logs: DataFrame, periods: DataFrame, lookback_months: int | N
                    attrs: Sequence[str] = PERIOD_ATTRS, pre_aggregate_days: bool = False) -> DataFrame:
     """The 18-feature log block per period (silver userlog).
 
-    Parity form (default): periods keep the 7 transaction attributes in the
-    group key, so a period key repeats once per distinct attribute set and
-    identical transaction rows multiply the sums (Q3); logs are limited to
+    Parity form (default): a period key repeats once per distinct set of the 7
+    transaction attributes, and identical transaction rows multiply the sums
+    (Q3, ``with_copies``); logs are limited to
     the expiry month and ``lookback_months`` before it (Q11).
     ``dedupe_periods=True`` groups by the period key alone; ``lookback_months=None``
     uses every log in the period.
@@ -126,15 +129,12 @@ def usage_features(logs: DataFrame, periods: DataFrame, lookback_months: int | N
     the largest table for it.  ``pre_aggregate_days=True`` adds it for
     finer-grained event logs, where it shrinks the join input.
     """
-    if dedupe_periods:
-        p = periods.select(*PERIOD_KEY).distinct().withColumn("_copies", F.lit(1))
-        group = [*PERIOD_KEY]
-    else:
-        p = periods.groupBy(*PERIOD_KEY, *attrs).agg(F.count(F.lit(1)).alias("_copies"))
-        group = [*PERIOD_KEY, *attrs]
-    rows = daily_usage(logs) if pre_aggregate_days else log_rows(logs)
-    j = interval_join(rows, p, lookback_months=lookback_months)
-    agg = period_usage(j, [*group, "_copies"], edge_days, weight="_copies")
+    rows = daily_usage(logs) if pre_aggregate_days else logs.select("msno", "date", *PLAY_COLS, "num_unq", "total_secs")
+    j = interval_join(rows, periods.select(*PERIOD_KEY).distinct(), lookback_months=lookback_months)
+    # the raw log columns are what is dealt out; the values of a row are computed once it has met its period
+    agg = period_usage(j if pre_aggregate_days else log_rows(j, [*PERIOD_KEY, "date"]), PERIOD_KEY, edge_days)
+    if not dedupe_periods:
+        agg = with_copies(agg, periods, attrs)
     return usage_ratios(agg, eps).select(*PERIOD_KEY, *USAGE_FEATURES)
 
 
@@ -157,14 +157,17 @@ def feature_store(tx: DataFrame, logs: DataFrame, members: DataFrame,
                   window: tuple[str, str] = ("2015-01-01", "2017-03-31"), burst_n: int = 2,
                   secs_bounds: tuple[float, float] = (-0.75e16, 0.75e16),
                   lookback_months: int | None = 1, dedupe_periods: bool = False,
-                  edge_days: int = 7) -> DataFrame:
+                  edge_days: int = 7, plan_days: Sequence[int] | None = None) -> DataFrame:
     """Gold feature store for every month in one plan (30 columns + tie-break + month).
 
     Transactions are partitioned by expiry month (``snapshot_month``); the burst
-    filter is scoped to that month as in the reference (Q2).
+    filter is scoped to that month as in the reference (Q2).  ``plan_days`` keeps the periods of these lengths alone, for a caller
+    that takes no others: the rows are those that ``plan_days_in`` would leave of the whole store.
     """
     t = tx.withColumn("snapshot_month", F.trunc("membership_expire_date", "MM"))
     st = silver_transactions(t, window, burst_n, scope_cols=("snapshot_month",))
+    if plan_days is not None:
+        st = plan_days_in(st, plan_days)
     lg = valid_range(logs, "total_secs", *secs_bounds)
     usage = usage_features(lg, st, lookback_months, edge_days, dedupe_periods=dedupe_periods)
     j = feature_join(st, usage)
