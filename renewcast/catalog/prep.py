@@ -30,16 +30,18 @@ def labels_with_tie(spark, sf, tx=None):
 
 
 def model_set(spark, sf):
-    """Labels and features both read one written table of transactions."""
+    """Labels and features both read one written table of transactions; of the feature store only the periods that
+    ``assemble_model_set`` takes are built."""
     tx = written(fx.transactions(spark, sf), "transactions")
-    return A.assemble_model_set(labels_with_tie(spark, sf, tx), gold(spark, sf, tx=tx),
-                                train_before=fx.SPLIT_TRAIN_BEFORE, oot_end=fx.SPLIT_OOT_END,
+    return A.assemble_model_set(labels_with_tie(spark, sf, tx), gold(spark, sf, tx=tx, plan_days=A.PLAN_DAYS),
+                                plan_days=A.PLAN_DAYS, train_before=fx.SPLIT_TRAIN_BEFORE, oot_end=fx.SPLIT_OOT_END,
                                 inference_after=fx.SPLIT_INFERENCE_AFTER)
 
 
-def train_part(spark, sf):
-    """Training rows of the model set with the 80/20 hold-out flag."""
-    ms = model_set(spark, sf).where(F.col("split") == "train")
+def train_part(spark, sf, cols=()):
+    """Training rows of the model set with the 80/20 hold-out flag: keys, label and ``cols``.  The split reads its rows more than
+    once, so they are written."""
+    ms = written(model_set(spark, sf).where(F.col("split") == "train").select(*KEY, "churn", *cols), "training_rows")
     return PR.stratified_split(ms, "churn", KEY, 0.2, 611)
 
 
@@ -129,14 +131,14 @@ def stratified_folds(spark, sf):
     return PR.stratified_folds(fit, "churn", KEY, 3, 42).select(*KEY, "churn", "fold")
 
 
-def fit_rows(spark, sf):
-    return train_part(spark, sf).where(F.col("is_test") == 0)
+def fit_rows(spark, sf, cols):
+    return train_part(spark, sf, cols).where(F.col("is_test") == 0)
 
 
 @query("fit_scaler", _ms_sql('SELECT col AS "column", mean, std FROM stats', ["mean", "std"]))
 def fit_scaler(spark, sf):
     """Training mean and population std of the 20 numeric columns."""
-    return PR.fit_scaler(fit_rows(spark, sf), NUMERIC)
+    return PR.fit_scaler(fit_rows(spark, sf, NUMERIC), NUMERIC)
 
 
 _SCALED = ", ".join(
@@ -166,7 +168,7 @@ def _rare_sql(c, alias=None):
     f"WHERE lv IS NOT NULL" for c in A.CATEGORICAL)))
 def fit_vocabulary(spark, sf):
     """Levels per categorical column after rare mapping, fitted on the training rows only."""
-    return PR.fit_vocabulary(PR.apply_rare_maps(fit_rows(spark, sf)), list(A.CATEGORICAL))
+    return PR.fit_vocabulary(PR.apply_rare_maps(fit_rows(spark, sf, A.CATEGORICAL)), list(A.CATEGORICAL))
 
 
 @lru_cache(maxsize=None)
