@@ -95,13 +95,19 @@ def score_counts(df: DataFrame, y_true: str = "y_true", score: str = "score",
 def auc_of_counts(sc: DataFrame, score: str = "score", by: Sequence[str] = ()) -> DataFrame:
     """Area under the ROC curve per group from positives and negatives per distinct score; ties count half.
 
+    Scores are dealt into blocks by range.  A block counts its own pairs, and its positives meet the negatives of all blocks below it as
+    one product, so rows are never joined with offsets.
     null when a group has only one class (sklearn raises there).
     """
-    rs = running_sum(sc, [score], ["neg", "pos"], group=list(by), with_total=True)
-    below = F.col("neg_cum") - F.col("neg")
-    term = F.col("pos").cast("double") * (below.cast("double") + F.col("neg").cast("double") / 2)
-    agg = rs.groupBy(*by).agg(F.sum(term).alias("_u"), F.max("pos_total").alias("_p"),
-                              F.max("neg_total").alias("_n"))
+    d = order_blocks(sc, [F.col(score).asc_nulls_first()], by)
+    within = Window.partitionBy(*by, "_blk").orderBy(score).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    below = (F.sum("neg").over(within) - F.col("neg")).cast("double")
+    blocks = d.select(*by, "_blk", "pos", "neg", (F.col("pos").cast("double") * (below + F.col("neg").cast("double") / 2)).alias("_u")) \
+        .groupBy(*by, "_blk").agg(F.sum("_u").alias("_u"), F.sum("pos").alias("_p"), F.sum("neg").alias("_n"))
+    before = Window.partitionBy(*by).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)       # a row for each block of a group
+    under = F.coalesce(F.sum("_n").over(before), F.lit(0)).cast("double")
+    agg = blocks.select(*by, "_p", "_n", (F.col("_u") + F.col("_p").cast("double") * under).alias("_u")) \
+        .groupBy(*by).agg(F.sum("_u").alias("_u"), F.sum("_p").alias("_p"), F.sum("_n").alias("_n"))
     auc = F.when((F.col("_p") == 0) | (F.col("_n") == 0), F.lit(None).cast("double")).otherwise(
         F.col("_u") / (F.col("_p").cast("double") * F.col("_n").cast("double")))
     return agg.select(*by, auc.alias("auc"))

@@ -4,6 +4,8 @@ import pytest
 
 from sf_paths import SF_SMALL
 from renewcast import registry
+from renewcast.operators import metrics as M
+from renewcast.operators import models as ML
 
 registry.load_all()
 QUERIES = registry.QUERIES
@@ -30,3 +32,54 @@ def test_the_split_reads_written_rows(spark, name):
     """The split looks at its rows twice or more: the model set must not be built again for each look."""
     files = QUERIES[name](spark, SF_SMALL).inputFiles()
     assert files and all("training_rows" in f for f in files)
+
+
+def _labelled(spark):
+    rows = [(i, i % 3, float((i * 7) % 11) / 10, float(i % 5), int((i * 13) % 17 > 8)) for i in range(240)]
+    return spark.createDataFrame(rows, "id int, fold int, a double, b double, churn int").repartition(3)
+
+
+def _area(pairs):
+    pos, neg = [s for s, y in pairs if y], [s for s, y in pairs if not y]
+    return sum((p > n) + (p == n) / 2 for p in pos for n in neg) / (len(pos) * len(neg))
+
+
+def test_fold_models_score_in_one_pass(spark, monkeypatch):
+    """No union of a scan for each model, and no rows joined with offsets; the report equals one made by hand from the models."""
+    plans, fitted = [], []
+    real = ML.written
+
+    def spied(df, name):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return real(df, name)
+
+    class Kept(ML.Pipeline):
+        def fit(self, *args, **kw):
+            fitted.append(super().fit(*args, **kw))
+            return fitted[-1]
+
+    monkeypatch.setattr(ML, "written", spied)
+    monkeypatch.setattr(ML, "vector_model", lambda cols, est: Kept(stages=[ML.VectorAssembler(inputCols=cols, outputCol="features"), est]))
+    train = _labelled(spark)
+    draws = [{"C": 1.0}, {"C": 0.05}]
+    got = {(r["trial"], r["part"]): r["auc"] for r in ML.cv_report(train, ["a", "b"], lambda d, n: ML.logistic(n, d["C"]), draws, parallelism=1).collect()}
+    assert len(plans) == 1 and "Union" not in plans[0]
+    want = {}
+    for j, model in enumerate(fitted):
+        rows = ML.positive_probability(model.transform(train)).select("fold", "churn", "p_churn").collect()
+        for part in ("train", "validation"):
+            want.setdefault((j // 3, part), []).append(_area([(round(r["p_churn"], 12), r["churn"]) for r in rows
+                                                              if (r["fold"] == j % 3) == (part == "validation")]))
+    assert got.keys() == want.keys()
+    assert all(abs(got[k] - sum(v) / 3) < 1e-9 for k, v in want.items())
+
+
+def test_area_of_grouped_counts_joins_no_rows(spark):
+    rows = [(g, float((i * 5) % 9), (i * 7) % 4, (i * 3) % 5) for g in ("a", None, "b") for i in range(9)] + [("one", 1.0, 3, 0)]
+    counts = spark.createDataFrame(rows, "g string, score double, pos long, neg long")
+    area = M.auc_of_counts(counts, "score", ["g"])
+    assert "Join" not in area._jdf.queryExecution().optimizedPlan().toString()
+    for r in area.collect():
+        own = [x for x in rows if x[0] == r["g"]]
+        pairs = [(s, y) for _, s, p, n in own for y in [1] * p + [0] * n]
+        assert r["auc"] is None if r["g"] == "one" else abs(r["auc"] - _area(pairs)) < 1e-12
