@@ -16,18 +16,21 @@ row's node is found again from the splits so far, so no row is rewritten between
 from __future__ import annotations
 
 import hashlib
-import json
 import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from renewcast.operators.compiled import Tree, constant
+from renewcast.operators.compiled import Tree
 from renewcast.session import written
 
 BINS, ACCURACY = 32, 100_000
+#: Cells of a level's histogram that a task holds at once, 24 bytes each.
+MAX_CELLS = 4_000_000
 #: Upper bounds of the first eight hex digits of a hash for a weight of 0, 1, ...: Poisson with mean 1.
 POISSON = [f"{int(sum(math.exp(-1) / math.factorial(i) for i in range(k + 1)) * 2 ** 32):08x}" for k in range(9)]
 
@@ -178,31 +181,57 @@ def grow_forest(rows: DataFrame, features: Sequence[str], label: str = "churn",
 
 def level_histogram(base: DataFrame, features: Sequence[str], cuts: Mapping[str, Sequence[float]], forest: Sequence[dict[int, Node]],
                     open_: Mapping[tuple[int, int], Sequence[str]], level: int) -> DataFrame:
-    """(tree, node, feature, bin, rows, weight, ones) over the open nodes of a level, for the features each of them may split on."""
+    """(tree, node, feature, bin, rows, weight, ones) over the open nodes of a level, for the features each of them may split on.
+
+    Each task walks its rows down every tree and counts them by cell, a batch at a time; the counts of the tasks are summed by Spark.  Counts are
+    held over a task's batches up to ``MAX_CELLS``; larger levels hand on those of each tree and batch."""
     index = {f: i for i, f in enumerate(features)}
-    trees = sorted({t for t, _ in open_})
-    df = base.withColumns({f"_n{t}": F.lit(1) for t in trees})
-    for d in range(level):                                  # from the root down to this level's nodes; 0 where a row ends in a leaf
-        steps = {}
-        for t in trees:
-            inner = {p: n for p, n in forest[t].items() if p >> d == 1 and n.feature is not None}
-            places = range(1 << d, 2 << d)
-            feature = constant([index[inner[p].feature] if p in inner else -1 for p in places], "int")
-            cut = constant([cuts[inner[p].feature].index(inner[p].cut) if p in inner else 0 for p in places], "int")
-            n, at = f"_n{t}", f"_n{t} - {1 << d}"
-            steps[n] = F.expr(f"CASE WHEN {n} = 0 OR get({feature}, {at}) < 0 THEN 0 "
-                              f"ELSE {n} * 2 + CAST(get(b, get({feature}, {at})) > get({cut}, {at}) AS INT) END")
-        df = df.withColumns(steps)
-    low = 1 << level
-    entries = []
-    for t in trees:
-        chosen = [sorted(index[f] for f in open_[t, p]) if (t, p) in open_ else None for p in range(low, 2 * low)]
-        subset = f"from_json('{json.dumps(chosen)}', 'array<array<int>>')"
-        entries.append(f"named_struct('tree', {t}, 'node', _n{t}, 'w', int(get(w, {t})), "
-                       f"'chosen', CASE WHEN _n{t} > 0 AND get(w, {t}) > 0 THEN get({subset}, _n{t} - {low}) END)")
-    one = df.select("y", "b", F.expr(f"inline(filter(array({', '.join(entries)}), e -> e.chosen IS NOT NULL))"))
+    width = 1 + max((len(c) for c in cuts.values()), default=0)
+    tables = []                                             # per tree: split feature and cut by place, row of ``chosen`` by place, chosen
+    for t in sorted({t for t, _ in open_}):
+        split, cut, slot = np.full(1 << level, -1), np.zeros(1 << level, int), np.full(2 << level, -1)
+        for p, n in forest[t].items():
+            if n.feature is not None and p < len(split):
+                split[p], cut[p] = index[n.feature], cuts[n.feature].index(n.cut)
+        places = sorted(p for u, p in open_ if u == t)
+        slot[places] = range(len(places))
+        tables.append((t, split, cut, slot, np.array(places), np.array([sorted(index[f] for f in open_[t, p]) for p in places])))
+    kept = sum(chosen.size for *_, chosen in tables) * width <= MAX_CELLS
+
+    def counted(batches):
+        sums = {}
+        for batch in batches:
+            y, b, w = (batch.column(c) for c in ("y", "b", "w"))
+            y, b, w = (y.to_numpy(zero_copy_only=False), *(x.flatten().to_numpy(zero_copy_only=False).reshape(len(x), -1) for x in (b, w)))
+            for table in tables:
+                t, split, cut, slot, _, chosen = table
+                rows = np.flatnonzero(w[:, t])
+                at = np.ones(len(rows), int)
+                for _ in range(level):                      # from the root down to this level's nodes; 0 where a row ends in a leaf
+                    at = np.where(split[at] < 0, 0, 2 * at + (b[rows, split[at]] > cut[at]))
+                rows, s = rows[slot[at] >= 0], slot[at][slot[at] >= 0]
+                cell = ((s[:, None] * chosen.shape[1] + np.arange(chosen.shape[1])) * width + b[rows[:, None], chosen[s]]).ravel()
+                weight = np.repeat(w[rows, t].astype(float), chosen.shape[1])
+                ones = weight * np.repeat(y[rows], chosen.shape[1])
+                found = [np.bincount(cell, x, chosen.size * width) for x in (None, weight, ones)]
+                if kept:
+                    sums[t] = [a + b for a, b in zip(sums[t], found)] if t in sums else found
+                else:
+                    yield cells(table, found)
+        for table in tables:
+            if table[0] in sums:
+                yield cells(table, sums[table[0]])
+
+    def cells(table, found):
+        t, _, _, _, places, chosen = table
+        at = np.flatnonzero(found[0])
+        pick = at // width
+        return pa.RecordBatch.from_pydict({
+            "tree": pa.array(np.full(len(at), t), pa.int32()), "node": pa.array(places[pick // chosen.shape[1]], pa.int32()),
+            "f": pa.array(chosen.ravel()[pick], pa.int32()), "bin": pa.array(at % width, pa.int32()),
+            **{c: pa.array(x[at].astype("int64")) for c, x in zip(("rows", "weight", "ones"), found)}})
+
+    parts = base.mapInArrow(counted, "tree int, node int, f int, bin int, rows long, weight long, ones long")
     names = F.array(*[F.lit(f) for f in features])
-    return one.select("tree", "node", "y", "w", "b", F.explode("chosen").alias("f")) \
-        .groupBy("tree", "node", "f", F.get("b", F.col("f")).alias("bin")).agg(
-            F.count(F.lit(1)).alias("rows"), F.sum("w").alias("weight"), F.sum(F.col("w") * F.col("y")).alias("ones")) \
+    return parts.groupBy("tree", "node", "f", "bin").agg(*[F.sum(c).alias(c) for c in ("rows", "weight", "ones")]) \
         .select("tree", "node", F.get(names, F.col("f")).alias("feature"), "bin", "rows", "weight", "ones")

@@ -4,6 +4,7 @@ import pytest
 
 from sf_paths import SF_SMALL
 from renewcast import registry
+from renewcast.operators import forest as G
 from renewcast.operators import metrics as M
 from renewcast.operators import models as ML
 
@@ -83,3 +84,30 @@ def test_area_of_grouped_counts_joins_no_rows(spark):
         own = [x for x in rows if x[0] == r["g"]]
         pairs = [(s, y) for _, s, p, n in own for y in [1] * p + [0] * n]
         assert r["auc"] is None if r["g"] == "one" else abs(r["auc"] - _area(pairs)) < 1e-12
+
+
+@pytest.mark.parametrize("cells", [G.MAX_CELLS, 1])
+def test_histogram_of_a_level_is_one_step_for_all_trees(spark, monkeypatch, cells):
+    """The plan is as large for 30 trees as for 3 (it held an entry for each tree and level), and the counts are those made by hand."""
+    monkeypatch.setattr(G, "MAX_CELLS", cells)
+    plans = {}
+    real = G.best_splits
+
+    def spied(h, *rest):
+        plans.setdefault(len(trees), []).append(len(h._jdf.queryExecution().optimizedPlan().toString()))
+        assert h.groupBy("tree", "node", "feature").agg({"rows": "sum"}).where("`sum(rows)` < 2").count() == 0
+        return real(h, *rest)
+
+    monkeypatch.setattr(G, "best_splits", spied)
+    for trees in (range(3), range(30)):
+        forest = G.grow_forest(_labelled(spark), ["a", "b"], key=["id"], num_trees=len(trees), max_depth=3)
+    assert max(plans[30]) < 1.2 * max(plans[3])
+    one = G.grow_forest(_labelled(spark), ["a", "b"], key=["id"], num_trees=1, max_depth=3, bagged=False)
+    rows = _labelled(spark).collect()
+    for place, n in one.nodes[0].items():
+        here = rows
+        for d in range(place.bit_length() - 1, 0, -1):
+            up, right = one.nodes[0][place >> d], (place >> d - 1) & 1
+            here = [r for r in here if (r[up.feature] > up.cut) == bool(right)]
+        assert (n.rows, n.weight, n.ones) == (len(here), len(here), sum(r["churn"] for r in here))
+    assert len(one.nodes[0]) > 3 and len(forest.nodes) == 30
