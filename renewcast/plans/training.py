@@ -80,8 +80,9 @@ def fit_bundle(spark: SparkSession, prep: Prepared, kind: str = "logistic", para
                             params.get("feature_subset", "sqrt"), params.get("min_leaf", 1),
                             params.get("impurity", "gini"), min_split=params.get("min_split", 2))
         model = ML.vector_model(names, est).fit(rows)
-    tr = ML.churn_probability(model, X).select(
-        F.col("churn").cast("int").alias("y_true"), F.col("p_churn").alias("score"))
+    # written: the sweep compares a score with many cut-offs and would have the model applied anew inside its conditions
+    tr = materialize(spark, ML.churn_probability(model, X).select(
+        F.col("churn").cast("int").alias("y_true"), F.col("p_churn").alias("score")), "training_scores")
     best = M.best_threshold(M.threshold_sweep(spark, tr), metric).first()
     thr = float(best["threshold"]) if best else 0.5
     info = (info or {}) | {"model_type": kind, "params": params, "threshold": thr, "sample_size": n,
