@@ -14,7 +14,7 @@ from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.ml import Estimator, Pipeline, PipelineModel
-from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel, RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -201,10 +201,13 @@ def positive_probability(df: DataFrame, col: str = "probability", name: str = "p
 
 
 def churn_probability(model: PipelineModel | GrownForest, df: DataFrame, compiled: bool = True, name: str = "p_churn") -> DataFrame:
-    """Adds the probability of churn, as column expressions where the model has such a form (``compiled``), else by its ``transform``."""
+    """Adds the probability of churn, as column expressions where the model has such a form (``compiled``), else by its ``transform``.
+
+    Spark's own forests score by ``transform``: the nested conditions of their trees are more code than the JVM compiles."""
     if isinstance(model, PipelineModel) and INTERCEPT in getattr(model.stages[0], "getInputCols", list)() and INTERCEPT not in df.columns:
         df = df.withColumn(INTERCEPT, F.lit(1.0))
-    if compiled or isinstance(model, GrownForest):
+    spark_forest = isinstance(model, PipelineModel) and isinstance(model.stages[-1], RandomForestClassificationModel)
+    if compiled and not spark_forest or isinstance(model, GrownForest):
         out = with_probability(df, model, name)
         if out is not None:
             return out

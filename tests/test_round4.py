@@ -23,3 +23,13 @@ def test_the_threshold_sweep_reads_written_scores(spark, prep, monkeypatch, kind
     assert "training_scores" in seen[0].inputFiles()[0] and "Project" not in plan
     want = ML.churn_probability(bundle.model, prep.matrix(prep.fit)).select(F.col("churn").cast("int").alias("y_true"), F.col("p_churn").alias("score"))
     assert sorted(map(tuple, seen[0].collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_a_spark_forest_scores_without_conditions(spark, prep):
+    X = prep.matrix(prep.fit)
+    model = ML.vector_model(prep.names, ML.forest(4, 4)).fit(X)
+    rows = X.select(*prep.names)
+    scored = ML.churn_probability(model, T.materialize(spark, rows, "features"))
+    assert "CASE WHEN" not in scored._jdf.queryExecution().optimizedPlan().toString()
+    both = ML.with_probability(scored, model, "compiled").where(F.abs(F.col("compiled") - F.col("p_churn")) > 1e-9)
+    assert both.isEmpty() and not scored.isEmpty()
