@@ -13,6 +13,7 @@ import random
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 
+from pyspark import StorageLevel
 from pyspark.ml import Estimator, Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel, RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
@@ -142,6 +143,16 @@ def draw_forest_params(trials: int = 5, seed: int = 42) -> list[dict]:
             for _ in range(trials)]
 
 
+#: Rows of one task of a fit, at most.
+TASK_ROWS = 500_000
+
+
+def even_parts(df: DataFrame, rows: int) -> int:
+    """Partitions for a fit over ``rows`` rows: a multiple of the cores, so that no core waits for a last task."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return cores * max(1, -(-rows // (cores * TASK_ROWS)))
+
+
 def fitting_rows(train: DataFrame, fold_col: str) -> dict[int, int]:
     """Fold -> rows of all other folds; one aggregate, a row per fold."""
     n = {r[fold_col]: r["count"] for r in train.where(F.col(fold_col).isNotNull()).groupBy(fold_col).count().collect()}
@@ -187,13 +198,20 @@ def tune_model(train: DataFrame, feature_cols: Sequence[str], kind: str = "logis
 
     x = VectorAssembler(inputCols=list(feature_cols), outputCol="features", handleInvalid="keep").transform(train).select("features", label, fold_col)
     folds = fitting_rows(train, fold_col)
-    for t in range(trials):
-        d = sampler.next(draws, scores) if adaptive else fixed[t]
-        found = fold_scores(x, lambda rows, d=d: estimator(d, rows), fold_col, folds, label, parallelism)
-        draws.append(d)
-        scores.append(sum(found) / len(found))
-    best = max(range(trials), key=lambda i: (scores[i], -i))
-    return estimator(draws[best], n).fit(x), draws, scores
+    if kind == "forest":
+        # the levels of every fit read all rows: assembled once, kept in memory or on disk, the same number in every task
+        x = x.repartition(even_parts(x, n)).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        for t in range(trials):
+            d = sampler.next(draws, scores) if adaptive else fixed[t]
+            found = fold_scores(x, lambda rows, d=d: estimator(d, rows), fold_col, folds, label, parallelism)
+            draws.append(d)
+            scores.append(sum(found) / len(found))
+        best = max(range(trials), key=lambda i: (scores[i], -i))
+        return estimator(draws[best], n).fit(x), draws, scores
+    finally:
+        if kind == "forest":
+            x.unpersist()
 
 
 def positive_probability(df: DataFrame, col: str = "probability", name: str = "p_churn") -> DataFrame:
