@@ -158,10 +158,10 @@ JOIN silver_members m ON m.msno = t.msno"""
 _GOLD_SQL = _GOLD.format(usage=", ".join(f"u.{c}" for c in FP.USAGE_FEATURES))
 
 
-def gold(spark, sf, dedupe=False, tx=None, plan_days=None):
+def gold(spark, sf, dedupe=False, tx=None, plan_days=None, periods=None):
     return FP.feature_store(fx.transactions(spark, sf) if tx is None else tx, fx.user_logs(spark, sf), fx.members(spark, sf),
                             window=W, burst_n=fx.BURST_THRESHOLD_ORDERS, secs_bounds=SECS,
-                            lookback_months=1, dedupe_periods=dedupe, plan_days=plan_days)
+                            lookback_months=1, dedupe_periods=dedupe, plan_days=plan_days, periods=periods)
 
 
 GOLD_DOUBLES = ["discount_ratio", *USAGE_DOUBLES]

@@ -31,9 +31,10 @@ def labels_with_tie(spark, sf, tx=None):
 
 def model_set(spark, sf):
     """Labels and features both read one written table of transactions; of the feature store only the periods that
-    ``assemble_model_set`` takes are built."""
+    ``assemble_model_set`` takes are built: those of its plan lengths that have a label."""
     tx = written(fx.transactions(spark, sf), "transactions")
-    return A.assemble_model_set(labels_with_tie(spark, sf, tx), gold(spark, sf, tx=tx, plan_days=A.PLAN_DAYS),
+    labels = written(labels_with_tie(spark, sf, tx).select(*KEY, "churn", "tx_id"), "labels")
+    return A.assemble_model_set(labels, gold(spark, sf, tx=tx, plan_days=A.PLAN_DAYS, periods=labels.select(*KEY)),
                                 plan_days=A.PLAN_DAYS, train_before=fx.SPLIT_TRAIN_BEFORE, oot_end=fx.SPLIT_OOT_END,
                                 inference_after=fx.SPLIT_INFERENCE_AFTER)
 

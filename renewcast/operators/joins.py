@@ -30,6 +30,8 @@ def interval_join(logs: DataFrame, periods: DataFrame, user: str = "msno", date:
     own quarter, and the exact range is the residual predicate.  Compared with
     an equi join on the user alone, a heavy user is split into one join key
     per quarter and the residual only sees periods overlapping that quarter.
+    Each task hashes its periods (few rows a user and quarter) and passes its logs by them, so the logs are not sorted; AQE
+    splits the logs of a skewed partition as in a sort-merge join.
 
     ``lookback_months=k`` reproduces the monthly partitioning of the
     reference (Q11): a period expiring in month M only sees logs from months
@@ -50,7 +52,7 @@ def interval_join(logs: DataFrame, periods: DataFrame, user: str = "msno", date:
                                                 F.expr("INTERVAL 3 MONTHS")))))
     lg = logs.withColumn("_q", F.trunc(F.col(date), "QUARTER"))
     # the lower bound is computed again from the period: no column of its own is dealt out
-    return lg.join(p, on=[user, "_q"], how="inner").where((F.col(date) >= lo) & (F.col(date) <= F.col(expire))).drop("_q")
+    return lg.join(p.hint("shuffle_hash"), on=[user, "_q"], how="inner").where((F.col(date) >= lo) & (F.col(date) <= F.col(expire))).drop("_q")
 
 
 def feature_join(tx: DataFrame, features: DataFrame, keys: Sequence[str] = PERIOD_KEY) -> DataFrame:

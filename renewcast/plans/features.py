@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from renewcast.functions.scalar import (account_age, guarded_ratio, parse_yyyymmdd,
                                         smoothed_ratio, sum_songs)
 from renewcast.operators.filters import plan_days_in, valid_range
-from renewcast.operators.joins import PERIOD_KEY, feature_join, interval_join, member_join
+from renewcast.operators.joins import PERIOD_KEY, feature_join, interval_join, member_join, semi_filter
 from renewcast.plans.labels import silver_transactions
+from renewcast.session import written
 
 PLAY_COLS = ("num_25", "num_50", "num_75", "num_985", "num_100")
 # transaction attributes the reference groups by and then drops (Q3)
@@ -157,17 +158,20 @@ def feature_store(tx: DataFrame, logs: DataFrame, members: DataFrame,
                   window: tuple[str, str] = ("2015-01-01", "2017-03-31"), burst_n: int = 2,
                   secs_bounds: tuple[float, float] = (-0.75e16, 0.75e16),
                   lookback_months: int | None = 1, dedupe_periods: bool = False,
-                  edge_days: int = 7, plan_days: Sequence[int] | None = None) -> DataFrame:
+                  edge_days: int = 7, plan_days: Sequence[int] | None = None, periods: DataFrame | None = None) -> DataFrame:
     """Gold feature store for every month in one plan (30 columns + tie-break + month).
 
     Transactions are partitioned by expiry month (``snapshot_month``); the burst
     filter is scoped to that month as in the reference (Q2).  ``plan_days`` keeps the periods of these lengths alone, for a caller
-    that takes no others: the rows are those that ``plan_days_in`` would leave of the whole store.
+    that takes no others: the rows are those that ``plan_days_in`` would leave of the whole store.  ``periods``, a table of period keys, does the
+    same for a caller that joins the store to these periods: the filtered transactions, read three times, are then written once.
     """
     t = tx.withColumn("snapshot_month", F.trunc("membership_expire_date", "MM"))
     st = silver_transactions(t, window, burst_n, scope_cols=("snapshot_month",))
     if plan_days is not None:
         st = plan_days_in(st, plan_days)
+    if periods is not None:
+        st = written(semi_filter(st, periods, PERIOD_KEY), "store_transactions")
     lg = valid_range(logs, "total_secs", *secs_bounds)
     usage = usage_features(lg, st, lookback_months, edge_days, dedupe_periods=dedupe_periods)
     j = feature_join(st, usage)
