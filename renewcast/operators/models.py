@@ -197,11 +197,10 @@ def tune_model(train: DataFrame, feature_cols: Sequence[str], kind: str = "logis
         return forest(d["num_trees"], d["max_depth"], d["feature_subset"], d["min_leaf"], d["impurity"], seed, label, min_split=d["min_split"])
 
     x = VectorAssembler(inputCols=list(feature_cols), outputCol="features", handleInvalid="keep").transform(train).select("features", label, fold_col)
-    folds = fitting_rows(train, fold_col)
-    if kind == "forest":
-        # the levels of every fit read all rows: assembled once, kept in memory or on disk, the same number in every task
-        x = x.repartition(even_parts(x, n)).persist(StorageLevel.MEMORY_AND_DISK)
+    # every fit and every score reads the rows, a forest's once a level: assembled once, kept in memory or on disk, the same number in every task
+    x = x.repartition(even_parts(x, n)).persist(StorageLevel.MEMORY_AND_DISK)
     try:
+        folds = fitting_rows(x, fold_col)          # also fills the store, before the fits of the folds ask for it together
         for t in range(trials):
             d = sampler.next(draws, scores) if adaptive else fixed[t]
             found = fold_scores(x, lambda rows, d=d: estimator(d, rows), fold_col, folds, label, parallelism)
@@ -210,8 +209,7 @@ def tune_model(train: DataFrame, feature_cols: Sequence[str], kind: str = "logis
         best = max(range(trials), key=lambda i: (scores[i], -i))
         return estimator(draws[best], n).fit(x), draws, scores
     finally:
-        if kind == "forest":
-            x.unpersist()
+        x.unpersist()
 
 
 def positive_probability(df: DataFrame, col: str = "probability", name: str = "p_churn") -> DataFrame:

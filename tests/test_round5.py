@@ -1,4 +1,4 @@
-"""The model set builds the periods it keeps; the large sides of its joins are hashed past, not sorted."""
+"""The model set builds the periods it keeps; the large sides of its joins are hashed past, not sorted; every trial reads rows kept assembled."""
 from contextlib import contextmanager
 
 from pyspark.sql import functions as F
@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from sf_paths import SF_SMALL
 from renewcast.catalog import prep as CP
 from renewcast.catalog.features import gold
+from renewcast.operators import models as ML
 from renewcast.operators.joins import interval_join
 from renewcast.plans import assembly as A
 from renewcast.sources import fixtures as fx
@@ -58,3 +59,22 @@ def test_the_logs_of_a_heavy_user_are_split(spark):
         assert rows.collect()[0][0] == 190_000
         plan = rows._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
         assert "ShuffledHashJoin(skew=true)" in plan, plan
+
+
+def test_logistic_trials_read_kept_rows(spark, monkeypatch):
+    seen = []
+    scores = ML.fold_scores
+
+    def spy(x, *a):
+        seen.append((x.storageLevel.useMemory, x.storageLevel.useDisk, x.rdd.getNumPartitions(), x.count()))
+        return scores(x, *a)
+
+    monkeypatch.setattr(ML, "fold_scores", spy)
+    rows = spark.range(4000, numPartitions=1).select((F.col("id") % 13).cast("double").alias("a"), (F.col("id") % 7).cast("double").alias("b"),
+                                                     (F.col("id") % 3).cast("int").alias("fold"), (F.xxhash64("id") % 2 == 0).cast("int").alias("churn"))
+    model, draws, found = ML.tune_model(rows, ["a", "b"], "logistic", trials=2)
+    assert seen == [(True, True, spark.sparkContext.defaultParallelism, 4000)] * 2
+    lazily = ML.VectorAssembler(inputCols=["a", "b"], outputCol="features", handleInvalid="keep").transform(rows)
+    for d, s in zip(draws, found, strict=True):
+        want = scores(lazily, lambda n, d=d: ML.logistic(n, d["C"], d["penalty"]), "fold", ML.fitting_rows(rows, "fold"), "churn", 1)
+        assert abs(sum(want) / 3 - s) < 1e-6
