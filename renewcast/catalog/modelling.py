@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from renewcast.catalog.prep import _ms_sql, model_set
 from renewcast.operators import metrics as M
 from renewcast.operators import models as ML
+from renewcast.operators.forest import GrownForest
 from renewcast.plans import training as T
 from renewcast.registry import query
 from renewcast.session import scratch_path
@@ -42,9 +43,12 @@ def train_forest(spark, sf):
 def _test_auc(spark, p, model):
     """AUC of the refit best model on the hold-out rows."""
     from pyspark.ml.feature import VectorAssembler
-    Xt = VectorAssembler(inputCols=p.names, outputCol="features", handleInvalid="keep").transform(p.matrix(p.test))
-    s = ML.positive_probability(model.transform(Xt)).select(
-        F.col("churn").cast("int").alias("y_true"), F.col("p_churn").alias("score"))
+    if isinstance(model, GrownForest):
+        scored = ML.churn_probability(model, p.matrix(p.test))
+    else:
+        Xt = VectorAssembler(inputCols=p.names, outputCol="features", handleInvalid="keep").transform(p.matrix(p.test))
+        scored = ML.positive_probability(model.transform(Xt))
+    s = scored.select(F.col("churn").cast("int").alias("y_true"), F.col("p_churn").alias("score"))
     return M.roc_auc(s).first()["auc"]
 
 

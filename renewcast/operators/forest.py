@@ -53,6 +53,11 @@ class GrownForest:
     nodes: list[dict[int, Node]]                    # one dict per tree, by place
     params: dict = field(default_factory=dict)
 
+    @property
+    def getNumTrees(self) -> int:
+        """As Spark's models have it."""
+        return len(self.nodes)
+
     @property
     def trees(self) -> list[Tree]:
         """Node tables for scoring; a leaf's value is its share of class 1 by weight."""

@@ -1,6 +1,6 @@
 """Spark ML models, tuning, scoring and model bundles.
 
-Estimators are Spark ML's own (distributed fits).  The only driver loops are
+Estimators are Spark ML's own or forests grown from counts (distributed fits).  The only driver loops are
 over trials and folds -- a handful of model fits, each a Spark job --
 never over rows.
 """
@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from renewcast.operators import metrics as M
+from renewcast.operators.binned import BinnedForest, bin_rows, grow_binned, spread_cuts, with_walked_probability
 from renewcast.operators.compiled import logistic_probability, number, with_probability
 from renewcast.operators.forest import GrownForest
 from renewcast.operators.tuning import ParzenSampler
@@ -118,6 +119,21 @@ def leaf_rows(min_leaf: int, min_split: int) -> int:
     return max(min_leaf, -(-min_split // 2))
 
 
+@dataclass
+class BinnedForestFit:
+    """Fits a forest of ``params`` (a draw of ``FOREST_SPACE``) to binned rows, with ``min_split`` kept exactly."""
+    features: Sequence[str]
+    cuts: Mapping[str, Sequence[float]]
+    params: Mapping
+    seed: int = 42
+    label: str = "churn"
+
+    def fit(self, rows: DataFrame) -> BinnedForest:
+        d = self.params
+        return grow_binned(rows, self.features, self.cuts, self.label, d["num_trees"], d["max_depth"], d["min_split"], d["min_leaf"],
+                           d["feature_subset"], d["impurity"], self.seed)
+
+
 def vector_model(feature_cols: Sequence[str], estimator) -> Pipeline:
     return Pipeline(stages=[VectorAssembler(inputCols=list(feature_cols), outputCol="features",
                                             handleInvalid="keep"), estimator])
@@ -143,6 +159,8 @@ def draw_forest_params(trials: int = 5, seed: int = 42) -> list[dict]:
             for _ in range(trials)]
 
 
+#: Nodes of the largest grown forest that scores as nested conditions.
+COMPILED_NODES = 2_000
 #: Rows of one task of a fit, at most.
 TASK_ROWS = 500_000
 
@@ -182,6 +200,8 @@ def tune_model(train: DataFrame, feature_cols: Sequence[str], kind: str = "logis
     refit on all rows.  (model, draws, scores).
 
     ``adaptive`` draws follow the trials before (``ParzenSampler``, after ``startup`` random ones); otherwise all are random.
+    Logistic models are Spark's.  Forests are grown from rows that are binned once (``operators.binned``); the model is a ``GrownForest``, and a
+    row's weights in the bags follow from the columns that are neither features, label nor fold, or from all where there are no others.
     """
     n = train.count()
     draws: list[dict] = []
@@ -194,10 +214,16 @@ def tune_model(train: DataFrame, feature_cols: Sequence[str], kind: str = "logis
     def estimator(d: dict, rows: int):
         if kind == "logistic":
             return logistic(rows, d["C"], d["penalty"], label=label)
-        return forest(d["num_trees"], d["max_depth"], d["feature_subset"], d["min_leaf"], d["impurity"], seed, label, min_split=d["min_split"])
+        return BinnedForestFit(names, cuts, d, seed, label)
 
-    x = VectorAssembler(inputCols=list(feature_cols), outputCol="features", handleInvalid="keep").transform(train).select("features", label, fold_col)
-    # every fit and every score reads the rows, a forest's once a level: assembled once, kept in memory or on disk, the same number in every task
+    if kind == "logistic":
+        x = VectorAssembler(inputCols=list(feature_cols), outputCol="features", handleInvalid="keep").transform(train).select("features", label, fold_col)
+    else:
+        names = sorted(feature_cols)
+        cuts = spread_cuts(train, names)
+        key = [c for c in train.columns if c not in {*names, label, fold_col}] or train.columns
+        x = bin_rows(train, names, cuts, key, [label, fold_col])
+    # every fit and every score reads the rows, a forest's once a level: assembled or binned once, kept in memory or on disk, the same number in every task
     x = x.repartition(even_parts(x, n)).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         folds = fitting_rows(x, fold_col)          # also fills the store, before the fits of the folds ask for it together
@@ -207,7 +233,8 @@ def tune_model(train: DataFrame, feature_cols: Sequence[str], kind: str = "logis
             draws.append(d)
             scores.append(sum(found) / len(found))
         best = max(range(trials), key=lambda i: (scores[i], -i))
-        return estimator(draws[best], n).fit(x), draws, scores
+        model = estimator(draws[best], n).fit(x)
+        return model.grown() if isinstance(model, BinnedForest) else model, draws, scores
     finally:
         x.unpersist()
 
@@ -219,9 +246,12 @@ def positive_probability(df: DataFrame, col: str = "probability", name: str = "p
 def churn_probability(model: PipelineModel | GrownForest, df: DataFrame, compiled: bool = True, name: str = "p_churn") -> DataFrame:
     """Adds the probability of churn, as column expressions where the model has such a form (``compiled``), else by its ``transform``.
 
-    Spark's own forests score by ``transform``: the nested conditions of their trees are more code than the JVM compiles."""
+    Spark's own forests score by ``transform``: the nested conditions of their trees are more code than the JVM compiles.  For the same reason grown
+    forests of more than ``COMPILED_NODES`` nodes are walked down in Arrow batches."""
     if isinstance(model, PipelineModel) and INTERCEPT in getattr(model.stages[0], "getInputCols", list)() and INTERCEPT not in df.columns:
         df = df.withColumn(INTERCEPT, F.lit(1.0))
+    if isinstance(model, GrownForest) and sum(map(len, model.nodes)) > COMPILED_NODES:
+        return with_walked_probability(df, model, name)
     spark_forest = isinstance(model, PipelineModel) and isinstance(model.stages[-1], RandomForestClassificationModel)
     if compiled and not spark_forest or isinstance(model, GrownForest):
         out = with_probability(df, model, name)
